@@ -7,8 +7,9 @@
    of their prefixes; shingles that only one prefix holds are dropped.
 3. Within each list of a shared shingle, sizes and parity bitmaps (a lower bound of
    the symmetric difference) leave out pairs that cannot reach the threshold. What
-   survives are small clusters; clusters with the same members are kept once.
-4. Each cluster's sets, in the global order, go into a trie. The walk carries the
+   survives are clusters. Clusters that overlap make a block; a block of at most
+   ``SPLIT`` sets goes to one task, once. A larger one goes cluster by cluster.
+4. The sets of each, in the global order, go into a trie. The walk carries the
    overlaps that all sets below a node share and cuts subtrees whose sizes can't reach
    the required overlap. Links within a component found so far are not searched again.
 5. Connected components by star rounds.
@@ -35,8 +36,8 @@ from tessera.llm.wordhash import SPACED, shingles, words
 SLOTS, PIECES = 1 << 18, 16
 #: Members of a list that one task takes at most.
 SPLIT = 2048
-#: Bits of a set's parity bitmap.
-PARITY = 512
+#: Bits of a set's parity bitmap: the power of two that is half its size or more, and so many at least.
+LEAST_BITS = 512
 
 
 def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -56,12 +57,17 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     shared = tokens.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
     lists = tokens.join(shared, "token").join(distinct.select("rid", "n", "parity"), "rid")
     clusters = staged(_clusters(lists, percent))
-    wanted = clusters.select("rid").distinct().join(distinct.select("rid", "sid", "doc_id"), "rid")
-    bloom = bloom_of(wanted.where("doc_id is not null").select("doc_id"))
+    first = clusters.groupBy("cluster").agg(F.min("rid").alias("b"))
+    block = components(clusters.join(first, "cluster").select(F.col("rid").alias("a"), "b")).withColumnRenamed("root", "block")
+    size = block.groupBy("block").agg(F.count("*").alias("size"))
+    block = staged(block.join(size, "block").select(F.col("node").alias("rid"), "block", "size"))
+    groups_ = block.where(F.col("size") <= SPLIT).select("rid", F.xxhash64(F.lit("block"), "block").alias("cluster"))
+    groups_ = groups_.union(clusters.join(block.where(F.col("size") > SPLIT), "rid", "left_semi").select("rid", F.xxhash64(F.lit("cluster"), "cluster")))
+    wanted = groups_.join(distinct.select("rid", F.col("sid").alias("its"), F.col("doc_id").alias("d")), "rid")
+    bloom = bloom_of(wanted.where("d is not null").select("d"))
     full = docs.mapInArrow(_whole_sets(order, k, bloom), "doc_id long, sid binary, shingles binary")
-    full = full.join(wanted.select("rid", F.col("sid").alias("its"), F.col("doc_id").alias("d")), (F.col("sid") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    full = full.dropDuplicates(["rid"]).select("rid", "shingles")
-    links = clusters.join(full, "rid").repartition("cluster").sortWithinPartitions("cluster", "rid").mapInArrow(_trie_links(percent), "a long, b long")
+    full = full.join(wanted, (F.col("sid") == F.col("its")) & F.col("doc_id").eqNullSafe(F.col("d"))).select("cluster", "rid", "shingles")
+    links = full.repartition("cluster").sortWithinPartitions("cluster", "rid").mapInArrow(_trie_links(percent), "a long, b long")
     roots = components(links)
     named = distinct.select("rid", "sid", "doc_id").join(roots.withColumnRenamed("node", "rid"), "rid")
     least = named.groupBy("root").agg(F.min("doc_id").alias("component"))
@@ -122,7 +128,8 @@ def _prefixes(order: np.ndarray, k: int, percent: int):
                 sid.append(_sid(s))
                 n.append(len(s))
                 prefix.append(s[: len(s) - least_partner(len(s), percent) + 1].view(np.int64) if len(s) else s.view(np.int64))
-                parity.append(np.packbits(np.bincount((s & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes())
+                bits = max(LEAST_BITS, 1 << (max(len(s) // 2, 1) - 1).bit_length())
+                parity.append(np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes())
             offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefix]))), pa.int32())
             values = pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sid, pa.binary()), pa.array(n, pa.int64()), pa.ListArray.from_arrays(offsets, values), pa.array(parity, pa.binary())], ["doc_id", "sid", "n_shingles", "prefix", "parity"])
@@ -182,6 +189,28 @@ class Forest:
         return a != b
 
 
+class _Parities:
+    """Parity bitmaps of sets sorted by size; a longer one is folded to the length of a shorter one."""
+
+    def __init__(self, raw: list[bytes]) -> None:
+        self.rows = [np.frombuffer(x, np.uint64) for x in raw]
+        self.first, self.table = -1, np.zeros((0, 0), np.uint64)
+
+    def apart(self, i: int, end: int) -> np.ndarray:
+        """At most the symmetric differences of set i with those from i + 1 to end - 1."""
+        width = len(self.rows[i])
+        if self.first < 0 or self.table.shape[1] != width or end > self.first + len(self.table):
+            self.first, self.table = i, np.stack([self._folded(x, width) for x in self.rows[i : max(end, min(len(self.rows), i + 256))]])
+        at = i - self.first
+        return np.bitwise_count(self.table[at + 1 : end - self.first] ^ self.table[at]).sum(1, dtype=np.int64)
+
+    @staticmethod
+    def _folded(x: np.ndarray, width: int) -> np.ndarray:
+        while len(x) > width:
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        return x
+
+
 def _clusters(lists: DataFrame, percent: int) -> DataFrame:
     """(cluster, rid): the members of each shingle's list that some other member may reach."""
     parts = F.ceil(F.col("members") / SPLIT).cast("int")
@@ -195,16 +224,16 @@ def _clusters(lists: DataFrame, percent: int) -> DataFrame:
             if t.num_rows < 2:
                 continue
             rid, n = t.column("rid").to_numpy(), t.column("n").to_numpy()
-            bits = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(len(rid), -1)
             by_size = np.argsort(n, kind="stable")
-            rid, n, bits = rid[by_size], n[by_size], bits[by_size]
+            rid, n = rid[by_size], n[by_size]
+            end = np.searchsorted(n, n * 100 // percent, "right")
+            bits = _Parities(t.column("parity").take(pa.array(by_size)).to_pylist())
             forest, alive = Forest(len(rid)), np.zeros(len(rid), bool)
             for i in range(len(rid) - 1):
-                end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-                if end <= i + 1:
+                if end[i] <= i + 1:
                     continue
-                apart = np.bitwise_count(bits[i + 1 : end] ^ bits[i]).sum(1)
-                both = n[i + 1 : end] + n[i]
+                apart = bits.apart(i, int(end[i]))
+                both = n[i + 1 : end[i]] + n[i]
                 for j in np.flatnonzero(apart <= both - 2 * (-(-percent * both // (100 + percent)))) + i + 1:
                     forest.joined(i, int(j))
                     alive[i] = alive[j] = True
@@ -253,14 +282,20 @@ def trie_join(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
             (edge, below, ends, least, largest), depth, overlap, last = stack.pop()
             if largest * 100 < percent * total or least * percent > 100 * total:
                 continue
+            need = least_overlap(total, max(least, least_partner(total, percent)), percent)
+            spare = largest - need - depth + overlap  # elements of the path that may still be missing
             for x in edge:
                 at = place.get(x)
                 if at is not None:
                     overlap += 1
                     last = at
+                elif spare:
+                    spare -= 1
+                else:
+                    spare = -1
+                    break
             depth += len(edge)
-            need = least_overlap(total, max(least, least_partner(total, percent)), percent)
-            if overlap + min(largest - depth, total - 1 - last) < need:
+            if spare < 0 or overlap + min(largest - depth, total - 1 - last) < need:
                 continue
             for j in ends:
                 if overlap >= least_overlap(total, size[j], percent) and forest.joined(i, j):
