@@ -10,12 +10,71 @@ from pyspark.sql import functions as F
 from tessera.llm.shared import table
 
 
+def op1_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.op01_extract import extracted
+
+    return extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.op02_url_filter import filtered
+
+    return filtered(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.op03_ngram_join import ngram_join
 
     return ngram_join(table(spark, sf_dir, "documents"), k=3, percent=90)
 
 
+def op4_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.op04_curves import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.op05_toxicity import fitted, held_out, scored
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fitted(docs, table(spark, sf_dir, "labels").where(~held_out("doc_id")))
+    out = scored(docs, model)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
+def op6_unit_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.op06_unit_dedup import unit_dedup
+
+    out = unit_dedup(table(spark, sf_dir, "documents"))
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["start"].cast("string"), s["end"].cast("string"))), ",")
+    return out.select("doc_id", "text", "n_units", "n_removed", spans.alias("removed_spans"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.op07_decontaminate import contamination
+
+    out = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.op08_pack import pack
+
+    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), size=2048)
+    return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
+
+
+def op9_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.op09_shard import LAW, shards
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"))
+    return shards(docs, 8).select("doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.op10_suffix_dedup import substring_dedup
 
@@ -24,6 +83,26 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_ngram_join, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_url_filter, op3_ngram_join, op4_curves, op5_toxicity, op6_unit_dedup, op7_decontaminate, op8_pack, op9_shard, op10_suffix_dedup)}
+
+_OP6_SQL = """
+WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM parts),
+normal AS (
+  SELECT doc_id, k, line,
+         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\x0B\\f\\r]+', ' ', 'g')) AS unit,
+         CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) - strlen(line) - 1 AS pos
+  FROM lines),
+judged AS (
+  SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 >= 8 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, k) > 1 AS gone
+  FROM normal),
+kept AS (
+  SELECT doc_id, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, count(*) AS n, count(*) FILTER (WHERE gone) AS n_removed,
+         string_agg(pos || '-' || (pos + strlen(line)), ',' ORDER BY k) FILTER (WHERE gone) AS spans
+  FROM judged GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
+       CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE k.n END AS n_units, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.spans, '') AS removed_spans
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_unit_dedup": _OP6_SQL}

@@ -18,8 +18,10 @@ BLOCK = 4 << 20
 _BYTES = np.arange(256)
 #: Words of white-space kind: everything but space and \t to \r.
 SPACED = ~((_BYTES == 0x20) | ((_BYTES >= 0x09) & (_BYTES <= 0x0D)))
-#: Words of letter kind: a-z, A-Z and every byte of a character beyond ASCII.
+#: Words of letters: a-z, A-Z and every byte of a character beyond ASCII.
 LETTERS = ((_BYTES >= 0x61) & (_BYTES <= 0x7A)) | ((_BYTES >= 0x41) & (_BYTES <= 0x5A)) | (_BYTES >= 0x80)
+#: Words of letters and digits.
+ALNUM = LETTERS | ((_BYTES >= 0x30) & (_BYTES <= 0x39))
 LOWER = np.where((_BYTES >= 0x41) & (_BYTES <= 0x5A), _BYTES + 32, _BYTES).astype(np.uint8)
 
 
