@@ -11,6 +11,10 @@ from tessera.plans.expression import evaluate
 from tessera.sources.panel import MONTH_PANEL_SQL, month_panel
 
 
+#: Large values are scaled by it before they are cut to single precision: decimal fractions then don't lie half-way.
+SCALE = 0.7390851332151607
+
+
 def rounded(frame: DataFrame, *keys: str) -> DataFrame:
     """Doubles to six digits behind the point, large ones to single precision, without a negative zero."""
     kinds = dict(frame.dtypes)
@@ -18,11 +22,11 @@ def rounded(frame: DataFrame, *keys: str) -> DataFrame:
 
 
 def _rounded(x):
-    return F.when(F.abs(x) < 1e5, F.floor(x * 1e6 + 0.5) / 1e6).otherwise(x.cast("float").cast("double")) + F.lit(0.0)
+    return F.when(F.abs(x) < 1e5, F.floor(x * 1e6 + 0.5) / 1e6).otherwise((x * SCALE).cast("float").cast("double") / SCALE) + F.lit(0.0)
 
 
 def rounded_sql(e: str) -> str:
-    return f"CASE WHEN abs({e}) < 1e5 THEN floor(({e}) * 1e6 + 0.5) / 1e6 ELSE CAST(CAST({e} AS FLOAT) AS DOUBLE) END + 0.0"
+    return f"CASE WHEN abs({e}) < 1e5 THEN floor(({e}) * 1e6 + 0.5) / 1e6 ELSE CAST(CAST(({e}) * {SCALE} AS FLOAT) AS DOUBLE) / {SCALE} END + 0.0"
 
 
 def W(d: int) -> str:
