@@ -13,7 +13,7 @@ from tessera.llm.shared import mix
 #: Odd multiplier of the rolling polynomials.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes of text taken at once; a longer text is a block of its own.
-BLOCK = 4 << 20
+BLOCK = 1 << 20
 
 _BYTES = np.arange(256)
 #: Words of white-space kind: everything but space and \t to \r.
