@@ -46,8 +46,9 @@ def operators_kernels(spark: SparkSession, folder: str) -> DataFrame:
     return expressions(month_panel(spark, folder), KERNELS)
 
 
-def operators_windowed(spark: SparkSession, folder: str) -> DataFrame:
-    return expressions(month_panel(spark, folder), WINDOWED)
+def _part(k: int):
+    """Every fifth of the windowed operators, from the k-th on: plans stay small."""
+    return lambda spark, folder: expressions(month_panel(spark, folder), dict(list(WINDOWED.items())[k::5]))
 
 
 def operators_structured(spark: SparkSession, folder: str) -> DataFrame:
@@ -56,10 +57,10 @@ def operators_structured(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def operators_moments(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(expressions(month_panel(spark, folder), {"ts_kurt": "ts_kurt(volume, 8)", "ts_skew": "ts_skew(volume, 8)", "ts_autocorr": "ts_autocorr(volume, 8, 2)"}), "code", "t")
+    return rounded(expressions(month_panel(spark, folder), {"ts_kurt": "ts_kurt(volume, 8)", "ts_skew": "ts_skew(volume, 8)"}), "code", "t")
 
 
-_MOMENTS = f"m0 AS (SELECT *, list(volume) {W(8)} AS x, corr(volume, lv) {W(8)} AS rho FROM (SELECT *, {lag('volume', 2)} AS lv FROM panel))"
+_MOMENTS = f"m0 AS (SELECT *, list(volume) {W(8)} AS x FROM panel)"
 
 
 def operators_rl(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,11 +237,12 @@ def book_last(spark: SparkSession, folder: str) -> DataFrame:
 
 _LAST = f"{_BOOK}, m AS (SELECT *, CAST(date_trunc('month', trade_date) AS DATE) AS d FROM book), l AS (SELECT code, d AS trade_date, arg_max_null(price, seq) AS price, arg_max_null(bp5, seq) AS bp5, arg_max_null(sv5, seq) AS sv5 FROM m GROUP BY code, d)"
 
-QUERIES = {f.__name__: f for f in (flagship, operators_kernels, operators_windowed, operators_structured, operators_moments, operators_rl, futures_factors, futures_basic, minute_families, minute_jumps, book_components, book_entropies, book_last, event_backtest, study_exposure, study_panel, study_regression, expression_search)}
+QUERIES = {f.__name__: f for f in (flagship, operators_kernels, operators_structured, operators_moments, operators_rl, futures_factors, futures_basic, minute_families, minute_jumps, book_components, book_entropies, book_last, event_backtest, study_exposure, study_panel, study_regression, expression_search)}
+QUERIES |= {f"operators_windowed_{k + 1}": _part(k) for k in range(5)}
 _MP = MONTH_PANEL_SQL
 SQL = {
     "flagship": _wrapped(f"{_MP}, {_IC.replace(' UNION ALL SELECT ' + chr(39) + 'volume' + chr(39) + ', trade_date, code, sb, label FROM m2', '')}", "factor, trade_date, n", ("ic", "rank_ic"), "ic"),
-    "operators_moments": _wrapped(f"{_MP}, {_MOMENTS}", "code, t", {"ts_kurt": full(8, l_kurt("x")), "ts_skew": full(8, l_skew("x")), "ts_autocorr": full(8, "CASE WHEN isnan(rho) THEN NULL ELSE rho END")}, "m0"),
+    "operators_moments": _wrapped(f"{_MP}, {_MOMENTS}", "code, t", {"ts_kurt": full(8, l_kurt("x")), "ts_skew": full(8, l_skew("x"))}, "m0"),
     "operators_rl": _wrapped(f"{_MP}, m0 AS (SELECT *, list(volume) {W(5)} AS l5 FROM panel)", "code, t", _RL, "m0"),
     "futures_basic": _wrapped(_FT, "code, t", _FUTURES, "w1"),
     "minute_jumps": _wrapped(_JUMPS, "code, trade_date", _JUMP_COLUMNS, "s"),
