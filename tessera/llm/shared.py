@@ -43,7 +43,14 @@ def _removed(spark: SparkSession, path: str) -> None:
         return
 
 
+#: Bytes of an Arrow batch between the JVM and Python, in sessions that have Spark's default: long texts then don't pile up.
+BATCH, _BATCH_KEY = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, in a session with small Arrow batches."""
+    if spark.conf.get(_BATCH_KEY) in ("67108864", "67108864b", "64MB", "64m"):
+        spark.conf.set(_BATCH_KEY, str(BATCH))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
