@@ -40,13 +40,15 @@ LABELLED = np.array([
     (62, 0.00, 12, 0.00, 48, 0.00, 0, 2, 1), (48, 0.02, 62, 0.00, 1, 0.00, 0, 2, 1), (1, 0.00, 48, 0.02, 35, 0.00, 0, 2, 1), (9, 0.00, 0, 0.00, 62, 0.00, 0, 2, 1),
     (4, 1.00, 30, 0.00, 41, 0.05, 0, 2, 1), (2, 0.00, 3, 0.00, 0, 0.00, 0, 2, 1), (120, 0.10, 1, 1.00, 90, 0.00, 0, 2, 1), (17, 0.55, 22, 0.00, 6, 0.00, 0, 2, 1),
     (7, 0.00, 5, 1.00, 8, 0.00, 0, 2, 1), (33, 0.00, 2, 1.00, 3, 1.00, 0, 2, 1), (12, 0.90, 11, 0.80, 40, 0.00, 0, 2, 1), (3, 0.00, 6, 0.00, 0, 0.00, 0, 2, 1),
+    (1, 0.00, 1, 0.00, 1, 0.00, 0, 2, 1), (1, 0.00, 2, 0.00, 80, 0.00, 0, 2, 1), (2, 0.00, 2, 1.00, 1, 0.00, 0, 2, 1), (1, 1.00, 1, 1.00, 2, 1.00, 0, 2, 1), (4, 0.00, 90, 0.00, 3, 0.00, 0, 2, 1), (6, 0.00, 1, 0.00, 4, 0.00, 0, 2, 1),
+    (2, 1.00, 25, 0.00, 9, 0.00, 0, 2, 1), (10, 0.80, 5, 0.00, 1, 0.00, 0, 2, 1), (1, 0.00, 14, 0.00, 0, 0.00, 0, 2, 1), (5, 0.00, 0, 0.00, 0, 0.00, 0, 2, 1), (3, 0.50, 7, 0.90, 3, 0.50, 0, 2, 1), (8, 0.00, 3, 0.00, 2, 1.00, 0, 2, 1),
     # furniture, in the article or not
     (3, 1.00, 2, 1.00, 1, 1.00, 1, 0, 0), (1, 1.00, 0, 0.00, 1, 1.00, 1, 0, 0), (9, 0.00, 1, 1.00, 14, 0.00, 1, 0, 0), (24, 0.00, 50, 0.00, 0, 0.00, 1, 0, 0),
     (40, 0.00, 38, 0.00, 44, 0.00, 1, 2, 0), (6, 0.30, 70, 0.00, 12, 0.00, 1, 2, 0), (85, 0.00, 60, 0.00, 20, 0.00, 1, 1, 0), (11, 0.00, 0, 0.00, 90, 0.00, 1, 1, 0),
     (2, 0.50, 64, 0.00, 3, 0.50, 1, 1, 0), (150, 0.00, 4, 0.00, 0, 0.00, 1, 0, 0), (30, 0.70, 31, 0.60, 28, 0.70, 1, 2, 0), (5, 0.00, 110, 0.00, 80, 0.00, 1, 2, 0),
     # outside of an article that the page marks
     (8, 0.00, 5, 1.00, 40, 0.00, 0, 0, 0), (36, 0.00, 4, 0.20, 9, 0.00, 0, 0, 0), (2, 1.00, 3, 1.00, 2, 1.00, 0, 0, 0), (70, 0.05, 60, 0.00, 0, 0.00, 0, 0, 0),
-    (14, 0.00, 44, 0.00, 5, 0.00, 0, 0, 0), (1, 0.00, 0, 0.00, 2, 1.00, 0, 0, 0),
+    (14, 0.00, 44, 0.00, 5, 0.00, 0, 0, 0), (1, 0.00, 0, 0.00, 2, 1.00, 0, 0, 0), (22, 0.00, 30, 0.00, 28, 0.00, 0, 0, 0), (55, 0.00, 12, 0.00, 41, 0.00, 0, 0, 0), (110, 0.00, 70, 0.00, 64, 0.00, 0, 0, 0), (9, 0.00, 62, 0.00, 58, 0.00, 0, 0, 0),
     # a page that marks none: long blocks of few links, and short ones between them
     (45, 0.00, 9, 0.00, 52, 0.00, 0, 1, 1), (52, 0.08, 45, 0.00, 38, 0.00, 0, 1, 1), (18, 0.00, 40, 0.00, 6, 0.00, 0, 1, 1), (6, 0.00, 47, 0.00, 55, 0.00, 0, 1, 1),
     (2, 0.00, 50, 0.00, 33, 0.00, 0, 1, 1), (9, 0.00, 0, 0.00, 45, 0.00, 0, 1, 1), (21, 0.15, 3, 1.00, 39, 0.00, 0, 1, 1), (8, 0.00, 3, 1.00, 60, 0.00, 0, 1, 1),
