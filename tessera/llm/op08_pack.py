@@ -84,15 +84,16 @@ def grants(totals: np.ndarray, weights: np.ndarray, size: int, windows: np.ndarr
 def _shared_out(last: np.ndarray, rest: np.ndarray) -> np.ndarray:
     """``rest`` of the grants of one tick: in proportion if they are many, what then remains in the order of sources."""
     given = np.zeros_like(last)
-    if last.size and last.max() > 1:
-        fine, low, high = 1 << 30, np.zeros(len(rest), np.int64), np.full(len(rest), 1 << 30, np.int64)
+    while last.size and last.max() > 1:  # the same again within the tick, until it grants single tokens
+        fine = 1 << min(40, 61 - int(last.max()).bit_length())
+        low, high = np.zeros(len(rest), np.int64), np.full(len(rest), fine, np.int64)
         while (low < high).any():
             mid = (low + high) // 2
             reached = (last * mid[:, None] // fine).sum(1) >= rest
             high = np.where(reached, mid, high)
             low = np.where(reached, low, np.minimum(mid + 1, high))
-        given = last * np.maximum(high - 1, 0)[:, None] // fine
-        last, rest = last * high[:, None] // fine - given, rest - given.sum(1)
+        step = last * np.maximum(high - 1, 0)[:, None] // fine
+        last, rest, given = last * high[:, None] // fine - step, rest - step.sum(1), given + step
     ahead = np.cumsum(last, 1) - last
     return given + np.clip(rest[:, None] - ahead, 0, last)
 
