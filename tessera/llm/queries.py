@@ -105,4 +105,35 @@ SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') EN
 FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_unit_dedup": _OP6_SQL}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP3_SQL = f"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k, len(w) AS n FROM docs),
+runs AS (SELECT doc_id, n, k, list(word) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING) AS run FROM words),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(run, ' ') AS s FROM runs WHERE (n >= 3 AND k <= n - 2) OR (n < 3 AND k = 1)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM both_ JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * i >= 90 * (x.n + y.n - i)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT w.b, r.root FROM reach r JOIN ways w ON w.a = r.doc_id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, min(r.root) AS component_id
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id JOIN reach r ON r.doc_id = d.doc_id GROUP BY d.doc_id, s.n
+"""
+_OP7_WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+_OP7_SQL = f"""
+WITH docs AS (SELECT doc_id, {_OP7_WORDS} AS w FROM documents),
+items AS (SELECT CAST(item_id AS VARCHAR) AS item, {_OP7_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+item_words AS (SELECT item, unnest(w) AS word, generate_subscripts(w, 1) AS k, len(w) AS n, least(10, len(w)) AS size FROM items),
+item_runs AS (SELECT item, size, k, n, list(word) OVER (PARTITION BY item ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS run FROM item_words),
+patterns AS (SELECT DISTINCT item, size, array_to_string(run[1:size], ' ') AS p FROM item_runs WHERE k <= n - size + 1),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM docs),
+runs AS (SELECT doc_id, k, list(word) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS run FROM words),
+sized AS (SELECT doc_id, k, size, array_to_string(run[1:size], ' ') AS p FROM runs, (SELECT DISTINCT size FROM patterns) WHERE len(run) >= size),
+found AS (SELECT s.doc_id, s.k, s.size, x.item FROM sized s JOIN patterns x ON x.size = s.size AND x.p = s.p),
+hits AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(k, k + size)) AS j FROM found) GROUP BY doc_id),
+names AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(m.n, 0) AS n_items, sha256(coalesce(m.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hits h ON h.doc_id = d.doc_id LEFT JOIN names m ON m.doc_id = d.doc_id
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_ngram_join": _OP3_SQL, "op6_unit_dedup": _OP6_SQL, "op7_decontaminate": _OP7_SQL}
