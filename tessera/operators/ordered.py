@@ -277,7 +277,7 @@ def _histogram(a: Column, buckets: int) -> Column:
     s = A.present(a)
     lo, hi = F.array_min(s), F.array_max(s)
     edge = lambda i: lo + (hi - lo) * (i / buckets)
-    n = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(s, lambda v: (v >= edge(i)) & (v < edge(i + 1)))).cast("double"))
+    n = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(s, lambda v: (v >= edge(i)) & (v < edge(i + 1)) & (v < hi))).cast("double"))
     return F.transform(n, lambda v: F.try_divide(v, F.nullif(A.total(n), F.lit(0.0))))
 
 

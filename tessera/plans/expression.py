@@ -107,10 +107,10 @@ def check(node: Node) -> None:
         if op is None:
             raise ValueError(f"no operator {n.value!r}")
         given = "".join("n" if c.kind == "number" else "v" for c in n.children)
-        values, least_values = sum(k in "vV" for k in op.kinds), op.kinds.count("v")
-        numbers, least_numbers = sum(k not in "vV" for k in op.kinds), sum(k.islower() and k != "v" for k in op.kinds)
-        repeats = op.kinds.endswith("V")
-        if given.count("v") < least_values and given.count("v") + given.count("n") < least_values + least_numbers or given.count("v") > values and not repeats or given.count("n") > numbers and not (given.count("v") < least_values):
+        repeats, values = op.kinds.endswith("V"), sum(k in "vV" for k in op.kinds)
+        required, numbers = sum(k.islower() for k in op.kinds), sum(k.islower() and k != "v" for k in op.kinds)
+        # a number may stand for a value, a field never for a number
+        if len(given) < required or given.count("n") < numbers or not repeats and (len(given) > len(op.kinds) or given.count("v") > values):
             raise ValueError(f"{n.value} takes {op.kinds!r}, not {given!r}")
 
 

@@ -22,11 +22,11 @@ def rounded(frame: DataFrame, *keys: str) -> DataFrame:
 
 
 def _rounded(x):
-    return F.when(F.abs(x) < 1e5, F.floor(x * 1e6 + 0.5) / 1e6).otherwise((x * SCALE).cast("float").cast("double") / SCALE) + F.lit(0.0)
+    return F.when(F.abs(x) < 1e5, F.floor(x * 1e6 + 0.5) / 1e6).when(F.abs(x) < 1e30, (x * SCALE).cast("float").cast("double") / SCALE).otherwise((x * SCALE / 1e30).cast("float").cast("double") / SCALE * 1e30) + F.lit(0.0)
 
 
 def rounded_sql(e: str) -> str:
-    return f"CASE WHEN abs({e}) < 1e5 THEN floor(({e}) * 1e6 + 0.5) / 1e6 ELSE CAST(CAST(({e}) * {SCALE} AS FLOAT) AS DOUBLE) / {SCALE} END + 0.0"
+    return f"CASE WHEN abs({e}) < 1e5 THEN floor(({e}) * 1e6 + 0.5) / 1e6 WHEN abs({e}) < 1e30 THEN CAST(CAST(({e}) * {SCALE} AS FLOAT) AS DOUBLE) / {SCALE} ELSE CAST(CAST(({e}) * {SCALE} / 1e30 AS FLOAT) AS DOUBLE) / {SCALE} * 1e30 END + 0.0"
 
 
 def W(d: int) -> str:
@@ -109,9 +109,9 @@ ARITHMETIC = {
     "v_log": ("log(ret)", _LOG.format("ret")),
     "v_pow_half": ("Pow(ret, 0.5)", "power(abs(ret), 0.5)"),
     "v_pow3": ("pow(ret, 3)", "power(ret, 3)"),
-    "v_nentexpo": ("nentexpo(ret, 2)", "power(2, ret)"),
+    "v_nentexpo": ("nentexpo(mul_element_wise(ret, 0.01), 2)", "power(2, ret * 0.01)"),
     "v_pow_xy": ("pow_xy(close, mul_element_wise(ret, 0.001))", "power(close, ret * 0.001)"),
-    "v_exp": ("exp(ret)", "exp(ret)"),
+    "v_exp": ("exp(mul_element_wise(ret, 0.01))", "exp(ret * 0.01)"),
     "v_sigmoid": ("sigmoid(ret)", "1 / (1 + exp(-ret))"),
     "v_erf": ("erf(ret)", erf("ret")),
     "v_arctan": ("arctan(ret)", "atan(ret)"),
@@ -119,7 +119,7 @@ ARITHMETIC = {
     "v_sign_square": ("sign_square(ret)", "sign(ret) * ret * ret"),
     "v_indicator": ("indicator(ret)", "CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END"),
     "v_taylor_log": ("taylor_log_diff(ret)", f"2 * (abs(ret) - 1 - ({_LOG.format('ret')})) - power({_LOG.format('ret')}, 2)"),
-    "v_taylor_exp": ("taylor_exp_diff(ret)", "2 * (exp(ret) - 1 - ret) - ret * ret"),
+    "v_taylor_exp": ("taylor_exp_diff(mul_element_wise(ret, 0.01))", "2 * (exp(ret * 0.01) - 1 - ret * 0.01) - power(ret * 0.01, 2)"),
     "v_ceil_scale": ("ceil_scale(ret, 4)", "ceil(ret * 4) / 4"),
     "v_floor_scale": ("floor_scale(ret, 4)", "floor(ret * 4) / 4"),
     "v_round_zero": ("round_zero_scale(ret, 4)", "sign(ret) * floor(abs(ret) * 4) / 4"),

@@ -70,10 +70,12 @@ def _opened(path: str):
     import pyarrow.feather
 
     try:
-        return pyarrow.feather.read_table(path)
+        table = pyarrow.feather.read_table(path)
     except pa.ArrowInvalid:
         with pa.memory_map(path) as source:
-            return pa.ipc.open_stream(source).read_all()
+            table = pa.ipc.open_stream(source).read_all()
+    fine = [f.with_type(pa.timestamp("us", f.type.tz)) if pa.types.is_timestamp(f.type) else f for f in table.schema]
+    return table.cast(pa.schema(fine), safe=False).replace_schema_metadata(None)  # Spark's timestamps have microseconds
 
 
 def read_feather(spark: SparkSession, pattern: str, tolerant: bool = False) -> DataFrame:

@@ -18,8 +18,8 @@ def differences(spark, query, sql: str, folder: str) -> list[str]:
     if len(a) != len(b):
         return [f"rows {len(a)} and {len(b)}"]
     columns = sorted(a.columns)
-    keys = [c for c in columns if a[c].dtype != float] or columns
-    order = lambda f: f[columns].sort_values(keys, key=lambda s: s.astype(str)).reset_index(drop=True)
+    keys = [c for c in columns if a[c].dtype != float and b[c].dtype != float] or columns
+    order = lambda f: f[columns].sort_values(keys, key=lambda s: s.map(lambda v: '' if pd.isna(v) else str(v))).reset_index(drop=True)
     a, b, out = order(a), order(b), []
     for c in columns:
         if a[c].dtype == float or b[c].dtype == float:

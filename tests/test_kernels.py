@@ -50,7 +50,7 @@ def test_windows_by_numpy(spark):
     x, y = rng.normal(size=25), rng.normal(size=25)
     x[5] = np.nan
     frame = spark.createDataFrame([("a", t, None if np.isnan(x[t]) else float(x[t]), float(y[t])) for t in range(25)], "code string, t int, x double, y double")
-    out = evaluate(frame, {"k": "ts_kurt_selq(x, y, 8, 0.2, 0.9)", "f": "ts_skew_flip(x, y, 8, 0.2, 0.8)", "c": "ts_cond_quantile_mean(x, y, 8, 0.3, 0.8)", "e": "ts_entropy(y, 10)", "t": "ts_sort_diffcumsum(y, x, 6)"}).orderBy("t").toPandas()
+    out = evaluate(frame, {"k": "ts_kurt_selq(x, y, 8, 0.2, 0.9)", "f": "ts_skew_flip(x, y, 8, 0.2, 0.8)", "c": "ts_cond_quantile_mean(x, y, 8, 0.3, 0.8)", "e": "ts_entropy(y, 10)", "z": "ts_sort_diffcumsum(y, x, 6)"}).orderBy("t").toPandas()
     for t in range(9, 25):
         a, b = x[t - 7 : t + 1], y[t - 7 : t + 1]
         lo, hi = np.quantile(b, 0.2), np.quantile(b, 0.9)
@@ -74,7 +74,7 @@ def test_windows_by_numpy(spark):
         u, v = y[t - 5 : t + 1], x[t - 5 : t + 1]
         v = np.where(np.isnan(v), np.nanmean(v), v)
         up, down = u[np.argsort(v, kind="stable")], u[np.argsort(-v, kind="stable")]
-        assert out.t[t] == pytest.approx((np.cumsum(up) - np.cumsum(down)).sum())
+        assert out.z[t] == pytest.approx((np.cumsum(up) - np.cumsum(down)).sum())
 
 
 def test_components_and_least_squares():

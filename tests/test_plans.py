@@ -91,7 +91,7 @@ def test_fronts_and_survivors():
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    rows = [(k % 2, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=17 * k), float(k % 7), 1.0) for k in range(60)]
+    rows = [(k % 2, (pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=17 * k)).to_pydatetime(), float(k % 7), 1.0) for k in range(60)]
     frame = spark.createDataFrame(rows, "code long, ts timestamp, price double, volume double")
     frame.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(frame.schema).parquet(str(tmp_path / "in"))
