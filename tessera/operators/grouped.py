@@ -398,5 +398,5 @@ def cs_marketcorrw(p: Panel, x: Value, y: Value) -> Value:
     name = f"_m{len(p.memo)}"
     p.memo[("matrix", name)] = Value(F.col(name))
     out = frame.select("t", F.col("code").alias("j"), "x").join(matrix, "j").groupBy("t", F.col("i").alias("code")).agg(F.nullif(F.sum(F.col("x") * F.col("c")), F.lit(0.0)).alias(name))
-    p.frame, p.layers = p.laid().join(out, ["code", "t"], "left"), {}
+    p.settle(p.laid().join(out, ["code", "t"], "left"))
     return Value(F.col(name))

@@ -33,6 +33,7 @@ class Panel:
     frame: DataFrame
     keys: tuple[str, ...] = ("code", "t")
     layers: dict[int, list[Column]] = field(default_factory=dict)
+    kernels: dict[int, list[tuple[str, Callable, list[Column], str]]] = field(default_factory=dict)
     memo: dict[object, Value] = field(default_factory=dict)
 
     def field(self, name: str) -> Value:
@@ -99,12 +100,20 @@ class Panel:
         return tuple(out)
 
     def laid(self) -> DataFrame:
-        """The frame with all layers so far."""
+        """The frame with all layers so far; the kernels of one depth and grouping run in one pass."""
         frame = self.frame
-        for depth in sorted(self.layers):
-            frame = frame.select("*", *self.layers[depth])
+        for depth in sorted({*self.layers, *self.kernels}):
+            if depth in self.layers:
+                frame = frame.select("*", *self.layers[depth])
+            for by in ("code", "t"):
+                if own := [k for k in self.kernels.get(depth, []) if k[3] == by]:
+                    frame = _computed(frame, own, by)
         return frame
 
+    def settle(self, frame: DataFrame) -> None:
+        """``frame``, which has all columns laid down so far, is where further layers start."""
+        self.frame, self.layers, self.kernels = frame, {}, {}
+
     def whole(self, make: Callable[..., Column], *values: Value, by_row: bool = False) -> Value:
         """One number for the whole panel in every cell: an aggregate of one row, broadcast.
 
@@ -125,22 +134,32 @@ class Panel:
         Groups are the histories of a code in order of ``t``, or the codes of a row index in order of code.
         """
         plain = [self.flat(v) for v in values]
-        frame = self.laid()
-        name, order = f"_g{len(self.memo)}", "t" if by == "code" else "code"
+        depth = max(v.depth for v in plain)
+        name = f"_g{len(self.memo)}"
         self.memo[("kernel", name)] = Value(F.col(name))
-        n, m = len(frame.columns), len(plain)
-        wide = frame.select("*", *(v.column.cast("double").alias(f"_k{i}") for i, v in enumerate(plain)))
-        schema = StructType([*frame.schema.fields, StructField(name, DoubleType())])
-
-        def run(table: pa.Table) -> pa.Table:
-            table = table.sort_by(order)
-            arrays = [table.column(n + i).to_numpy().astype(float) for i in range(m)]
-            out = np.asarray(compute(*arrays), float)
-            return table.select(list(range(n))).append_column(name, pa.array(out, pa.float64(), mask=~np.isfinite(out)))
-
-        self.frame, self.layers = wide.groupBy(by).applyInArrow(run, schema), {}
-        return Value(F.col(name))
+        self.kernels.setdefault(depth, []).append((name, compute, [v.column for v in plain], by))
+        return Value(F.col(name), False, depth + 1)
 
     def select(self, values: dict[str, Value], *more: str) -> DataFrame:
         """The keys, further columns by name, and the values."""
         return self.laid().select(*self.keys, *more, *(v.column.alias(name) for name, v in values.items()))
+
+
+def _computed(frame: DataFrame, kernels: list[tuple[str, Callable, list[Column], str]], by: str) -> DataFrame:
+    """``frame`` with a column for each kernel, one task per group and one shuffle for all."""
+    order, n = ("t" if by == "code" else "code"), len(frame.columns)
+    inputs = {str(c): c for _, _, columns, _ in kernels for c in columns}
+    place = {k: n + i for i, k in enumerate(inputs)}
+    wide = frame.select("*", *(c.cast("double").alias(f"_k{i}") for i, c in enumerate(inputs.values())))
+    wanted = [(name, compute, [place[str(c)] for c in columns]) for name, compute, columns, _ in kernels]
+    schema = StructType([*frame.schema.fields, *(StructField(name, DoubleType()) for name, _, _ in wanted)])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        out = table.select(list(range(n)))
+        for name, compute, at in wanted:
+            found = np.asarray(compute(*(table.column(i).to_numpy().astype(float) for i in at)), float)
+            out = out.append_column(name, pa.array(found, pa.float64(), mask=~np.isfinite(found)))
+        return out
+
+    return wide.groupBy(by).applyInArrow(run, schema)
