@@ -103,3 +103,14 @@ def folds(dates: DataFrame, months: int = 3, date: str = "trade_date") -> DataFr
     """(date, fold): blocks of so many months from the first date's month on."""
     first = dates.agg(F.trunc(F.min(date), "month").alias("_first"))
     return dates.select(date).distinct().crossJoin(F.broadcast(first)).select(date, F.floor(F.months_between(F.trunc(date, "month"), "_first") / months).cast("int").alias("fold"))
+
+
+def field_correlations(panel: DataFrame, fields: list[str], by: str = "t") -> DataFrame:
+    """(a, b, correlation): of each two fields over the codes, missing cells as the row index's median, averaged over row indices; one aggregate for all pairs."""
+    w = Window.partitionBy(by)
+    filled = panel.select(by, *(F.coalesce(F.col(c), F.percentile(c, F.lit(0.5)).over(w)).alias(c) for c in fields))
+    pairs = [(a, b) for i, a in enumerate(fields) for b in fields[i + 1 :]]
+    daily = filled.groupBy(by).agg(*(correlation(F.col(a), F.col(b)).alias(f"{a}|{b}") for a, b in pairs))
+    means = daily.agg(*(F.avg(f"`{a}|{b}`").alias(f"{a}|{b}") for a, b in pairs))
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("correlation")) for a, b in pairs))
+    return means.select(F.inline(rows))

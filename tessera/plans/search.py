@@ -202,3 +202,27 @@ def search(panel: DataFrame, space: Space, label: str = "label", generations: in
                 children.append(trees.mutated(a.tree, depth))
         people = survivors(people + [p for p in judged(children, g) if str(p.tree) not in {str(q.tree) for q in people}], population)
     return sorted(people, key=lambda p: (p.rank, -p.metrics.get("rank_ic", 0.0)))
+
+
+def random_panel(spark, fields: list[str], rows: int = 256, codes: int = 64, seed: int = 0, correlation: list[list[float]] | None = None) -> DataFrame:
+    """A panel of uniform fields in (0, 1), independent or joined by a normal copula with the given correlation matrix (its Cholesky factor mixes normal columns)."""
+    from tessera.functions.scalar import erf
+
+    base = spark.range(rows * codes).select(F.format_string("%06d", F.col("id") % codes).alias("code"), F.floor(F.col("id") / codes).cast("int").alias("t"), "id")
+    if correlation is None:
+        return base.select("code", "t", *(F.rand(seed + i).alias(f) for i, f in enumerate(fields)))
+    import numpy as np
+
+    factor = np.linalg.cholesky(np.array(correlation, float))
+    normal = base.select("code", "t", *(F.randn(seed + i).alias(f"_z{i}") for i in range(len(fields))))
+    mixed = [sum((F.col(f"_z{j}") * float(factor[i, j]) for j in range(i + 1)), F.lit(0.0)) for i in range(len(fields))]
+    return normal.select("code", "t", *((0.5 * (1 + erf(m / math.sqrt(2)))).alias(f) for m, f in zip(mixed, fields, strict=True)))
+
+
+def simulated_similarity(spark, a: Node, b: Node, **options) -> float:
+    """The mean cross-sectional correlation of two expressions over random fields."""
+    from tessera.plans.models import similarity
+
+    panel = random_panel(spark, sorted(a.fields | b.fields), **options)
+    out = evaluate(panel, {"a": a, "b": b})
+    return similarity(out.select("code", "t", F.col("a").alias("score")), out.select("code", "t", F.col("b").alias("score")))

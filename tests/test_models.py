@@ -42,3 +42,15 @@ def test_registry(spark, data):
     assert registry.cr_family(frame).where("CR2 < 0").count() == 0
     with pytest.raises(ValueError):
         registry.factor("momentum_20d")(lambda: F.lit(0))
+
+
+def test_simulated_similarity_and_field_correlations(spark):
+    from tessera.plans import search
+    from tessera.plans.evaluate import field_correlations
+    from tessera.plans.expression import parse
+
+    a, b = parse("ts_mean(x, 3)"), parse("add(ts_mean(x, 3), mul_element_wise(y, 0.001))")
+    assert search.simulated_similarity(spark, a, b, rows=20, codes=20) > 0.99
+    joined = search.random_panel(spark, ["x", "y", "z"], 40, 50, correlation=[[1, 0.9, 0], [0.9, 1, 0], [0, 0, 1]])
+    found = {(r.a, r.b): r.correlation for r in field_correlations(joined, ["x", "y", "z"]).collect()}
+    assert found["x", "y"] > 0.8 and abs(found["x", "z"]) < 0.15 and len(found) == 3
