@@ -38,12 +38,12 @@ def split(url: Column) -> tuple[Column, Column]:
 
 
 def ruled(df: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
-    """``df`` (host, path) with rule and action of the longest rule that fits, null if none does."""
+    """``df`` (host, path) with rule and _action of the longest rule that fits, null if none does."""
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("host") == host) | F.endswith("host", F.lit("." + host))) & F.startswith("path", F.lit(path))
         rule, action = F.when(fits, host + path).otherwise(rule), F.when(fits, verdict).otherwise(action)
-    return df.withColumns({"rule": rule, "action": action})
+    return df.withColumns({"rule": rule, "_action": action})
 
 
 def filtered(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -57,7 +57,7 @@ def filtered(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES)
     pages = pages.drop("host", "path", "rule", "verdict", "score")
     host, path = split(F.col("url").cast("string"))
     marked = ruled(pages.withColumns({"host": host, "path": path}), rules)
-    known = marked.where("action is not null").select("host", "path", (F.col("action") == "allow").cast("int").alias("accepted"), F.pmod(F.xxhash64("host", "path"), F.lit(5)).cast("int").alias("fold"))
+    known = marked.where("_action is not null").select("host", "path", (F.col("_action") == "allow").cast("int").alias("accepted"), F.pmod(F.xxhash64("host", "path"), F.lit(5)).cast("int").alias("fold"))
     tables = _trained(known)
     threshold = _threshold(known, tables)
 
@@ -67,8 +67,8 @@ def filtered(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES)
 
     shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in marked.schema.fields)
     out = marked.mapInArrow(run, f"{shape}, score double")
-    verdict = F.coalesce("action", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    return out.withColumn("verdict", verdict).drop("action")
+    verdict = F.coalesce("_action", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
+    return out.withColumn("verdict", verdict).drop("_action")
 
 
 def _characters(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
