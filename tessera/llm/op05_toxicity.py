@@ -27,7 +27,7 @@ from tessera.llm.shared import mix
 from tessera.llm.wordhash import BASE, LETTERS, Words, byte_values, powers, words
 
 #: Labelled rows that the model is fitted on, at most (those of the smallest hash of doc_id).
-SAMPLE = 24_000
+SAMPLE = 16_000
 #: Training texts that must hold a unit, weight of the prior (in words of an average class), least z-value.
 LEAST_TEXTS, PRIOR, LEAST_Z = 4, 200_000.0, 2.5
 DRIFT = 0.35
@@ -124,7 +124,7 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n, units = n[turn], units[turn]
     halves = [_scored(units, n[:, 2 * f : 2 * f + 2], total[2 * f : 2 * f + 2]) for f in (0, 1)]
     model = _scored(units, n[:, :2] + n[:, 2:], total[:2] + total[2:])
-    raw = rows.mapInArrow(_examined(halves), "toxic int, words long, best double, mean double, mgf array<double>").toPandas()  # one row for each of the sample
+    raw = rows.mapInArrow(_examined(halves), "toxic int, words long, best double, mgf array<double>").toPandas()  # one row for each of the sample and for each batch
     scale = _lambda(raw)
     clean = raw[(raw.toxic == 0) & (raw.words > 0)]
     log_k = float((scale * clean.best - np.log(clean.words)).mean() - 0.5772156649) if len(clean) else 0.0
@@ -170,18 +170,21 @@ _GRID = np.linspace(0.05, 3.0, 60)
 
 
 def _examined(halves: list[Model]):
-    """Of each training text, with the other half's units: best segment, and what the moment equation needs."""
+    """With the other half's units: of each text its best segment, and for the batch's clean words together what the moment equation needs (a row without label)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, best, mean, mgf = [], [], [], []
-            for w, i, s in _each(b, halves):
+            toxic, n, best = b.column("toxic").to_pylist(), [], []
+            level, times = np.zeros(0), np.zeros(0)
+            for i, (_, _, s) in enumerate(_each(b, halves)):
                 n.append(len(s))
                 best.append(max((x[2] for x in segments(s)), default=0.0))
-                mean.append(float(s.sum()))
-                level, times = np.unique(s, return_counts=True)
-                mgf.append((np.exp(np.minimum(np.outer(_GRID, level), 50)) * times).sum(1).tolist())
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(n, pa.int64()), pa.array(best, pa.float64()), pa.array(mean, pa.float64()), pa.array(mgf, pa.list_(pa.float64()))], ["toxic", "words", "best", "mean", "mgf"])
+                if toxic[i] == 0:
+                    own, count = np.unique(s, return_counts=True)
+                    level, inverse = np.unique(np.concatenate((level, own)), return_inverse=True)
+                    times = np.bincount(inverse, np.concatenate((times, count)), minlength=len(level))
+            mean = (np.exp(np.minimum(np.outer(_GRID, level), 50)) * times).sum(1).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([*toxic, None], pa.int32()), pa.array([*n, int(times.sum())], pa.int64()), pa.array([*best, None], pa.float64()), pa.array([*[None] * len(n), mean], pa.list_(pa.float64()))], ["toxic", "words", "best", "mgf"])
 
     return run
 
@@ -196,12 +199,12 @@ def _each(b: pa.RecordBatch, halves: list[Model]) -> Iterator[tuple[Words, int,
 
 def _lambda(raw) -> float:
     """The positive root of the mean of exp(lambda * score) over clean words = 1, on a grid."""
-    clean = raw[(raw.toxic == 0) & (raw.words > 0)]
-    if not len(clean):
+    sums = raw[raw.toxic.isna() & (raw.words > 0)]
+    if not len(sums):
         return 1.0
-    mean = np.stack(clean.mgf.to_numpy()).sum(0) / clean.words.sum()
+    mean = np.stack(sums.mgf.to_numpy()).sum(0) / sums.words.sum()
     above = np.flatnonzero(mean >= 1)
-    return float(_GRID[max(above[0], 0)]) if len(above) else float(_GRID[-1])
+    return float(_GRID[above[0]]) if len(above) else float(_GRID[-1])
 
 
 def _features(halves: list[Model]):
