@@ -38,6 +38,7 @@ _across("cs_salience", lambda x, w: F.abs(x - F.avg(x).over(w)) / (0.01 + F.abs(
 _across("cs_min_max_norm", lambda x, w: F.when(F.max(x).over(w) - F.min(x).over(w) <= EPS, _present(x, F.lit(0.5))).otherwise(F.try_divide(x - F.min(x).over(w), F.max(x).over(w) - F.min(x).over(w))))
 _across("cs_zscore_cdf_norm", lambda x, w: 0.5 * (1 + erf((x - F.avg(x).over(w)) / (F.stddev_samp(x).over(w) + 1e-8) / 2**0.5)), search=False)
 _across("cs_fillna_mean", lambda x, w: F.coalesce(finite(x), F.avg(finite(x)).over(w)), search=False)
+_across("fill_with_mean", lambda x, w: F.coalesce(finite(x), F.avg(finite(x)).over(w)), search=False)
 _across("cs_nan_proportion", lambda x, w: 1 - F.count(finite(x)).over(w) / F.count(F.lit(1)).over(w), search=False)
 _across("cs_certain_value_proportion", lambda x, w, v: F.count_if(F.abs(x - v) < EPS).over(w) / F.count(F.lit(1)).over(w), kinds="vn", search=False)
 

@@ -22,6 +22,19 @@ def day_prices(minutes: DataFrame, start: int, end: int, kind: str = "twap") ->
     return inside.groupBy("trade_date", "code").agg(price.alias("price"))
 
 
+def open_at(minutes: DataFrame, minute: int, otherwise: int | None = None) -> DataFrame:
+    """(trade_date, code, price): the open of a minute, on days that have none of it that of another minute, for all codes of the day."""
+    rows = minutes.where(F.col("minute").isin([m for m in (minute, otherwise) if m is not None]))
+    day = rows.groupBy("trade_date").agg(F.max((F.col("minute") == minute).cast("int")).alias("_has"))  # one row per day
+    chosen = F.when(F.col("_has") == 1, F.lit(minute)).otherwise(F.lit(otherwise))
+    return rows.join(day, "trade_date").where(F.col("minute") == chosen).groupBy("trade_date", "code").agg(F.min_by("open", "minute").alias("price"))
+
+
+def day_volume(minutes: DataFrame, start: int = 925, end: int = 1500) -> DataFrame:
+    """(trade_date, code, volume) of a time of day."""
+    return minutes.where((F.col("minute") >= start) & (F.col("minute") <= end)).groupBy("trade_date", "code").agg(F.sum("volume").alias("volume"))
+
+
 def forward_return(panel: DataFrame, price: str = "price") -> DataFrame:
     """panel with label: price to the next row's price, corrected for splits by close over the next row's pre_close (1 where missing)."""
     split = F.coalesce(F.try_divide(F.col("close"), F.nullif(lead("pre_close"), F.lit(0.0))), F.lit(1.0)) if "pre_close" in panel.columns else F.lit(1.0)

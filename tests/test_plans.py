@@ -124,3 +124,15 @@ def test_feather_wide_and_partitions(spark, tmp_path):
     assert back.count() == 2 and files.calendar(back).count() == 1
     single = files.wide_from_long(long, "CLOSE_PRICE", ["000001", "000002"], single=True)
     assert dict(single.dtypes)["000001"] == "float" and [r["000002"] for r in single.collect()] == [3.75, 4.0]
+
+
+def test_day_prices(spark):
+    from tessera.plans import labels
+
+    rows = [("d1", "a", 930, 1.0, 2.0, 10.0, 15.0), ("d1", "b", 931, 5.0, 6.0, 10.0, 55.0), ("d2", "a", 931, 7.0, 8.0, 10.0, 75.0), ("d2", "b", 1501, 9.0, 9.0, 1.0, 9.0)]
+    frame = spark.createDataFrame(rows, "trade_date string, code string, minute int, open double, close double, volume double, amount double")
+    price = lambda out: {(r.trade_date, r.code): r.price for r in out.collect()}
+    assert price(labels.open_at(frame, 930, 931)) == {("d1", "a"): 1.0, ("d2", "a"): 7.0}
+    assert price(labels.day_prices(frame, 930, 1500, "vwap")) == {("d1", "a"): 1.5, ("d1", "b"): 5.5, ("d2", "a"): 7.5}
+    assert price(labels.day_prices(frame, 930, 1500)) == {("d1", "a"): 2.0, ("d1", "b"): 6.0, ("d2", "a"): 8.0}
+    assert labels.day_volume(frame).agg(F.sum("volume")).first()[0] == 30.0
