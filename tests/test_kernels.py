@@ -23,6 +23,14 @@ def test_ewm_is_pandas(series):
         assert np.allclose(ewm(series, alpha), pd.Series(series).ewm(alpha=alpha, adjust=False).mean(), equal_nan=True)
 
 
+def test_rolling_is_pandas(series):
+    from tessera.factors.recursion import _rolling
+
+    roll = pd.Series(series).rolling(5, min_periods=2)
+    for f, want in ((np.min, roll.min()), (np.max, roll.max()), (np.sum, roll.sum()), (np.mean, roll.mean()), (np.median, roll.median())):
+        assert np.allclose(_rolling(f, series, 5, 2), want, equal_nan=True)
+
+
 def test_recursive_factors_are_pandas(series):
     c = pd.Series(series)
     out = recursions(series - 0.2, series + 1, series - 1, series, np.abs(series) * 3)
