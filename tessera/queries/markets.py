@@ -211,7 +211,7 @@ _FLAGS = f"""flagged AS (SELECT *, CASE WHEN ret > 0.1 THEN 1 ELSE 0 END AS u, C
 premiums AS (SELECT *, CASE WHEN lag(u) {H} = 1 THEN ret END AS pr FROM flagged)"""
 _LIMITS = {f"limit_{n}_count_{w}d": f"sum({c}) {W(w)}" for n, c in (("up", "u"), ("down", "d")) for w in (3, 5, 10, 20)}
 _LIMITS |= {f"one_word_up_count_{w}d": f"sum(o) {W(w)}" for w in (5, 10)} | {"seal_proxy_ow_per_lu_10d": div(f"sum(o) {W(10)}", f"(sum(u) {W(10)})"), "limit_up_premium_mean": f"avg(pr) {W(20)}", "limit_up_premium_median": f"quantile_cont(pr, 0.5) {W(20)}"}
-_RUN = "CAST(t - coalesce(max(CASE WHEN u = 0 THEN t END) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING), -1) AS BIGINT) AS consecutive_limit_up"
+_RUN = "CAST(t - coalesce(max(CASE WHEN u = 0 THEN t END) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING), -1) AS INTEGER) AS consecutive_limit_up"
 _LIMITS_SQL = _wrapped(f"{MONTH_PANEL_SQL}, {_FLAGS}, runs AS (SELECT *, {_RUN} FROM premiums)", "code, t, consecutive_limit_up", _LIMITS, "runs")
 
 _PRICED = f"priced AS (SELECT *, (open + close) / 2 AS price, lag(close) {H} AS pre_close FROM panel), quoted AS (SELECT *, pre_close * 1.1 AS lu, pre_close * 0.9 AS ld FROM priced)"

@@ -99,7 +99,7 @@ def futures_basic(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(out.select("code", "t", "vol_slice_imbalance", "spread", "price_diff_40", "order_flow_imbalance", "effective_spread", "vol_diff", "vol_rank_imbalance", "vol_continue_increase_imbalance"), "code", "t")
 
 
-_FT = f"""{_BOOK}, ticks AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY seq) AS t, (bp1 + sp1) / 2 AS mid FROM book),
+_FT = f"""{_BOOK}, ticks AS (SELECT *, CAST(row_number() OVER (PARTITION BY code ORDER BY seq) AS INTEGER) AS t, (bp1 + sp1) / 2 AS mid FROM book),
 w0 AS (SELECT *, lag(bp1) {H} AS pb, lag(sp1) {H} AS ps, lag(bv1) {H} AS lb, lag(sv1) {H} AS ls, list(bv1) {W(60)} AS b60, list(sv1) {W(60)} AS s60 FROM ticks),
 w1 AS (SELECT *, CASE WHEN coalesce(bv1 <= lb, true) THEN t END AS kb, CASE WHEN coalesce(sv1 <= ls, true) THEN t END AS ks FROM w0)"""
 _PAST = "OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING)"

@@ -56,7 +56,7 @@ bars AS (
   SELECT code, trade_date, min_by(px, k) AS open, max(px) AS high, min(px) AS low, max_by(px, k) AS close,
          CAST(sum(qty) AS DOUBLE) AS volume, sum(amt) AS amount
   FROM li GROUP BY code, trade_date),
-dates AS (SELECT trade_date, row_number() OVER (ORDER BY trade_date) - 1 AS t FROM (SELECT DISTINCT trade_date FROM bars)),
+dates AS (SELECT trade_date, CAST(row_number() OVER (ORDER BY trade_date) - 1 AS INTEGER) AS t FROM (SELECT DISTINCT trade_date FROM bars)),
 grid AS (
   SELECT c.code, d.trade_date, d.t, b.open, b.high, b.low, b.close, b.volume, b.amount
   FROM (SELECT DISTINCT code FROM bars) c CROSS JOIN dates d LEFT JOIN bars b ON b.code = c.code AND b.trade_date = d.trade_date),
