@@ -18,7 +18,7 @@ def shards(docs: DataFrame, n: int = 8, texts: bool = False) -> DataFrame:
 
     size is the text's UTF-8 bytes (null: none) plus 1. Rows are ordered by (digest of the text, doc_id), dealt by
     range into partitions, and summed there; the partitions' totals, added up in order, give each row its
-    global prefix. A row is in the shard in which its first byte lies, cuts being at k/n of all bytes. A cut within a group of equal
+    global prefix. A row is in the shard in which its middle lies, cuts being at k/n of all bytes. A cut within a group of equal
     texts moves to the group's nearer border if the group is small (``LEAN``); a large group is split, so
     that no group of copies, however hot, unbalances the shards. Columns named like the results are replaced.
     An empty table gives an empty result; rows that are equal in everything are told apart by their place only.
@@ -39,7 +39,7 @@ def shards(docs: DataFrame, n: int = 8, texts: bool = False) -> DataFrame:
     cuts = [_moved(placed, -(-total * k // n), total / n * LEAN) for k in range(1, n)] if total else []
     shard = F.lit(0)
     for c in cuts:
-        shard = shard + (F.col("_at") >= F.lit(c)).cast("int")
+        shard = shard + (F.col("_at") + F.col("size") / 2 >= F.lit(c)).cast("int")
     placed = placed.withColumn("shard", shard)
     first = placed.groupBy("shard").agg(F.min("_no").alias("_first"))  # n rows
     out = placed.join(F.broadcast(first), "shard").withColumn("slot", F.col("_no") - F.col("_first"))
