@@ -461,6 +461,34 @@ def test_url_models_learn_from_rules(spark, data):
     assert right[unseen.accepted == 1].mean() > 0.8 and right[unseen.accepted == 0].mean() > 0.8
 
 
+def test_url_scores_are_of_exact_counts(spark):
+    """With more n-grams than a table of 2^17 slots has, scores are still those of a plain count."""
+    from tessera.llm import op02_url_filter as op
+
+    draw = random.Random(3)
+    urls = sorted({"http://" + "".join(draw.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(12)) + draw.choice([".org/", ".com/de/"]) + str(draw.randrange(10**9)) for _ in range(4000)})
+    out = filtered(spark.createDataFrame([(u,) for u in [*urls, urls[0], "", None]], "url string"))
+    rows = out.withColumn("fold", F.pmod(F.xxhash64("host", "path"), F.lit(5))).collect()
+    pairs, contexts = [collections.Counter(), collections.Counter()], [collections.Counter(), collections.Counter()]
+    for r in rows:
+        if r.rule and r.fold:
+            text, k = "\0" * op.ORDER + r.host + r.path, int(r.verdict == "allow")
+            for i in range(op.ORDER, len(text)):
+                for n in range(op.ORDER + 1):
+                    pairs[k][text[i - n : i + 1]] += 1
+                    contexts[k][text[i - n : i]] += 1
+    assert len(pairs[0]) > 1 << 16
+    for r in rows[::40] + rows[-3:]:
+        text, want = "\0" * op.ORDER + r.host + r.path, 0.0
+        for i in range(op.ORDER, len(text)):
+            for k, sign in ((1, 1), (0, -1)):
+                p = 1 / 256
+                for n in range(op.ORDER + 1):
+                    p = (pairs[k][text[i - n : i + 1]] + op.SMOOTH * p) / (contexts[k][text[i - n : i]] + op.SMOOTH)
+                want += sign * np.log(p)
+        assert abs(r.score - want / max(len(text) - op.ORDER, 1)) < 1e-9
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_agrees_with_sql(spark, data, name):
     import sys
