@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.shared import staged
 
-#: Queues: sources beyond so many share queues by hash.
-QUEUES = 512
+#: Grants (windows x sources) that are computed at once.
+CELLS = 1 << 20
 #: Totals that go to every task as a broadcast, in rows; more are joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Characters of text that the tokenizer gets at once; longer texts are cut where no token can cross.
@@ -105,38 +105,30 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, we
     unsigned 32-bit. Sequences have ``size`` ids, the last one what is left. ``weights`` are the
     target shares of the sources (default: their shares of all tokens, so that all queues end together); where a
     source runs out the others fill up in proportion. A null source is the source ''. Repeated
-    rows are packed each. An empty table gives an empty result.
+    rows are packed each. An empty table gives an empty result. Every source has a queue of its own, however many there
+    are: the work grows with windows times sources, and the driver and each task hold one total per source.
     """
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source"))
     told = staged(docs.mapInArrow(_tokenised(vocabulary, end_id), "part int, doc_id long, source string, begin long, doc_tokens long, ids binary"))
     totals = staged(told.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n")))
-    queues = totals.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(QUEUES).collect()  # at most QUEUES rows
-    names = sorted(r.source for r in queues)
-    if len(names) == QUEUES:  # perhaps more: deal the sources to queues by hash
-        named = F.pmod(F.xxhash64("source"), F.lit(QUEUES)).cast("string")
-        told, totals, names = told.withColumn("source", named), totals.withColumn("source", named), sorted(map(str, range(QUEUES)))
-        told, totals = _requeued(told), totals.groupBy("part", "source").agg(F.sum("n").alias("n"))
-    return _cut_up(told, totals, names, size, weights)
+    return _cut_up(told, totals, size, weights)
 
 
-def _requeued(told: DataFrame) -> DataFrame:
-    """Where rows begin in shared queues: running sums within each written partition."""
-    order = Window.partitionBy("part", "source").orderBy("begin", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return told.withColumn("begin", F.coalesce(F.sum("doc_tokens").over(order), F.lit(0)))
-
-
-def _cut_up(told: DataFrame, totals: DataFrame, names: list[str], size: int, weights: dict[str, float] | None) -> DataFrame:
+def _cut_up(told: DataFrame, totals: DataFrame, size: int, weights: dict[str, float] | None) -> DataFrame:
     order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     before = totals.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("part", "source", "base")
     if totals.count() <= BROADCAST_ROWS:
         before = F.broadcast(before)
-    by_source = {r.source: r.n for r in totals.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    have = np.array([by_source.get(x, 0) for x in names], np.int64)
+    by_source = {r.source: r.n for r in totals.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # one row per source
+    names = sorted(by_source)
+    have = np.array([by_source[x] for x in names], np.int64)
     if weights is None:
         share = have
     else:
-        share = np.array([max(1, round(weights.get(x, 0.0) * (1 << 40))) for x in names], np.int64)
+        top = max((weights.get(x, 0.0) for x in names), default=0.0) or 1.0
+        # a tick then grants at most one token of a source, and no number of ticks leaves 64 bits
+        share = np.array([max(1, by_source[x] >> 31, round(weights.get(x, 0.0) / top * (1 << 30))) for x in names], np.int64)
     shape = "doc_id long, start long, length long, ids binary, doc_tokens long, source string, sequence_id long, offset long"
     return told.join(before, ["part", "source"]).select("doc_id", "source", "doc_tokens", "ids", (F.col("base") + F.col("begin")).alias("at")).mapInArrow(_pieces(names, have, share, size), shape)
 
@@ -187,14 +179,12 @@ def _pieces(names: list[str], have: np.ndarray, share: np.ndarray, size: int):
             row = np.repeat(np.arange(len(at)), count)
             window = first[row] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             every, where = np.unique(window, return_inverse=True)
-            start, end = grants(have, share, size, every), grants(have, share, size, every + 1)
-            ahead = np.cumsum(end - start, 1) - (end - start)
-            s = s[row]
-            lo = np.maximum(start[where, s], at[row])
-            hi = np.minimum(end[where, s], at[row] + n[row])
+            start, end, ahead = _bounds(have, share, size, every, where, s[row])
+            lo = np.maximum(start, at[row])
+            hi = np.minimum(end, at[row] + n[row])
             full = hi > lo
-            row, window, where, s, lo, hi = (x[full] for x in (row, window, where, s, lo, hi))
-            offset = ahead[where, s] + lo - start[where, s]
+            row, window, start, ahead, lo, hi = (x[full] for x in (row, window, start, ahead, lo, hi))
+            offset = ahead + lo - start
             ids = b.column("ids").to_pylist()
             a, e = (lo - at[row]).tolist(), (hi - at[row]).tolist()
             cut = [np.frombuffer(ids[r], np.uint16)[x:y].astype("<u4").tobytes() for r, x, y in zip(row.tolist(), a, e, strict=True)]
@@ -204,6 +194,34 @@ def _pieces(names: list[str], have: np.ndarray, share: np.ndarray, size: int):
     return run
 
 
+def _parts(windows: np.ndarray, where: np.ndarray, sources: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(windows, pairs, place): slices of ``windows`` with ``CELLS`` grants or a single window, the pairs that point into each and where."""
+    step = max(1, CELLS // max(sources, 1))
+    order = np.argsort(where, kind="stable")
+    edges = np.searchsorted(where[order], np.arange(0, len(windows) + step, step))
+    for k in range(len(edges) - 1):
+        pairs = order[edges[k] : edges[k + 1]]
+        yield windows[k * step : (k + 1) * step], pairs, where[pairs] - k * step
+
+
+def _granted(have: np.ndarray, share: np.ndarray, size: int, windows: np.ndarray, where: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """What source ``s`` has given before window ``windows[where]``, for each pair."""
+    out = np.empty(len(where), np.int64)
+    for some, pairs, place in _parts(windows, where, len(have)):
+        out[pairs] = grants(have, share, size, some)[place, s[pairs]]
+    return out
+
+
+def _bounds(have: np.ndarray, share: np.ndarray, size: int, windows: np.ndarray, where: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, ahead) for each pair: what source ``s`` has given before and after window ``windows[where]``, and what the sources before it give within."""
+    start, end, ahead = (np.empty(len(where), np.int64) for _ in range(3))
+    for some, pairs, place in _parts(windows, where, len(have)):
+        first, last = grants(have, share, size, some), grants(have, share, size, some + 1)
+        before = np.cumsum(last - first, 1) - (last - first)
+        start[pairs], end[pairs], ahead[pairs] = (x[place, s[pairs]] for x in (first, last, before))
+    return start, end, ahead
+
+
 def _windows(at: np.ndarray, s: np.ndarray, have: np.ndarray, share: np.ndarray, size: int) -> np.ndarray:
     """The window that holds token ``at`` of source ``s``: the last one before which at most ``at`` tokens were granted."""
     total = int(have.sum())
@@ -215,6 +233,6 @@ def _windows(at: np.ndarray, s: np.ndarray, have: np.ndarray, share: np.ndarray,
     while (low < high).any():
         mid = (low + high + 1) // 2
         every, where = np.unique(mid, return_inverse=True)
-        early = grants(have, share, size, every)[where, s] <= at
+        early = _granted(have, share, size, every, where, s) <= at
         low, high = np.where(early, mid, low), np.where(early, high, mid - 1)
     return low

@@ -270,6 +270,28 @@ def test_packing_gives_back_every_document(docs):
     assert (full.max() - full.min()).max() <= 2  # every window has every source's share
 
 
+@pytest.mark.parametrize("weighted", [False, True])
+def test_packing_keeps_many_sources_apart(spark, monkeypatch, weighted):
+    import public_tokenizers
+
+    from tessera.llm import op08_pack as op
+
+    monkeypatch.setattr(op, "CELLS", 5000)  # a few windows at once
+    rows = [(i, " ".join(["word"] * (20 + i % 3)), f"site{i % 600}.org") for i in range(1200)]
+    weights = {f"site{i}.org": 5.0 if i < 10 else 1.0 for i in range(600)} if weighted else None
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), size=2048, weights=weights).toPandas()
+    assert (out.source == (out.doc_id % 600).map("site{}.org".format)).all()
+    assert (out.groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all() and out.doc_id.nunique() == 1200
+    total = out.groupby("source").length.sum()
+    given = out.groupby(["sequence_id", "source"]).length.sum().unstack(fill_value=0)
+    assert (given.sum(axis=1).iloc[:-1] == 2048).all()
+    if weighted:  # the first window, while no queue is at its end: five for one
+        assert set(given.loc[0]) <= {3, 4, *range(15, 21)} and {x for x, n in given.loc[0].items() if n > 4} == {x for x, w in weights.items() if w > 1}
+    else:
+        far = given.cumsum().iloc[:-1]
+        assert (abs(far - np.outer((far.index + 1) * 2048 / total.sum(), total)) <= 2).all(axis=None)
+
+
 @pytest.mark.parametrize("weights", [None, [5, 1, 1]])
 def test_grants_are_exact_monotone_and_bounded(weights):
     totals = np.array([1000, 37, 5463], np.int64)
