@@ -37,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that occurred before leave the text; every document stays, its n_chars follows its text."""
-    out = unit_dedup(docs)
+    """Lines of any length that occurred before leave the text; every document stays, its n_chars follows its text."""
+    out = unit_dedup(docs, least_words=1)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

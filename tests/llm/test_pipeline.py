@@ -41,6 +41,14 @@ def test_decisions_take_effect(spark, data):
     assert [r.doc_id for r in corpus_pipeline.decontamination(spark, marked, data).collect()] == [2]
 
 
+def test_short_lines_repeat_too(spark, data):
+    short, unspaced = "All rights reserved.", "这是一行没有空格的很长的文字它在两个文件里都有"
+    passage = "\n".join(f"word{i} of a passage laid out short" for i in range(12))
+    rows = [(1, f"{short}\n{unspaced}\n\n{passage}"), (2, f"own\n\n  all RIGHTS reserved. \n{unspaced}\n\n{passage}")]
+    out = {r.doc_id: r.text for r in corpus_pipeline.repeated_lines(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()}
+    assert out == {1: rows[0][1], 2: "own\n\n"}
+
+
 def test_empty_documents(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES[:-1]:
