@@ -14,12 +14,24 @@ from tessera.sources.panel import MONTH_PANEL_SQL, month_panel
 FLAGSHIP = "cs_rank(ts_mean(ts_return(close, 1), 5))"
 
 
+def _traded(spark: SparkSession, folder: str) -> DataFrame:
+    """The panel with a turnover rate and a market value."""
+    return month_panel(spark, folder).withColumns({"turnover_rate": F.col("volume") / 1000, "market_value": F.col("close") * 1e6})
+
+
 def factors_windows(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(daily.windows(month_panel(spark, folder)), "code", "t")
+    return rounded(daily.windows(_traded(spark, folder)), "code", "t")
 
 
 def factors_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    return daily.recursive(month_panel(spark, folder))
+    return rounded(daily.recursive(month_panel(spark, folder)), "code", "t")
+
+
+def factors_pool(spark: SparkSession, folder: str) -> DataFrame:
+    """Each code's factors on its last row, from at most 60 rows."""
+    out = daily.pool(_flagged(spark, folder).withColumns({"turnover_rate": F.col("volume") / 1000, "market_value": F.col("close") * 1e6}))
+    whole = [c for c, k in out.dtypes if k != "double"]
+    return rounded(out, *whole)
 
 
 def _flagged(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,7 +41,7 @@ def _flagged(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def factors_limits(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(daily.limits(_flagged(spark, folder)), "code", "t", "consecutive_limit_up")
+    return rounded(daily.limits(_flagged(spark, folder)), "code", "t", "consecutive_limit_up", "is_limit_up_today", "is_limit_down_today", "is_one_word_up_today")
 
 
 def factors_known_before(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,77 +138,143 @@ def r(agg: str, x: str, w: int, least: int | None = None) -> str:
     return f"CASE WHEN count({x}) {W(w)} >= {least} THEN {agg}({x}) {W(w)} END"
 
 
-def _strength(a: str, b: str, w: int) -> str:
-    return f"CASE WHEN abs({r('sum', b, w, 1)}) > 1e-9 THEN 100 * ({r('sum', a, w, 1)}) / ({r('sum', b, w, 1)}) ELSE 0.0 END"
-
-
-_SAFE = "CASE WHEN hl IS NOT NULL THEN CASE WHEN hl > 1e-9 THEN ({0}) / hl ELSE 0.0 END END"
-_BEFORE = "CASE WHEN prange IS NOT NULL AND close IS NOT NULL THEN CASE WHEN prange > 1e-9 THEN ({0}) / prange ELSE 0.0 END END"
-_MA = lambda w, least=None: f"({r('avg', 'close', w, least)})"
-_WINDOW_SQL: dict[str, str] = {}
+_share = lambda a, b: f"CASE WHEN abs({b}) <= 1e-9 THEN 0.0 ELSE {a} / nullif({b}, 0) END"
+_unless = lambda d, x: f"CASE WHEN {d} <= 1e-9 THEN 0.0 ELSE {x} END"
+_ma = lambda w, least=None: f"({r('avg', 'close', w, least)})"
+_sum = lambda x, w: f"({r('sum', x, w, 1)})"
+_mean = lambda x, w, least=1: f"({r('avg', x, w, least)})"
+_sd = lambda x, w, least=1: f"({r('stddev_samp', x, w, least)})"
+_SECOND: dict[str, str] = {}
 for _w in (5, 10, 20):
-    _WINDOW_SQL |= {f"ret_std_{_w}d": r("stddev_samp", "ret", _w), f"amplitude_mean_{_w}d": r("avg", "rng", _w), f"avg_amount_{_w}d": r("avg", "amount", _w), f"avg_volume_{_w}d": r("avg", "volume", _w), f"ma{_w}": r("avg", "close", _w), f"momentum_{_w}d": f"close / lag(close, {_w}) {H}"}
+    _SECOND |= {f"ret_std_{_w}d": r("stddev_samp", "ret", _w), f"amplitude_mean_{_w}d": r("avg", "amp", _w), f"avg_amount_{_w}d": r("avg", "amount", _w), f"avg_volume_{_w}d": r("avg", "volume", _w), f"avg_turnover_{_w}d": r("avg", "turnover", _w)}
+    _SECOND |= {f"ma{_w}": r("avg", "close", _w), f"momentum_{_w}d": f"close / nullif(lag(close, {_w}) {H}, 0)"}
 for _w in (3, 5, 10, 20):
-    _WINDOW_SQL[f"cum_return_{_w}d"] = f"close / lag(close, {_w}) {H} - 1"
+    _SECOND[f"cum_return_{_w}d"] = f"close / nullif(lag(close, {_w}) {H}, 0) - 1"
 for _w in (5, 14, 20):
-    _WINDOW_SQL |= {f"atr_{_w}": r("avg", "tr", _w), f"atr_ratio_{_w}": f"({r('avg', 'tr', _w)}) / close"}
+    _SECOND |= {f"atr_{_w}": r("avg", "tr", _w), f"atr_ratio_{_w}": f"({r('avg', 'tr', _w)}) / nullif(close, 0)"}
 for _w in (7, 13, 26):
-    _WINDOW_SQL |= {f"br_{_w}": _strength("hp", "pl", _w), f"ar_{_w}": _strength("ho", "ol", _w), f"psy_{_w}": f"({r('avg', 'rose', _w, 1)}) * 100"}
-_UD = f"(({r('sum', 'upm', 14, 1)}) + ({r('sum', 'downm', 14, 1)}))"
+    _SECOND |= {f"br_{_w}": f"100 * ({_share(_sum('long', _w), _sum('short', _w))})", f"ar_{_w}": f"100 * ({_share(_sum('push', _w), _sum('pull', _w))})", f"psy_{_w}": f"{_sum('rose', _w)} / {_w}.0 * 100"}
+for _w in (6, 12, 24):
+    _SECOND[f"bias_{_w}"] = f"CASE WHEN {_ma(_w)} > 0 THEN 100 * (close - {_ma(_w)}) / {_ma(_w)} WHEN {_ma(_w)} IS NOT NULL THEN 0.0 END"
+for _w in (5, 14, 20):
+    _held = f"list_filter(list((high + low + close) / 3) {W(_w)}, lambda x: x IS NOT NULL)"
+    _apart = f"list_avg(list_transform({_held}, lambda x: abs(x - list_avg({_held}))))"
+    _SECOND[f"cci_{_w}"] = f"CASE WHEN (high + low + close) / 3 IS NOT NULL AND len({_held}) >= {_w // 2} THEN CASE WHEN {_apart} > 0 THEN ((high + low + close) / 3 - list_avg({_held})) / (0.015 * {_apart}) ELSE 0.0 END END"
+for _w in (7, 13):
+    _SECOND[f"ppr_{_w}"] = _share(_mean("up_pen", _w), _mean("down_pen", _w))
+_GAIN, _LOSS = f"({_sum('gain', 14)} / ({_sum('upf', 14)} + 1e-5))", f"({_sum('loss', 14)} / ({_sum('downf', 14)} + 1e-5))"
 _HI, _LO = f"({r('max', 'high', 20, 1)})", f"({r('min', 'low', 20, 1)})"
-_SU, _SD = f"({r('stddev_samp', 'upr', 30, 2)})", f"({r('stddev_samp', 'downr', 30, 2)})"
-_WINDOW_SQL |= {
-    "amount_ratio_5_20": div(f"({r('avg', 'amount', 5)})", f"({r('avg', 'amount', 20)})"),
-    "ma_bull_align": f"CAST(CAST({_MA(5)} > {_MA(10)} AND {_MA(10)} > {_MA(20)} AS INT) AS DOUBLE)",
-    "price_above_ma_count": f"CAST(CAST(close > {_MA(5)} AS INT) + CAST(close > {_MA(10)} AS INT) + CAST(close > {_MA(20)} AS INT) AS DOUBLE)",
-    "bb_width": div(f"4 * ({r('stddev_samp', 'close', 20, 10)})", _MA(20, 10)),
-    "bb_position": div(f"close - {_MA(20, 10)}", f"(2 * ({r('stddev_samp', 'close', 20, 10)}))"),
-    "rsii": f"CASE WHEN {_UD} > 1e-9 THEN 100 * ({r('sum', 'upm', 14, 1)}) / {_UD} END",
-    "bbi": f"({_MA(3, 1)} + {_MA(6, 1)} + {_MA(12, 1)} + {_MA(24, 1)}) / 4",
-    "dma_10_20": f"{_MA(10, 1)} - {_MA(20, 1)}",
-    "donchian_width": div(f"{_HI} - {_LO}", "close"),
-    "donchian_position": div(f"close - {_LO}", f"({_HI} - {_LO})"),
+_HI9, _LO9 = f"({r('max', 'high', 9, 1)})", f"({r('min', 'low', 9, 1)})"
+_FULL9 = f"({r('max', 'high', 9, 9)})", f"({r('min', 'low', 9, 9)})"
+_SWING = f"(0.5 * ({_HI9} - close) + 0.5 * ({_LO9} - close))"
+_PV = f"({_mean('ret0 * vol_pct', 20, 10)} - {_mean('ret0', 20, 10)} * {_mean('vol_pct', 20, 10)}) / ({_sd('ret0', 20, 10)} * {_sd('vol_pct', 20, 10)} + 1e-9)"
+_AROON = f"100 * (1 + ({{0}}).t - greatest(t - 24, 0)) / CAST(least(t + 1, 25) AS DOUBLE)"
+_UP25, _DOWN25 = f"min(CASE WHEN high IS NOT NULL THEN {{'v': -high, 't': t}} END) {W(25)}", f"min(CASE WHEN low IS NOT NULL THEN {{'v': low, 't': t}} END) {W(25)}"
+_SECOND |= {
+    "amount_ratio_5_20": f"{_mean('amount', 5, 2)} / nullif({_mean('amount', 20, 10)}, 0)",
+    "turnover_ratio_5_20": f"{_mean('turnover', 5, 2)} / nullif({_mean('turnover', 20, 10)}, 0)",
+    "log_market_value": "CASE WHEN close > 0 THEN ln(close * 1e6) END",
+    "ma_bull_align": f"CASE WHEN {_ma(5)} > {_ma(10)} AND {_ma(10)} > {_ma(20)} THEN 1.0 ELSE 0.0 END",
+    "price_above_ma_count": " + ".join(f"CASE WHEN close > {_ma(w)} THEN 1.0 ELSE 0.0 END" for w in (5, 10, 20)),
+    "bb_width": f"2 * {_sd('close', 20, 10)} / nullif({_ma(20, 10)}, 0)",
+    "bb_position": div(f"close - {_ma(20, 10)}", f"(2 * {_sd('close', 20, 10)})"),
+    "rsii": f"{_GAIN} / ({_GAIN} + {_LOSS} + 1e-9) * 100",
+    "bbi": f"({_ma(3, 1)} + {_ma(6, 1)} + {_ma(12, 1)} + {_ma(24, 1)}) / 4",
+    "dma_10_20": f"{_ma(10, 1)} - {_ma(20, 1)}",
+    "donchian_width": f"({_HI} - {_LO}) / nullif(close, 0)",
+    "donchian_position": _unless(f"({_HI} - {_LO})", f"(close - {_LO}) / ({_HI} - {_LO})"),
     "vol_parkinson_d": "power(ln(high / low), 2) / (4 * ln(2))",
-    "rvi": div(f"100 * {_SU}", f"({_SU} + {_SD})"),
-    "ret_skew_30": f"CASE WHEN count(ret) {W(30)} >= 10 THEN skewness(ret) {W(30)} END",
-    "ret_kurt_30": f"CASE WHEN count(ret) {W(30)} >= 10 THEN kurtosis(ret) {W(30)} END",
-    "obv": f"sum(dv) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING)",
-    "pv_momentum": "ret * (volume / lag_volume)",
-    "pv_corr": f"CASE WHEN count(close) {W(20)} >= 10 AND count(volume) {W(20)} >= 10 THEN (avg(close * volume) {W(20)} - avg(close) {W(20)} * avg(volume) {W(20)}) / (({r('stddev_samp', 'close', 20, 1)}) * ({r('stddev_samp', 'volume', 20, 1)}) + 1e-9) END",
-    "vr_12": div(f"100 * ({r('sum', 'upv', 12, 1)})", f"({r('sum', 'downv', 12, 1)})"),
-    "edit_20": r("sum", "dv", 20, 1),
-    "epi_20": div(f"({r('sum', 'dv', 20, 1)})", f"({r('sum', 'volume', 20, 1)})"),
-    "up_count_30": r("sum", "rose", 30, 1),
-    "down_count_30": r("sum", "fell", 30, 1),
-    "em": "em0",
-    "emv": r("sum", "em0", 14, 1),
-    "close_location": _SAFE.format("2 * close - high - low"),
-    "close_loc_before": f"lag({_SAFE.format('2 * close - high - low')}) {H}",
-    "candle_ratio": _SAFE.format("abs(close - open)"),
-    "candle_skew": _SAFE.format("high + low - open - close"),
-    "body_size": "abs(close - open)",
-    "doji": "CASE WHEN hl IS NOT NULL THEN CAST(CAST(hl > 1e-9 AND abs(close - open) <= 0.1 * hl AS INT) AS DOUBLE) END",
-    "overlap_ratio": _BEFORE.format("greatest(least(high, phigh) - greatest(low, plow), 0)"),
-    "gap_ratio": _BEFORE.format("open - prev"),
-    "close_position": _BEFORE.format("close - plow"),
-    "open_position": _BEFORE.format("open - plow"),
-    "ma_bias_60": f"close / ({r('avg', 'close', 60, 1)}) - 1",
-    "mdd_daily": "close / high - 1",
-    "cum_mmd_60": f"close / ({r('max', 'high', 60, 1)}) - 1",
-    "aroon_up": f"100 * (1 + (min(CASE WHEN high IS NOT NULL THEN {{'v': -high, 't': t}} END) {W(25)}).t - greatest(t - 24, 0)) / CAST(least(t + 1, 25) AS DOUBLE)",
-    "aroon_down": f"100 * (1 + (min(CASE WHEN low IS NOT NULL THEN {{'v': low, 't': t}} END) {W(25)}).t - greatest(t - 24, 0)) / CAST(least(t + 1, 25) AS DOUBLE)",
+    "parkinson_vol_20d": f"CASE WHEN t >= 19 THEN sqrt(avg(power(ln(high) - ln(low), 2)) {W(20)} / (4 * ln(2))) END",
+    "rvi": f"100 * {_sd('up_move', 30, 2)} / ({_sd('up_move', 30, 2)} + {_sd('down_move', 30, 2)} + 1e-5)",
+    "ret_skew_30": f"CASE WHEN count(ret0) {W(30)} >= 10 THEN skewness(ret0) {W(30)} END",
+    "ret_kurt_30": f"CASE WHEN count(ret0) {W(30)} >= 10 THEN kurtosis(ret0) {W(30)} END",
+    "obv": "CASE WHEN signed IS NOT NULL THEN sum(signed) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING) END",
+    "mfi": f"100 - 100 / (1 + {_sum('flow * upf', 14)} / ({_sum('flow * downf', 14)} + 1e-5))",
+    "vr_12": f"{_sum('volume * upf', 12)} / ({_sum('volume * downf', 12)} + 1e-5) * 100",
+    "pv_momentum": f"ret * coalesce(volume / nullif(coalesce(lag(volume) {H}, volume), 0), 0)",
+    "pv_corr": _PV,
+    "edit_20": _sum("edit", 20), "epi_20": f"{_sum('edit', 20)} / ({_sum('volume', 20)} + 1e-5)",
+    "up_count_30": _sum("up_tick", 30), "down_count_30": _sum("down_tick", 30),
+    "em": "em0", "emv": _sum("em0", 14),
+    "cr1": f"{_sum('high - mid1', 26)} / ({_sum('mid1 - low', 26)} + 1e-5) * 100",
+    "close_location": _unless("hl", "((high - close) - (close - low)) / hl"),
+    "close_loc_before": _unless("hl1", "((h1 - close) - (close - l1)) / hl1"),
+    "candle_ratio": _unless("bear", "bull / bear"),
+    "candle_skew": _unless("hl", "(bull - bear) / hl"),
+    "body_size": "close - open",
+    "body_candle_ratio": "CASE WHEN bull + bear <= 1e-9 THEN (close - open) / 1e-3 ELSE (close - open) / (bull + bear) END",
+    "doji": _unless("hl", "abs(close - open) / hl"),
+    "overlap_ratio": _unless("hl1", "CASE WHEN hl IS NOT NULL THEN greatest(0, least(high, h1) - greatest(low, l1)) / hl1 END"),
+    "gap_ratio": _unless("c1", "(open - c1) / c1"),
+    "close_position": _unless("hl1", "(close - l1) / hl1"),
+    "open_position": _unless("hl1", "(open - l1) / hl1"),
+    "ma_bias_60": f"(close - {_ma(60, 1)}) / ({_ma(60, 1)} + 1e-5)",
+    "mdd_daily": "(high - close) / (high + 1e-9) * 100",
+    "cum_mmd_60": f"(({r('max', 'high', 60, 1)}) - close) / (({r('max', 'high', 60, 1)}) + 1e-9) * 100",
+    "aroon_up": _AROON.format(_UP25), "aroon_down": _AROON.format(_DOWN25), "aroon_diff": f"{_AROON.format(_UP25)} - {_AROON.format(_DOWN25)}",
+    "pr_swing": f"({_HI9} - {_LO9}) + {_SWING}",
+    "si_swing": f"50 * ((close - coalesce(c1, close)) + {_SWING}) / (({_HI9} - {_LO9}) + {_SWING} + 1e-5) * 0.3",
 }
-_LAYER = f"""
+_THIRD = {
+    "ret_skew_std": _sd("ret_skew_30", 30), "ret_kurt_std": _sd("ret_kurt_30", 30), "maemv": _mean("emv", 9), "vmacd": f"v_dif - {_mean('v_dif', 9)}",
+    "asi_swing": "CASE WHEN si_swing IS NOT NULL THEN sum(si_swing) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING) END",
+}
+_FIRST = f"""
+lagged AS (SELECT *, volume / 1000 AS turnover, lag(close) {H} AS c1, lag(high) {H} AS h1, lag(low) {H} AS l1, lag((high + low + close) / 3) {H} AS tp1, lag((2 * close + high + low) / 4) {H} AS m1 FROM panel),
 layer AS (
-  SELECT *, (high - low) / close AS rng, high - low AS hl, lag(close) {H} AS prev, lag(high) {H} AS phigh, lag(low) {H} AS plow, lag(high) {H} - lag(low) {H} AS prange, lag(volume) {H} AS lag_volume,
-    CASE WHEN high IS NOT NULL THEN greatest(high - low, abs(high - lag(close) {H}), abs(low - lag(close) {H})) END AS tr,
-    CASE WHEN close IS NOT NULL AND lag(close) {H} IS NOT NULL THEN greatest(close - lag(close) {H}, 0) END AS upm, CASE WHEN close IS NOT NULL AND lag(close) {H} IS NOT NULL THEN greatest(lag(close) {H} - close, 0) END AS downm,
-    CASE WHEN lag(close) {H} IS NOT NULL THEN greatest(high - lag(close) {H}, 0) END AS hp, CASE WHEN lag(close) {H} IS NOT NULL THEN greatest(lag(close) {H} - low, 0) END AS pl,
-    greatest(high - open, 0) AS ho, greatest(open - low, 0) AS ol, sign(close - lag(close) {H}) * volume AS dv,
-    CASE WHEN ret > 0 THEN 1.0 WHEN ret <= 0 THEN 0.0 END AS rose, CASE WHEN ret < 0 THEN 1.0 WHEN ret >= 0 THEN 0.0 END AS fell, CASE WHEN ret > 0 THEN ret END AS upr, CASE WHEN ret < 0 THEN ret END AS downr,
-    CASE WHEN ret > 0 THEN volume WHEN ret IS NOT NULL THEN 0.0 END AS upv, CASE WHEN ret < 0 THEN volume WHEN ret IS NOT NULL THEN 0.0 END AS downv,
-    ((high + low) / 2 - lag((high + low) / 2) {H}) * ((high - low) / nullif(volume, 0)) AS em0
-  FROM panel)"""
+  SELECT *, coalesce(ret, 0) AS ret0, (high - low) / nullif(close, 0) AS amp, high - low AS hl, h1 - l1 AS hl1,
+    list_max([high - low, abs(high - c1), abs(low - c1)]) AS tr, CASE WHEN ret > 0 THEN ret WHEN ret <= 0 THEN 0 END AS gain, CASE WHEN ret < 0 THEN -ret WHEN ret >= 0 THEN 0 END AS loss,
+    CASE WHEN ret > 0 THEN 1.0 ELSE 0.0 END AS upf, CASE WHEN ret < 0 THEN 1.0 ELSE 0.0 END AS downf, CASE WHEN close - c1 > 0 THEN 1.0 ELSE 0.0 END AS rose,
+    high - coalesce(c1, close) AS long, coalesce(c1, close) - low AS short, high - open AS push, open - low AS pull,
+    CASE WHEN close - c1 > 0 THEN close - c1 ELSE 0.0 END AS up_move, CASE WHEN close - c1 < 0 THEN close - c1 ELSE 0.0 END AS down_move, sign(close - c1) * volume AS signed,
+    (high + low + close) / 3 * volume AS flow, volume / nullif(lag(volume) {H}, 0) - 1 AS vol_pct,
+    (CASE WHEN close > c1 THEN 1.0 ELSE 0.0 END - CASE WHEN close < c1 THEN 1.0 ELSE 0.0 END) * volume AS edit, CASE WHEN close > c1 THEN 1.0 ELSE 0.0 END AS up_tick, CASE WHEN close < c1 THEN 1.0 ELSE 0.0 END AS down_tick,
+    CASE WHEN volume <= 1e-9 THEN 0.0 ELSE ((high + low) / 2 - (coalesce(h1, high) + coalesce(l1, low)) / 2) * (high - low) / volume END AS em0,
+    coalesce(m1, (2 * close + high + low) / 4) AS mid1, CASE WHEN high - coalesce(tp1, (high + low + close) / 3) IS NOT NULL THEN greatest(high - coalesce(tp1, (high + low + close) / 3), 0) END AS up_pen,
+    CASE WHEN coalesce(tp1, (high + low + close) / 3) - low IS NOT NULL THEN greatest(coalesce(tp1, (high + low + close) / 3) - low, 0) END AS down_pen,
+    CASE WHEN close IS NOT NULL THEN high - greatest(close, open) END AS bull, CASE WHEN close IS NOT NULL THEN least(close, open) - low END AS bear
+  FROM lagged)"""
+_WINDOWS = f"{_FIRST}, second AS (SELECT code, t, {_mean('volume', 12)} - {_mean('volume', 26)} AS v_dif, " + ", ".join(f"{e} AS {n}" for n, e in _SECOND.items()) + " FROM layer)"
+
+
+def _step(name: str, x: str, alpha: float) -> str:
+    """The next state (mean m, weight w) of an exponential mean of ``x``: over a gap the weight of what was decays on."""
+    m, w, a, x = f"r.{name}_m", f"r.{name}_w", repr(alpha), f"({x})"
+    mean = f"CASE WHEN {m} IS NULL THEN {x} WHEN {x} IS NULL THEN {m} ELSE ({w} * (1 - {a}) * {m} + {a} * {x}) / ({w} * (1 - {a}) + {a}) END AS {name}_m"
+    return f"{mean}, CASE WHEN {m} IS NULL OR {x} IS NOT NULL THEN 1.0 ELSE {w} * (1 - {a}) END AS {name}_w"
+
+
+_EWM_1 = {"e12": ("close", 2 / 13), "e26": ("close", 2 / 27), "e9": ("close", 0.2), "e25": ("close", 2 / 26), "e20": ("close", 2 / 21), "atr": ("tr", 2 / 21), "hl30": ("hl", 2 / 31), "hl7": ("hl", 0.25), "hl13": ("hl", 2 / 14), "k": ("rsv", 0.5), "atr14": ("tr", 2 / 15), "dmp": ("dmp", 2 / 15), "dmn": ("dmn", 2 / 15)}
+_EWM_1 |= {f"{n}{w}": (n, 2 / (w + 1)) for n in ("gain", "loss") for w in (6, 12, 24)}
+_EWM_2 = {"dea": ("n.e12_m - n.e26_m", 0.2), "mass": ("n.hl / nullif(n.e9_m - n.e25_m, 0)", 2 / 26), "d": ("n.k_m", 0.5), "dx": ("100 * abs(100 * n.dmp_m / (n.atr14_m + 1e-12) - 100 * n.dmn_m / (n.atr14_m + 1e-12)) / (100 * n.dmp_m / (n.atr14_m + 1e-12) + 100 * n.dmn_m / (n.atr14_m + 1e-12) + 1e-12)", 2 / 15)}
+_IN = "code, t, close, volume, hl, tr, gain, loss, rsv, base_mean, pv_corr, base, dmp, dmn"
+_STATE = [f"{n}_{k}" for n in (*_EWM_1, *_EWM_2) for k in ("m", "w")]
+_NEXT_1 = ", ".join(_step(n, f"i.{x}", a) for n, (x, a) in _EWM_1.items())
+_NEXT_2 = ", ".join(_step(n, x, a).replace("r.", "n.old_") for n, (x, a) in _EWM_2.items())
+_OLD = ", ".join(f"r.{n}_{k} AS old_{n}_{k}" for n in _EWM_2 for k in ("m", "w"))
+_ALPHA = "abs(i.base - i.base_mean) / (i.base_mean + 1e-9)"
+_RECURSION = f"""
+inputs AS (SELECT code, t, close, volume, hl, tr, gain, loss, CASE WHEN {_FULL9[0]} - {_FULL9[1]} > 0 THEN 100 * (close - {_FULL9[1]}) / ({_FULL9[0]} - {_FULL9[1]}) ELSE 50.0 END AS rsv,
+  {_mean('(2 * close + high + low) / 4', 20)} AS base_mean, {_PV} AS pv_corr, (2 * close + high + low) / 4 AS base,
+  CASE WHEN greatest(high - h1, 0) > greatest(l1 - low, 0) AND high - h1 IS NOT NULL AND l1 - low IS NOT NULL THEN greatest(high - h1, 0) ELSE 0.0 END AS dmp,
+  CASE WHEN greatest(high - h1, 0) < greatest(l1 - low, 0) AND high - h1 IS NOT NULL AND l1 - low IS NOT NULL THEN greatest(l1 - low, 0) ELSE 0.0 END AS dmn FROM layer),
+rec({_IN}, {', '.join(_STATE)}, xsii) AS (
+  SELECT code, -1 AS t, {', '.join('CAST(NULL AS DOUBLE)' for _ in range(12))}, {', '.join('CAST(NULL AS DOUBLE)' if x.endswith('_m') else 'CAST(1 AS DOUBLE)' for x in _STATE)}, CAST(0 AS DOUBLE) FROM (SELECT DISTINCT code FROM panel)
+  UNION ALL
+  SELECT {', '.join(f'n.{x.strip()}' for x in _IN.split(','))}, {', '.join(f'n.{n}_{k}' for n in _EWM_1 for k in ('m', 'w'))}, {_NEXT_2}, n.xsii
+  FROM (SELECT {', '.join(f'i.{x.strip()}' for x in _IN.split(','))}, {_NEXT_1}, {_OLD},
+          CASE WHEN i.close IS NULL THEN r.xsii WHEN i.t = 0 THEN i.close ELSE coalesce({_ALPHA}, 0) * i.close + (1 - coalesce({_ALPHA}, 0)) * r.xsii END AS xsii
+        FROM rec r JOIN inputs i ON i.code = r.code AND i.t = r.t + 1) n),
+states AS (SELECT *, e12_m - e26_m AS dif, 2 * (e12_m - e26_m - dea_m) AS hist FROM rec WHERE t >= 0),
+moved AS (SELECT *, e12_m - lag(e12_m) {H} AS slope, tanh(dif / (({r('max', 'abs(dif)', 60, 1)}) + 1e-9)) AS strength FROM states)"""
+_RECURSIVE = {f"rsi_{w}": f"100 * gain{w}_m / nullif(gain{w}_m + loss{w}_m, 0)" for w in (6, 12, 24)}
+_RECURSIVE |= {
+    "macd_dif": "dif", "macd_dea": "dea_m", "macd_hist": "hist", "hist_slope": f"hist - lag(hist, 5) {H}", "macd_strength": "strength", "macd_signal_gap": f"tanh((dif - dea_m) / ({_mean('abs(dif)', 30)} + 1e-9))",
+    "trend_momentum": "tanh(dif * slope)", "ema_slope": "slope", "trend_energy": "slope * volume", "long_short_energy": "strength * pv_corr",
+    "kc_width": "4 * atr_m / nullif(close, 0)", "kc_position": "(close - (e20_m - 2 * atr_m)) / nullif(4 * atr_m, 0)", "chaikin_vol": f"(hl30_m - lag(hl30_m, 30) {H}) / (lag(hl30_m, 30) {H} + 1e-5) * 100", "mass_idx": "mass_m",
+    "cvi_7": f"(hl7_m - lag(hl7_m, 7) {H}) / (hl7_m + 1e-9) * 100", "cvi_13": f"(hl13_m - lag(hl13_m, 13) {H}) / (hl13_m + 1e-9) * 100", "alpha_xsii": "abs(base - base_mean) / (base_mean + 1e-9)", "xsii": "xsii",
+    "macd_cross": "sign(dif - dea_m)", "dip_d": "100 * dmp_m / (atr14_m + 1e-12)", "din_d": "100 * dmn_m / (atr14_m + 1e-12)", "adx_d": "dx_m", "kdj_k": "k_m", "kdj_d": "d_m", "kdj_j": "3 * k_m - 2 * d_m",
+}
 
 
 def _wrapped(inner: str, keys: str, columns: dict[str, str] | tuple[str, ...], source: str) -> str:
@@ -208,11 +286,22 @@ def _wrapped(inner: str, keys: str, columns: dict[str, str] | tuple[str, ...], s
 
 
 _FLAGS = f"""flagged AS (SELECT *, CASE WHEN ret > 0.1 THEN 1 ELSE 0 END AS u, CASE WHEN ret < -0.1 THEN 1 ELSE 0 END AS d, CASE WHEN ret > 0.1 AND open = high THEN 1 ELSE 0 END AS o FROM panel),
-premiums AS (SELECT *, CASE WHEN lag(u) {H} = 1 THEN ret END AS pr FROM flagged)"""
+premiums AS (SELECT *, CASE WHEN t >= 2 AND lag(u) {H} > 0 AND lag(close) {H} > 0 THEN (open - lag(close) {H}) / lag(close) {H} END AS pr FROM flagged)"""
 _LIMITS = {f"limit_{n}_count_{w}d": f"sum({c}) {W(w)}" for n, c in (("up", "u"), ("down", "d")) for w in (3, 5, 10, 20)}
-_LIMITS |= {f"one_word_up_count_{w}d": f"sum(o) {W(w)}" for w in (5, 10)} | {"seal_proxy_ow_per_lu_10d": div(f"sum(o) {W(10)}", f"(sum(u) {W(10)})"), "limit_up_premium_mean": f"avg(pr) {W(20)}", "limit_up_premium_median": f"quantile_cont(pr, 0.5) {W(20)}"}
+_LIMITS |= {f"one_word_up_count_{w}d": f"sum(o) {W(w)}" for w in (5, 10)} | {"seal_proxy_ow_per_lu_10d": div(f"sum(o) {W(10)}", f"(sum(u) {W(10)})"), "limit_up_premium_mean": f"avg(pr) {W(19)}", "limit_up_premium_median": f"quantile_cont(pr, 0.5) {W(19)}"}
 _RUN = "CAST(t - coalesce(max(CASE WHEN u = 0 THEN t END) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING), -1) AS INTEGER) AS consecutive_limit_up"
-_LIMITS_SQL = _wrapped(f"{MONTH_PANEL_SQL}, {_FLAGS}, runs AS (SELECT *, {_RUN} FROM premiums)", "code, t, consecutive_limit_up", _LIMITS, "runs")
+_TODAY = "u AS is_limit_up_today, d AS is_limit_down_today, o AS is_one_word_up_today"
+_LIMITS_SQL = _wrapped(f"{MONTH_PANEL_SQL}, {_FLAGS}, runs AS (SELECT *, {_RUN}, {_TODAY} FROM premiums)", "code, t, consecutive_limit_up, is_limit_up_today, is_limit_down_today, is_one_word_up_today", _LIMITS, "runs")
+
+_LAST = "(SELECT max(t) FROM whole)"
+_RECENT = f"panel AS (SELECT * EXCLUDE (t), CAST(t - greatest({_LAST} - 59, 0) AS INTEGER) AS t FROM whole WHERE t > {_LAST} - 60)"
+_FLAGGED = ("consecutive_limit_up", "is_limit_up_today", "is_limit_down_today", "is_one_word_up_today")
+_POOL = {n: n for n in _SECOND} | _THIRD
+_POOL_SQL = f"""WITH RECURSIVE {MONTH_PANEL_SQL.replace('panel AS (', 'whole AS (')}, {_RECENT}, {_WINDOWS}, {_RECURSION}, {_FLAGS}, runs AS (SELECT *, {_RUN}, {_TODAY} FROM premiums),
+a AS (SELECT code, t, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in _POOL.items())} FROM second), b AS (SELECT code, t, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in _RECURSIVE.items())} FROM moved),
+c AS (SELECT code, t, {', '.join(_FLAGGED)}, {', '.join(f'CAST({e} AS DOUBLE) AS {n}' for n, e in _LIMITS.items())} FROM runs)
+SELECT a.code, {', '.join(_FLAGGED)}, {', '.join(f'{rounded_sql(n)} AS {n}' for n in (*_POOL, *_RECURSIVE, *_LIMITS))}
+FROM a JOIN b ON a.code = b.code AND a.t = b.t JOIN c ON c.code = a.code AND c.t = a.t WHERE a.t = (SELECT max(t) FROM panel)"""
 
 _PRICED = f"priced AS (SELECT *, (open + close) / 2 AS price, lag(close) {H} AS pre_close FROM panel), quoted AS (SELECT *, pre_close * 1.1 AS lu, pre_close * 0.9 AS ld FROM priced)"
 _HIT = "coalesce(abs(({0} - {1}) / nullif({1}, 0)) < 1e-4, false)"
@@ -253,10 +342,12 @@ _SC = f"""{_SCORED}, daily AS (SELECT x.factor AS a, y.factor AS b, x.trade_date
   FROM scored x JOIN scored y ON x.trade_date = y.trade_date AND x.code = y.code AND x.factor < y.factor GROUP BY ALL), means AS (SELECT a, b, avg(c) AS correlation FROM daily GROUP BY a, b)"""
 
 _MP = MONTH_PANEL_SQL
-QUERIES = {f.__name__: f for f in (factors_windows, factors_recursive, factors_limits, factors_known_before, labels_forward, universe_reasons, universe_waterfall, ic_daily, ic_summary, quantile_returns, top_tail, performance, ensemble_scores, score_correlations, folds)}
+QUERIES = {f.__name__: f for f in (factors_windows, factors_recursive, factors_pool, factors_limits, factors_known_before, labels_forward, universe_reasons, universe_waterfall, ic_daily, ic_summary, quantile_returns, top_tail, performance, ensemble_scores, score_correlations, folds)}
 SQL = {
-    "factors_windows": _wrapped(f"{_MP}, {_LAYER}", "code, t", _WINDOW_SQL, "layer"),
+    "factors_windows": _wrapped(f"{_MP}, {_WINDOWS}", "code, t", {n: n for n in _SECOND} | _THIRD, "second"),
+    "factors_recursive": _wrapped(f"RECURSIVE {_MP}, {_FIRST}, {_RECURSION}", "code, t", _RECURSIVE, "moved"),
     "factors_limits": _LIMITS_SQL,
+    "factors_pool": _POOL_SQL,
     "factors_known_before": _wrapped(f"{_MP}, m AS (SELECT *, {div(f'close - lag(close, 5) {H}', f'(lag(close, 5) {H})')} AS m5 FROM panel)", "code, t", {"momentum": f"lag(m5) {H}"}, "m"),
     "labels_forward": _wrapped(f"{_MP}, {_LABELS}", "code, t", ("forward", "open_to_open", "close_to_preclose"), "clipped"),
     "universe_reasons": f"WITH {_MP}, {_REASONS} SELECT code, t, reason FROM reasons",
