@@ -30,9 +30,16 @@ def staged(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet to the shared folder and read again: lost executors cost no recomputation of it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     atexit.register(_removed, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def clear(table: DataFrame) -> None:
+    """Removes the files of a table from ``staged`` that nothing reads any more, before the session ends."""
+    _removed(table.sparkSession, table.staged_at)
 
 
 def _removed(spark: SparkSession, path: str) -> None:
@@ -54,6 +61,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names with underscores before them until no column of ``df`` has them."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser for 64-bit hashes (xor-shift and multiply, twice)."""
     h = h ^ (h >> np.uint64(30))
