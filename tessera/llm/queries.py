@@ -85,24 +85,40 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_extract, op2_url_filter, op3_ngram_join, op4_curves, op5_toxicity, op6_unit_dedup, op7_decontaminate, op8_pack, op9_shard, op10_suffix_dedup)}
 
-_OP6_SQL = """
+_BLANK = "\\x20\\x09\\x0B-\\x0D"
+_OP6_SQL = f"""
 WITH parts AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
 lines AS (SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS k FROM parts),
-normal AS (
-  SELECT doc_id, k, line,
-         trim(regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\x0B\\f\\r]+', ' ', 'g')) AS unit,
+cut AS (
+  SELECT doc_id, k, line, regexp_extract_all(line, '[^\\x0A{_BLANK}]+[{_BLANK}]*') AS tokens, regexp_extract(line, '^[{_BLANK}]*') AS lead,
          CAST(sum(strlen(line) + 1) OVER (PARTITION BY doc_id ORDER BY k) AS BIGINT) - strlen(line) - 1 AS pos
   FROM lines),
-judged AS (
-  SELECT *, length(unit) - length(replace(unit, ' ', '')) + 1 >= 8 AND row_number() OVER (PARTITION BY unit ORDER BY doc_id, k) > 1 AS gone
-  FROM normal),
+tokens AS (SELECT doc_id, k, pos + strlen(lead) AS pos, unnest(tokens) AS token, generate_subscripts(tokens, 1) AS i FROM cut),
+words AS (
+  SELECT *, translate(regexp_extract(token, '^[^{_BLANK}]+'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS word,
+         CAST(pos + sum(strlen(token)) OVER (PARTITION BY doc_id, k ORDER BY i) AS BIGINT) AS stop, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) AS j
+  FROM tokens),
+runs AS (SELECT doc_id, j, list(word) OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING) AS run FROM words),
+ranked AS (SELECT doc_id, j, row_number() OVER (PARTITION BY md5(array_to_string(run, ' ')) ORDER BY doc_id, j) AS n FROM runs WHERE len(run) = 50),
+marked AS (
+  SELECT w.*, coalesce(max(r.j) OVER (PARTITION BY w.doc_id ORDER BY w.j), -50) > w.j - 50 AS gone
+  FROM words w LEFT JOIN (SELECT doc_id, j FROM ranked WHERE n > 1) r ON r.doc_id = w.doc_id AND r.j = w.j),
+units AS (
+  SELECT doc_id, k, string_agg(word, ' ' ORDER BY i) AS unit, bool_and(gone) AS every, coalesce(string_agg(token, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS rest
+  FROM marked GROUP BY doc_id, k),
+judged AS (SELECT *, every OR row_number() OVER (PARTITION BY unit ORDER BY doc_id, k) > 1 AS whole FROM units),
+islands AS (SELECT doc_id, k, pos, stop, strlen(token) AS size, i - row_number() OVER (PARTITION BY doc_id, k, gone ORDER BY i) AS island, gone FROM marked),
+spans AS (
+  SELECT c.doc_id, c.pos AS start, c.pos + strlen(c.line) AS stop FROM cut c JOIN judged u ON u.doc_id = c.doc_id AND u.k = c.k AND u.whole
+  UNION ALL
+  SELECT i.doc_id, min(i.stop - i.size), max(i.stop) FROM islands i JOIN judged u ON u.doc_id = i.doc_id AND u.k = i.k AND NOT u.whole WHERE i.gone GROUP BY i.doc_id, i.k, i.island),
+told AS (SELECT doc_id, count(*) AS n_removed, string_agg(start || '-' || stop, ',' ORDER BY start) AS spans FROM spans GROUP BY doc_id),
 kept AS (
-  SELECT doc_id, string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT gone) AS text, count(*) AS n, count(*) FILTER (WHERE gone) AS n_removed,
-         string_agg(pos || '-' || (pos + strlen(line)), ',' ORDER BY k) FILTER (WHERE gone) AS spans
-  FROM judged GROUP BY doc_id)
+  SELECT c.doc_id, count(*) AS n, string_agg(CASE WHEN u.unit IS NULL THEN c.line ELSE c.lead || u.rest END, chr(10) ORDER BY c.k) FILTER (WHERE u.unit IS NULL OR NOT u.whole) AS text
+  FROM cut c LEFT JOIN judged u ON u.doc_id = c.doc_id AND u.k = c.k GROUP BY c.doc_id)
 SELECT d.doc_id, CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END AS text,
-       CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE k.n END AS n_units, coalesce(k.n_removed, 0) AS n_removed, coalesce(k.spans, '') AS removed_spans
-FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id
+       CASE WHEN coalesce(d.text, '') = '' THEN 0 ELSE k.n END AS n_units, coalesce(t.n_removed, 0) AS n_removed, coalesce(t.spans, '') AS removed_spans
+FROM documents d LEFT JOIN kept k ON d.doc_id = k.doc_id LEFT JOIN told t ON t.doc_id = d.doc_id
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
