@@ -17,7 +17,6 @@ length is a power of two.
 
 from __future__ import annotations
 
-import base64
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,14 +38,24 @@ _ENCODING: dict[str, object] = {}
 
 
 def encoding(path: str):
-    """The byte-level BPE whose ranks are in the file at ``path``; special strings are ordinary text."""
+    """The byte-level BPE of the tokenizer file at ``path`` (json): its vocabulary as ranks, and its added tokens.
+
+    The ids are those that ``tokenizers`` gives with add_special_tokens=False (tests compare them); the strings of
+    added tokens that stand in a text are these tokens, as there.
+    """
     if path not in _ENCODING:
+        import json
+
         import public_tokenizers
         import tiktoken
 
-        with open(path, "rb") as lines:  # part of the installed tokenizers, on every executor
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODING[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        with open(path, encoding="utf-8") as file:  # part of the installed tokenizers, on every executor
+            told = json.load(file)
+        plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]  # bytes that the file writes as themselves; the others follow from 256 on
+        byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+        added = {t["content"]: t["id"] for t in told["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): i for token, i in told["model"]["vocab"].items() if token not in added}
+        _ENCODING[path] = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
     return _ENCODING[path]
 
 
@@ -101,7 +110,7 @@ def _shared_out(last: np.ndarray, rest: np.ndarray) -> np.ndarray:
 def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, weights: dict[str, float] | None = None) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, source, sequence_id, offset): the pieces of each row of ``docs`` (doc_id, text, source).
 
-    A document's ids are those of its text (null: none) and then ``end_id``; ids is the piece's ids as little-endian
+    A document's ids are those of its text (null: none) in the tokenizer file ``vocabulary`` and then ``end_id``; ids is the piece's ids as little-endian
     unsigned 32-bit. Sequences have ``size`` ids, the last one what is left. ``weights`` are the
     target shares of the sources (default: their shares of all tokens, so that all queues end together); where a
     source runs out the others fill up in proportion. A null source is the source ''. Repeated
@@ -110,12 +119,13 @@ def pack(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 1, we
     """
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if "source" in docs.columns else F.lit("")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), source.alias("source"))
-    told = staged(docs.mapInArrow(_tokenised(vocabulary, end_id), "part int, doc_id long, source string, begin long, doc_tokens long, ids binary"))
+    kind = "<u2" if max(encoding(vocabulary).max_token_value, end_id) < 1 << 16 else "<u4"
+    told = staged(docs.mapInArrow(_tokenised(vocabulary, end_id, kind), "part int, doc_id long, source string, begin long, doc_tokens long, ids binary"))
     totals = staged(told.groupBy("part", "source").agg(F.sum("doc_tokens").alias("n")))
-    return _cut_up(told, totals, size, weights)
+    return _cut_up(told, totals, size, weights, kind)
 
 
-def _cut_up(told: DataFrame, totals: DataFrame, size: int, weights: dict[str, float] | None) -> DataFrame:
+def _cut_up(told: DataFrame, totals: DataFrame, size: int, weights: dict[str, float] | None, kind: str = "<u2") -> DataFrame:
     order = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
     before = totals.withColumn("base", F.coalesce(F.sum("n").over(order), F.lit(0))).select("part", "source", "base")
     if totals.count() <= BROADCAST_ROWS:
@@ -130,17 +140,18 @@ def _cut_up(told: DataFrame, totals: DataFrame, size: int, weights: dict[str, fl
         # a tick then grants at most one token of a source, and no number of ticks leaves 64 bits
         share = np.array([max(1, by_source[x] >> 31, round(weights.get(x, 0.0) / top * (1 << 30))) for x in names], np.int64)
     shape = "doc_id long, start long, length long, ids binary, doc_tokens long, source string, sequence_id long, offset long"
-    return told.join(before, ["part", "source"]).select("doc_id", "source", "doc_tokens", "ids", (F.col("base") + F.col("begin")).alias("at")).mapInArrow(_pieces(names, have, share, size), shape)
+    return told.join(before, ["part", "source"]).select("doc_id", "source", "doc_tokens", "ids", (F.col("base") + F.col("begin")).alias("at")).mapInArrow(_pieces(names, have, share, size, kind), shape)
 
 
-def _tokenised(vocabulary: str, end_id: int):
+def _tokenised(vocabulary: str, end_id: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, ends = TaskContext.get().partitionId(), {}
-        encode = encoding(vocabulary).encode_ordinary
+        coder = encoding(vocabulary)
+        encode = lambda piece: coder.encode(piece, allowed_special="all")
         for b in batches:
             begin, n, packed = [], [], []
             for text, source in zip(b.column("text").to_pylist(), b.column("source").to_pylist(), strict=True):
-                ids = np.array([*(x for piece in _cut_text(text or "") for x in encode(piece)), end_id], np.uint16)
+                ids = np.array([*(x for piece in _cut_text(text or "") for x in encode(piece)), end_id], kind)
                 at = ends.get(source, 0)
                 begin.append(at)
                 n.append(len(ids))
@@ -165,7 +176,7 @@ def _cut_text(text: str) -> Iterator[str]:
     yield text[lo:]
 
 
-def _pieces(names: list[str], have: np.ndarray, share: np.ndarray, size: int):
+def _pieces(names: list[str], have: np.ndarray, share: np.ndarray, size: int, kind: str):
     number = {x: i for i, x in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +198,7 @@ def _pieces(names: list[str], have: np.ndarray, share: np.ndarray, size: int):
             offset = ahead + lo - start
             ids = b.column("ids").to_pylist()
             a, e = (lo - at[row]).tolist(), (hi - at[row]).tolist()
-            cut = [np.frombuffer(ids[r], np.uint16)[x:y].astype("<u4").tobytes() for r, x, y in zip(row.tolist(), a, e, strict=True)]
+            cut = [np.frombuffer(ids[r], kind)[x:y].astype("<u4").tobytes() for r, x, y in zip(row.tolist(), a, e, strict=True)]
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), pa.array(a, pa.int64()), pa.array(hi - lo), pa.array(cut, pa.binary()), b.column("doc_tokens").take(take), b.column("source").take(take), pa.array(window), pa.array(offset)], ["doc_id", "start", "length", "ids", "doc_tokens", "source", "sequence_id", "offset"])
 

@@ -64,7 +64,7 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from tessera.llm.op08_pack import pack
 
-    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), size=2048)
+    out = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), size=2048)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
