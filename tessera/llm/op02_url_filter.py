@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import staged
+from tessera.llm.shared import free, staged
 
 ORDER, SMOOTH = 5, 4.0
 #: Bits of a symbol in a gram, and symbols: 0 before the text's start, else a byte and 1.
@@ -48,13 +48,13 @@ def split(url: Column) -> tuple[Column, Column]:
     return F.coalesce(host, F.lit("")), F.coalesce(F.regexp_extract(rest, "^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def ruled(df: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
-    """``df`` (host, path) with rule and _action of the longest rule that fits, null if none does."""
+def ruled(df: DataFrame, rules: tuple[tuple[str, str, str], ...], named: str = "_action") -> DataFrame:
+    """``df`` (host, path) with rule and what it says (``named``) of the longest rule that fits, null if none does."""
     rule, action = F.lit(None).cast("string"), F.lit(None).cast("string")
     for verdict, host, path in sorted(rules, key=lambda r: len(r[1] + r[2])):
         fits = ((F.col("host") == host) | F.endswith("host", F.lit("." + host))) & F.startswith("path", F.lit(path))
         rule, action = F.when(fits, host + path).otherwise(rule), F.when(fits, verdict).otherwise(action)
-    return df.withColumns({"rule": rule, "_action": action})
+    return df.withColumns({"rule": rule, named: action})
 
 
 def filtered(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -63,19 +63,20 @@ def filtered(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES)
     verdict is the longest fitting rule's, else ``allow`` where score (mean log-likelihood difference per character,
     accepted less rejected) reaches the calibrated threshold and ``block`` elsewhere. Without rejected URLs to learn from
     the models allow, without accepted ones they block, without both they allow. A null url is empty; an empty one has score 0.
-    Columns named like the results are replaced. Repeated rows come back each.
+    Columns named like the results are replaced. Repeated rows come back each. A URL of any length is scored whole.
     """
     pages = pages.drop("host", "path", "rule", "verdict", "score")
+    said, own_host, own_path = free(pages, "said", "own_host", "own_path")
     host, path = split(F.col("url").cast("string"))
-    marked = ruled(pages.withColumns({"host": host, "path": path}), rules)
-    known = marked.where("_action is not null").select("host", "path", (F.col("_action") == "allow").cast("int").alias("accepted"), F.pmod(F.xxhash64("host", "path"), F.lit(5)).cast("int").alias("fold"))
+    marked = ruled(pages.withColumns({"host": host, "path": path}), rules, said)
+    known = marked.where(F.col(said).isNotNull()).select("host", "path", (F.col(said) == "allow").cast("int").alias("accepted"), F.pmod(F.xxhash64("host", "path"), F.lit(5)).cast("int").alias("fold"))
     counts = _trained(known)
     found = _scored(marked.select("host", "path"), counts)
     threshold = _threshold(known, counts, found)
-    found = found.toDF("_host", "_path", "score")
-    out = marked.join(found, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left").drop("_host", "_path")
-    verdict = F.coalesce("_action", F.when(F.col("score") >= threshold, "allow").otherwise("block"))
-    return out.withColumn("verdict", verdict).drop("_action")
+    found = found.toDF(own_host, own_path, "score")
+    out = marked.join(found, (F.col("host") == F.col(own_host)) & (F.col("path") == F.col(own_path)), "left").drop(own_host, own_path)
+    verdict = F.coalesce(said, F.when(F.col("score") >= threshold, "allow").otherwise("block"))
+    return out.withColumn("verdict", verdict).drop(said)
 
 
 @dataclass
