@@ -42,20 +42,33 @@ LABELLED = np.array([
     (7, 0.00, 5, 1.00, 8, 0.00, 0, 2, 1), (33, 0.00, 2, 1.00, 3, 1.00, 0, 2, 1), (12, 0.90, 11, 0.80, 40, 0.00, 0, 2, 1), (3, 0.00, 6, 0.00, 0, 0.00, 0, 2, 1),
     (1, 0.00, 1, 0.00, 1, 0.00, 0, 2, 1), (1, 0.00, 2, 0.00, 80, 0.00, 0, 2, 1), (2, 0.00, 2, 1.00, 1, 0.00, 0, 2, 1), (1, 1.00, 1, 1.00, 2, 1.00, 0, 2, 1), (4, 0.00, 90, 0.00, 3, 0.00, 0, 2, 1), (6, 0.00, 1, 0.00, 4, 0.00, 0, 2, 1),
     (2, 1.00, 25, 0.00, 9, 0.00, 0, 2, 1), (10, 0.80, 5, 0.00, 1, 0.00, 0, 2, 1), (1, 0.00, 14, 0.00, 0, 0.00, 0, 2, 1), (5, 0.00, 0, 0.00, 0, 0.00, 0, 2, 1), (3, 0.50, 7, 0.90, 3, 0.50, 0, 2, 1), (8, 0.00, 3, 0.00, 2, 1.00, 0, 2, 1),
+    (40, 0.00, 35, 0.00, 3, 1.00, 0, 2, 1), (8, 0.00, 60, 0.00, 4, 1.00, 0, 2, 1), (25, 0.20, 50, 0.00, 20, 0.80, 0, 2, 1), (2, 0.00, 30, 0.00, 6, 0.50, 0, 2, 1), (70, 0.00, 80, 0.10, 5, 0.60, 0, 2, 1), (12, 1.00, 40, 0.00, 9, 0.90, 0, 2, 1),
+    (5, 0.50, 90, 0.00, 2, 0.40, 0, 2, 1), (3, 1.00, 48, 0.30, 4, 1.00, 0, 2, 1), (31, 0.00, 27, 0.00, 1, 1.00, 0, 2, 1), (55, 0.40, 21, 0.90, 7, 0.60, 0, 2, 1), (19, 0.00, 33, 0.00, 12, 0.35, 0, 2, 1), (90, 0.00, 44, 0.60, 60, 0.50, 0, 2, 1),
     # furniture, in the article or not
+    (5, 1.00, 40, 0.00, 3, 1.00, 1, 2, 0), (20, 0.00, 60, 0.00, 10, 0.60, 1, 1, 0), (9, 0.00, 5, 1.00, 8, 0.70, 1, 2, 0), (33, 0.00, 70, 0.00, 4, 1.00, 1, 2, 0), (16, 0.00, 45, 0.00, 38, 0.00, 1, 1, 0), (7, 0.00, 52, 0.00, 47, 0.00, 1, 1, 0),
+    (26, 0.10, 4, 0.00, 6, 0.00, 1, 2, 0), (48, 0.00, 3, 0.90, 51, 0.00, 1, 1, 0), (2, 0.00, 20, 0.00, 30, 0.00, 1, 2, 0), (12, 0.00, 9, 0.00, 7, 0.00, 1, 2, 0), (64, 0.00, 58, 0.00, 70, 0.00, 1, 2, 0), (4, 0.00, 36, 0.00, 29, 0.00, 1, 2, 0),
     (3, 1.00, 2, 1.00, 1, 1.00, 1, 0, 0), (1, 1.00, 0, 0.00, 1, 1.00, 1, 0, 0), (9, 0.00, 1, 1.00, 14, 0.00, 1, 0, 0), (24, 0.00, 50, 0.00, 0, 0.00, 1, 0, 0),
     (40, 0.00, 38, 0.00, 44, 0.00, 1, 2, 0), (6, 0.30, 70, 0.00, 12, 0.00, 1, 2, 0), (85, 0.00, 60, 0.00, 20, 0.00, 1, 1, 0), (11, 0.00, 0, 0.00, 90, 0.00, 1, 1, 0),
     (2, 0.50, 64, 0.00, 3, 0.50, 1, 1, 0), (150, 0.00, 4, 0.00, 0, 0.00, 1, 0, 0), (30, 0.70, 31, 0.60, 28, 0.70, 1, 2, 0), (5, 0.00, 110, 0.00, 80, 0.00, 1, 2, 0),
     # outside of an article that the page marks
     (8, 0.00, 5, 1.00, 40, 0.00, 0, 0, 0), (36, 0.00, 4, 0.20, 9, 0.00, 0, 0, 0), (2, 1.00, 3, 1.00, 2, 1.00, 0, 0, 0), (70, 0.05, 60, 0.00, 0, 0.00, 0, 0, 0),
     (14, 0.00, 44, 0.00, 5, 0.00, 0, 0, 0), (1, 0.00, 0, 0.00, 2, 1.00, 0, 0, 0), (22, 0.00, 30, 0.00, 28, 0.00, 0, 0, 0), (55, 0.00, 12, 0.00, 41, 0.00, 0, 0, 0), (110, 0.00, 70, 0.00, 64, 0.00, 0, 0, 0), (9, 0.00, 62, 0.00, 58, 0.00, 0, 0, 0),
+    (160, 0.30, 120, 0.00, 15, 0.80, 0, 0, 0), (60, 0.10, 40, 0.00, 30, 0.60, 0, 0, 0), (25, 0.20, 10, 0.20, 4, 0.90, 0, 0, 0), (90, 0.00, 20, 0.50, 10, 1.00, 0, 0, 0), (40, 0.25, 80, 0.10, 50, 0.30, 0, 0, 0), (18, 0.40, 140, 0.30, 90, 0.20, 0, 0, 0),
+    (75, 0.00, 35, 0.00, 130, 0.40, 0, 0, 0), (33, 0.55, 24, 0.00, 77, 0.00, 0, 0, 0), (120, 0.15, 8, 0.70, 45, 0.00, 0, 0, 0), (6, 0.00, 95, 0.00, 110, 0.50, 0, 0, 0), (48, 0.35, 66, 0.45, 21, 0.00, 0, 0, 0), (12, 0.10, 52, 0.00, 3, 0.70, 0, 0, 0),
     # a page that marks none: long blocks of few links, and short ones between them
     (45, 0.00, 9, 0.00, 52, 0.00, 0, 1, 1), (52, 0.08, 45, 0.00, 38, 0.00, 0, 1, 1), (18, 0.00, 40, 0.00, 6, 0.00, 0, 1, 1), (6, 0.00, 47, 0.00, 55, 0.00, 0, 1, 1),
     (2, 0.00, 50, 0.00, 33, 0.00, 0, 1, 1), (9, 0.00, 0, 0.00, 45, 0.00, 0, 1, 1), (21, 0.15, 3, 1.00, 39, 0.00, 0, 1, 1), (8, 0.00, 3, 1.00, 60, 0.00, 0, 1, 1),
     (5, 0.00, 48, 0.00, 4, 1.00, 0, 1, 1), (3, 0.00, 28, 0.00, 12, 0.00, 0, 1, 1), (30, 0.00, 2, 0.50, 0, 0.00, 0, 1, 1), (60, 0.00, 0, 0.00, 0, 0.00, 0, 1, 1), (2, 0.00, 0, 0.00, 0, 0.00, 0, 1, 1),
     (3, 1.00, 2, 1.00, 4, 1.00, 0, 1, 0), (2, 1.00, 0, 0.00, 2, 1.00, 0, 1, 0), (6, 0.80, 5, 0.90, 45, 0.00, 0, 1, 0), (25, 0.75, 20, 0.80, 30, 0.70, 0, 1, 0),
-    (4, 0.00, 3, 1.00, 2, 1.00, 0, 1, 0), (3, 0.00, 5, 0.00, 4, 0.00, 0, 1, 0), (7, 0.60, 41, 0.00, 5, 0.80, 0, 1, 0), (1, 0.00, 2, 0.00, 1, 0.00, 0, 1, 0),
+    (4, 0.00, 3, 1.00, 2, 1.00, 0, 1, 0), (7, 0.60, 41, 0.00, 5, 0.80, 0, 1, 0), (1, 0.00, 2, 0.00, 1, 0.00, 0, 1, 0),
     (12, 0.60, 36, 0.00, 0, 0.00, 0, 1, 0), (5, 0.00, 4, 1.00, 0, 0.00, 0, 1, 0),
+    # the same, where the neighbours decide
+    (14, 0.00, 2, 1.00, 3, 1.00, 0, 1, 0), (14, 0.00, 42, 0.00, 36, 0.00, 0, 1, 1), (14, 0.30, 3, 0.90, 4, 1.00, 0, 1, 0), (14, 0.30, 44, 0.00, 37, 0.05, 0, 1, 1),
+    (22, 0.45, 6, 0.90, 8, 0.90, 0, 1, 0), (22, 0.45, 31, 0.00, 29, 0.00, 0, 1, 1), (30, 0.50, 22, 0.80, 19, 0.80, 0, 1, 0), (30, 0.50, 36, 0.00, 42, 0.00, 0, 1, 1),
+    (11, 0.00, 4, 0.90, 5, 0.90, 0, 1, 0), (11, 0.00, 4, 0.90, 33, 0.00, 0, 1, 1), (3, 0.00, 3, 1.00, 36, 0.00, 0, 1, 1), (6, 0.00, 3, 1.00, 2, 1.00, 0, 1, 0),
+    (27, 0.00, 29, 0.00, 0, 0.00, 0, 1, 1), (26, 0.00, 2, 0.00, 1, 1.00, 0, 1, 1), (29, 0.00, 1, 1.00, 5, 0.80, 0, 1, 1), (60, 0.00, 55, 0.00, 1, 1.00, 0, 1, 1), (35, 0.00, 8, 0.00, 2, 1.00, 0, 1, 1), (24, 0.00, 38, 0.00, 3, 0.90, 0, 1, 1),
+    (31, 0.10, 45, 0.00, 0, 0.00, 0, 1, 1), (80, 0.00, 1, 1.00, 3, 1.00, 0, 1, 1), (20, 0.00, 25, 0.00, 0, 0.00, 0, 1, 1), (45, 0.00, 2, 1.00, 2, 1.00, 0, 1, 1),
+    (17, 0.00, 2, 1.00, 41, 0.00, 0, 1, 1), (17, 0.00, 45, 0.00, 3, 1.00, 0, 1, 1), (10, 0.35, 46, 0.00, 31, 0.00, 0, 1, 1), (10, 0.35, 5, 0.80, 6, 0.70, 0, 1, 0),
 ], float)
 
 
@@ -117,6 +130,25 @@ _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*
 _END = re.compile(r"""(?:[^>"']|"[^"]*"|'[^']*')*+>""")
 _MARKS = re.compile(r"""\b(class|id|role|style|aria-hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|\s(hidden)(?=[\s/>=]|$)""", re.I)
 _WORDS = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]+")
+# Words of a name after which it says what the element is laid out with, and last words that name a state, not a kind.
+MODIFIERS = frozenset("has have having with without no non not is are if for".split())
+STATES = frozenset("open opened closed enabled disabled allowed".split())
+#: Elements that may stand in a head; any other one ends it.
+IN_HEAD = frozenset("title meta link base style script noscript template".split())
+
+
+def _kinds(value: str) -> set[str]:
+    """The words by which the names of a class, id or role attribute say what the element is (``post has-comments``: post)."""
+    found = set()
+    for name in value.split():
+        own = [x.lower() for x in _WORDS.findall(name)]
+        if len(own) > 1 and own[-1] in STATES:
+            continue
+        for word in own:
+            if word in MODIFIERS:
+                break
+            found.add(word)
+    return found
 
 
 def _cues(attributes: str) -> tuple[bool, bool]:
@@ -127,7 +159,7 @@ def _cues(attributes: str) -> tuple[bool, bool]:
         if m[5] or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             furniture = True
         elif name in ("class", "id", "role"):
-            found = {x.lower() for x in _WORDS.findall(value)}
+            found = _kinds(value)
             furniture |= not found.isdisjoint(FURNITURE)
             article |= not found.isdisjoint(ARTICLE)
     return furniture, article
@@ -140,7 +172,15 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, bool, int, bool]] = [("", False, 0, False)]  # element, furniture, article, marked; as they hold inside
     unread = 0
 
+    def cut(i: int) -> None:
+        """Ends the open elements from the i-th on."""
+        nonlocal unread
+        unread -= sum(x[0] in UNREAD for x in stack[i:])
+        del stack[i:]
+
     def text(raw: str) -> None:
+        if unread and stack[-1][0] == "head" and raw.strip():  # text ends a head
+            cut(len(stack) - 1)
         if raw and not unread:
             plain = html.unescape(raw)
             block.parts.append(plain)
@@ -176,8 +216,7 @@ def blocks(page: str) -> list[Block]:
                 broken()
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
-                        unread -= sum(x[0] in UNREAD for x in stack[i:])
-                        del stack[i:]
+                        cut(i)
                         break
             continue
         if name == "br":
@@ -188,6 +227,8 @@ def blocks(page: str) -> list[Block]:
             pass
         else:
             broken()
+            if stack[-1][0] == "head" and name not in IN_HEAD:
+                cut(len(stack) - 1)
             links = 0 if name in ("p", "div", "li", "td") else links
             if name in VOID or attributes.rstrip(">").endswith("/") and name not in RAW and name not in ("p", "div", "article"):
                 continue
@@ -200,8 +241,8 @@ def blocks(page: str) -> list[Block]:
             if name == "p" or name == "li":  # closed by the next of their kind
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i][0] == name:
-                        del stack[i:]
-                    elif stack[i][0] in ("ul", "ol", "div", "article", "section", "td", "blockquote", "nav", "aside", "footer", "header", "main", "form"):
+                        cut(i)
+                    elif stack[i][0] in UNREAD or stack[i][0] in ("ul", "ol", "div", "article", "section", "td", "blockquote", "nav", "aside", "footer", "header", "main", "form"):
                         break
             _, furniture, article, marked = stack[-1]
             cue, named = _cues(attributes) if name not in ("html", "body", "main") else (False, False)
@@ -247,7 +288,8 @@ def extracted(pages: DataFrame, labelled: np.ndarray = LABELLED) -> DataFrame:
     """``pages`` (html, ...) with text, n_chars and n_blocks for each row; the other columns but html are kept.
 
     text is the main text: white space within a block is one space, blocks are joined by one space. n_chars are its
-    code points, n_blocks the text blocks of the whole page. A null, empty or textless page has the empty text.
+    code points, n_blocks the text blocks of the whole page. A null, empty or textless page has the empty text. A page of any
+    length is read whole, in one pass.
     Columns named like the results are replaced. Repeated rows come back each.
     """
     tree = grown(labelled[:, :-1], labelled[:, -1])
