@@ -181,37 +181,103 @@ def test_loser_tree_merges_with_shared_prefixes():
     assert [h for h, _ in out[1:]] == [op10.common(a, b, 0) for (_, a), (_, b) in zip(out[:-1], out[1:], strict=True)]
 
 
-def test_front_coding_round_trip():
-    found = [(b"", b"x", 0, [(1, 2)]), (b"abc", b"", 3, [(1, 2), (3, 4)]), (b"abd", b"yy", 1, [(9, 9)])]
-    assert [x[1:] for x in op10.unfolded(op10.front_coded(found))] == found
+def test_front_coding_round_trip(monkeypatch):
+    import zstandard
+
+    found = [(b"", b"x", 0, (1, 2, 3), False), (b"abc", b"", 3, (1, 2, -1), True), (b"abd", b"yy", 1, (9, 9, 1 << 40), False)]
+    for piece in (1, 1 << 20):
+        monkeypatch.setattr(op10, "PIECE", piece)
+        pieces = [zstandard.ZstdCompressor().compress(x) for x in op10.front_coded(found)]
+        assert [x[1:] for x in op10.unfolded(pieces)] == found
+
+
+def test_substring_dedup_beyond_the_filter(spark, monkeypatch):
+    """With more repeated grams than a broadcast filter takes, grams are joined to the texts: the same result."""
+    monkeypatch.setattr(op10, "BLOOM_KEYS", 0)
+    texts = [sentence(30) for _ in range(10)]
+    texts = [*texts, texts[0] + " tail", "head " + texts[1], None, ""]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = [(r.n_bytes, sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in op10.substring_dedup(frame, 40).orderBy("doc_id").collect()]
+    assert found == brute_cut(texts, 40)
+
+
+def test_a_hot_passage_is_sent_once(spark):
+    """However many texts hold a passage, a run holds its records once; the rest is decided where it is read."""
+    passage = sentence(60)
+    texts = [f"{i} {passage} {i}" for i in range(3000)]
+    import pyarrow as pa
+
+    make = op10._runs(100, 25, np.full(1 << 13, 255, np.uint8), 4, False, op10.utf8)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array([0] * 3000), pa.array(texts), pa.nulls(3000, pa.list_(pa.int64()))], ["a", "b", "text", "grams"])
+    out = [x for x in make(iter([batch])) if x.column("target").null_count == 0]
+    sent = sum(1 for b in out for pieces in b.column("run").to_pylist() for _ in op10.unfolded(pieces))
+    assert sent < 3000 * 12  # the passage's inner records stand once, those that reach into a text's own words once a text
 
 
-# lines
+# lines and passages
 
 
-def test_unit_dedup(docs):
+def brute_units(rows, least_words, passage):
+    """What is left of each (doc_id, text), by sets of the units seen before; rows in the order that decides."""
+    lines, runs, out = set(), set(), {}
+    for doc, text in rows:
+        words, of = [], []
+        split = (text or "").split("\n")
+        for k, line in enumerate(split):
+            own = SPACED.findall(lower(line))
+            words += own
+            of += [k] * len(own)
+        gone = [False] * len(words)
+        for i in range(len(words) - passage + 1 if passage else 0):
+            run = tuple(words[i : i + passage])
+            if run in runs:
+                gone[i : i + passage] = [True] * passage
+            runs.add(run)
+        kept, at = [], 0
+        for line in split:
+            own = SPACED.findall(lower(line))
+            mine = gone[at : at + len(own)]
+            at += len(own)
+            if own and (all(mine) or len(own) >= least_words and tuple(own) in lines):
+                continue
+            if len(own) >= least_words:
+                lines.add(tuple(own))
+            tokens = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09\x0B-\x0D]*", line)
+            lead = line[: len(line) - sum(map(len, tokens))]
+            kept.append(lead + "".join(t for t, g in zip(tokens, mine, strict=True) if not g))
+        out[doc, text] = None if text is None else "\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize(("least_words", "passage", "hot"), [(8, 0, 2000), (1, 0, 3), (1, 12, 2000), (1, 5, 2)])
+def test_unit_dedup(spark, docs, monkeypatch, least_words, passage, hot):
+    monkeypatch.setattr("tessera.llm.op06_unit_dedup.HOT", hot)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
-    seen, want = set(), {}
-    for doc, text in sorted({r for r in rows}, key=lambda r: (r[0] is None, r[0] or 0)):
-        kept = []
-        for line in (text or "").split("\n"):
-            w = SPACED.findall(lower(line))
-            if len(w) < 8 or tuple(w) not in seen:
-                kept.append(line)
-                if len(w) >= 8:
-                    seen.add(tuple(w))
-        want[doc, text] = None if text is None else "\n".join(kept)
-    out = unit_dedup(docs)
-    assert set(docs.columns) <= set(out.columns) and out.count() == len(rows)
-    numbered = [(r.doc_id, r.text) for r in out.where("doc_id is not null").collect()]
-    assert sorted(numbered, key=str) == sorted(((d, want[d, t]) for d, t in rows if d is not None), key=str)
+    rows += [(200 + i, f"{sentence(4)}\n {sentence(3)} {rows[0][1].upper() if i else rows[0][1]}  {sentence(2)}\r\n") for i in range(3)]
+    named = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in rows], "doc_id long, text string, a int, b int, lines int, runs int").repartition(3)
+    want = brute_units(sorted({r for r in rows if r[0] is not None}, key=lambda r: (r[0], r[1] or "")), least_words, passage)
+    out = unit_dedup(named, least_words, passage)
+    assert set(named.columns) <= set(out.columns) and out.count() == len(rows) and out.where("a = 1 and b = 2 and lines = 3 and runs = 4").count() == len(rows)
+    found = [(r.doc_id, r.text) for r in out.where("doc_id is not null").collect()]
+    assert sorted(found, key=str) == sorted(((d, want[d, t]) for d, t in rows if d is not None), key=str)
 
 
 def test_unit_dedup_keeps_offsets(spark):
-    line = sentence(10)
-    frame = spark.createDataFrame([(1, f"é\n{line}"), (2, f"{line.upper()}\nend")], "doc_id long, text string")
-    spans = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in unit_dedup(frame).collect()}
-    assert spans == {1: [], 2: [(0, len(line.encode()))]} or "ß" in line
+    line, passage = sentence(10), sentence(55)
+    frame = spark.createDataFrame([(1, f"é\n{line}"), (2, f"{line.upper()}\nend"), (3, f"one {passage} two"), (4, f"own\nthree {passage} four")], "doc_id long, text string")
+    out = {r.doc_id: r for r in unit_dedup(frame).collect()}
+    spans = {i: [(s.start, s.end) for s in r.spans] for i, r in out.items()}
+    assert spans[1] == [] == spans[3] and (spans[2] == [(0, len(line.encode()))] or "ß" in line)
+    assert spans[4] == [(10, 10 + len(passage.encode()) + 1)] and out[4].text == "own\nthree four"
+
+
+def test_passages_within_lines_go(spark):
+    """A passage of over 50 words, set among other words in every document that holds it, stays in the earliest only."""
+    shared = [sentence(51 + i) for i in range(6)]
+    rows = [(i, f"{sentence(30)} {shared[i % 6]} {sentence(30)}\n{sentence(12)}") for i in range(60)] + [(100 + i, sentence(90)) for i in range(40)]
+    out = {r.doc_id: r for r in unit_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i].n_removed == (0 if i < 6 else 1) and (shared[i % 6] in out[i].text) == (i < 6) for i in range(60))
+    assert all(out[i].text == t for i, t in rows if i >= 100)
 
 
 # benchmark items
@@ -248,13 +314,28 @@ def test_contamination(spark, docs, monkeypatch):
 # packing
 
 
+def test_ids_are_those_of_the_tokenizer_file():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.op08_pack import encoding
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    exact, ours = Tokenizer.from_file(path), encoding(path)
+    rng = random.Random(2)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x  <|endoftext|>\n\n y é漢字   <|endof", "\x00\t\r\n don't  1234 ÿÂ"]
+    texts += ["".join(rng.choice(["a", " ", "\n", "é", "字", "<|endoftext|>", "'ll", "12", "Ω ", "\u00a0", "😀"]) for _ in range(60)) for _ in range(200)]
+    for t in texts:
+        assert ours.encode(t, allowed_special="all") == exact.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_gives_back_every_document(docs):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     exact = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     rows = docs.select("doc_id", "text").collect()
-    out = pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), size=64).toPandas()
+    out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=64).toPandas()
     ids = collections.Counter((r.doc_id, np.array([*exact.encode(r.text or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for r in rows)
     whole = collections.Counter()
     for doc, group in out[out.doc_id.notna() & (out.doc_id != 87)].groupby("doc_id"):
@@ -279,7 +360,7 @@ def test_packing_keeps_many_sources_apart(spark, monkeypatch, weighted):
     monkeypatch.setattr(op, "CELLS", 5000)  # a few windows at once
     rows = [(i, " ".join(["word"] * (20 + i % 3)), f"site{i % 600}.org") for i in range(1200)]
     weights = {f"site{i}.org": 5.0 if i < 10 else 1.0 for i in range(600)} if weighted else None
-    out = pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), public_tokenizers.path("byte_bpe_50k.tiktoken"), size=2048, weights=weights).toPandas()
+    out = pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), public_tokenizers.path("byte_bpe_50k.json"), size=2048, weights=weights).toPandas()
     assert (out.source == (out.doc_id % 600).map("site{}.org".format)).all()
     assert (out.groupby("doc_id").length.sum() == out.groupby("doc_id").doc_tokens.first()).all() and out.doc_id.nunique() == 1200
     total = out.groupby("source").length.sum()
@@ -325,6 +406,38 @@ def test_shards(spark, docs, tmp_path):
     assert spark.read.parquet(str(tmp_path / "shards")).count() == len(out)
 
 
+@pytest.mark.parametrize("copies", [3, 400])
+def test_shards_by_direct_computation(spark, copies):
+    """Order, cuts and slots as a plain loop finds them, with a group of copies that stays together or (beyond LEAN of a shard) is split."""
+    from tessera.llm import op09_shard as op
+
+    rng = random.Random(copies)
+    texts = ["".join(rng.choices("abé ", k=rng.randint(0, 60))) for _ in range(2000)] + ["the same text in many rows"] * copies + [None, ""]
+    frame = spark.createDataFrame([(i, t, 7, 8, 9) for i, t in enumerate(texts)], "doc_id long, text string, at int, part int, _group int").repartition(5)
+    digest = {r.doc_id: (r.g, r.doc_id) for r in frame.select("doc_id", F.xxhash64("text", F.octet_length("text")).alias("g")).collect()}
+    order = sorted(range(len(texts)), key=lambda i: digest[i])
+    size = [len((t or "").encode()) + 1 for t in texts]
+    total, at = sum(size), {}
+    begin = 0
+    for i in order:
+        at[i] = begin
+        begin += size[i]
+    cuts = []
+    for k in range(1, 4):
+        cut = -(-total * k // 4)
+        inside = next(i for i in order if at[i] <= cut < at[i] + size[i])
+        group = [i for i in order if digest[i][0] == digest[inside][0]]
+        lo, hi = at[group[0]], at[group[-1]] + size[group[-1]]
+        cuts.append(cut if hi - lo > total / 4 * op.LEAN else lo if cut - lo < hi - cut else hi)
+    want, slots = {}, collections.Counter()
+    for i in order:
+        shard = sum(at[i] + size[i] / 2 >= c for c in cuts)
+        want[i] = (size[i], shard, slots[shard], 7, 8, 9)
+        slots[shard] += 1
+    out = shards(frame, 4)
+    assert {r.doc_id: (r.size, r.shard, r.slot, r.at, r.part, r._group) for r in out.collect()} == want
+
+
 # neighbours
 
 
@@ -439,6 +552,47 @@ def test_main_text():
         main_text(odd, tree)
 
 
+LONG = "A paragraph of the story that goes on for a good many words, as paragraphs of stories on pages of the web do, until it ends with a stop."
+OTHER = "Another one follows it with other words, again enough of them that nobody would take it for a menu, a button or a line below a picture."
+LINKS = "<ul><li><a href=/a>News</a><li><a href=/b>Sport today</a><li><a href=/c>Weather</a></ul>"
+
+
+@pytest.mark.parametrize(("page", "want"), [
+    ("<html><body><div class='content with-sidebar'><p>One two three.<p>Four five</div>", "One two three. Four five"),
+    ('<article class="post has-comments comments-open"><p>One two.</article>', "One two."),
+    ("<article><p>Intro <video><p>No support.</p></video></p><p>The article</p></article>", "Intro The article"),
+    (f"<html><head><title>T</title><body><p>{LONG}", LONG),
+    (f"<html><head><meta charset=x><p>{LONG}<p>{OTHER}", f"{LONG} {OTHER}"),
+    (f"<body>{LINKS}<h2>A heading</h2><p>{LONG}</p><p>{OTHER}</p>{LINKS}</body>", f"A heading {LONG} {OTHER}"),
+    (f"<body><div class=no-sidebar><p>{LONG}</p><h3>Why so</h3><p>{OTHER}</p></div>{LINKS}", f"{LONG} Why so {OTHER}"),
+    (f"<body><table><tr><td>{LINKS}<td><p>{LONG}<p>{OTHER}</table>", f"{LONG} {OTHER}"),
+    (f"<div id=nav>{LINKS}</div><div class=page-without-ads>{LONG}<br>{OTHER}</div><div class=site-footer>{OTHER}</div>", f"{LONG} {OTHER}"),
+    (f"<body><p>{LONG} <a href=x>Read on</a></p><div class='related'>{OTHER}</div>", f"{LONG} Read on"),
+    (f"<div class=mainContent><p>Short.<p>{LONG}</div><div><p>{OTHER}</div>", f"Short. {LONG}"),
+    (f"<body><form><p>{OTHER}</form><p>{LONG}</p><aside><p>{OTHER}</aside><p hidden>{OTHER}</p>", LONG),
+    (f"<body>{LINKS}<p>{LONG}</p><div><a href=1>Share this page</a> <a href=2>Print it</a></div>{LINKS}", LONG),
+    (f"<p>{LONG}</p><object><p>{OTHER}</object><p>{OTHER}", f"{LONG} {OTHER}"),
+])
+def test_pages_by_hand(page, want):
+    tree = grown(LABELLED[:, :-1], LABELLED[:, -1])
+    assert main_text(page, tree)[0] == want
+    assert main_text(page.replace(LONG, " ".join([LONG] * 3000)), tree)[0] == want.replace(LONG, " ".join([LONG] * 3000))
+
+
+def test_neighbours_decide_in_the_tree():
+    tree = grown(LABELLED[:, :-1], LABELLED[:, -1])
+    used = set()
+
+    def walk(node):
+        if node.feature >= 0:
+            used.add(node.feature)
+            walk(node.below)
+            walk(node.above)
+
+    walk(tree)
+    assert used & {2, 3} and used & {4, 5}  # words or link density of the block before, and of the one after
+
+
 def test_pages_of_the_table(spark, data):
     out = {r.page_id: r for r in queries.op1_extract(spark, data).collect()}
     for r in spark.read.parquet(f"{data}/pages.parquet").collect():
@@ -466,6 +620,12 @@ def test_url_rules(spark):
     assert all(r.verdict in ("allow", "block") for r in out.values()) and out["http://q.com/de/?"].verdict == "block"
 
 
+def test_url_filter_keeps_columns_of_its_own_names(spark):
+    rows = [("http://a.org/x", 1, 2, 3, 4), ("http://b.net/" + "y" * 100_000, 1, 2, 3, 4)]
+    out = filtered(spark.createDataFrame(rows, "url string, _action int, _host int, said int, own_path int"))
+    assert [(r._action, r._host, r.said, r.own_path) for r in out.collect()] == [(1, 2, 3, 4)] * 2
+
+
 def test_url_models_learn_from_rules(spark, data):
     """Of addresses that rules decide and the models have not seen, the models alone place most as the rules do."""
     from tessera.llm import op02_url_filter as op
@@ -525,7 +685,7 @@ def test_every_operator_takes_an_empty_table(spark, empty):
     import public_tokenizers
 
     assert ngram_join(empty).count() == 0 and unit_dedup(empty).count() == 0 and op10.substring_dedup(empty).count() == 0 and shards(empty).count() == 0
-    assert pack(empty, public_tokenizers.path("byte_bpe_50k.tiktoken")).count() == 0
+    assert pack(empty, public_tokenizers.path("byte_bpe_50k.json")).count() == 0
     assert contamination(empty, spark.createDataFrame([], "item_id int, text string")).count() == 0
     assert filtered(spark.createDataFrame([], "url string")).count() == 0
 
