@@ -87,29 +87,52 @@ def _future_ticks(spark: SparkSession, folder: str) -> DataFrame:
     w = Window.partitionBy("code").orderBy("seq")
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     b = book(spark, folder)
-    return b.select("code", F.lit("day").alias("session"), F.row_number().over(w).alias("t"), "bp1", "bp2", "bv1", "bv2", "sp1", "sp2", "sv1", "sv2", F.col("price").alias("last"), F.sum("volume").over(past).alias("cum_volume"), F.sum(F.col("price") * F.col("volume")).over(past).alias("cum_turnover"))
+    return b.select("code", F.lit("day").alias("session"), F.row_number().over(w).alias("t"), *(f"{side}{k}{i}" for side in "bs" for k in "pv" for i in range(1, 6)), F.col("price").alias("last"), F.sum("volume").over(past).alias("cum_volume"), F.sum(F.col("price") * F.col("volume")).over(past).alias("cum_turnover"))
 
 
 def futures_factors(spark: SparkSession, folder: str) -> DataFrame:
-    return futures.computed(_future_ticks(spark, folder))
+    out = futures.computed(_future_ticks(spark, folder)).drop("session")
+    return rounded(out, "code", "t")
 
 
 def futures_basic(spark: SparkSession, folder: str) -> DataFrame:
     out = futures.computed(_future_ticks(spark, folder))
-    return rounded(out.select("code", "t", "vol_slice_imbalance", "spread", "price_diff_40", "order_flow_imbalance", "effective_spread", "vol_diff", "vol_rank_imbalance", "vol_continue_increase_imbalance"), "code", "t")
+    return rounded(out.select("code", "t", *_BASIC), "code", "t")
 
 
-_FT = f"""{_BOOK}, ticks AS (SELECT *, CAST(row_number() OVER (PARTITION BY code ORDER BY seq) AS INTEGER) AS t, (bp1 + sp1) / 2 AS mid FROM book),
-w0 AS (SELECT *, lag(bp1) {H} AS pb, lag(sp1) {H} AS ps, lag(bv1) {H} AS lb, lag(sv1) {H} AS ls, list(bv1) {W(60)} AS b60, list(sv1) {W(60)} AS s60 FROM ticks),
-w1 AS (SELECT *, CASE WHEN coalesce(bv1 <= lb, true) THEN t END AS kb, CASE WHEN coalesce(sv1 <= ls, true) THEN t END AS ks FROM w0)"""
+_BASIC = ("vol_slice_imbalance", "spread", "price_diff_40", "order_flow_imbalance", "effective_spread", "vol_diff", "vol_rank_imbalance", "vol_continue_increase_imbalance")
 _PAST = "OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING)"
+_or0 = lambda x: f"coalesce({x}, 0)"
+_centre = lambda side: f"({' + '.join(f'{side}p{i} * {side}v{i}' for i in range(1, 6))}) / nullif({' + '.join(f'{side}v{i}' for i in range(1, 6))}, 0)"
+_FT = f"""{_BOOK}, ticks AS (SELECT *, CAST(row_number() OVER (PARTITION BY code ORDER BY seq) AS INTEGER) AS t, (bp1 + sp1) / 2 AS mid, price AS last FROM book),
+w0 AS (SELECT *, CASE WHEN t > 1 THEN volume ELSE 0.0 END AS vol, CASE WHEN t > 1 AND volume > 0 THEN price * volume / volume ELSE 0.0 END AS ave, lag(bp1) {H} AS pb, lag(sp1) {H} AS ps, lag(bv1) {H} AS lb, lag(sv1) {H} AS ls, lag(bv2) {H} AS lb2, lag(sv2) {H} AS ls2,
+  list(bv1) {W(60)} AS b60, list(sv1) {W(60)} AS s60, coalesce(bv1 - lag(bv1) {H}, 0) AS db, coalesce(sv1 - lag(sv1) {H}, 0) AS ds, (bv1 - sv1) / nullif(bv1 + sv1, 0) AS vi, {_centre('b')} AS bid_part, {_centre('s')} AS ask_part FROM ticks),
+w1 AS (SELECT *, list_reduce(list(db) {W(64)}, lambda y, x: 0.5 * y + 0.5 * x) AS eb, list_reduce(list(ds) {W(64)}, lambda y, x: 0.5 * y + 0.5 * x) AS es,
+  CASE WHEN vol > 0 AND ps <> pb THEN CASE WHEN ave >= ps THEN vol WHEN ave < ps AND ave > pb THEN vol * (ave - pb) / (ps - pb) ELSE 0.0 END ELSE 0.0 END AS buy FROM w0),
+w2 AS (SELECT *, vol - buy AS sell, coalesce(stddev_samp(vi) {W(20)}, 0) AS sd, CASE WHEN ave <> 0 THEN ave - mid ELSE 0.0 END AS tpi FROM w1),
+w3 AS (SELECT *, round_even((CASE WHEN sp1 = {_or0('ps')} THEN ds + buy ELSE 0.0 END) + (CASE WHEN sp1 > {_or0('ps')} THEN buy - {_or0('ls')} + sv1 - {_or0('ls2')} ELSE 0.0 END) + (CASE WHEN sp1 < {_or0('ps')} THEN sv1 + buy ELSE 0.0 END), 0) AS ask_in,
+  round_even((CASE WHEN bp1 = {_or0('pb')} THEN db + sell ELSE 0.0 END) + (CASE WHEN bp1 < {_or0('pb')} THEN sell - {_or0('lb')} + bv1 - {_or0('lb2')} ELSE 0.0 END) + (CASE WHEN bp1 > {_or0('pb')} THEN bv1 + sell ELSE 0.0 END), 0) AS bid_in FROM w2)"""
+_run = lambda x: f"(t - max(CASE WHEN NOT {x} > 0 THEN t END) {_PAST}) - (t - max(CASE WHEN NOT {x} < 0 THEN t END) {_PAST})"
+_rank = lambda a, x: f"len(list_filter({a}, lambda v: v <= {x})) / CAST(len({a}) AS DOUBLE)"
+_swing = lambda x: div(f"max({x}) {W(20)} - min({x}) {W(20)}", x)
+_share = lambda f, x, n: div(f"{x}", f"({f}({x}) {W(n)})") if f == "max" else div(f"{f}({x}) {W(n)}", x)
+_WEIGHTS = (0.04025942, 0.02776354, 0.02156791, 0.02247671, 0.02048048, 0.02905635, 0.05213158, 0.04469997, -0.42357886)  # fixed values
 _FUTURES = {
-    "vol_slice_imbalance": "(bv1 - sv1) / nullif(bv1 + sv1, 0)", "spread": "sp1 - bp1", "price_diff_40": f"mid - lag(mid, 40) {H}",
-    "order_flow_imbalance": "CASE WHEN bp1 > pb THEN bv1 WHEN bp1 = pb THEN bv1 - lb WHEN bp1 < pb THEN -lb END - CASE WHEN sp1 < ps THEN sv1 WHEN sp1 = ps THEN sv1 - ls WHEN sp1 > ps THEN -ls END",
-    "effective_spread": f"avg(price - mid) {W(20)}", "vol_diff": "1 / (1 + exp(-((bv1 - lb) - (sv1 - ls)) / 15)) - 0.5",
-    "vol_rank_imbalance": "len(list_filter(b60, lambda v: v <= bv1)) / CAST(len(b60) AS DOUBLE) - len(list_filter(s60, lambda v: v <= sv1)) / CAST(len(s60) AS DOUBLE)",
-    "vol_continue_increase_imbalance": f"(t - max(kb) {_PAST}) - (t - max(ks) {_PAST})",
+    "vol_slice_imbalance": "vi", "trade_price_imbalance": "tpi", "price_dist": f"(mid - avg(bid_part) {W(10)}) - (avg(ask_part) {W(10)} - mid)",
+    "active_buy_vol": "buy", "active_sell_vol": "sell", "active_buy_sell_imbalance": "(buy - sell) / (1 + vol)", "trade_price_vol_imbalance": "tpi * ln(1 + abs(buy - sell))",
+    "price_diff_40": f"coalesce(mid - lag(mid, 40) {H}, 0)", "price_diff_10": f"coalesce(mid - lag(mid, 60) {H}, 0)", "order_submit_ask": "ask_in", "order_submit_bid": "bid_in", "order_submit_imbalance": "ask_in - bid_in",
+    "vol_order_imbalance": "(bv1 - CASE WHEN bp1 = coalesce(pb, bp1) THEN coalesce(lb, bv1) WHEN bp1 < coalesce(pb, bp1) THEN coalesce(lb2, bv2) ELSE 0 END) - (sv1 - CASE WHEN sp1 = coalesce(ps, sp1) THEN coalesce(ls, sv1) WHEN sp1 > coalesce(ps, sp1) THEN coalesce(ls2, sv2) ELSE 0 END)",
+    "order_flow_imbalance": f"(CASE WHEN bp1 >= {_or0('pb')} THEN bv1 ELSE 0 END) - (CASE WHEN bp1 < {_or0('pb')} THEN {_or0('lb')} ELSE 0 END) - (CASE WHEN sp1 <= {_or0('ps')} THEN sv1 ELSE 0 END) + (CASE WHEN sp1 > {_or0('ps')} THEN {_or0('ls')} ELSE 0 END)",
+    "vol_slice_imbalance_div_std": "CASE WHEN sd = 0 THEN vi ELSE vi / sd END", "vol_time_series_imbalance": f"({_share('max', 'bv1', 10)}) - ({_share('max', 'sv1', 10)})",
+    "vol_conv": "coalesce(" + " + ".join(f"{w} * lag(vi, {8 - k}) {H}" for k, w in enumerate(_WEIGHTS)) + ", 0)",
+    "vol_diff": "1 / (1 + exp(-(db - ds) / 15)) - 0.5", "vol_time_series_min_imbalance": f"({_share('min', 'sv1', 40)}) - ({_share('min', 'bv1', 40)})", "vol_max_diff_imbalance": f"({_swing('sv1')}) - ({_swing('bv1')})",
+    "effective_spread": f"avg(last - mid) {W(20)}", "spread": "sp1 - bp1", "vol_rank_imbalance": f"{_rank('s60', 'sv1')} - {_rank('b60', 'bv1')}",
+    "vol_continue_increase_imbalance": f"({_run('db')}) - ({_run('ds')})", "exp_vol_continue_increase_imbalance": f"({_run('eb')}) - ({_run('es')})", "mid": "mid",
 }
+for _n in (20, 40, 60, 80, 100, 120):
+    _next = f"OVER (PARTITION BY code ORDER BY t ROWS BETWEEN 1 FOLLOWING AND {_n} FOLLOWING)"
+    _FUTURES |= {f"frt_{_n}": f"coalesce(lead(mid, {_n}) {H} - mid, 0)", f"log_frt_{_n}": f"coalesce(ln(lead(mid, {_n}) {H}) - ln(mid), 0)", f"frt_{_n}_abs": f"abs(coalesce(lead(mid, {_n}) {H} - mid, 0))"}
+    _FUTURES[f"mdf_frt_{_n}"] = f"coalesce(CASE WHEN lead(mid, {_n}) {H} IS NOT NULL THEN max(mid) {_next} + min(mid) {_next} - 2 * mid END, 0)"
 
 
 def _hour_bars(spark: SparkSession, folder: str) -> DataFrame:
@@ -244,7 +267,8 @@ SQL = {
     "flagship": _wrapped(f"{_MP}, {_IC.replace(' UNION ALL SELECT ' + chr(39) + 'volume' + chr(39) + ', trade_date, code, sb, label FROM m2', '')}", "factor, trade_date, n", ("ic", "rank_ic"), "ic"),
     "operators_moments": _wrapped(f"{_MP}, {_MOMENTS}", "code, t", {"ts_kurt": full(8, l_kurt("x")), "ts_skew": full(8, l_skew("x"))}, "m0"),
     "operators_rl": _wrapped(f"{_MP}, m0 AS (SELECT *, list(volume) {W(5)} AS l5 FROM panel)", "code, t", _RL, "m0"),
-    "futures_basic": _wrapped(_FT, "code, t", _FUTURES, "w1"),
+    "futures_factors": _wrapped(_FT, "code, t", _FUTURES, "w3"),
+    "futures_basic": _wrapped(_FT, "code, t", {n: _FUTURES[n] for n in _BASIC}, "w3"),
     "minute_jumps": _wrapped(_JUMPS, "code, trade_date", _JUMP_COLUMNS, "s"),
     "book_entropies": _wrapped(_ENTROPY, "code, minute", ("entropy_price", "entropy_volume", "mutual_information"), "e"),
     "book_last": _wrapped(_LAST, "code, trade_date", ("price", "bp5", "sv5"), "l"),
