@@ -16,135 +16,202 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.factors.recursion import _rolling, _shift, ewm, span
 
-EPS = 1e-9
+EPS, SMALL = 1e-9, 1e-5
 
 
-def _over(a: np.ndarray, b: np.ndarray, empty: float = np.nan) -> np.ndarray:
-    return np.where(np.abs(b) > EPS, a / np.where(np.abs(b) > EPS, b, 1), empty)
+def _window(x: np.ndarray, w: int) -> np.ndarray:
+    """The last w values of each row, NaN before the first."""
+    return np.lib.stride_tricks.sliding_window_view(np.concatenate((np.full(w - 1, np.nan), x)), w)
+
+
+def _count(x: np.ndarray, w: int) -> np.ndarray:
+    return (~np.isnan(_window(x, w))).sum(1)
 
 
 def _sum(x: np.ndarray, w: int) -> np.ndarray:
-    c = np.cumsum(np.nan_to_num(x))
-    return c - np.concatenate((np.zeros(min(w, len(c))), c[: max(len(c) - w, 0)]))
+    return np.where(_count(x, w) > 0, np.nansum(_window(x, w), 1), np.nan)
 
 
 def _mean(x: np.ndarray, w: int) -> np.ndarray:
-    return _sum(x, w) / np.maximum(_sum((~np.isnan(x)).astype(float), w), 1)
+    return _sum(x, w) / np.maximum(_count(x, w), 1)
+
+
+def _centred(x: np.ndarray, w: int) -> np.ndarray:
+    return _window(x, w) - _mean(x, w)[:, None]
 
 
 def _std(x: np.ndarray, w: int) -> np.ndarray:
-    return _rolling(lambda y: y.std(ddof=1) if len(y) > 1 else np.nan, x, w)
+    n = _count(x, w)
+    return np.where(n > 1, np.sqrt(np.nansum(_centred(x, w) ** 2, 1) / np.maximum(n - 1, 1)), np.nan)
+
+
+def _max(x: np.ndarray, w: int) -> np.ndarray:
+    return _rolling(np.max, x, w)
+
+
+def _min(x: np.ndarray, w: int) -> np.ndarray:
+    return _rolling(np.min, x, w)
+
+
+def _moment(x: np.ndarray, w: int, k: int) -> np.ndarray:
+    """Sample skewness (k 3) or excess kurtosis (k 4) of the last w values, bias-corrected; 0 where all are equal."""
+    d, n = _centred(x, w), _count(x, w).astype(float)
+    m2, mk = np.nansum(d**2, 1) / np.maximum(n, 1), np.nansum(d**k, 1) / np.maximum(n, 1)
+    flat = m2 < 1e-28
+    g = mk / np.where(flat, 1, m2) ** (k / 2)
+    fixed = g * np.sqrt(n * (n - 1)) / np.where(n > 2, n - 2, 1) if k == 3 else (n - 1) / np.where(n > 3, (n - 2) * (n - 3), 1) * ((n + 1) * (g - 3) + 6)
+    return np.where(n >= k, np.where(flat, 0.0, fixed), np.nan)
+
+
+def _corr(x: np.ndarray, y: np.ndarray, w: int) -> np.ndarray:
+    """Correlation of the last w pairs, of which two are needed; 0 where one of them does not vary."""
+    x, y = np.where(np.isnan(y), np.nan, x), np.where(np.isnan(x), np.nan, y)
+    a, b = _centred(x, w), _centred(y, w)
+    sx, sy = np.nansum(a * a, 1), np.nansum(b * b, 1)
+    varies = (sx > EPS) & (sy > EPS)
+    return np.where(_count(x, w) > 1, np.where(varies, np.nansum(a * b, 1) / np.sqrt(np.where(varies, sx * sy, 1)), 0.0), np.nan)
+
+
+def _unless_small(divisor: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """x, 0 where the divisor is at most EPS."""
+    return np.where(divisor <= EPS, 0.0, x)
+
+
+def _share(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(b) <= EPS, 0.0, a / b)
+
+
+def _or_own(x: np.ndarray) -> np.ndarray:
+    """The value before, the own one where there is none."""
+    before = _shift(x)
+    return np.where(np.isnan(before), x, before)
+
+
+def _true_range(h, low, c) -> np.ndarray:
+    p = _shift(c)
+    return np.fmax(h - low, np.fmax(np.abs(h - p), np.abs(low - p)))
 
 
 def osod(o, h, low, c, v) -> dict[str, np.ndarray]:
-    """Overbought and oversold: KDJ, bias, BR and AR, CCI."""
-    lo9, hi9 = _rolling(np.min, low, 9), _rolling(np.max, h, 9)
-    k = ewm(100 * _over(c - lo9, hi9 - lo9), 1 / 3)
+    """Overbought and oversold: KDJ, bias, BR and AR, CCI (against the close, not the typical price)."""
+    lo9, hi9 = _min(low, 9), _max(h, 9)
+    rsv = 100 * (c - lo9) / (hi9 - lo9 + SMALL)
+    k = ewm(np.where(np.isnan(rsv), 50.0, rsv), 1 / 3)
     d = ewm(k, 1 / 3)
     out = {"k": k, "d": d, "j": 3 * k - 2 * d}
     for w in (6, 12, 24):
-        out[f"bias_{w}"] = 100 * _over(c - _mean(c, w), _mean(c, w))
-    p = _shift(c)
+        out |= {f"ma_{w}": _mean(c, w), f"bias_{w}": 100 * (c - _mean(c, w)) / _mean(c, w)}
+    p = _or_own(c)
     for w in (7, 13, 26):
-        out[f"br_{w}"] = 100 * _over(_sum(np.maximum(h - p, 0), w), _sum(np.maximum(p - low, 0), w), 0.0)
-        out[f"ar_{w}"] = 100 * _over(_sum(h - o, w), _sum(o - low, w), 0.0)
+        out |= {f"br_{w}": 100 * _share(_sum(h - p, w), _sum(p - low, w)), f"ar_{w}": 100 * _share(_sum(h - o, w), _sum(o - low, w))}
     tp = (h + low + c) / 3
     for w in (5, 10, 20):
-        gap = _rolling(lambda y: np.abs(y - y.mean()).mean(), c, w)
-        out[f"cci_{w}"] = 100 * _over(tp - _mean(tp, w), gap)
+        mean = _mean(tp, w)
+        out[f"cci_{w}"] = 100 * (tp - mean) / (_mean(np.abs(c - mean), w) + SMALL)
     return out
 
 
 def energy(o, h, low, c, v) -> dict[str, np.ndarray]:
     """Directional movement, swing, strength, money flow."""
     p = _shift(c)
-    tr = np.fmax(h - low, np.fmax(np.abs(h - p), np.abs(low - p)))
-    up, down = h - _shift(h), _shift(low) - low
-    dmp, dmn = np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0)
+    tr = np.where(np.isnan(p), np.nan, _true_range(h, low, c))
+    rise, fall = np.maximum(h - _shift(h), 0), np.maximum(_shift(low) - low, 0)
+    dmp, dmn = np.where(rise > fall, rise, 0.0), np.where(rise < fall, fall, 0.0)
     atr = ewm(tr, span(14))
-    dip, din = 100 * _over(ewm(dmp, span(14)), atr), 100 * _over(ewm(dmn, span(14)), atr)
-    dx = 100 * _over(np.abs(dip - din), dip + din)
-    gain, loss = np.maximum(c - p, 0), np.maximum(p - c, 0)
-    ag, al = ewm(gain, 1 / 14), ewm(loss, 1 / 14)
-    tp = (h + low + c) / 3
-    flow = tp * v
-    pos, neg = _sum(np.where(tp > _shift(tp), flow, 0.0), 14), _sum(np.where(tp < _shift(tp), flow, 0.0), 14)
-    r = np.fmax(np.abs(h - p), np.abs(low - p))
-    si = _over(c - p + (c - o) / 2 + p - _shift(o), r, 0.0) * 50
-    bbi = (_mean(c, 3) + _mean(c, 6) + _mean(c, 12) + _mean(c, 24)) / 4
+    dip, din = 100 * ewm(dmp, span(14)) / atr, 100 * ewm(dmn, span(14)) / atr
+    dx = 100 * np.abs(dip - din) / (dip + din + SMALL)
+    lo9, hi9 = _min(low, 9), _max(h, 9)
+    swing = 0.5 * (hi9 - c) + 0.5 * (lo9 - c)
+    pr = hi9 - lo9 + swing
+    si = 15 * (c - _or_own(c) + swing) / (pr + SMALL)
+    ret = c / p - 1
+    gain, loss, up, down = np.maximum(ret, 0), np.maximum(-ret, 0), (ret > 0).astype(float), (ret < 0).astype(float)
+    ag, al = _sum(gain, 14) / (_sum(up, 14) + SMALL), _sum(loss, 14) / (_sum(down, 14) + SMALL)
+    flow = (h + low + c) / 3 * v
     return {
-        "atr": atr, "dip": dip, "din": din, "dx": dx, "adx": ewm(dx, span(14)), "asi": np.nancumsum(si), "avg_gain": ag, "avg_loss": al, "rsi": 100 * _over(ag, ag + al), "rsii": 100 * _over(_sum(gain, 14), _sum(gain, 14) + _sum(loss, 14)),
-        "mfi": 100 * _over(pos, pos + neg), "vr": 100 * _over(_sum(np.where(c > p, v, 0.0), 12), _sum(np.where(c < p, v, 0.0), 12)), "obv": np.nancumsum(np.sign(np.nan_to_num(c - p)) * v), "bbi": bbi,
+        "direction": np.sign(c - p), "tr": tr, "dmp": dmp, "dmn": dmn, "atr": atr, "dip": dip, "din": din, "dx": dx, "adx": ewm(dx, span(14)), "rsv": np.where(hi9 != lo9, 100 * (c - lo9) / (hi9 - lo9 + SMALL), 50.0),
+        "pr": pr, "si": si, "asi": np.nancumsum(si), "bbi": (_mean(c, 3) + _mean(c, 6) + _mean(c, 12) + _mean(c, 24)) / 4, "minute_ret": ret, "rsi": 100 - 100 / (1 + _mean(gain, 14) / (_mean(loss, 14) + SMALL)),
+        "avg_gain": ag, "avg_loss": al, "rsii": 100 * ag / (ag + al), "money_flow": flow, "mfi": 100 - 100 / (1 + _sum(flow * up, 14) / (_sum(flow * down, 14) + SMALL)), "vr": 100 * _sum(v * up, 12) / (_sum(v * down, 12) + SMALL),
+        "obv": np.nancumsum(np.sign(c - p) * v),
     }
 
 
 def terminal(o, h, low, c, v) -> dict[str, np.ndarray]:
     """Bands and channels: Bollinger, Keltner, mass, Donchian, adaptive line, CR."""
-    p = _shift(c)
     m, s = _mean(c, 20), _std(c, 20)
-    tr = np.fmax(h - low, np.fmax(np.abs(h - p), np.abs(low - p)))
-    center, atr = ewm(c, span(20)), ewm(tr, span(20))
-    hi, lo = _rolling(np.max, h, 20), _rolling(np.min, low, 20)
-    hl = h - low
-    mids = {"1": (2 * c + h + low) / 4, "2": (h + low + c + o) / 4, "3": (h + low) / 2, "4": (h + low + c) / 3}
-    out = {"boll_width": _over(4 * s, m), "boll_pos": _over(c - m, 2 * s), "kc_width": _over(4 * atr, center), "kc_pos": _over(c - center, 2 * atr), "mass": ewm(_over(hl, ewm(hl, span(9)) - ewm(hl, span(25))), span(25)), "dc_width": _over(hi - lo, c), "dc_pos": _over(c - lo, hi - lo)}
-    alpha = np.clip(np.nan_to_num(_over(np.abs(mids["1"] - m), m)), 0, 1)
-    line = np.empty(len(c))
+    hl, hc, lc = h - low, h - _shift(c), low - _shift(c)
+    if len(c) > 1:  # the first bar takes the second one's
+        hc[0], lc[0] = hc[1], lc[1]
+    center, atr = ewm(c, span(20)), ewm(np.fmax(hl, np.fmax(np.abs(hc), np.abs(lc))), span(20))
+    hi, lo = _max(h, 20), _min(low, 20)
+    out = {
+        "boll_middle": m, "boll_upper": m + 2 * s, "boll_lower": m - 2 * s, "boll_width": 4 * s / c, "boll_pos": (c - m + 2 * s) / (4 * s), "kc_upper": center + 2 * atr, "kc_lower": center - 2 * atr, "kc_width": 4 * atr / c, "kc_pos": (c - center + 2 * atr) / (4 * atr),
+        "mass": ewm(_finite(hl / (ewm(c, span(9)) - ewm(c, span(25)))), span(25)), "dc_upper": hi, "dc_lower": lo, "dc_width": (hi - lo) / c, "dc_pos": _unless_small(hi - lo, (c - lo) / (hi - lo)),
+    }
+    mids = {"1": (2 * c + h + low) / 4, "2": (h + low + c + o) / 4, "3": (h + low + c) / 3, "4": (h + low) / 2}
+    alpha = np.abs(mids["1"] - _mean(mids["1"], 20)) / _mean(mids["1"], 20)
+    line = np.zeros(len(c))
     for i in range(len(c)):
-        line[i] = c[i] if i == 0 or np.isnan(line[i - 1]) else line[i - 1] if np.isnan(c[i]) else alpha[i] * c[i] + (1 - alpha[i]) * line[i - 1]
+        line[i] = alpha[i] * c[i] + (1 - alpha[i]) * line[i - 1] if i else c[i]
     out |= {"alpha_xsii": alpha, "xsii": line}
     for name, mid in mids.items():
         q = _shift(mid)
-        out[f"cr{name}"] = 100 * _over(_sum(np.maximum(h - q, 0), 26), _sum(np.maximum(q - low, 0), 26))
+        out[f"cr{name}"] = 100 * _sum(h - q, 26) / (_sum(q - low, 26) + SMALL)
     return out
 
 
+def _finite(x: np.ndarray) -> np.ndarray:
+    return np.where(np.isfinite(x), x, np.nan)
+
+
 def kline(o, h, low, c, v) -> dict[str, np.ndarray]:
     """Trend: MACD, aroon, price and volume together, counts, volatility."""
     p = _shift(c)
     e12, e26 = ewm(c, span(12)), ewm(c, span(26))
     dif = e12 - e26
     dea = ewm(dif, span(9))
-    ret = _over(c - p, p)
-    pos = lambda f, x: _rolling(lambda y: 100 * (f(y) + 1) / len(y), x, 25)
-    signed = np.sign(np.nan_to_num(c - p)) * v
-    log2 = np.where((h > 0) & (low > 0), np.log(np.where(low > 0, h / np.where(low > 0, low, 1), 1)) ** 2, np.nan)
-    r30 = ewm(h - low, span(30))
-    up, down = np.where(ret > 0, ret, np.nan), np.where(ret < 0, ret, np.nan)
-    su, sd = np.nan_to_num(_std(up, 30)), np.nan_to_num(_std(down, 30))
-
-    def shape(k: int) -> np.ndarray:
-        def one(y: np.ndarray) -> float:
-            s = y.std()
-            return ((y - y.mean()) ** k).mean() / s**k - (3 if k == 4 else 0) if s > EPS else np.nan
-
-        return _rolling(one, ret, 30, 4)
-
-    skew, kurt = shape(3), shape(4)
+    slope, change = e12 - _shift(e12), c - p
+    ret = change / p
+    place = lambda f, x: np.array([100.0 * (f(y) + 1) / len(y) for y in (x[max(0, i - 24) : i + 1] for i in range(len(x)))])
+    strength, pv_corr = np.tanh(dif / _max(np.abs(dif), 60)), _corr(ret, _finite(v / _shift(v) - 1), 20)
+    up, down = place(np.argmax, h), place(np.argmin, low)
     gap = _mean(v, 12) - _mean(v, 26)
-    cv = _mean(c * v, 20) - _mean(c, 20) * _mean(v, 20)
+    signed = (c > p) * v - (c < p) * v
+    edit = _sum(signed, 20)
+    up_std, down_std = _std(np.where(change > 0, change, 0.0), 30), _std(np.where(change < 0, change, 0.0), 30)
+    filled = np.nan_to_num(ret)
+    skew, kurt = _moment(filled, 30, 3), _moment(filled, 30, 4)
+    r30 = ewm(h - low, span(30))
+    tp = (h + low + c) / 3
+    up_pen, down_pen = np.maximum(h - _shift(tp), 0), np.maximum(_shift(tp) - low, 0)
+    hist = dif - dea
     out = {
-        "macd_signal": dea, "macd_hist": 2 * (dif - dea), "macd_strength": np.tanh(_over(dif, _rolling(lambda y: np.abs(y).max(), dif, 60))), "macd_gap": np.tanh(_over(dif - dea, _rolling(lambda y: np.abs(y).mean(), dif, 30))),
-        "trend_momentum": np.tanh(dif * (e12 - _shift(e12))), "vmacd": gap - _mean(gap, 9), "aroon_up": pos(np.argmax, h), "aroon_down": pos(np.argmin, low), "pv_momentum": ret * _over(v, _shift(v)), "pv_corr": _over(cv, _std(c, 20) * _std(v, 20) + EPS),
-        "ret_skew": skew, "ret_kurt": kurt, "ret_skew_std": _std(skew, 30), "ret_kurt_std": _std(kurt, 30), "signed_vol": signed, "epi": _over(_sum(signed, 20), _sum(v, 20)), "up_count": _sum((ret > 0).astype(float), 30), "down_count": _sum((ret < 0).astype(float), 30),
-        "rvi": 100 * _over(su, su + sd), "vol_parkinson": np.sqrt(_mean(log2, 30) / (4 * np.log(2))), "chaikin_vol": _over(r30, _shift(r30, 30)) - 1,
+        "macd_signal": dea, "macd_hist": hist, "hist_slope": hist - _shift(hist, 5), "macd_strength": strength, "macd_gap": np.tanh(hist / _mean(np.abs(dif), 30)), "trend_momentum": np.tanh(dif * slope), "vmacd": gap - _mean(gap, 9),
+        "aroon_up": up, "aroon_down": down, "aroon_diff": up - down, "pv_momentum": ret * np.nan_to_num(v / _shift(v)), "pv_corr": pv_corr, "ema_slope": slope, "trend_energy": slope * v, "long_short_energy": strength * pv_corr,
+        "ret_skew": skew, "ret_skew_std": _std(skew, 30), "ret_kurt": kurt, "ret_kurt_std": _std(kurt, 30), "signed_vol": signed, "edit": edit, "epi": edit / (_sum(v, 20) + SMALL),
+        "up_count": _sum((c > p).astype(float), 30), "down_count": _sum((c < p).astype(float), 30), "up_std": up_std, "down_std": down_std, "rvi": 100 * up_std / (up_std + down_std + SMALL),
+        "vol_parkinson": np.log(h / low) ** 2 / (4 * np.log(2)), "chaikin_vol": 100 * (r30 - _shift(r30, 30)) / (_shift(r30, 30) + SMALL),
     }
     for w in (7, 13, 26):
-        top, bottom = _shift(_rolling(np.max, h, w)), _shift(_rolling(np.min, low, w))
         m = ewm(h - low, span(w))
-        out |= {f"ppr_{w}": _over(c - bottom, top - bottom), f"cvi_{w}": _over(m, _shift(m, w)) - 1, f"psy_{w}": 100 * _mean((ret > 0).astype(float), w)}
+        out |= {f"ppr_{w}": _share(_mean(up_pen, w), _mean(down_pen, w)), f"cvi_{w}": 100 * (m - _shift(m, w)) / m, f"psy_{w}": _inner_rises(c, w) / w * 100}
     return out
 
 
+def _inner_rises(c: np.ndarray, w: int) -> np.ndarray:
+    """How many changes within the last w values are rises: the first of them has none before it."""
+    rose = (np.diff(c, prepend=np.nan) > 0).astype(float)
+    return _sum(rose, w) - np.where(np.arange(len(c)) >= w, _shift(rose, w - 1), 0.0) if w > 1 else np.zeros(len(c))
+
+
 def klineshape(o, h, low, c, v) -> dict[str, np.ndarray]:
     """Candles: where they close, bodies, overlaps, gaps, distances from means and highs; a range of zero gives 0."""
-    hl, prange = h - low, _shift(h) - _shift(low)
-    where = _over(2 * c - h - low, hl, 0.0)
-    top = np.fmax.accumulate(h)
+    hl, h1, l1, c1 = h - low, _shift(h), _shift(low), _shift(c)
+    before, top, bottom, body, ma, high = h1 - l1, h - np.maximum(c, o), np.minimum(c, o) - low, c - o, _mean(c, 237), _max(h, 237)
     return {
-        "close_location": where, "close_loc_before": _shift(where), "candle_ratio": _over(np.abs(c - o), hl, 0.0), "candle_skew": _over(h + low - o - c, hl, 0.0), "body_candle_ratio": _over(np.abs(c - o), np.fmax(hl, 1e-3), 0.0), "doji": (np.abs(c - o) <= 0.1 * hl).astype(float),
-        "overlap_ratio": _over(np.maximum(np.fmin(h, _shift(h)) - np.fmax(low, _shift(low)), 0), prange, 0.0), "gap_ratio": _over(o - _shift(c), prange, 0.0), "close_position": _over(c - _shift(low), prange, 0.0), "open_position": _over(o - _shift(low), prange, 0.0),
-        "ma_bias": _over(c - _mean(c, 237), _mean(c, 237)), "mdd": _over(c - h, h), "cum_mmd": _over(c - top, top),
+        "close_location": _unless_small(hl, (h + low - 2 * c) / hl), "close_loc_before": _unless_small(before, (h1 + l1 - 2 * c) / before), "candle_ratio": _unless_small(bottom, top / bottom), "candle_skew": _unless_small(hl, (top - bottom) / hl),
+        "body_size": body, "body_candle_ratio": np.where(top + bottom <= EPS, body / 1e-3, body / (top + bottom)), "doji": _unless_small(hl, np.abs(body) / hl), "overlap_ratio": _unless_small(before, np.maximum(0, np.minimum(h, h1) - np.maximum(low, l1)) / before),
+        "gap_ratio": _unless_small(c1, (o - c1) / c1), "close_position": _unless_small(before, (c - l1) / before), "open_position": _unless_small(before, (o - l1) / before), "ma_bias": (c - ma) / (ma + SMALL), "mdd": 100 * (h - c) / h, "cum_mmd": 100 * (high - c) / high,
     }
 
 

@@ -33,11 +33,12 @@ def test_rolling_is_pandas(series):
 
 def test_recursive_factors_are_pandas(series):
     c = pd.Series(series)
-    out = recursions(series - 0.2, series + 1, series - 1, series, np.abs(series) * 3)
+    ret = c.diff() / c.shift(1)
+    out = recursions(series - 0.2, series + 1, series - 1, series, np.abs(series) * 3, ret.to_numpy(), np.full(len(c), 0.5))
     dif = c.ewm(span=12, adjust=False).mean() - c.ewm(span=26, adjust=False).mean()
     assert np.allclose(out["macd_dif"], dif, equal_nan=True)
     assert np.allclose(out["macd_hist"], 2 * (dif - dif.ewm(span=9, adjust=False).mean()), equal_nan=True)
-    gain, loss = c.diff().clip(lower=0).ewm(alpha=1 / 6, adjust=False).mean(), (-c.diff()).clip(lower=0).ewm(alpha=1 / 6, adjust=False).mean()
+    gain, loss = ret.clip(lower=0).ewm(span=6, adjust=False).mean(), (-ret).clip(lower=0).ewm(span=6, adjust=False).mean()
     assert np.allclose(out["rsi_6"], 100 * gain / (gain + loss), equal_nan=True)
 
 
