@@ -279,20 +279,25 @@ def cs_mean_distance(p: Panel, kind: float, *values: Value) -> Value:
     return mean_euclidean(p, *values)
 
 
-@operator("vvN")
-def cs_decompose(p: Panel, x: Value, y: Value, n: float = 4) -> Value:
-    """x times the sigmoid of y, clipped by median distances and scaled to 0 to 1."""
+@operator("vvNN")
+def cs_decompose(p: Panel, x: Value, y: Value, n: float = 4, act: str | int = "sigmoid") -> Value:
+    """x times the sigmoid (``act`` 0) or the hyperbolic tangent ("tanh" or 1) of y, clipped by median distances and scaled to 0 to 1."""
     from tessera.operators.registry import OPERATORS
 
     scaled = OPERATORS["cs_min_max_norm"].make(p, p.flat(cs_mad_winsorize(p, y, n)))
-    return p.each(lambda a, b: a / (1 + F.exp(-b)), x, scaled)
+    return p.each((lambda a, b: a * F.tanh(b)) if act in ("tanh", 1) else (lambda a, b: a / (1 + F.exp(-b))), x, scaled)
 
 
-def rank_cutpoints(total: int, groups: int, start: int = 1) -> list[int]:
-    """First ranks of equal groups, and one past the last."""
-    return [start + round(i * total / groups) for i in range(groups + 1)]
+def get_group_rank_cutpoint(total: int, groups: int, start: int = 1) -> tuple[list[int], list[int]]:
+    """(low, high): ranks above low up to high are a group; ``total`` // ``groups`` each, what remains in the last."""
+    step = total // groups
+    if step < 1:
+        raise ValueError("there are more groups than ranks")
+    high = [step * (i + 1) + start - 1 for i in range(groups - 1)]
+    return [step * i + start - 1 for i in range(groups)], [*high, total + start - 1]
 
 
-def quantile_cutpoints(groups: int) -> list[float]:
-    """Edges of shares for groups, -1 below the first."""
-    return [-1.0, *(i / groups for i in range(1, groups + 1))]
+def get_group_quantile_cutpoint(groups: int) -> tuple[list[float], list[float]]:
+    """(low, high): shares of the groups; the first begins at -1, so that 0 is within."""
+    step = 1 / groups
+    return [-1.0, *(step * i for i in range(1, groups))], [*(step * (i + 1) for i in range(groups - 1)), 1.0]

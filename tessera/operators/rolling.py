@@ -533,10 +533,17 @@ def _hawkes(p: Panel, x: Value, d: int, decay) -> Value:
 
 @operator("vvDDQNN", causal=False)
 def ts_adaptive_sampling(p: Panel, x: Value, y: Value, base_window: int = 20, state_window: int = 60, quantile_level: float = 0.7, trend_coef: float = 1.2, noise_coef: float = 0.8) -> Value:
-    """x held at trigger rows: where y reaches its rolling quantile, raised in calm and lowered in volatile stretches.
+    """x held at trigger rows: where y reaches a threshold, its quantile over the last ``state_window`` rows times two factors.
 
-    A stretch is volatile where the deviation of the last ``state_window`` rows exceeds the code's median deviation over its whole history.
+    One is ``trend_coef`` where the mean of the last ``base_window`` rows is above that of the last ``state_window``, else 1; the other
+    is ``trend_coef`` where the deviation of the last ``base_window`` rows is above the code's median of them over its whole
+    history, else ``noise_coef``. Before a window is full its first full value counts. Before the first trigger x is that of the first row.
     """
-    state = p.over(lambda b: p.full(state_window, F.stddev_samp(b).over(p.last(state_window))), y)
-    level = p.over(lambda b, s: p.full(base_window, F.percentile(b, F.lit(quantile_level)).over(p.last(base_window))) * F.when(s > F.percentile(s, F.lit(0.5)).over(p.across.partitionBy("code")), noise_coef).otherwise(trend_coef), y, state)
-    return p.over(lambda a, b, q: F.last(F.when(b >= q, a), ignorenulls=True).over(p.history.rowsBetween(Window.unboundedPreceding, 0)), x, y, level)
+    whole = lambda: p.history.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    started = lambda v: p.over(lambda c: F.coalesce(c, F.first(c, ignorenulls=True).over(whole())), v)
+    last = lambda f, d: started(p.over(lambda b: p.full(d, f(b).over(p.last(d))), y))
+    level = last(lambda b: F.percentile(b, F.lit(quantile_level)), state_window)
+    short, long, spread = last(F.avg, base_window), last(F.avg, state_window), last(F.stddev_samp, base_window)
+    calm = p.over(lambda s: F.percentile(s, F.lit(0.5)).over(p.across.partitionBy("code")), spread)
+    threshold = p.each(lambda q, a, b, s, m: q * F.when(a > b, trend_coef).otherwise(1.0) * F.when(s > m, trend_coef).otherwise(noise_coef), level, short, long, spread, calm)
+    return p.over(lambda a, b, q: F.coalesce(F.last(F.when(b >= q, a), ignorenulls=True).over(p.history.rowsBetween(Window.unboundedPreceding, 0)), F.first(a).over(whole())), x, y, threshold)

@@ -100,3 +100,50 @@ def test_components_and_least_squares():
 def test_hurst_of_noise_and_trend():
     rng = np.random.default_rng(0)
     assert 0.3 < grouped.hurst(rng.normal(size=512)) < 0.8 < grouped.hurst(np.arange(512.0))
+
+
+def test_garch_follows_its_likelihood():
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=80), rng.normal(size=80) ** 2 / 50
+    e2, theta = x * x, np.array([0.02, 0.15, 0.7, 0.1])
+    h, slopes = grouped._variance(theta, e2, [y])
+    plain = [theta[0] / (1 - theta[1] - theta[2])]
+    for t in range(1, 80):
+        plain.append(theta[0] + theta[1] * e2[t - 1] + theta[2] * plain[-1] + theta[3] * y[t - 1])
+    assert np.allclose(h, plain)
+    for i in range(4):
+        step = np.eye(4)[i] * 1e-6
+        assert np.allclose(slopes[i], (grouped._variance(theta + step, e2, [y])[0] - grouped._variance(theta - step, e2, [y])[0]) / 2e-6, rtol=1e-4, atol=1e-6)
+    loss = lambda h: (np.log(h) + e2 / h).sum()
+    first = grouped._variance(np.array([0.01, 0.1, 0.8]), e2, [])[0]
+    assert loss(grouped.ts_garch(x)) < loss(first)
+    assert len(grouped.ts_garch(x, y, y)) == 80 and grouped.ts_garch(np.zeros(0)).size == 0
+
+
+def test_fluctuations_rise_with_the_scale():
+    rng = np.random.default_rng(5)
+    walk, noise = np.cumsum(rng.normal(size=400)), rng.normal(size=400)
+    a, b = (grouped.ts_dfa(v, 10, 4, 2, 4, 8, 16) for v in (walk, noise))
+    assert np.nanmean(a[100:]) > np.nanmean(b[100:]) > 0 and (a[:14] == 0).all()
+
+
+def test_adaptive_sampling_by_a_loop(spark):
+    rng = np.random.default_rng(6)
+    x, y = rng.normal(size=40), rng.normal(size=40)
+    frame = spark.createDataFrame([("a", t, float(x[t]), float(y[t])) for t in range(40)], "code string, t int, x double, y double")
+    found = [r.v for r in evaluate(frame, {"v": "ts_adaptive_sampling(x, y, 5, 12)"}).orderBy("t").collect()]
+    full = lambda f, d: pd.Series([f(y[max(0, t - d + 1) : t + 1]) if t >= d - 1 else np.nan for t in range(40)]).bfill().to_numpy()
+    level, short, long, spread = full(lambda w: np.quantile(w, 0.7), 12), full(np.mean, 5), full(np.mean, 12), full(lambda w: w.std(ddof=1), 5)
+    edge = level * np.where(short > long, 1.2, 1.0) * np.where(spread > np.sort(spread)[19], 1.2, 0.8)
+    last, want = x[0], []
+    for t in range(40):
+        last = x[t] if y[t] >= edge[t] else last
+        want.append(last)
+    assert found == pytest.approx(want)
+
+
+def test_cut_points():
+    from tessera.operators.cross import get_group_quantile_cutpoint, get_group_rank_cutpoint
+
+    assert get_group_rank_cutpoint(11, 3) == ([0, 3, 6], [3, 6, 11]) and get_group_rank_cutpoint(10, 2, 4) == ([3, 8], [8, 13])
+    assert get_group_quantile_cutpoint(4) == ([-1.0, 0.25, 0.5, 0.75], [0.25, 0.5, 0.75, 1.0])
