@@ -360,6 +360,81 @@ _LAYERS = f"""
         CASE WHEN ret IS NOT NULL THEN list_sum(list_transform(list(ret) OVER (PARTITION BY t), lambda e: abs(e - ret))) / nullif(count(ret) {X} - 1, 0) END AS dist
       FROM panel))"""
 
+# statistics of lists over the same windows of eight rows (ret: x, volume: c, close: k)
+
+
+def l_cos(a: str, b: str) -> str:
+    size = lambda v: f"coalesce(list_sum(list_transform({v}, lambda e: e * e)), 0)"
+    return div(f"coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2])), 0)", f"(sqrt({size(a)}) * sqrt({size(b)}))")
+
+
+def l_running(a: str) -> str:
+    return f"list_transform(range(1, len({a}) + 1), lambda i: list_sum({a}[1:i]))"
+
+
+def l_ranks(a: str) -> str:
+    return f"list_transform(range(1, len({a}) + 1), lambda i: CASE WHEN {a}[i] IS NOT NULL THEN CAST(len(list_filter(range(1, len({a}) + 1), lambda j: {a}[j] < {a}[i] OR ({a}[j] = {a}[i] AND j <= i))) AS DOUBLE) END)"
+
+
+def l_shares(a: str, buckets: int = 10) -> str:
+    """The histogram of what is present, as shares; the largest value is in no bucket."""
+    low, span = f"list_min({a})", f"(list_max({a}) - list_min({a}))"
+    edge = lambda b: f"({low} + {span} * (CAST({b} AS DOUBLE) / {buckets}))"
+    return f"list_transform(range({buckets}), lambda b: CAST(len(list_filter({a}, lambda v: v >= {edge('b')} AND v < {edge('b + 1')} AND v < list_max({a}))) AS DOUBLE))"
+
+
+def l_part(a: str) -> str:
+    return f"list_transform({a}, lambda e: e / nullif(list_sum({a}), 0))"
+
+
+def l_sorted(a: str, by: str, sign: int) -> str:
+    """The list in the order of another one, missing cells as the means."""
+    cell = lambda v, i: f"coalesce({v}[{i}], list_avg({v}))"
+    return f"list_transform(list_sort(list_transform(range(1, len({a}) + 1), lambda i: {{'k': {sign} * {cell(by, 'i')}, 'i': i, 'x': {cell(a, 'i')}}})), lambda z: z.x)"
+
+
+_TAIL = "list_avg(list_transform(list_zip(x, c), lambda z: CASE WHEN {keep} THEN z[1] * abs(z[2]) / nullif(list_sum(list_transform(list_zip(x, c), lambda y: CASE WHEN {other} THEN abs(y[2]) END)), 0) END))"
+_PAIRED_X, _PAIRED_C = "list_transform(list_zip(x, c), lambda z: CASE WHEN z[2] IS NOT NULL THEN z[1] END)", "list_transform(list_zip(x, c), lambda z: CASE WHEN z[1] IS NOT NULL THEN z[2] END)"
+_power = lambda n: div(f"list_sum(list_transform(list_zip(dx, c), lambda z: power(z[1], {n}) * z[2]))", l_sum("c"))
+LISTS = {
+    "ts_kurt_selq": ("ts_kurt_selq(ret, volume, 8, 0.3, 0.8)", l_kurt("s")),
+    "ts_skew_diff_selq": ("ts_skew_diff_selq(ret, volume, 8, 0.3, 0.8)", f"({l_skew('a')}) - ({l_skew('b')})"),
+    "ts_kurt_diff_selq": ("ts_kurt_diff_selq(ret, volume, 8, 0.3, 0.8)", f"({l_kurt('a')}) - ({l_kurt('b')})"),
+    "ts_skew_flip": ("ts_skew_flip(ret, volume, 8, 0.3, 0.8)", f"({l_skew('x')}) - ({l_skew('f')})"),
+    "ts_kurt_flip": ("ts_kurt_flip(ret, volume, 8, 0.3, 0.8)", f"({l_kurt('x')}) - ({l_kurt('f')})"),
+    "ts_qua_flip": ("ts_qua_flip(ret, volume, 8, 0.5, 0.3, 0.8)", f"({div(l_quantile('dx', 0.5), 'list_avg(dx)')}) - ({div(l_quantile('f', 0.5), 'list_avg(f)')})"),
+    "ts_corr_flip": ("ts_corr_flip(ret, volume, 8, 0.3, 0.8)", l_cos("f", "dc")),
+    "ts_corr_selq": ("ts_corr_selq(ret, volume, 8, 0.3, 0.8)", l_cos(l_dev("s"), l_dev("cs"))),
+    "ts_cond_quantile_mean": ("ts_cond_quantile_mean(ret, volume, 8, 0.2, 0.8)", "list_avg(q)"),
+    "ts_cond_quantile_stddev": ("ts_cond_quantile_stddev(ret, volume, 8, 0.2, 0.8)", l_std("q")),
+    "ts_cond_quantile_skew": ("ts_cond_quantile_skew(ret, volume, 8, 0.2, 0.8)", l_skew("q")),
+    "ts_cond_quantile_kurt": ("ts_cond_quantile_kurt(ret, volume, 8, 0.2, 0.8)", l_kurt("q")),
+    "ts_cond_quantile_sum": ("ts_cond_quantile_sum(ret, volume, 8, 0.2, 0.8)", l_sum("q")),
+    "ts_cond_quantile_corr": ("ts_cond_quantile_corr(ret, volume, 8, 0.2, 0.8)", l_cos(l_dev("qx"), l_dev("q"))),
+    "ts_rankcorr": ("ts_rankcorr(ret, volume, 8)", l_cos(l_dev("rx"), l_dev("rc"))),
+    "ts_sumprod_selq": ("ts_sumprod_selq(ret, volume, close, 8, 0.3, 0.8)", "CASE WHEN whole AND len(list_filter(k, lambda e: e IS NOT NULL)) = 8 THEN coalesce(list_sum(list_transform(range(1, 9), lambda i: CASE WHEN k[i] >= list_aggregate(k, 'quantile_cont', 0.3) AND k[i] <= list_aggregate(k, 'quantile_cont', 0.8) THEN x[i] * c[i] END)), 0) / list_sum(c) END"),
+    "ts_spread_selq": ("ts_spread_selq(ret, volume, 8, 0.3, 0.3)", "list_avg(list_filter(x, lambda e: e >= cut_hi)) - list_avg(list_filter(x, lambda e: e <= cut_lo))"),
+    "ts_spreadw_selq": ("ts_spreadw_selq(ret, volume, 8, 0.3, 0.3)", f"{_TAIL.format(keep='z[1] >= cut_hi', other='y[1] >= cut_hi')} - {_TAIL.format(keep='z[1] <= cut_lo', other='y[1] <= cut_lo')}"),
+    "ts_triple_corr": ("ts_triple_corr(ret, volume, close, 8)", "CASE WHEN sqrt(list_sum(list_transform(dx, lambda e: e * e))) >= 1e-9 AND sqrt(list_sum(list_transform(dc, lambda e: e * e))) >= 1e-9 THEN coalesce(list_sum(list_transform(range(1, 9), lambda i: dx[i] * dc[i] * dk[i])), 0) / nullif(sqrt(list_sum(list_transform(dx, lambda e: e * e))) * sqrt(list_sum(list_transform(dc, lambda e: e * e))) * sqrt(list_sum(list_transform(dk, lambda e: e * e))), 0) END"),
+    "ts_weighted_skew": ("ts_weighted_skew(ret, volume, 8)", f"list_avg(list_transform(list_zip(px, pc), lambda z: z[2] / nullif(list_sum(pc), 0) * power(z[1] - list_avg(px), 3))) / nullif(power({l_std('px')}, 3), 0)"),
+    "ts_weighted_kurt": ("ts_weighted_kurt(ret, volume, 8)", f"{div(f'({_power(4)})', f'(({_power(2)}) * ({_power(2)}))')} - 3"),
+    "ts_entropy": ("ts_entropy(close, 8)", "CASE WHEN list_sum(hk) > 0 THEN -coalesce(list_sum(list_transform(hk, lambda e: e / list_sum(hk) * log2(e / list_sum(hk) + 1e-9))), 0) / 10 + log2(10) END"),
+    "ts_cross_entropy": ("ts_cross_entropy(close, volume, 8)", "-coalesce(list_sum(list_transform(list_zip(hk, hc), lambda z: z[1] / nullif(list_sum(hk), 0) * log2(z[2] / nullif(list_sum(hc), 0) + 1e-9))), 0) / 10 + log2(10)"),
+    "ts_kl_diverg": ("ts_kl_diverg(close, volume, 8)", "coalesce(list_sum(list_transform(list_zip(hk, hc), lambda z: z[1] / nullif(list_sum(hk), 0) * (log2(z[1] / nullif(list_sum(hk), 0) + 1e-8) - log2(z[2] / nullif(list_sum(hc), 0) + 1e-8)))), 0) / 10"),
+    "ts_sort_diffcumsum": ("ts_sort_diffcumsum(ret, volume, 8)", "list_sum(list_transform(list_zip(up, down), lambda z: z[1] - z[2]))"),
+    "ts_sort_diff_tailsubhead": ("ts_sort_diff_tailsubhead(ret, volume, 8)", "list_avg(list_transform(list_zip(up[1:4], down[1:4]), lambda z: z[1] - z[2])) - list_avg(list_transform(list_zip(up[5:8], down[5:8]), lambda z: z[1] - z[2]))"),
+    "ts_ewmstd": ("ts_ewmstd(close, 8)", f"sqrt({SELECTED['ts_ewmv'][1]})"),
+    "ts_hurst": ("ts_hurst(close, 8)", f"CASE WHEN sqrt(list_sum(list_transform(dk, lambda e: e * e)) / 7) >= 1e-9 THEN ln(nullif(list_max(pk) - list_min(pk), 0) / sqrt(list_sum(list_transform(dk, lambda e: e * e)) / 7)) / ln(8) END"),
+}
+_LISTED_1 = f"""
+  SELECT *, {l_dev('x')} AS dx, {l_dev('c')} AS dc, {l_dev('k')} AS dk, {_BAND.format(x='c', keep=_IN)} AS cs, {l_ranks('x')} AS rx, {l_ranks('c')} AS rc, {_PAIRED_X} AS px, {_PAIRED_C} AS pc,
+    {l_shares('k')} AS hk, {l_shares('c')} AS hc, {l_sorted('x', 'c', 1)} AS ascending, {l_sorted('x', 'c', -1)} AS descending,
+    list_sort(list_filter(list_transform(range(1, 9), lambda i: {{'c': c[i], 'i': i, 'x': x[i]}}), lambda z: z.c IS NOT NULL)) AS by_c FROM ({_BANDS})"""
+_INNER = "list_transform(list_zip({0}, rx), lambda z: CASE WHEN z[2] / len(list_filter(x, lambda e: e IS NOT NULL)) >= 0.2 AND z[2] / len(list_filter(x, lambda e: e IS NOT NULL)) <= 0.8 THEN z[1] END)"
+_LISTED = f"""
+  SELECT *, {_INNER.format('c')} AS q, {_INNER.format('x')} AS qx, {l_running('ascending')} AS up, {l_running('descending')} AS down, by_c[2].x AS cut_lo, by_c[len(by_c) - 1].x AS cut_hi,
+    list_transform(range(1, len(dk) + 1), lambda i: CASE WHEN dk[i] IS NOT NULL THEN list_sum(dk[1:i]) END) AS pk FROM ({_LISTED_1})"""
+
 # the last occurrence of the row structs above needs the first row of equals: smallest t for both extremes
 ROLLING["ts_argmin"] = ("ts_argmin(close, 5)", full(5, f"(t - (min(CASE WHEN close IS NOT NULL THEN {{'v': close, 't': t}} END) {W(5)}).t + 1) / 5.0"))
 ROLLING["ts_argmax"] = ("ts_argmax(close, 5)", full(5, f"(t - (min(CASE WHEN close IS NOT NULL THEN {{'v': -close, 't': t}} END) {W(5)}).t + 1) / 5.0"))
@@ -374,9 +449,10 @@ FAMILIES: dict[str, tuple[dict[str, tuple[str, str]], str]] = {
     "operators_selected": (SELECTED, _BANDS),
     "operators_across": (ACROSS, _PLAIN),
     "operators_layered": (LAYERED, _LAYERS),
+    "operators_lists": (LISTS, _LISTED),
 }
 #: Of these operators warm-up rows are NULL in SQL too.
-_WARM = {"operators_pairs": 8, "operators_selected": 8}
+_WARM = {"operators_pairs": 8, "operators_selected": 8, "operators_lists": 8}
 _NO_WARM_UP = {"ts_sum_selq"}
 
 
