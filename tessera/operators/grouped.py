@@ -383,22 +383,22 @@ def mean_euclidean(p: Panel, *values: Value) -> Value:
     return p.kernel(compute, *values, by="t")
 
 
-def _with_all_others(p: Panel, cells: Value, d: int) -> Value:
-    """The mean over the other codes of the correlation of windows: with unit vectors, their sum says it all."""
+def _with_all(p: Panel, cells: Value, d: int) -> Value:
+    """The mean over all codes, the own one included, of the correlation of windows: with unit vectors, their sum says it all."""
     from tessera.functions import arrays as A
 
     dev = p.flat(Value(A.demeaned(cells.column), True, cells.depth))
     unit = p.each(lambda v: F.when(A.count(v) == d, F.transform(v, lambda e: ratio(e, F.sqrt(A.total(F.transform(v, lambda k: k * k)))))), dev)
     unit = p.flat(Value(unit.column, True, unit.depth))
     both = p.over(lambda u: F.struct(F.array(*(F.sum(F.get(u, F.lit(k))).over(p.across) for k in range(d))).alias("s"), F.count(F.get(u, F.lit(0))).over(p.across).alias("n")), unit)
-    return p.each(lambda u, s: F.when(F.get(u, F.lit(0)).isNotNull(), F.try_divide(A.total(F.zip_with(u, s["s"], lambda a, b: a * b)) - 1, F.nullif(s["n"] - 1, F.lit(0)))), unit, p.flat(both))
+    return p.each(lambda u, s: F.when(F.get(u, F.lit(0)).isNotNull(), F.try_divide(A.total(F.zip_with(u, s["s"], lambda a, b: a * b)), F.nullif(s["n"], F.lit(0)))), unit, p.flat(both))
 
 
 @operator("vd", search=True)
 def cs_marketcorr(p: Panel, x: Value, d: int) -> Value:
-    """The mean correlation of a code's last d rows with those of all others."""
+    """The mean correlation of a code's last d rows with those of all codes (1 with its own)."""
     (cells,) = p.array(int(d), x)
-    return p.each(lambda c: p.full(int(d), c), _with_all_others(p, cells, int(d)))
+    return p.each(lambda c: p.full(int(d), c), _with_all(p, cells, int(d)))
 
 
 @operator("vd", causal=False)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -393,6 +394,12 @@ def l_sorted(a: str, by: str, sign: int) -> str:
     return f"list_transform(list_sort(list_transform(range(1, len({a}) + 1), lambda i: {{'k': {sign} * {cell(by, 'i')}, 'i': i, 'x': {cell(a, 'i')}}})), lambda z: z.x)"
 
 
+def _corr_of(a: str, b: str) -> str:
+    """Of lists of deviations; missing where one does not vary."""
+    size = lambda v: f"sqrt(list_sum(list_transform({v}, lambda e: e * e)))"
+    return f"(CASE WHEN {size(a)} > 1e-9 AND {size(b)} > 1e-9 THEN coalesce(list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2])), 0) / ({size(a)} * {size(b)}) END)"
+
+
 _TAIL = "list_avg(list_transform(list_zip(x, c), lambda z: CASE WHEN {keep} THEN z[1] * abs(z[2]) / nullif(list_sum(list_transform(list_zip(x, c), lambda y: CASE WHEN {other} THEN abs(y[2]) END)), 0) END))"
 _PAIRED_X, _PAIRED_C = "list_transform(list_zip(x, c), lambda z: CASE WHEN z[2] IS NOT NULL THEN z[1] END)", "list_transform(list_zip(x, c), lambda z: CASE WHEN z[1] IS NOT NULL THEN z[2] END)"
 _power = lambda n: div(f"list_sum(list_transform(list_zip(dx, c), lambda z: power(z[1], {n}) * z[2]))", l_sum("c"))
@@ -423,6 +430,7 @@ LISTS = {
     "ts_kl_diverg": ("ts_kl_diverg(close, volume, 8)", "coalesce(list_sum(list_transform(list_zip(hk, hc), lambda z: z[1] / nullif(list_sum(hk), 0) * (log2(z[1] / nullif(list_sum(hk), 0) + 1e-8) - log2(z[2] / nullif(list_sum(hc), 0) + 1e-8)))), 0) / 10"),
     "ts_sort_diffcumsum": ("ts_sort_diffcumsum(ret, volume, 8)", "list_sum(list_transform(list_zip(up, down), lambda z: z[1] - z[2]))"),
     "ts_sort_diff_tailsubhead": ("ts_sort_diff_tailsubhead(ret, volume, 8)", "list_avg(list_transform(list_zip(up[1:4], down[1:4]), lambda z: z[1] - z[2])) - list_avg(list_transform(list_zip(up[5:8], down[5:8]), lambda z: z[1] - z[2]))"),
+    "ts_partial_corr": ("ts_partial_corr(ret, volume, close, 8)", div(f"({_corr_of('dx', 'dc')}) - ({_corr_of('dx', 'dk')}) * ({_corr_of('dc', 'dk')})", f"sqrt(greatest((1 - power({_corr_of('dx', 'dk')}, 2)) * (1 - power({_corr_of('dc', 'dk')}, 2)), 0))")),
     "ts_ewmstd": ("ts_ewmstd(close, 8)", f"sqrt({SELECTED['ts_ewmv'][1]})"),
     "ts_hurst": ("ts_hurst(close, 8)", f"CASE WHEN sqrt(list_sum(list_transform(dk, lambda e: e * e)) / 7) >= 1e-9 THEN ln(nullif(list_max(pk) - list_min(pk), 0) / sqrt(list_sum(list_transform(dk, lambda e: e * e)) / 7)) / ln(8) END"),
 }
@@ -435,6 +443,124 @@ _LISTED = f"""
   SELECT *, {_INNER.format('c')} AS q, {_INNER.format('x')} AS qx, {l_running('ascending')} AS up, {l_running('descending')} AS down, by_c[2].x AS cut_lo, by_c[len(by_c) - 1].x AS cut_hi,
     list_transform(range(1, len(dk) + 1), lambda i: CASE WHEN dk[i] IS NOT NULL THEN list_sum(dk[1:i]) END) AS pk FROM ({_LISTED_1})"""
 
+# rows against earlier ones
+
+
+def _acf(k: int) -> str:
+    return _corr_of(l_dev("k"), l_dev(f"k{k}"))
+
+
+_LX = [math.log(k) for k in (1, 2, 3)]
+_ACF_WEIGHTS = [(x - sum(_LX) / 3) / sum((y - sum(_LX) / 3) ** 2 for y in _LX) for x in _LX]
+_ALPHA5, _BETA5 = f"least(greatest(var_samp(z) {W(5)}, 1e-8), 1e4)", f"least(greatest(1.0 / nullif(avg(z) {W(5)} + 1e-8, 0), 1e-8), 1e4)"
+_EARLY5 = f"CASE WHEN t = 0 THEN z ELSE avg(z) OVER (PARTITION BY code ORDER BY t ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END"
+
+
+def l_filled(a: str) -> str:
+    return f"list_transform({a}, lambda e: coalesce(e, list_avg({a})))"
+
+
+def _hawkes(weight: Callable[[int], str]) -> str:
+    excited = " + ".join(f"coalesce({lag('z', k) if k else 'z'}, 0) * ({weight(k)})" for k in range(5))
+    return f"CASE WHEN t < 4 THEN {_EARLY5} ELSE least(greatest(avg(z) {W(5)} + {_ALPHA5} * ({excited}), 0), 1e4) END"
+
+
+def _first_slope(x: str, d: int) -> str:
+    return full(d, f"coalesce(sum(t * {x}) {W(d)} - avg({x}) {W(d)} * sum(CASE WHEN {x} IS NOT NULL THEN t END) {W(d)}, 0) / nullif(var_pop({x}) {W(d)} * count({x}) {W(d)}, 0)")
+
+
+def _quadratic(d: int) -> str:
+    """The linear coefficient of the least-squares parabola over 0 to d - 1 times its R2, by normal equations in exact fractions."""
+    from fractions import Fraction as Q
+
+    rows = [[Q(k) ** i for i in range(3)] for k in range(d)]
+    gram = [[sum(r[i] * r[j] for r in rows) for j in range(3)] + [Q(int(i == j)) for j in range(3)] for i in range(3)]
+    for i in range(3):  # Gauss-Jordan
+        gram[i] = [v / gram[i][i] for v in gram[i]]
+        for j in range(3):
+            if j != i:
+                gram[j] = [v - gram[j][i] * w for v, w in zip(gram[j], gram[i], strict=True)]
+    solve = [[sum(gram[i][3 + j] * r[j] for j in range(3)) for r in rows] for i in range(3)]
+    dot = lambda weights: "(" + " + ".join(f"{float(w)!r} * l{k}" for k, w in enumerate(weights)) + ")"
+    fit = lambda k: dot([sum(rows[k][i] * solve[i][j] for i in range(3)) for j in range(d)])
+    mean = f"(({' + '.join(f'l{k}' for k in range(d))}) / {d})"
+    rest, whole = (f"({' + '.join(f'power(l{k} - {of(k)}, 2)' for k in range(d))})" for of in (fit, lambda k: mean))
+    return f"{dot(solve[1])} * (1 - ({div(rest, whole)}))"
+
+
+_FIRST_FULL = "OVER (PARTITION BY code ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+_start = lambda x: f"coalesce({x}, first_value({x} IGNORE NULLS) {_FIRST_FULL})"
+BEFORE = {
+    "ts_autocorr": ("ts_autocorr(close, 8, 1)", full(8, _acf(1))),
+    "ts_autocos": ("ts_autocos(close, 8, 1)", full(8, div(f"coalesce(sum(close * c1) {W(8)}, 0)", f"(sqrt(sum(close * close) {W(8)}) * sqrt(sum(c1 * c1) {W(8)}))"))),
+    "ts_autocorr_reg": ("ts_autocorr_reg(close, 8, 3)", full(11, " + ".join(f"{_acf(k)} * {w!r}" for k, w in zip((1, 2, 3), _ACF_WEIGHTS, strict=True)))),
+    "ts_first_deriv": ("ts_first_deriv(close, 6)", _first_slope("close", 6)),
+    "ts_second_deriv": ("ts_second_deriv(close, 4)", full(7, _first_slope("slope4", 4))),
+    "ts_hawkes_exp": ("ts_hawkes_pred_exp_fast(ret, 5)", _hawkes(lambda k: f"exp(-({_BETA5}) * {k})")),
+    "ts_hawkes_power": ("ts_hawkes_pred_powerlaw_fast(ret, 5)", _hawkes(lambda k: repr((k + 1) ** -1.5))),
+    "ts_mad_med": ("ts_mad_med(close, 6)", full(6, l_median("away6"))),
+    "ts_poly2_trend": ("ts_poly2_trend(close, 8)", full(8, _quadratic(8))),
+    "ts_demean_sum": ("ts_demean_sum(close, 5)", full(5, f"CASE WHEN count(close) {W(5)} > 0 THEN 0.0 END")),
+    "ts_adaptive_sampling": ("ts_adaptive_sampling(ret, volume, 10, 20)", f"coalesce(last_value(CASE WHEN volume >= edge THEN ret END IGNORE NULLS) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING), first_value(ret) {_FIRST_FULL})"),
+    "ts_newey_west_se": ("ts_newey_west_se(volume, close, 8)", "CASE WHEN t >= 7 THEN " + f"sqrt(greatest(nw0 + 2 * (1 - 1 / 3.0) * nw1 + 2 * (1 - 2 / 3.0) * nw2, 0)) / nwx END"),
+}
+_BEFORE_1 = f"""
+  SELECT *, {", ".join(f"lag(close, {k}) {H} AS c{k}" for k in (1, 2, 3))}, coalesce(ret, 0) AS z, {_first_slope("close", 4)} AS slope4, {", ".join(f"{lag('close', 7 - k) if k < 7 else 'close'} AS l{k}" for k in range(8))},
+    {full(6, l_median(lst(6, "close")))} AS med6, {full(20, f"quantile_cont(volume, 0.7) {W(20)}")} AS q20, {full(10, f"avg(volume) {W(10)}")} AS a10, {full(20, f"avg(volume) {W(20)}")} AS a20, {full(10, f"stddev_samp(volume) {W(10)}")} AS s10 FROM panel"""
+_BEFORE_2 = f"""SELECT *, {lst(8, "close")} AS k, {", ".join(f"{lst(8, f'c{k}')} AS k{k}" for k in (1, 2, 3))}, abs(close - med6) AS away, {_start("q20")} AS q, {_start("a10")} AS short, {_start("a20")} AS long, {_start("s10")} AS spread,
+  {l_filled(lst(8, "volume"))} AS v, {l_filled(lst(8, "close"))} AS kf FROM ({_BEFORE_1})"""
+_BEFORE_3 = f"""SELECT *, {lst(6, "away")} AS away6, q * CASE WHEN short > long THEN 1.2 ELSE 1.0 END * CASE WHEN spread > quantile_cont(spread, 0.5) OVER (PARTITION BY code) THEN 1.2 ELSE 0.8 END AS edge,
+  {l_dev("v")} AS dv, {l_dev("kf")} AS dk FROM ({_BEFORE_2})"""
+_SLOPE = "(list_sum(list_transform(list_zip(dv, dk), lambda z: z[1] * z[2])) / list_sum(list_transform(dv, lambda e: e * e)))"
+_BEFORE_4 = f"""SELECT *, list_transform(range(1, len(dv) + 1), lambda i: dv[i] * (dk[i] - {_SLOPE} * dv[i])) AS u, list_sum(list_transform(dv, lambda e: e * e)) AS nwx FROM ({_BEFORE_3})"""
+_BEFORE = "SELECT *, " + ", ".join(f"coalesce(list_sum(list_transform(range({k + 1}, len(u) + 1), lambda i: u[i] * u[i - {k}])), 0) AS nw{k}" for k in range(3)) + f" FROM ({_BEFORE_4})"
+
+# codes against each other
+_TMED = lambda x: f"list_sort(list({x}) FILTER (WHERE {x} IS NOT NULL) {X})[(count({x}) {X} + 1) // 2]"
+_ORTH = f"(fr - ({div(f'sum(fr * fv) {X}', f'(sum(fv * fv) {X})')}) * fv)"
+_proj = lambda of, on: f"({div(f'sum({of} * {on}) {X}', f'(sum({on} * {on}) {X})')}) * {on}"
+_row = lambda a, b, w: div(f"covar_pop({a}, {b}) {w}", f"(stddev_pop(CASE WHEN {b} IS NOT NULL THEN {a} END) {w} * stddev_pop(CASE WHEN {a} IS NOT NULL THEN {b} END) {w})")
+_ALL_CODES, _OWN = "OVER (PARTITION BY t)", "OVER (PARTITION BY code)"
+_whole = lambda a, b, w: f"count({a}) {w} = count(*) {w} AND count({b}) {w} = count(*) {w}"
+_SCALED = f"CASE WHEN max(vw) {X} - min(vw) {X} <= 1e-9 THEN CASE WHEN vw IS NOT NULL THEN 0.5 END ELSE (vw - min(vw) {X}) / (max(vw) {X} - min(vw) {X}) END"
+CROSSED = {
+    "cs_orth_sub": ("cs_orth_sub(ret, volume)", f"volume - {_ORTH}"),
+    "cs_orth_mul": ("cs_orth_mul(ret, volume)", f"volume * {_ORTH}"),
+    "cs_orth_div": ("cs_orth_div(ret, volume)", div("volume", _ORTH)),
+    "cs_schmidt": ("cs_schmidt(close, volume, ret)", f"close - {_proj('close', 'volume')} - {_proj('close', 'ret')}"),
+    "cs_schmidt_sum": ("cs_schmidt_sum(volume, close)", f"volume + close - {_proj('close', 'volume')}"),
+    "cs_rank_mad": ("cs_rank_mad(close)", f"CASE WHEN cr IS NOT NULL THEN least(greatest(cr, crm - 3 * 1.4826 * {_TMED('crd')}), crm + 3 * 1.4826 * {_TMED('crd')}) END"),
+    "cs_group_rank_neutralize": ("cs_group_rank_neutralize(close, volume, 5)", "dgr / max(dgr) OVER (PARTITION BY t, vb)"),
+    "cs_decompose": ("cs_decompose(close, volume)", f"close / (1 + exp(-({_SCALED})))"),
+    "cs_decompose_tanh": ("cs_decompose(close, volume, 4, 1)", f"close * tanh({_SCALED})"),
+    "corr_row": ("corr_row(high, volume)", f"CASE WHEN {_whole('high', 'volume', _ALL_CODES)} THEN {_row('high', 'volume', _ALL_CODES)} END"),
+    "corr_col": ("corr_col(high, volume)", f"CASE WHEN {_whole('high', 'volume', _OWN)} THEN {_row('high', 'volume', _OWN)} END"),
+    "adj_cs_corr": ("adj_cs_corr(close, volume)", "(SELECT avg(r) / stddev_pop(r) FROM (SELECT t, corr(close, volume) AS r FROM panel GROUP BY t) WHERE r IS NOT NULL)"),
+    "cs_marketcorr": ("cs_marketcorr(close, 6)", "mc"),
+    "cs_marketcorr2": ("cs_marketcorr2(close, 6)", "coalesce(first_value(mce IGNORE NULLS) OVER (PARTITION BY code ORDER BY t ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING), last_value(mce IGNORE NULLS) OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING))"),
+    "cs_marketcorrw": ("cs_marketcorrw(ret, close)", "(SELECT nullif(sum(o.ret * m.c), 0) FROM panel o JOIN pairs m ON m.b = o.code WHERE o.t = base.t AND m.a = base.code)"),
+    "cs_mean_distance_1": ("cs_mean_distance(1, close, volume)", "d_close + d_volume"),
+    "cs_mean_distance_2": ("cs_mean_distance(2, close, volume)", "(SELECT sum(sqrt(power(o.close - base.close, 2) + power(o.volume - base.volume, 2))) / (count(*) - 1) / 2 FROM panel o WHERE o.t = base.t AND o.close IS NOT NULL AND o.volume IS NOT NULL AND base.close IS NOT NULL AND base.volume IS NOT NULL)"),
+    "fill_with_mean": ("fill_with_mean(close)", f"coalesce(close, avg(close) {X})"),
+    "cs_group_demean_2": ("cs_group_demean_2(close, sector)", "close - avg(close) OVER (PARTITION BY t, sector)"),
+    "get_e_tensor": ("get_e_tensor(ret, 2.5)", "CAST(2.5 AS DOUBLE)"),
+    "max": ("max(high, ret)", "CASE WHEN high IS NOT NULL AND ret IS NOT NULL THEN greatest(high, ret) END"),
+    "min": ("min(low, ret)", "CASE WHEN low IS NOT NULL AND ret IS NOT NULL THEN least(low, ret) END"),
+}
+_away = lambda x: f"list_sum(list_transform(list({x}) {X}, lambda e: abs(e - {x}))) / nullif(count({x}) {X} - 1, 0)"
+_CROSS_1 = f"""
+  SELECT *, coalesce(ret, avg(ret) OVER ()) AS fr, coalesce(volume, avg(volume) OVER ()) AS fv, CASE WHEN close IS NOT NULL THEN row_number() OVER (PARTITION BY t ORDER BY close NULLS LAST, code) END / CAST(count(close) {X} AS DOUBLE) AS cr,
+    {_TMED("volume")} AS vmed, CASE WHEN volume IS NOT NULL THEN {" + ".join(f"CASE WHEN volume > quantile_cont(volume, {k / 5}) {X} THEN 1 ELSE 0 END" for k in range(1, 5))} END AS vb, {lst(6, "close")} AS six,
+    CASE WHEN close IS NOT NULL THEN {_away("close")} END AS d_close, CASE WHEN volume IS NOT NULL THEN {_away("volume")} END AS d_volume, count(close) {W(6)} = 6 AND t >= 5 AS all6 FROM panel"""
+_CROSS_2 = f"""SELECT *, {_TMED("cr")} AS crm, abs(volume - vmed) AS vaway, CASE WHEN close IS NOT NULL AND vb IS NOT NULL THEN CAST(dense_rank() OVER (PARTITION BY t, vb ORDER BY close NULLS LAST) AS DOUBLE) END AS dgr,
+  CASE WHEN all6 AND list_aggregate(six, 'stddev_pop') * sqrt(6) > 1e-9 THEN list_transform(six, lambda e: (e - list_avg(six)) / (list_aggregate(six, 'stddev_pop') * sqrt(6))) END AS unit FROM ({_CROSS_1})"""
+_CROSS_3 = f"""SELECT *, abs(cr - crm) AS crd, CASE WHEN volume IS NOT NULL THEN least(greatest(volume, vmed - 4 * {_TMED("vaway")}), vmed + 4 * {_TMED("vaway")}) END AS vw,
+  ({" + ".join(f"unit[{k}] * sum(unit[{k}]) {X}" for k in range(1, 7))}) / count(unit) {X} AS mc FROM ({_CROSS_2})"""
+_CROSSED = f"SELECT *, CASE WHEN (t + 1) % 6 = 0 THEN mc END AS mce FROM ({_CROSS_3})"
+_MARKETS = ("cs_marketcorr", "cs_marketcorr2", "cs_marketcorrw", "cs_mean_distance_1", "cs_mean_distance_2")
+#: Correlations of all pairs of codes over the whole history.
+_PAIRS = f"""pairs AS (SELECT x.code AS a, y.code AS b, {div("covar_pop(x.close, y.close)", "(stddev_pop(CASE WHEN y.close IS NOT NULL THEN x.close END) * stddev_pop(CASE WHEN x.close IS NOT NULL THEN y.close END))")} AS c FROM panel x JOIN panel y ON x.t = y.t GROUP BY ALL)"""
+
 # the last occurrence of the row structs above needs the first row of equals: smallest t for both extremes
 ROLLING["ts_argmin"] = ("ts_argmin(close, 5)", full(5, f"(t - (min(CASE WHEN close IS NOT NULL THEN {{'v': close, 't': t}} END) {W(5)}).t + 1) / 5.0"))
 ROLLING["ts_argmax"] = ("ts_argmax(close, 5)", full(5, f"(t - (min(CASE WHEN close IS NOT NULL THEN {{'v': -close, 't': t}} END) {W(5)}).t + 1) / 5.0"))
@@ -450,6 +576,9 @@ FAMILIES: dict[str, tuple[dict[str, tuple[str, str]], str]] = {
     "operators_across": (ACROSS, _PLAIN),
     "operators_layered": (LAYERED, _LAYERS),
     "operators_lists": (LISTS, _LISTED),
+    "operators_before": (BEFORE, _BEFORE),
+    "operators_crossed": ({k: v for k, v in CROSSED.items() if k not in _MARKETS}, _CROSSED),
+    "operators_markets": ({k: CROSSED[k] for k in _MARKETS}, _CROSSED),
 }
 #: Of these operators warm-up rows are NULL in SQL too.
 _WARM = {"operators_pairs": 8, "operators_selected": 8, "operators_lists": 8}
@@ -471,7 +600,7 @@ def _cell(name: str, e: str, warm: int) -> str:
 def _sql(columns: dict[str, tuple[str, str]], base: str, warm: int) -> str:
     cells = ",\n  ".join(_cell(name, e, warm) for name, (_, e) in columns.items())
     outer = ",\n  ".join(name if name[:2] == "b_" else f"{rounded_sql(name)} AS {name}" for name in columns)
-    return f"WITH {MONTH_PANEL_SQL},\nbase AS ({base}),\ncells AS (SELECT code, t,\n  {cells}\nFROM base)\nSELECT code, t,\n  {outer}\nFROM cells"
+    return f"WITH {MONTH_PANEL_SQL},\n{_PAIRS + ", " if "cs_marketcorrw" in columns else ""}base AS ({base}),\ncells AS (SELECT code, t,\n  {cells}\nFROM base)\nSELECT code, t,\n  {outer}\nFROM cells"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(columns) for name, (columns, _) in FAMILIES.items()}

@@ -26,18 +26,10 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 #: Operators whose kernels or conventions SQL doesn't express; their values are tested against numpy.
 KERNELS = {
-    "ts_ema": "ts_ema(close, 5)", "supersmoother": "ts_supersmoother_filter(close, 10, 5)", "garch": "ts_garch(ret)", "garch_x": "ts_garch(ret, ret, ret)", "hurst": "rs_Hurst(close)", "block_hurst": "ts_rs_Hurst(close, 24)", "window_hurst": "ts_hurst(close, 12)", "apen": "ts_apen(close, 2, 12)", "dfa": "ts_dfa(close, 6, 3, 2, 3, 4, 5)",
+    "ts_ema": "ts_ema(close, 5)", "supersmoother": "ts_supersmoother_filter(close, 10, 5)", "garch": "ts_garch(ret)", "garch_x": "ts_garch(ret, ret, ret)", "hurst": "rs_Hurst(close)", "block_hurst": "ts_rs_Hurst(close, 24)", "apen": "ts_apen(close, 2, 12)", "dfa": "ts_dfa(close, 6, 3, 2, 3, 4, 5)",
     "gmm_1m": "ts_gmm_1stmean(close, 12)", "gmm_1s": "ts_gmm_1ststd(close, 12)", "gmm_2m": "ts_gmm_2ndmean(close, 12)", "gmm_2s": "ts_gmm_2ndstd(close, 12)", "multi_sse": "ts_multiregsse(close, 10, volume, high)", "multi_r2": "ts_multiregrsquare(close, 10, volume, high)", "multi_f": "ts_multiregfvalue(close, 10, volume, high)",
     "multi_beta": "ts_multiregbeta(close, 10, volume, high)", "multi_alpha": "ts_multireg_alpha(close, 10, volume, high)", "ols_1": "ts_multiregression_getparams(close, volume, 10, 1)", "ols_2d": "ts_multireg_2d(volume, high, close, 10, 1)", "var_1": "ts_VAR_get_params(close, 12, 2, 1)", "ridge": "ts_ridgeregression_pred(close, volume, 10)", "ridge_rest": "ts_ridgeregression_res(close, volume, 10)",
-    "nw": "ts_reg_NWbetase(volume, close, 12)", "cs_multi": "cs_multireg_pred(close, volume, high)", "cs_pca": "cs_PCA(0, close, volume, ret)", "cs_euclid": "cs_mean_distance(2, close, volume)", "cs_manhattan": "cs_mean_distance(1, close, volume)",
-}
-WINDOWED = {
-    "marketcorr": "cs_marketcorr(close, 6)", "marketcorr2": "cs_marketcorr2(close, 6)", "marketcorrw": "cs_marketcorrw(ret, close)", "kurt_selq": "ts_kurt_selq(ret, volume, 12, 0.2, 0.9)", "skew_diff": "ts_skew_diff_selq(ret, volume, 12, 0.4, 0.6)", "kurt_diff": "ts_kurt_diff_selq(ret, volume, 12, 0.4, 0.6)", "skew_flip": "ts_skew_flip(ret, volume, 12, 0.2, 0.8)", "kurt_flip": "ts_kurt_flip(ret, volume, 12, 0.2, 0.8)",
-    "qua_flip": "ts_qua_flip(ret, volume, 12, 0.5, 0.2, 0.8)", "corr_flip": "ts_corr_flip(ret, volume, 12, 0.2, 0.8)", "corr_selq": "ts_corr_selq(ret, volume, 12, 0.2, 0.8)", "cond_mean": "ts_cond_quantile_mean(ret, volume, 8, 0.2, 0.8)", "cond_std": "ts_cond_quantile_stddev(ret, volume, 8, 0.2, 0.8)", "cond_skew": "ts_cond_quantile_skew(ret, volume, 8, 0.2, 0.8)", "cond_kurt": "ts_cond_quantile_kurt(ret, volume, 8, 0.2, 0.8)",
-    "cond_corr": "ts_cond_quantile_corr(ret, volume, 8, 0.2, 0.8)", "cond_sum": "ts_cond_quantile_sum(ret, volume, 8, 0.2, 0.8)", "sumprod": "ts_sumprod_selq(ret, volume, close, 8, 0.2, 0.8)", "spread_selq": "ts_spread_selq(ret, volume, 8, 0.3, 0.3)", "spreadw_selq": "ts_spreadw_selq(ret, volume, 8, 0.3, 0.3)", "rankcorr": "ts_rankcorr(ret, volume, 8)", "triple": "ts_triple_corr(ret, volume, close, 8)", "partial": "ts_partial_corr(ret, volume, close, 8)",
-    "wskew": "ts_weighted_skew(ret, volume, 8)", "wkurt": "ts_weighted_kurt(ret, volume, 8)", "entropy": "ts_entropy(close, 12)", "cross_entropy": "ts_cross_entropy(close, volume, 12)", "kl": "ts_kl_diverg(close, volume, 12)", "sort_cum": "ts_sort_diffcumsum(ret, volume, 8)", "sort_tail": "ts_sort_diff_tailsubhead(ret, volume, 8)", "mad_med": "ts_mad_med(close, 6)", "ewmstd": "ts_ewmstd(close, 6)", "poly2": "ts_poly2_trend(close, 8)",
-    "hawkes": "ts_hawkes_pred_exp_fast(ret, 5)", "hawkes_p": "ts_hawkes_pred_powerlaw_fast(ret, 5)", "adaptive": "ts_adaptive_sampling(ret, volume, 10, 20)", "acf_reg": "ts_autocorr_reg(close, 20, 3)", "acf": "ts_autocorr(close, 8, 1)", "acos": "ts_autocos(close, 8, 1)", "deriv": "ts_first_deriv(close, 6)", "deriv2": "ts_second_deriv(close, 4)", "rank_mad": "cs_rank_mad(close)", "neutral": "cs_group_rank_neutralize(close, volume, 5)", "schmidt": "cs_schmidt(close, volume, ret)", "schmidt_sum": "cs_schmidt_sum(volume, close)",
-    "decompose": "cs_decompose(close, volume)", "decompose_tanh": "cs_decompose(close, volume, 4, 1)", "corr_row": "corr_row(high, volume)", "corr_col": "corr_col(high, volume)", "adj_corr": "adj_cs_corr(close, volume)", "orth_sub": "cs_orth_sub(ret, volume)", "orth_mul": "cs_orth_mul(ret, volume)", "orth_div": "cs_orth_div(ret, volume)", "demean_sum": "ts_demean_sum(close, 5)",
+    "cs_multi": "cs_multireg_pred(close, volume, high)", "cs_pca": "cs_PCA(0, close, volume, ret)",
 }
 STRUCTURED = {"loop": "loop_max_min(ret)", "sorted": "sort_by_another(ret, volume, 5)", "group_mean": "cs_group_mean(close, ret, 5)", "head": "cs_head_mean(close, ret, 5, 5)"}
 
@@ -46,11 +38,6 @@ def operators_kernels(spark: SparkSession, folder: str) -> DataFrame:
     return expressions(month_panel(spark, folder), KERNELS)
 
 
-def _part(k: int):
-    """Every fifth of the windowed operators, from the k-th on: plans stay small."""
-    return lambda spark, folder: expressions(month_panel(spark, folder), dict(list(WINDOWED.items())[k::5]))
-
-
 def operators_structured(spark: SparkSession, folder: str) -> DataFrame:
     """Operators with structs and arrays for results."""
     return expressions(month_panel(spark, folder), STRUCTURED)
@@ -261,7 +248,6 @@ def book_last(spark: SparkSession, folder: str) -> DataFrame:
 _LAST = f"{_BOOK}, m AS (SELECT *, CAST(date_trunc('month', trade_date) AS DATE) AS d FROM book), l AS (SELECT code, d AS trade_date, arg_max_null(price, seq) AS price, arg_max_null(bp5, seq) AS bp5, arg_max_null(sv5, seq) AS sv5 FROM m GROUP BY code, d)"
 
 QUERIES = {f.__name__: f for f in (flagship, operators_kernels, operators_structured, operators_moments, operators_rl, futures_factors, futures_basic, minute_families, minute_jumps, book_components, book_entropies, book_last, event_backtest, study_exposure, study_panel, study_regression, expression_search)}
-QUERIES |= {f"operators_windowed_{k + 1}": _part(k) for k in range(5)}
 _MP = MONTH_PANEL_SQL
 SQL = {
     "flagship": _wrapped(f"{_MP}, {_IC.replace(' UNION ALL SELECT ' + chr(39) + 'volume' + chr(39) + ', trade_date, code, sb, label FROM m2', '')}", "factor, trade_date, n", ("ic", "rank_ic"), "ic"),
