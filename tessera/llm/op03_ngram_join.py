@@ -1,26 +1,28 @@
 """Exact n-gram Jaccard self-join: global order, prefix filter, and a trie walked once per group of candidates.
 
-1. Shingle frequencies go into a table of fixed size (``SLOTS`` counters, summed over
-   the whole corpus). The global order of shingles is (class of the counter, hash):
+1. Shingle frequencies go into a table of counters whose number follows the corpus (one for ``BYTES`` bytes of
+   text, within ``SLOTS``), summed over the whole corpus. The global order of shingles is (class of the counter, hash):
    whatever is frequent comes last, so that no prefix list is hot.
 2. Equal sets are one set from here on. Sets that reach the threshold share a shingle
    of their prefixes; shingles that only one prefix holds are dropped.
 3. Within each list of a shared shingle, sizes and parity bitmaps (a lower bound of
    the symmetric difference) leave out pairs that cannot reach the threshold. What
    survives are clusters. Clusters that overlap make a block; a block of at most
-   ``SPLIT`` sets goes to one task, once. A larger one goes cluster by cluster.
+   ``SPLIT`` sets and ``ELEMENTS`` shingles goes to one task, once. A larger one goes cluster by cluster.
 4. The sets of each, in the global order, go into a trie. The walk carries the
    overlaps that all sets below a node share and cuts subtrees whose sizes can't reach
    the required overlap. Links within a component found so far are not searched again.
 5. Connected components by star rounds.
 
-Lists longer than ``SPLIT`` are dealt as pairs of blocks to different tasks; every pair
-of members still meets in one of them.
+Lists of more than ``SPLIT`` members, or of sets with more than ``ELEMENTS`` shingles together, are dealt as pairs of blocks to different tasks; every pair
+of members still meets in one of them. Shingles are compared as 64-bit hashes: among m distinct shingles of two texts a
+false match has odds of m * m / 2**65, 3e-12 for ten thousand, and moves a size by one.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,10 +34,10 @@ from tessera.llm.components import components
 from tessera.llm.shared import added_up, bloom_of, in_bloom, staged
 from tessera.llm.wordhash import SPACED, shingles, words
 
-#: Counters of the frequency table, in PIECES pieces.
-SLOTS, PIECES = 1 << 18, 16
-#: Members of a list that one task takes at most.
-SPLIT = 2048
+#: Bits of the number of counters, at least and at most; bytes of text for each; pieces in which they are added up.
+SLOTS, BYTES, PIECES = (18, 24), 128, 16
+#: Members of a list that one task takes at most, and shingles of their sets.
+SPLIT, ELEMENTS = 2048, 4 << 20
 #: Bits of a set's parity bitmap: the power of two that is half its size or more, and so many at least.
 LEAST_BITS = 512
 
@@ -53,16 +55,17 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     sets = staged(docs.mapInArrow(_prefixes(order, k, percent), "doc_id long, sid binary, n_shingles long, prefix array<long>, parity binary"))
     distinct = sets.where("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("prefix").alias("prefix"), F.first("parity").alias("parity"))
     distinct = staged(distinct.withColumn("rid", F.monotonically_increasing_id()))
-    tokens = distinct.select("rid", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.count("*").alias("members")).where("members > 1")
-    lists = tokens.join(shared, "token").join(distinct.select("rid", "n", "parity"), "rid")
+    tokens = distinct.select("rid", "n", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.count("*").alias("members"), F.sum("n").alias("elements")).where("members > 1")
+    lists = tokens.drop("n").join(shared, "token").join(distinct.select("rid", "n", "parity"), "rid")
     clusters = staged(_clusters(lists, percent))
     first = clusters.groupBy("cluster").agg(F.min("rid").alias("b"))
     block = components(clusters.join(first, "cluster").select(F.col("rid").alias("a"), "b")).withColumnRenamed("root", "block")
-    size = block.groupBy("block").agg(F.count("*").alias("size"))
-    block = staged(block.join(size, "block").select(F.col("node").alias("rid"), "block", "size"))
-    groups_ = block.where(F.col("size") <= SPLIT).select("rid", F.xxhash64(F.lit("block"), "block").alias("cluster"))
-    groups_ = groups_.union(clusters.join(block.where(F.col("size") > SPLIT), "rid", "left_semi").select("rid", F.xxhash64(F.lit("cluster"), "cluster")))
+    block = block.join(distinct.select(F.col("rid").alias("node"), "n"), "node")
+    size = block.groupBy("block").agg(((F.count("*") <= SPLIT) & (F.sum("n") <= ELEMENTS)).alias("small"))
+    block = staged(block.join(size, "block").select(F.col("node").alias("rid"), "block", "small"))
+    groups_ = block.where("small").select("rid", F.xxhash64(F.lit("block"), "block").alias("cluster"))
+    groups_ = groups_.union(clusters.join(block.where("not small"), "rid", "left_semi").select("rid", F.xxhash64(F.lit("cluster"), "cluster")))
     wanted = groups_.join(distinct.select("rid", F.col("sid").alias("its"), F.col("doc_id").alias("d")), "rid")
     bloom = bloom_of(wanted.where("d is not null").select("d"))
     full = docs.mapInArrow(_whole_sets(order, k, bloom), "doc_id long, sid binary, shingles binary")
@@ -78,18 +81,23 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
 
 def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
-    """The class of each counter: the bit length of its count."""
+    """The class of each counter: the bit length of its count. A counter is named by the highest bits of a shingle's hash."""
+    text = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(max(int(text // BYTES).bit_length(), SLOTS[0]), SLOTS[1])
+    slots, shift = 1 << bits, np.uint64(64 - bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(SLOTS, np.int64)
+        table = np.zeros(slots, np.int64)
         for b in batches:
             for w in words(b.column(0), SPACED):
-                table += np.bincount((shingles(w, k)[0] >> np.uint64(46)).astype(np.int64), minlength=SLOTS)
+                at, n = np.unique(shingles(w, k)[0] >> shift, return_counts=True)
+                table[at] += n
         if table.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(PIECES), pa.int32()), pa.array([x.tobytes() for x in table.reshape(PIECES, -1)], pa.binary())], ["piece", "sums"])
+            for i, x in enumerate(table.reshape(PIECES, -1)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["piece", "sums"])
 
     total = added_up(docs.select("text").mapInArrow(count, "piece int, sums binary"), PIECES)
-    total = total if len(total) else np.zeros(SLOTS, np.int64)
+    total = total if len(total) else np.zeros(slots, np.int64)
     base = max(1.0, 2 * total.mean())
     return np.ceil(np.log2(np.maximum(total / base, 1))).astype(np.uint8)
 
@@ -97,7 +105,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
 def _ordered(order: np.ndarray, found: np.ndarray) -> np.ndarray:
     """Distinct shingles in the global order."""
     u = np.unique(found)
-    return u[np.argsort(order[u >> np.uint64(46)], kind="stable")]
+    return u[np.argsort(order[u >> np.uint64(64 - (len(order) - 1).bit_length())], kind="stable")]
 
 
 def _sets(batch: pa.RecordBatch, order: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -213,10 +221,10 @@ class _Parities:
 
 def _clusters(lists: DataFrame, percent: int) -> DataFrame:
     """(cluster, rid): the members of each shingle's list that some other member may reach."""
-    parts = F.ceil(F.col("members") / SPLIT).cast("int")
+    parts = F.greatest(F.ceil(F.col("members") / SPLIT), F.least(F.ceil(F.col("elements") / ELEMENTS), F.col("members"))).cast("int")
     mine = F.pmod(F.xxhash64("rid"), parts).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.struct(F.least(mine, j).alias("i"), F.greatest(mine, j).alias("j")))
-    dealt = lists.withColumn("pair", F.explode(F.when(F.col("members") > SPLIT, pairs).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
+    dealt = lists.withColumn("pair", F.explode(F.when(parts > 1, pairs).otherwise(F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"))))))
     dealt = dealt.select(F.xxhash64("token", "pair.i", "pair.j").alias("list"), "token", "rid", "n", "parity")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

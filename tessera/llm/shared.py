@@ -131,17 +131,17 @@ def in_bloom(bloom: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def added_up(rows: DataFrame, pieces: int) -> np.ndarray:
-    """Sums the int64 arrays in (piece int, sums binary) by piece on the executors; the driver gets the fixed-size total."""
+    """Sums the compressed int64 arrays in (piece int, sums binary) by piece on the executors; the driver gets the total, whose size its caller bounds."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have: dict[int, np.ndarray] = {}
         for b in batches:
             for i, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(raw, np.int64)
+                part = np.frombuffer(zlib.decompress(raw), np.int64)
                 have[i] = have[i] + part if i in have else part
         if have:
-            yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([v.tobytes() for v in have.values()], pa.binary())], ["piece", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(have), pa.int32()), pa.array([zlib.compress(v.tobytes(), 1) for v in have.values()], pa.binary())], ["piece", "sums"])
 
-    found = {r.piece: np.frombuffer(r.sums, np.int64) for r in rows.repartition(pieces, "piece").mapInArrow(total, "piece int, sums binary").collect()}
+    found = {r.piece: np.frombuffer(zlib.decompress(r.sums), np.int64) for r in rows.repartition(pieces, "piece").mapInArrow(total, "piece int, sums binary").collect()}
     one = next(iter(found.values()), np.zeros(0, np.int64))
     return np.concatenate([found.get(i, np.zeros_like(one)) for i in range(pieces)])

@@ -96,8 +96,9 @@ def test_ngram_join(docs, k, percent):
     assert found == brute_components(rows, k, percent)
 
 
-def test_ngram_join_splits_long_lists(docs, monkeypatch):
-    monkeypatch.setattr("tessera.llm.op03_ngram_join.SPLIT", 3)
+@pytest.mark.parametrize(("name", "value"), [("SPLIT", 3), ("ELEMENTS", 60), ("SLOTS", (8, 8))])
+def test_ngram_join_splits_long_lists(docs, monkeypatch, name, value):
+    monkeypatch.setattr(f"tessera.llm.op03_ngram_join.{name}", value)
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert collections.Counter(map(tuple, ngram_join(docs, 3, 80).collect())) == brute_components(rows, 3, 80)
 
