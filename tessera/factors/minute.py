@@ -280,64 +280,101 @@ def snapshot(frame: DataFrame, *keys: str, suffix: str = "_min") -> DataFrame:
 
 
 def components(x: np.ndarray, n: int = 2, clip: float = 1e6) -> np.ndarray:
-    """Scores on the first n axes of an uncentred decomposition, over their deviation; each axis's largest loading is positive."""
-    x = np.nan_to_num(x)
-    _, _, axes = np.linalg.svd(x, full_matrices=False)
-    axes = axes[:n] * np.sign(axes[:n, np.abs(axes[:n]).argmax(1)].diagonal() if len(axes) >= n else 1)[:, None]
-    scores = x @ axes.T
-    return np.clip(scores / np.where(scores.std(0) > EPS, scores.std(0), 1), -clip, clip)
+    """Scores on the first n axes of columns scaled by their deviation, not centred; each axis's largest loading is positive.
+
+    Cells beyond ``clip`` count as it, missing ones as 0; a column that doesn't vary counts as 0.
+    """
+    x = np.clip(np.where(np.isfinite(x), x, 0.0), -clip, clip)
+    out = np.zeros((len(x), n))
+    std = x.std(0) if len(x) else np.zeros(x.shape[1])
+    if (std < 1e-12).all():
+        return out
+    scaled = np.where(std > 1e-12, x / np.where(std > 1e-12, std, 1), 0.0)
+    _, _, axes = np.linalg.svd(scaled, full_matrices=False)
+    axes = axes[:n] * np.sign(np.take_along_axis(axes[:n], np.abs(axes[:n]).argmax(1)[:, None], 1))
+    out[:, : len(axes)] = scaled @ axes.T
+    return out
 
 
 def partial_least_squares(x: np.ndarray, y: np.ndarray, n: int = 2) -> np.ndarray:
-    """x-scores of n steps of partial least squares of y on x (NIPALS, one target)."""
-    x = np.nan_to_num(x)
-    x, y = x - x.mean(0), np.nan_to_num(y) - np.nan_to_num(y).mean()
+    """x-scores of n steps of partial least squares of y on x, columns centred and scaled (sample deviation); each weight vector's largest entry is positive.
+
+    Missing cells count as 0; fewer than three rows give 0.
+    """
     out = np.zeros((len(x), n))
+    if len(x) < 3:
+        return out
+    x, y = np.nan_to_num(x), np.nan_to_num(y)
+    x, y = x - x.mean(0), y - y.mean()
+    x, y = x / np.where(x.std(0, ddof=1) > 0, x.std(0, ddof=1), 1), y / (y.std(ddof=1) or 1)
     for k in range(n):
         w = x.T @ y
         size = np.linalg.norm(w)
-        if size < EPS:
+        if size < 1e-12:
             break
-        t = x @ (w / size)
+        w = w / size * (np.sign(w[np.abs(w).argmax()]))
+        t = x @ w
         out[:, k] = t
-        denominator = t @ t or 1.0
-        x = x - np.outer(t, x.T @ t / denominator)
-        y = y - t * (t @ y) / denominator
+        inner = t @ t or 1.0
+        x = x - np.outer(t, x.T @ t / inner)
+        y = y - t * (t @ y) / inner
     return out
 
 
 def strongest_frequencies(x: np.ndarray, window: int = 25, keep: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, last) of each window rebuilt from its ``keep`` strongest frequencies."""
+    """(mean, last) of each window (shorter ones at the start) rebuilt from the ``keep`` strongest terms of its Fourier transform; of equals the later ones."""
     mean, last = np.full(len(x), np.nan), np.full(len(x), np.nan)
-    filled = np.nan_to_num(x)
-    for i in range(window - 1, len(x)):
-        f = np.fft.rfft(filled[i - window + 1 : i + 1])
-        f[np.argsort(np.abs(f))[:-keep]] = 0
-        y = np.fft.irfft(f, window)
+    for i in range(len(x)):
+        f = np.fft.fft(x[max(0, i - window + 1) : i + 1])
+        if np.isnan(f).any():
+            continue
+        f[np.argsort(np.abs(f) ** 2, kind="stable")[: max(0, len(f) - keep)]] = 0
+        y = np.fft.ifft(f).real
         mean[i], last[i] = y.mean(), y[-1]
     return mean, last
 
 
+def domains(level: Callable[[str], np.ndarray]) -> dict[str, np.ndarray]:
+    """Columns of the book by what they say: shares of the sizes, imbalance of the first levels together, price steps per size, contrasts of neighbouring levels.
+
+    ``level`` gives a column of the book by name (bp1, ...).
+    """
+    sizes = {s: np.stack([level(f"{s}v{i}") for i in range(1, 6)], 1) for s in "bs"}
+    prices = {s: np.stack([level(f"{s}p{i}") for i in range(1, 6)], 1) for s in "bs"}
+    so_far = {s: np.cumsum(v, 1) for s, v in sizes.items()}
+    out = {f"order_{s}v": v / (v.sum(1, keepdims=True) + SMALL) for s, v in sizes.items()}
+    out["imb"] = (so_far["b"] - so_far["s"]) / (so_far["b"] + so_far["s"] + SMALL)
+    for s, label in (("b", "bid"), ("s", "ask")):
+        v, p = sizes[s], prices[s]
+        out[f"{label}_slope"] = (p - p[:, :1]) / (so_far[s] - v[:, :1] + SMALL)
+        out[f"{label}_diff"] = (v[:, :-1] - v[:, 1:]) / (v[:, :-1] + v[:, 1:] + SMALL)
+    return out
+
+
+DOMAINS = ("order_bv", "order_sv", "imb", "bid_slope", "ask_slope", "bid_diff", "ask_diff")
+
+
 def book_components(book: DataFrame, *keys: str) -> DataFrame:
-    """(keys, t, pca_1, pca_2, pls_1, pls_2, fft_mean, fft_last) of the five-level volumes: components over the day, and against the next change of the mid (which looks ahead)."""
+    """(keys, t, pca_domain_k, pls_domain_k, fft_mean, fft_last) of a day's five-level book: two components of each of ``DOMAINS`` over the day, and two against the
+    next change of the mid (which looks ahead); the total size rebuilt from its strongest frequencies. One task per group of ``keys`` (code, trade_date)."""
     keys = keys or ("code", "trade_date")
-    sizes = [f"{s}{i}" for s in ("bv", "sv") for i in range(1, 6)]
-    out = ["pca_1", "pca_2", "pls_1", "pls_2", "fft_mean", "fft_last"]
-    narrow = book.select(*keys, "t", "bp1", "sp1", *sizes)
+    names = [f"{s}{k}{i}" for s in "bs" for k in "pv" for i in range(1, 6)]
+    out = [f"{kind}_{d}_{k}" for kind in ("pca", "pls") for d in DOMAINS for k in (1, 2)] + ["fft_mean", "fft_last"]
+    narrow = book.select(*keys, "t", *names)
     schema = StructType([*narrow.select(*keys, "t").schema.fields, *(StructField(n, DoubleType()) for n in out)])
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by("t")
-        x = np.stack([table.column(c).cast(pa.float64()).to_numpy() for c in sizes], 1)
-        mid = (table.column("bp1").to_numpy() + table.column("sp1").to_numpy()) / 2
-        ahead = np.concatenate((np.diff(mid), [0.0]))
-        share = x / np.maximum(x.sum(1, keepdims=True), EPS)
-        mean, last = strongest_frequencies(x.sum(1))
-        found = np.concatenate((components(share), partial_least_squares(share, ahead), mean[:, None], last[:, None]), 1)
+        columns = {c: table.column(c).cast(pa.float64()).to_numpy().astype(float) for c in names}
+        mid = (columns["bp1"] + columns["sp1"]) / 2
+        ahead = np.append(np.diff(mid), np.nan)
+        by_domain = domains(columns.__getitem__)
+        found = [components(by_domain[d]) for d in DOMAINS] + [partial_least_squares(by_domain[d], ahead) for d in DOMAINS]
+        mean, last = strongest_frequencies(sum(columns[f"{s}v{i}"] for s in "bs" for i in range(1, 6)))
+        values = np.concatenate([*found, mean[:, None], last[:, None]], 1)
         base = table.select([*keys, "t"])
         for i, n in enumerate(out):
-            v = found[:, i]
-            base = base.append_column(n, pa.array(v, pa.float64(), mask=~np.isfinite(v)))
+            base = base.append_column(n, pa.array(values[:, i], pa.float64(), mask=~np.isfinite(values[:, i])))
         return base
 
     return narrow.groupBy(*keys).applyInArrow(run, schema)

@@ -1,7 +1,7 @@
 """The event backtest: a fold over dates for each strategy, many strategies in parallel.
 
-Spark prepares one row per date and strategy with that date's candidates and prices; the fold itself is
-sequential by nature and runs as one Python task per strategy.
+Spark prepares for each strategy the rows that it can need, its targets and the rows on which they may still be
+held; the fold itself is sequential by nature and runs as one Python task per strategy.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = "strategy string, t long, nav double, cash double, holdings long, bought long, sold long, delayed long, skipped long"
@@ -41,12 +41,24 @@ def simulated(prices: DataFrame, wanted: DataFrame, costs: Costs = Costs()) -> D
     without price or at its lower limit is kept and tried again. Then cash is split equally among the date's targets that have a price
     below their upper limit and are not held, in whole lots; what is too dear for a lot is skipped. Cash never falls below zero.
     """
-    held = wanted.select("strategy", "code").distinct()
-    needed = prices.join(held, "code").select("strategy", "t", "code", "price", "limit_up", "limit_down")
-    rows = needed.join(wanted.withColumn("want", F.lit(True)), ["strategy", "t", "code"], "left")
+    # what was bought is sold on the next date on which it can be: rows after that are not needed
+    order = Window.partitionBy("code").orderBy("t")
+    sells = F.col("price").isNotNull() & (F.col("price") > 0) & ~F.coalesce(_hits("price", "limit_down"), F.lit(False))
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    until = prices.select("code", "t", F.coalesce(F.min(F.when(sells, F.col("t"))).over(after), F.max("t").over(after), F.col("t")).alias("_until"))
+    spans = wanted.join(until, ["t", "code"], "left").select("strategy", "code", F.col("t").alias("_from"), F.explode(F.sequence("t", F.coalesce("_until", "t"))).alias("t"))
+    spans = spans.groupBy("strategy", "code", "t").agg(F.max(F.col("t") == F.col("_from")).alias("want"))
+    rows = spans.join(prices.select("t", "code", "price", "limit_up", "limit_down"), ["t", "code"], "left")
+    days = wanted.select("strategy").distinct().crossJoin(prices.select("t").distinct())  # strategies x dates: a row without a code each
+    rows = rows.unionByName(days, allowMissingColumns=True)
     return rows.groupBy("strategy").applyInPandas(lambda frame: fold(frame, costs), COLUMNS)
 
 
+def _hits(price: str, limit: str) -> Column:
+    p, x = F.col(price), F.col(limit)
+    return (x != 0) & (F.abs(p - x) / F.abs(x) < 1e-4)
+
+
 def fold(frame: pd.DataFrame, costs: Costs) -> pd.DataFrame:
     """The days of one strategy."""
     name = frame["strategy"].iloc[0]

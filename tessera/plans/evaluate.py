@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,3 +116,30 @@ def field_correlations(panel: DataFrame, fields: list[str], by: str = "t") -> Da
     means = daily.agg(*(F.avg(f"`{a}|{b}`").alias(f"{a}|{b}") for a, b in pairs))
     rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("correlation")) for a, b in pairs))
     return means.select(F.inline(rows))
+
+
+def even_groups(scored: DataFrame, groups: int = 20, *by: str) -> DataFrame:
+    """(by, group, ret, n): the mean label of n // ``groups`` rows each in the order of the score, what remains in the last group.
+
+    ``by`` (trade_date) names a day; days with fewer than two rows a group are left out. Ties go by code.
+    """
+    by = by or ("trade_date",)
+    day = Window.partitionBy(*by)
+    valid = scored.where(F.col("score").isNotNull() & F.col("label").isNotNull())
+    placed = valid.withColumns({"_k": F.row_number().over(day.orderBy("score", "code")) - 1, "_n": F.count("*").over(day)}).where(F.col("_n") >= 2 * groups)
+    group = F.least(F.floor(F.col("_k") / F.floor(F.col("_n") / groups)) + 1, F.lit(groups)).cast("int").alias("group")
+    return placed.groupBy(*by, group).agg(F.avg("label").alias("ret"), F.count("*").alias("n"))
+
+
+def group_summary(groups: DataFrame, *by: str, day: str = "trade_date", days: int = 243) -> DataFrame:
+    """(by, group, ann_ret, ann_vol, sharpe, total, n): of a group's daily returns, added up and not compounded; population deviation."""
+    out = groups.groupBy(*by, "group").agg((F.avg("ret") * days).alias("ann_ret"), (F.stddev_pop("ret") * math.sqrt(days)).alias("ann_vol"), F.sum("ret").alias("total"), F.countDistinct(day).alias("n"))
+    return out.withColumn("sharpe", F.col("ann_ret") / (F.col("ann_vol") + 1e-9))
+
+
+def shifted(scored: DataFrame, rows: int = 1) -> DataFrame:
+    """Scores against the label ``rows`` days later of the same code; what has none is left out."""
+    if rows <= 0:
+        return scored
+    later = F.lead("label", rows).over(Window.partitionBy(*(c for c in ("factor", "code") if c in scored.columns)).orderBy("trade_date"))
+    return scored.withColumn("label", later).where(F.col("label").isNotNull())

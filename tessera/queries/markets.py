@@ -108,6 +108,12 @@ def quantile_returns(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.quantile_returns(scored(spark, folder), 5, "factor", "trade_date"), "factor", "trade_date", "bucket", "n")
 
 
+def group_returns(spark: SparkSession, folder: str) -> DataFrame:
+    """Five even groups a day, remainder in the last, against the label one row later, and their summary over 243 days."""
+    groups = evaluate.even_groups(evaluate.shifted(scored(spark, folder)), 5, "factor", "trade_date")
+    return rounded(evaluate.group_summary(groups, "factor"), "factor", "group", "n")
+
+
 def top_tail(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(evaluate.top_tail(scored(spark, folder), [5, 10], "factor", "trade_date"), "factor", "trade_date")
 
@@ -331,6 +337,10 @@ _SUMMARY = f"""{_IC}, rows AS (SELECT factor, s.segment, m.metric, CASE WHEN m.m
 summary AS (SELECT factor, segment, metric, avg(value) AS mean, stddev_samp(value) AS std, {div('avg(value)', 'stddev_samp(value)')} AS icir, avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END) AS win_rate, count(*) AS n FROM rows WHERE value IS NOT NULL GROUP BY ALL)"""
 _RANKED = f"{_SCORED}, ranked AS (SELECT *, row_number() OVER (PARTITION BY factor, trade_date ORDER BY score, code) AS k, count(*) OVER (PARTITION BY factor, trade_date) AS nn FROM valid)"
 _BUCKETS = f"{_RANKED}, buckets AS (SELECT factor, trade_date, CAST(ceil(k * 5 / CAST(nn AS DOUBLE)) AS INT) AS bucket, avg(label) AS ret, count(*) AS n FROM ranked GROUP BY ALL)"
+_EVEN = f"""{_SCORED}, moved AS (SELECT factor, trade_date, code, score, lead(label) OVER (PARTITION BY factor, code ORDER BY trade_date) AS label FROM scored),
+sound AS (SELECT *, row_number() OVER (PARTITION BY factor, trade_date ORDER BY score, code) - 1 AS k, count(*) OVER (PARTITION BY factor, trade_date) AS nn FROM moved WHERE score IS NOT NULL AND label IS NOT NULL),
+evened AS (SELECT factor, trade_date, CAST(least(k // (nn // 5) + 1, 5) AS INTEGER) AS g, avg(label) AS ret FROM sound WHERE nn >= 10 GROUP BY ALL),
+summed AS (SELECT factor, g AS "group", avg(ret) * 243 AS ann_ret, stddev_pop(ret) * sqrt(243) AS ann_vol, sum(ret) AS total, count(*) AS n, avg(ret) * 243 / (stddev_pop(ret) * sqrt(243) + 1e-9) AS sharpe FROM evened GROUP BY factor, g)"""
 _TOP = f"{_RANKED}, tops AS (SELECT factor, trade_date, " + ", ".join(f"avg(CASE WHEN k > nn - {k} THEN label END) AS top_{k}, avg(CASE WHEN k <= {k} THEN label END) AS tail_{k}" for k in (5, 10)) + " FROM ranked GROUP BY ALL)"
 _PERFORMANCE = f"""{_BUCKETS}, nav AS (SELECT factor, bucket, trade_date, ret / 100 AS ret, product(1 + ret / 100) OVER w AS nav FROM buckets WINDOW w AS (PARTITION BY factor, bucket ORDER BY trade_date ROWS UNBOUNDED PRECEDING)),
 falls AS (SELECT *, nav / greatest(max(nav) OVER (PARTITION BY factor, bucket ORDER BY trade_date ROWS UNBOUNDED PRECEDING), 1.0) - 1 AS fall FROM nav),
@@ -342,7 +352,7 @@ _SC = f"""{_SCORED}, daily AS (SELECT x.factor AS a, y.factor AS b, x.trade_date
   FROM scored x JOIN scored y ON x.trade_date = y.trade_date AND x.code = y.code AND x.factor < y.factor GROUP BY ALL), means AS (SELECT a, b, avg(c) AS correlation FROM daily GROUP BY a, b)"""
 
 _MP = MONTH_PANEL_SQL
-QUERIES = {f.__name__: f for f in (factors_windows, factors_recursive, factors_pool, factors_limits, factors_known_before, labels_forward, universe_reasons, universe_waterfall, ic_daily, ic_summary, quantile_returns, top_tail, performance, ensemble_scores, score_correlations, folds)}
+QUERIES = {f.__name__: f for f in (factors_windows, factors_recursive, factors_pool, factors_limits, factors_known_before, labels_forward, universe_reasons, universe_waterfall, ic_daily, ic_summary, quantile_returns, group_returns, top_tail, performance, ensemble_scores, score_correlations, folds)}
 SQL = {
     "factors_windows": _wrapped(f"{_MP}, {_WINDOWS}", "code, t", {n: n for n in _SECOND} | _THIRD, "second"),
     "factors_recursive": _wrapped(f"RECURSIVE {_MP}, {_FIRST}, {_RECURSION}", "code, t", _RECURSIVE, "moved"),
@@ -355,6 +365,7 @@ SQL = {
     "ic_daily": _wrapped(f"{_MP}, {_IC}", "factor, trade_date, n", ("ic", "rank_ic"), "ic"),
     "ic_summary": _wrapped(f"{_MP}, {_SUMMARY}", "factor, segment, metric, n", ("mean", "std", "icir", "win_rate"), "summary"),
     "quantile_returns": _wrapped(f"{_MP}, {_BUCKETS}", "factor, trade_date, bucket, n", ("ret",), "buckets"),
+    "group_returns": _wrapped(f"{_MP}, {_EVEN}", 'factor, "group", n', ("ann_ret", "ann_vol", "total", "sharpe"), "summed"),
     "top_tail": _wrapped(f"{_MP}, {_TOP}", "factor, trade_date", ("top_5", "tail_5", "top_10", "tail_10"), "tops"),
     "performance": _wrapped(f"{_MP}, {_PERFORMANCE}", "factor, bucket, n", ("ann_return", "ann_vol", "sharpe", "max_drawdown", "win_rate", "total_return"), "perf"),
     "ensemble_scores": _wrapped(f"{_MP}, {_ENSEMBLE}", "trade_date, code", ("score",), "ez"),

@@ -151,8 +151,26 @@ _JUMP_COLUMNS = {"rv": "rv", "iv": "iv", "rvj": "greatest(rv - iv, 0)", "rvc": "
 
 
 def book_components(spark: SparkSession, folder: str) -> DataFrame:
-    b = book(spark, folder).withColumn("t", F.row_number().over(Window.partitionBy("code").orderBy("seq")))
-    return minute.book_components(b, "code")
+    """Components of the book of each code and month."""
+    b = book(spark, folder).withColumn("trade_date", F.to_date(F.date_trunc("month", "trade_date")))
+    return minute.book_components(b.withColumn("t", F.row_number().over(Window.partitionBy("code", "trade_date").orderBy("seq"))))
+
+
+def book_information(spark: SparkSession, folder: str) -> DataFrame:
+    """Quantiles of the amounts, entropies and mutual information of rounded prices and sizes, of each code and month."""
+    b = book(spark, folder).withColumns({c: F.floor(F.col(c) / 200) for c in ("price", "bp1", "sp1")} | {"minute": F.to_date(F.date_trunc("month", "trade_date")), "amount": F.col("price") * F.col("volume")})
+    return rounded(books.information(b), "code", "minute")
+
+
+_SINGLES, _INFORMED = ("price", "volume", "bp1", "sp1", "bv1", "sv1"), (("price", "bp1"), ("volume", "bv1"), ("price", "volume"), ("bp1", "sp1"))
+_part = lambda *c: f"count(*) OVER (PARTITION BY code, minute, {', '.join(c)}) / CAST(count(*) OVER (PARTITION BY code, minute) AS DOUBLE)"
+_INFORMATION = f"""{_BOOK}, ticks AS (SELECT code, CAST(date_trunc('month', trade_date) AS DATE) AS minute, floor(price / 200) AS price, floor(bp1 / 200) AS bp1, floor(sp1 / 200) AS sp1, bv1, sv1, volume, price * volume AS amount FROM book),
+shares AS (SELECT *, {', '.join(f'{_part(c)} AS p_{c}' for c in _SINGLES)}, {', '.join(f'{_part(a, b)} AS p_{a}_{b}' for a, b in _INFORMED)} FROM ticks),
+told AS (SELECT code, minute, quantile_cont(amount, 0.9) AS amount_high, quantile_cont(amount, 0.1) AS amount_low, (quantile_cont(amount, 0.1) - min(amount)) / (max(amount) - min(amount) + 1e-5) AS amount_low_min,
+  (quantile_cont(amount, 0.9) - quantile_cont(amount, 0.1)) / (max(amount) - min(amount) + 1e-5) AS amount_high_low, {', '.join(f'CASE WHEN count(*) > 1 THEN -avg(ln(p_{c} + 1e-9)) END AS entropy_{c}' for c in _SINGLES)},
+  {', '.join(f'CASE WHEN count(*) > 1 THEN avg(ln(p_{a}_{b} / (p_{a} * p_{b} + 1e-9) + 1e-9)) END AS information_{a}_{b}' for a, b in _INFORMED)},
+  {', '.join(f'CASE WHEN count(*) > 1 THEN -avg(ln(p_{a}_{b} / (p_{b} + 1e-9) + 1e-9)) END AS entropy_{a}_given_{b}' for a, b in _INFORMED)} FROM shares GROUP BY code, minute)"""
+_TOLD = ("amount_high", "amount_low", "amount_low_min", "amount_high_low", *(f"entropy_{c}" for c in _SINGLES), *(f"information_{a}_{b}" for a, b in _INFORMED), *(f"entropy_{a}_given_{b}" for a, b in _INFORMED))
 
 
 def book_entropies(spark: SparkSession, folder: str) -> DataFrame:
@@ -247,7 +265,7 @@ def book_last(spark: SparkSession, folder: str) -> DataFrame:
 
 _LAST = f"{_BOOK}, m AS (SELECT *, CAST(date_trunc('month', trade_date) AS DATE) AS d FROM book), l AS (SELECT code, d AS trade_date, arg_max_null(price, seq) AS price, arg_max_null(bp5, seq) AS bp5, arg_max_null(sv5, seq) AS sv5 FROM m GROUP BY code, d)"
 
-QUERIES = {f.__name__: f for f in (flagship, operators_kernels, operators_structured, operators_moments, operators_rl, futures_factors, futures_basic, minute_families, minute_jumps, book_components, book_entropies, book_last, event_backtest, study_exposure, study_panel, study_regression, expression_search)}
+QUERIES = {f.__name__: f for f in (flagship, operators_kernels, operators_structured, operators_moments, operators_rl, futures_factors, futures_basic, minute_families, minute_jumps, book_components, book_information, book_entropies, book_last, event_backtest, study_exposure, study_panel, study_regression, expression_search)}
 _MP = MONTH_PANEL_SQL
 SQL = {
     "flagship": _wrapped(f"{_MP}, {_IC.replace(' UNION ALL SELECT ' + chr(39) + 'volume' + chr(39) + ', trade_date, code, sb, label FROM m2', '')}", "factor, trade_date, n", ("ic", "rank_ic"), "ic"),
@@ -257,6 +275,7 @@ SQL = {
     "futures_basic": _wrapped(_FT, "code, t", {n: _FUTURES[n] for n in _BASIC}, "w3"),
     "minute_jumps": _wrapped(_JUMPS, "code, trade_date", _JUMP_COLUMNS, "s"),
     "book_entropies": _wrapped(_ENTROPY, "code, minute", ("entropy_price", "entropy_volume", "mutual_information"), "e"),
+    "book_information": _wrapped(_INFORMATION, "code, minute", _TOLD, "told"),
     "book_last": _wrapped(_LAST, "code, trade_date", ("price", "bp5", "sv5"), "l"),
     "study_exposure": _wrapped(_EXPOSURE, "code, n_days", tuple(x for c in _EXP_NAMES for x in (f"{c}_mean_raw", f"{c}_mean", f"E_{c}_z")), "z"),
     "study_panel": _wrapped(_DID, "code, trade_date, post", ("volume", "ret", "E", "post_E"), "did"),

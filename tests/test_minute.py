@@ -83,3 +83,17 @@ def test_families_are_pandas(bars):
 def test_one_bar_is_enough():
     found = minute._all(*(np.array([x]) for x in (1.0, 2.0, 0.5, 1.5, 3.0)))
     assert all(len(x) == 1 for x in found.values())
+
+
+def test_components_and_least_squares():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 4)) + [0, 5, 1, 2]
+    y = x @ [1.0, 0, 0, 0.5]
+    scores = minute.components(x)
+    scaled = x / x.std(0)
+    values, vectors = np.linalg.eigh(scaled.T @ scaled)
+    assert np.allclose(np.abs(scores[:, 0]), np.abs(scaled @ vectors[:, -1])) and (minute.components(np.ones((5, 3))) == 0).all()
+    t = minute.partial_least_squares(x, y)
+    assert abs(np.corrcoef(t[:, 0], y)[0, 1]) > 0.8 and abs(t[:, 0] @ t[:, 1]) < 1e-8 and (minute.partial_least_squares(x[:2], y[:2]) == 0).all()
+    fit = np.linalg.lstsq(np.c_[np.ones(50), t], y, rcond=None)[0]
+    assert ((np.c_[np.ones(50), t] @ fit - y) ** 2).sum() < 0.1 * ((y - y.mean()) ** 2).sum()

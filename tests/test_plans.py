@@ -36,6 +36,29 @@ def test_backtest_invariants(spark):
     assert (out.cash >= 0).all() and (out.nav > 0).all() and (out.groupby("strategy").t.is_monotonic_increasing).all()
 
 
+def test_backtest_needs_only_rows_it_may_hold(spark):
+    """The same days as a fold over all prices of all codes that a strategy ever wants."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(8)
+    rows = [(f"c{i}", t, None if rng.random() < 0.1 else round(float(rng.uniform(5, 15)), 2), 15.0, 5.0) for i in range(12) for t in range(30)]
+    rows = [(c, t, x if x is None or rng.random() > 0.15 else 5.0, hi, lo) for c, t, x, hi, lo in rows]
+    prices = spark.createDataFrame(rows, "code string, t int, price double, limit_up double, limit_down double")
+    scores = spark.createDataFrame([(c, t, float(rng.normal())) for c, t, *_ in rows if t % 4 != 3], "code string, t int, score double")
+    wanted = backtest.targets(scores, (3,), (2,), 2)
+    costs = backtest.Costs(capital=50_000.0)
+    out = backtest.simulated(prices, wanted, costs).toPandas().sort_values(["strategy", "t"]).reset_index(drop=True)
+    every = prices.toPandas().merge(wanted.toPandas().assign(want=True), on=["t", "code"], how="left")
+    whole = []
+    for name in sorted(out.strategy.unique()):
+        own = wanted.where(f"strategy = '{name}'").select("code").distinct().toPandas().code
+        frame = prices.toPandas()[lambda f, own=own: f.code.isin(own)].assign(strategy=name).merge(every.loc[every.strategy == name, ["t", "code", "want"]], on=["t", "code"], how="left")
+        whole.append(backtest.fold(frame, costs))
+    want = pd.concat(whole).reset_index(drop=True)
+    assert len(out) == len(want) and np.allclose(out.drop(columns="strategy").astype(float), want.drop(columns="strategy").astype(float))
+
+
 def test_backtest_limits_and_lots():
     def day(t, price, up=None, down=None, want=True):
         return ("s", t, "a", price, up, down, want)
