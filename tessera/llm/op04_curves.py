@@ -23,6 +23,8 @@ from tessera.llm.shared import staged
 
 #: Rows that the quantiles are fitted on, at most (those of the smallest hash); every row is indexed.
 SAMPLE = 8_000
+#: Relative and absolute error of a squared distance as searched: what is that near to the last of a shortlist stays in it.
+NEAR = 1e-9
 #: Directions of a curve, bits of each, and places in a block.
 DIRECTIONS, BITS, BLOCK = 8, 4, 1024
 
@@ -51,10 +53,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = 24,
     total = index.count()
     reach = max(window, int(share * total))
     sample = [r.v for r in index.select("v").orderBy(F.xxhash64("v"), "gid").limit(SAMPLE).collect()]  # bounded
-    placed = _placed(index, asked.select("gid").distinct(), _fitted(np.array(sample), curves, seed))
-    pairs = _searched(placed, reach, k + 6)
-    best = Window.partitionBy("q").orderBy("d", "gid")
-    pairs = pairs.groupBy("q", "gid").agg(F.min("d").alias("d")).withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 6)
+    # components given as floats are exact as such, others are searched in double precision
+    kind = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    placed = _placed(index, asked.select("gid").distinct(), _fitted(np.array(sample), curves, seed), kind)
+    pairs = _searched(placed, reach, k + 1, kind)
+    best = Window.partitionBy("q").orderBy("d")
+    pairs = pairs.groupBy("q", "gid").agg(F.min("d").alias("d"))
+    # the k + 1 nearest and whatever is as near as the last of them, but for rounding
+    last = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") == k + 1).select("q", F.col("d").alias("edge"))
+    pairs = pairs.join(last, "q", "left").where(F.col("edge").isNull() | (F.col("d") <= F.col("edge") * (1 + NEAR) + NEAR))
     one, other = index.select(F.col("gid").alias("q"), F.col("v").alias("a")), index.select("gid", F.col("v").alias("b"), "ids")
     square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     exact = pairs.select("q", "gid").join(other, "gid").join(one, "q").select("q", "ids", F.sqrt(square).alias("score"))
@@ -106,7 +113,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def _placed(index: DataFrame, asked: DataFrame, fitted: list) -> DataFrame:
+def _placed(index: DataFrame, asked: DataFrame, fitted: list, kind: str) -> DataFrame:
     """(curve, place, gid, v, asks): every vector once on every curve."""
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +121,7 @@ def _placed(index: DataFrame, asked: DataFrame, fitted: list) -> DataFrame:
             if not b.num_rows:
                 continue
             x = _matrix(b.column("v"))
-            small = pa.array([r.tobytes() for r in x.astype(np.float32)], pa.binary())
+            small = pa.array([r.tobytes() for r in x.astype(kind)], pa.binary())
             for c, (axes, edges, shift) in enumerate(fitted):
                 y = x @ axes
                 rank = np.stack([np.searchsorted(edges[:, i], y[:, i]) / len(edges) for i in range(y.shape[1])], 1)
@@ -131,8 +138,8 @@ def _placed(index: DataFrame, asked: DataFrame, fitted: list) -> DataFrame:
     return keyed.withColumn("at", F.row_number().over(inside) - 1).join(before.select("curve", "part", "base"), ["curve", "part"]).select("curve", (F.col("base") + F.col("at")).alias("place"), "gid", "v", "asks")
 
 
-def _searched(placed: DataFrame, reach: int, most: int) -> DataFrame:
-    """(q, gid, d): for each query and block within reach the ``most`` nearest there."""
+def _searched(placed: DataFrame, reach: int, most: int, kind: str) -> DataFrame:
+    """(q, gid, d): for each query and block within reach the ``most`` nearest there by squared distance, and what is as near as the last."""
     entries = placed.withColumn("block", F.floor(F.col("place") / BLOCK))
     first, last = F.floor(F.greatest(F.col("place") - reach, F.lit(0)) / BLOCK), F.floor((F.col("place") + reach) / BLOCK)
     asking = placed.where("asks").withColumn("block", F.explode(F.sequence(first, last)))
@@ -141,8 +148,8 @@ def _searched(placed: DataFrame, reach: int, most: int) -> DataFrame:
         none = pa.table({"q": pa.array([], pa.int64()), "gid": pa.array([], pa.int64()), "d": pa.array([], pa.float64())})
         if not len(left) or not len(right):
             return none
-        a = np.frombuffer(b"".join(left.column("v").to_pylist()), np.float32).reshape(len(left), -1).astype(np.float64)
-        b = np.frombuffer(b"".join(right.column("v").to_pylist()), np.float32).reshape(len(right), -1).astype(np.float64)
+        a = np.frombuffer(b"".join(left.column("v").to_pylist()), kind).reshape(len(left), -1).astype(np.float64)
+        b = np.frombuffer(b"".join(right.column("v").to_pylist()), kind).reshape(len(right), -1).astype(np.float64)
         gid, q = left.column("gid").to_numpy(), right.column("gid").to_numpy()
         place, own = left.column("place").to_numpy(), right.column("place").to_numpy()
         found = []
@@ -150,10 +157,9 @@ def _searched(placed: DataFrame, reach: int, most: int) -> DataFrame:
             rows = slice(lo, lo + 512)
             d = np.maximum((a * a).sum(1)[None] + (b[rows] * b[rows]).sum(1)[:, None] - 2 * b[rows] @ a.T, 0)
             d[np.abs(place[None] - own[rows, None]) > reach] = np.inf
-            take = np.argpartition(d, min(most, d.shape[1]) - 1, 1)[:, :most]
-            best = np.take_along_axis(d, take, 1)
-            keep = best < np.inf
-            found.append((np.repeat(q[rows], keep.sum(1)), gid[take[keep]], best[keep]))
+            edge = np.partition(d, min(most, d.shape[1]) - 1, 1)[:, min(most, d.shape[1]) - 1]
+            row, at = np.nonzero((d <= (edge * (1 + NEAR) + NEAR)[:, None]) & (d < np.inf))
+            found.append((q[rows][row], gid[at], d[row, at]))
         return pa.table({n: pa.array(np.concatenate(x)) for n, x in zip(("q", "gid", "d"), zip(*found, strict=True), strict=True)})
 
     entries, asking = (x.select("curve", "block", "place", "gid", "v").toDF("curve", "block", "place", "gid", "v") for x in (entries, asking))

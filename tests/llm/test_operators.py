@@ -469,6 +469,20 @@ def test_nearest(spark):
     assert hit >= 0.9 * 200 and set(out.query_id) == set(range(0, 400, 10))
 
 
+def test_nearest_of_many_ties(spark):
+    """Binary vectors: far more than k + 1 different ones at equal distance; doubles that differ below single precision."""
+    rows = [(i, [float(i >> b & 1) for b in range(9)]) for i in range(1, 512)]
+    out = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.col("vec_id") % 100 == 0, k=5, window=600).toPandas()
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    for q in range(100, 512, 100):
+        d = np.sqrt(((x - x[q - 1]) ** 2).sum(1))
+        d[q - 1] = np.inf
+        assert out[out.query_id == q].sort_values("rank").vec_id.tolist() == ids[np.lexsort((ids, d))[:5]].tolist()
+    close = [(0, [1.0, 0.0])] + [(i, [1.0, 1 + (20 - i) * 1e-12]) for i in range(1, 20)]
+    out = nearest(spark.createDataFrame(close, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).orderBy("rank").collect()
+    assert [r.vec_id for r in out] == [19, 18, 17]
+
+
 def test_nearest_of_nothing_and_of_few(spark):
     frame = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in nearest(frame, F.col("vec_id") == 0).collect()] == [(0, 1, 1, 2**0.5)]
