@@ -14,12 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.shared import free, staged
 from tessera.llm.wordhash import ALNUM, BASE, LOWER, Words, folded, words
 
 #: Bytes of item texts searched for in one pass.
@@ -130,11 +132,21 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFr
     shape = "n_words long, hits array<struct<start:long,end:long>>, items array<string>"
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
     out = docs.withColumns({"n_words": F.lit(None).cast("long"), "hits": F.lit(None).cast("array<struct<start:long,end:long>>"), "items": F.lit(None).cast("array<string>")})
+    names = ", ".join([*kept, shape])
+    if parts == 1:
+        return out.mapInArrow(_searched(patterns([(r.item_id, r.text) for r in items.collect()], window)), names)
+    # a large benchmark: a pass over the texts for each part of it, one part's tables alive at a time; passes hand on only rows with hits
+    (row,) = free(docs, "row")
+    told = staged(docs.withColumn(row, F.monotonically_increasing_id()))
+    narrow = told.select(row, "text", F.lit(None).cast("long").alias("n_words"), F.lit(None).cast("array<struct<start:long,end:long>>").alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    met = []
     for k in range(parts):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()  # about PART bytes
-        found = patterns([(r.item_id, r.text) for r in mine], window)
-        out = out.mapInArrow(_searched(found), ", ".join([*kept, shape]))
-    return out
+        found = narrow.mapInArrow(_searched(patterns([(r.item_id, r.text) for r in mine], window)), f"`{row}` long, text string, {shape}")
+        met.append(staged(found.where(F.size("hits") > 0).select(row, "hits", "items")))
+    every = reduce(DataFrame.union, met).groupBy(row).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    out = told.join(every, row, "left").select(*docs.columns, F.lit(None).cast("long").alias("n_words"), "hits", "items")
+    return out.mapInArrow(_searched([]), names)
 
 
 def _searched(found: list[Patterns]):
