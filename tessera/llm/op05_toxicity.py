@@ -2,7 +2,7 @@
 
 Units are words (letters, A-Z lower-cased) and their first 4 to 8 bytes, for inflected and
 compound forms. A unit's score is its log-odds between toxic and clean training texts
-under an informative Dirichlet prior (the corpus-wide rates), counted as 0 where its
+under an informative Dirichlet prior (the rates over all documents, labelled or not), counted as 0 where its
 z-value is small, less ``DRIFT``: a running sum over clean text then falls. A word has
 the score of its longest known unit. All maximal-scoring segments of a text are found in
 linear time (Ruzzo and Tompa, 1999). In clean text the best segment of n words follows an
@@ -15,6 +15,7 @@ it is fitted on rows whose segments come from units of the other half of the tra
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import mix
+from tessera.llm.shared import added_up, mix
 from tessera.llm.wordhash import BASE, LETTERS, Words, byte_values, powers, words
 
 #: Labelled rows that the model is fitted on, at most (those of the smallest hash of doc_id).
@@ -31,6 +32,8 @@ SAMPLE = 16_000
 #: Training texts that must hold a unit, weight of the prior (in words of an average class), least z-value.
 LEAST_TEXTS, PRIOR, LEAST_Z = 4, 200_000.0, 2.5
 DRIFT = 0.35
+#: Pieces in which the counts of units are added up.
+PIECES = 16
 PREFIXES = (4, 5, 6, 7, 8)
 _SALTS = mix(np.arange(100, 100 + max(PREFIXES), dtype=np.uint64))
 
@@ -122,8 +125,9 @@ def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     n, units = n[units != 0], units[units != 0]
     turn = np.argsort(units)
     n, units = n[turn], units[turn]
-    halves = [_scored(units, n[:, 2 * f : 2 * f + 2], total[2 * f : 2 * f + 2]) for f in (0, 1)]
-    model = _scored(units, n[:, :2] + n[:, 2:], total[:2] + total[2:])
+    rates = _rates(docs, units)
+    halves = [_scored(units, n[:, 2 * f : 2 * f + 2], total[2 * f : 2 * f + 2], rates) for f in (0, 1)]
+    model = _scored(units, n[:, :2] + n[:, 2:], total[:2] + total[2:], rates)
     raw = rows.mapInArrow(_examined(halves), "toxic int, words long, best double, mgf array<double>").toPandas()  # one row for each of the sample and for each batch
     scale = _lambda(raw)
     clean = raw[(raw.toxic == 0) & (raw.words > 0)]
@@ -157,9 +161,34 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(parts), pa.int32()), pa.array(np.concatenate(ns), pa.int64()), pa.array(np.concatenate(ts), pa.int64())], ["unit", "part", "n", "texts"])
 
 
-def _scored(units: np.ndarray, n: np.ndarray, total: np.ndarray) -> Model:
-    """Log-odds with an informative Dirichlet prior (Monroe, Colaresi and Quinn, 2008)."""
-    prior = PRIOR * (n.sum(1) + 0.5) / max(total.sum(), 1)
+def _rates(docs: DataFrame, units: np.ndarray) -> np.ndarray:
+    """How often each of the sorted ``units`` stands in all documents, over all their words: counted on the executors, one sum for each unit of the sample comes back."""
+    size = -(-(len(units) + 1) // PIECES) * PIECES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(size, np.int64)  # the words in all come last
+        for b in batches:
+            for w in words(b.column("text"), LETTERS):
+                if not len(w.hash) or not len(units):
+                    continue
+                _, own, which = units_of(w)
+                times = np.bincount(which, minlength=len(own[0]))
+                table[-1] += len(w.hash)
+                for u in own:
+                    at = np.minimum(np.searchsorted(units, u), len(units) - 1)
+                    known = (units[at] == u) & (u != 0)
+                    np.add.at(table, at[known], times[known])
+        if table.any():
+            for i, x in enumerate(table.reshape(PIECES, -1)):
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["piece", "sums"])
+
+    total = added_up(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(count, "piece int, sums binary"), PIECES)
+    return (total[: len(units)] + 0.5) / max(total[-1], 1)
+
+
+def _scored(units: np.ndarray, n: np.ndarray, total: np.ndarray, rates: np.ndarray) -> Model:
+    """Log-odds with an informative Dirichlet prior (Monroe, Colaresi and Quinn, 2008), ``rates`` of the whole corpus."""
+    prior = PRIOR * rates
     toxic, clean = n[:, 1] + prior, n[:, 0] + prior
     odds = np.log(toxic / (total[1] + PRIOR - toxic).clip(1)) - np.log(clean / (total[0] + PRIOR - clean).clip(1))
     z = odds / np.sqrt(1 / toxic + 1 / clean)
