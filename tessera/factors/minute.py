@@ -172,7 +172,7 @@ def kline(o, h, low, c, v) -> dict[str, np.ndarray]:
     dea = ewm(dif, span(9))
     slope, change = e12 - _shift(e12), c - p
     ret = change / p
-    place = lambda f, x: np.array([100.0 * (f(y) + 1) / len(y) for y in (x[max(0, i - 24) : i + 1] for i in range(len(x)))])
+    place = lambda f, x: np.array([100.0 * (f(x[i - 24 : i + 1]) + 1) / 25 if i >= 24 else np.nan for i in range(len(x))])
     strength, pv_corr = np.tanh(dif / _max(np.abs(dif), 60)), _corr(ret, _finite(v / _shift(v) - 1), 20)
     up, down = place(np.argmax, h), place(np.argmin, low)
     gap = _mean(v, 12) - _mean(v, 26)

@@ -39,8 +39,9 @@ UNARY: dict[str, Callable[[Panel, Value], Value]] = {
     "identity": lambda p, x: x,
     # ranks start at the number of missing codes: a missing code counts as the smallest
     "cs_rank": lambda p, x: p.over(lambda c: F.when(c.isNotNull(), F.row_number().over(p.across.orderBy(c.asc_nulls_first(), "code")) / F.count(c).over(p.across)), x),
-    "cs_demean": lambda p, x: p.over(lambda c: F.when(F.count(c).over(p.across) == F.count(F.lit(1)).over(p.across), c - F.avg(c).over(p.across)), x),
-    "cs_normalize": lambda p, x: p.over(lambda c: F.when(F.count(c).over(p.across) == F.count(F.lit(1)).over(p.across), (c - F.avg(c).over(p.across)) / (F.stddev_samp(c).over(p.across) + TINY)), x),
+    "cs_demean": lambda p, x: p.over(lambda c: c - F.avg(c).over(p.across), x),
+    # the deviation of a row index with a missing code is missing
+    "cs_normalize": lambda p, x: p.over(lambda c: F.when(F.count(c).over(p.across) == F.count(F.lit(1)).over(p.across), (c - F.avg(c).over(p.across)) / F.greatest(F.stddev_samp(c).over(p.across), F.lit(TINY))), x),
 }
 
 
@@ -89,8 +90,10 @@ ROLLING: dict[str, Callable[[Panel, Value, int], Value]] = {
 
 
 def ts_corr(p: Panel, x: Value, y: Value, d: int) -> Value:
-    """Correlation with small constants in the divisor; not a transform."""
-    return p.over(lambda a, b: p.full(d, F.covar_pop(a, b).over(p.last(d)) / (F.stddev_pop(a).over(p.last(d)) * F.stddev_pop(b).over(p.last(d)) + TINY)), x, y)
+    """Correlation with small constants in the divisor, a missing cell counting as its window's mean; not a transform."""
+    a, b = (p.flat(Value(A.demeaned(v.column), True, v.depth)) for v in p.array(d, x, y))
+    size = lambda v: F.sqrt(F.greatest(A.total(F.transform(v, lambda e: e * e)), F.lit(TINY)))
+    return p.each(lambda m, n: p.full(d, A.total(F.zip_with(m, n, lambda u, v: u * v)) / (size(m) * size(n) + TINY)), a, b)
 
 
 def transforms() -> list[str]:

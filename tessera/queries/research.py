@@ -13,7 +13,7 @@ from tessera.plans import search as searches
 from tessera.plans.expression import evaluate as expressions
 from tessera.plans.layers import Panel
 from tessera.queries.markets import _IC, _SCORED, FLAGSHIP, _wrapped, scored
-from tessera.queries.operators import H, W, div, full, l_kurt, l_skew, lag, rounded
+from tessera.queries.operators import H, W, div, full, l_kurt, l_skew, lag, rounded, l_moment, l_sorted
 from tessera.queries.ticks import _BOOK
 from tessera.sources.panel import MONTH_PANEL_SQL, month_panel
 from tessera.sources.ticks import book, collapsed
@@ -31,6 +31,7 @@ KERNELS = {
     "multi_beta": "ts_multiregbeta(close, 10, volume, high)", "multi_alpha": "ts_multireg_alpha(close, 10, volume, high)", "ols_1": "ts_multiregression_getparams(close, volume, 10, 1)", "ols_2d": "ts_multireg_2d(volume, high, close, 10, 1)", "var_1": "ts_VAR_get_params(close, 12, 2, 1)", "ridge": "ts_ridgeregression_pred(close, volume, 10)", "ridge_rest": "ts_ridgeregression_res(close, volume, 10)",
     "cs_multi": "cs_multireg_pred(close, volume, high)", "cs_pca": "cs_PCA(0, close, volume, ret)",
 }
+#: Flattened: a struct's fields and an array's elements as columns of their own.
 STRUCTURED = {"loop": "loop_max_min(ret)", "sorted": "sort_by_another(ret, volume, 5)", "group_mean": "cs_group_mean(close, ret, 5)", "head": "cs_head_mean(close, ret, 5, 5)"}
 
 
@@ -39,8 +40,18 @@ def operators_kernels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def operators_structured(spark: SparkSession, folder: str) -> DataFrame:
-    """Operators with structs and arrays for results."""
-    return expressions(month_panel(spark, folder), STRUCTURED)
+    """Operators with structs and arrays for results, flattened."""
+    out = expressions(month_panel(spark, folder), STRUCTURED)
+    flat = {"loop_max": F.col("loop.zmax"), "loop_min": F.col("loop.zmin"), "head": F.col("head.head"), "tail": F.col("head.tail")}
+    flat |= {f"{c}_{k + 1}": F.get(c, F.lit(k)) for c in ("sorted", "group_mean") for k in range(5)}
+    return rounded(out.select("code", "t", *(v.cast("double").alias(k) for k, v in flat.items())), "code", "t")
+
+
+_CR = "CASE WHEN close IS NOT NULL THEN row_number() OVER (PARTITION BY t ORDER BY close NULLS LAST, code) END"
+_STRUCTURES = f"""s0 AS (SELECT *, list(coalesce(ret, 0)) {W(240)} AS back, list(ret) {W(5)} AS r5, list(volume) {W(5)} AS v5, {_CR} AS k, count(close) OVER (PARTITION BY t) AS n FROM panel),
+s1 AS (SELECT *, list_transform(range(1, len(back) + 1), lambda i: list_sum(list_reverse(back)[1:i])) AS sums, {l_sorted('r5', 'v5', 1)} AS sorted, ceil(k / CAST(n AS DOUBLE) * 5) AS g FROM s0)"""
+_STRUCTURE = {"loop_max": "list_max(sums)", "loop_min": "list_min(sums)", "head": "avg(CASE WHEN k > n - 5 THEN ret END) OVER (PARTITION BY t)", "tail": "avg(CASE WHEN k <= 5 THEN ret END) OVER (PARTITION BY t)"}
+_STRUCTURE |= {f"sorted_{i}": full(5, f"sorted[{i}]") for i in range(1, 6)} | {f"group_mean_{i}": f"avg(CASE WHEN g = {i} THEN ret END) OVER (PARTITION BY t)" for i in range(1, 6)}
 
 
 def operators_moments(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +65,10 @@ def operators_rl(spark: SparkSession, folder: str) -> DataFrame:
     """The second operator set: transforms of the volume, and an expression step by step."""
     p = Panel(month_panel(spark, folder))
     x = p.field("volume")
-    values = {n: rl.transformed(p, n, x) for n in ("abs", "neg", "sqrt", "log", "sign", "inv", "identity", "cs_rank", "ts_mean_5", "ts_sum_5", "ts_stddev_5", "ts_rank_5", "ts_delay_5", "ts_delta_5", "ts_decay_linear_5", "ts_zscore_5")}
+    values = {n: rl.transformed(p, n, x) for n in ("abs", "neg", "sqrt", "log", "sign", "inv", "identity", "cs_rank", "ts_mean_5", "ts_sum_5", "ts_stddev_5", "ts_rank_5", "ts_delay_5", "ts_delta_5", "ts_decay_linear_5", "ts_zscore_5", "ts_min_5", "ts_max_5", "ts_skew_5", "ts_kurt_5", "cs_demean", "cs_normalize")}
+    values["sigmoid"] = rl.transformed(p, "sigmoid", p.field("ret"))
+    values |= {n: rl.step_by_step(p, f"temp=ret;temp={n}(temp,ts_delay_5(close))") for n in ("add", "mul", "max", "min")}
+    values["ts_corr_5"] = rl.ts_corr(p, x, p.field("ret"), 5)
     values["steps"] = rl.step_by_step(p, "temp=ts_mean_5(close);temp=div(temp,ts_mean_10(close));temp=sub(temp,identity(ret))")
     return rounded(p.select({f"rl_{k}": v for k, v in values.items()}), "code", "t")
 
@@ -65,6 +79,11 @@ _RL = {
     "rl_ts_mean_5": full(5, f"avg(volume) {W(5)}"), "rl_ts_sum_5": full(5, f"coalesce(sum(volume) {W(5)}, 0)"), "rl_ts_stddev_5": full(5, f"sqrt(var_pop(volume) {W(5)} + 1e-9)"),
     "rl_ts_rank_5": full(5, "CASE WHEN volume IS NOT NULL THEN len(list_filter(l5, lambda e: e < volume)) / CAST(len(list_filter(l5, lambda e: e IS NOT NULL)) AS DOUBLE) END"), "rl_ts_delay_5": lag("volume", 5), "rl_ts_delta_5": f"volume - {lag('volume', 5)}",
     "rl_ts_decay_linear_5": full(5, " + ".join(f"coalesce({lag('volume', k) if k else 'volume'}, 0) * {2 * (5 - k) / 30}" for k in range(5))), "rl_ts_zscore_5": full(5, f"(volume - avg(volume) {W(5)}) / greatest(stddev_pop(volume) {W(5)}, 1e-9)"),
+    "rl_ts_min_5": full(5, f"min(volume) {W(5)}"), "rl_ts_max_5": full(5, f"max(volume) {W(5)}"), "rl_sigmoid": "1 / (1 + exp(-ret))", "rl_add": f"ret + {lag('close', 5)}", "rl_mul": f"ret * {lag('close', 5)}",
+    "rl_max": f"CASE WHEN ret IS NOT NULL AND {lag('close', 5)} IS NOT NULL THEN greatest(ret, {lag('close', 5)}) END", "rl_min": f"CASE WHEN ret IS NOT NULL AND {lag('close', 5)} IS NOT NULL THEN least(ret, {lag('close', 5)}) END",
+    "rl_ts_skew_5": full(5, f"({l_moment('l5', 3)}) / (power(greatest({l_moment('l5', 2)}, 1e-9), 1.5) + 1e-9)"), "rl_ts_kurt_5": full(5, f"({l_moment('l5', 4)}) / (power(greatest({l_moment('l5', 2)}, 1e-9), 2) + 1e-9) - 3"),
+    "rl_cs_demean": "volume - avg(volume) OVER (PARTITION BY t)", "rl_cs_normalize": "CASE WHEN count(volume) OVER (PARTITION BY t) = count(*) OVER (PARTITION BY t) THEN (volume - avg(volume) OVER (PARTITION BY t)) / greatest(stddev_samp(volume) OVER (PARTITION BY t), 1e-9) END",
+    "rl_ts_corr_5": full(5, "coalesce(list_sum(list_transform(list_zip(l5, r5), lambda z: (z[1] - list_avg(l5)) * (z[2] - list_avg(r5)))), 0) / (sqrt(greatest(list_sum(list_transform(l5, lambda e: power(e - list_avg(l5), 2))), 1e-9)) * sqrt(greatest(list_sum(list_transform(r5, lambda e: power(e - list_avg(r5), 2))), 1e-9)) + 1e-9)"),
     "rl_steps": full(10, f"{div(f'avg(close) {W(5)}', f'(avg(close) {W(10)})')} - ret").replace("CASE WHEN abs", "(CASE WHEN abs", 1).replace("END - ret", "END) - ret"),
 }
 
@@ -270,7 +289,8 @@ _MP = MONTH_PANEL_SQL
 SQL = {
     "flagship": _wrapped(f"{_MP}, {_IC.replace(' UNION ALL SELECT ' + chr(39) + 'volume' + chr(39) + ', trade_date, code, sb, label FROM m2', '')}", "factor, trade_date, n", ("ic", "rank_ic"), "ic"),
     "operators_moments": _wrapped(f"{_MP}, {_MOMENTS}", "code, t", {"ts_kurt": full(8, l_kurt("x")), "ts_skew": full(8, l_skew("x"))}, "m0"),
-    "operators_rl": _wrapped(f"{_MP}, m0 AS (SELECT *, list(volume) {W(5)} AS l5 FROM panel)", "code, t", _RL, "m0"),
+    "operators_structured": _wrapped(f"{_MP}, {_STRUCTURES}", "code, t", _STRUCTURE, "s1"),
+    "operators_rl": _wrapped(f"{_MP}, m0 AS (SELECT *, list(volume) {W(5)} AS l5, list(ret) {W(5)} AS r5 FROM panel)", "code, t", _RL, "m0"),
     "futures_factors": _wrapped(_FT, "code, t", _FUTURES, "w3"),
     "futures_basic": _wrapped(_FT, "code, t", {n: _FUTURES[n] for n in _BASIC}, "w3"),
     "minute_jumps": _wrapped(_JUMPS, "code, trade_date", _JUMP_COLUMNS, "s"),
