@@ -561,6 +561,86 @@ _MARKETS = ("cs_marketcorr", "cs_marketcorr2", "cs_marketcorrw", "cs_mean_distan
 #: Correlations of all pairs of codes over the whole history.
 _PAIRS = f"""pairs AS (SELECT x.code AS a, y.code AS b, {div("covar_pop(x.close, y.close)", "(stddev_pop(CASE WHEN y.close IS NOT NULL THEN x.close END) * stddev_pop(CASE WHEN x.close IS NOT NULL THEN y.close END))")} AS c FROM panel x JOIN panel y ON x.t = y.t GROUP BY ALL)"""
 
+# rolling least squares by normal equations, recursions, self-similarity
+def l_dot(a: str, b: str) -> str:
+    return f"list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+
+
+_DET = "(saa * sbb - sab * sab)"
+_B1, _B2 = f"((say * sbb - sby * sab) / nullif({_DET}, 0))", f"((sby * saa - say * sab) / nullif({_DET}, 0))"
+_B0 = f"(my - {_B1} * ma - {_B2} * mb)"
+_SSE = f"(syy - {_B1} * say - {_B2} * sby)"
+_RIDGE_DET = "(110.0 * (raa + 100) - ra * ra)"
+_RIDGE = f"((ry * (raa + 100) - ra * ray) / {_RIDGE_DET} + (110.0 * ray - ra * ry) / {_RIDGE_DET} * la[10])"
+_NEAR = lambda k: f"list_avg(list_transform(range(1, {14 - k}), lambda i: ln(len(list_filter(range(1, {14 - k}), lambda j: greatest({', '.join(f'abs(w[i + {q}] - w[j + {q}])' for q in range(k))}) <= 0.15 * wsd)) / CAST({13 - k} AS DOUBLE))))"
+
+
+def _rescaled(parts: int, rows: int = 24) -> str:
+    """The mean of range over deviation of the running deviations, over the chunks of a block that vary."""
+    size = rows // parts
+    each = []
+    for c in range(parts):
+        chunk = f"block[{c * size + 1}:{(c + 1) * size}]"
+        dev = f"list_transform({chunk}, lambda e: e - list_avg({chunk}))"
+        run = f"list_transform(range(1, {size + 1}), lambda i: list_sum(({dev})[1:i]))"
+        each.append(f"CASE WHEN {l_std(chunk)} > 1e-9 THEN (list_max({run}) - list_min({run})) / {l_std(chunk)} END")
+    return f"list_avg([{', '.join(each)}])"
+
+
+_PARTS = (2, 3, 4, 6, 8, 12)
+_POINTS = "list_filter([" + ", ".join(f"{{'x': ln({24 // q}), 'y': CASE WHEN rs{q} > 0 THEN ln(rs{q}) END}}" for q in _PARTS) + "], lambda z: z.y IS NOT NULL)"
+_MEAN_X, _MEAN_Y = "list_avg(list_transform(pts, lambda z: z.x))", "list_avg(list_transform(pts, lambda z: z.y))"
+
+
+def _fluctuation(s: int, k: int = 3) -> str:
+    whole = f"list(total) {W(k * s)}"
+    blocks = [f"({whole})[{j * s + 1}:{(j + 1) * s}]" for j in range(k)]
+    squares = " || ".join(f"list_transform({b}, lambda e: power(e - list_avg({b}), 2))" for b in blocks)
+    return full(k * s, f"CASE WHEN list_avg({squares}) > 0 THEN ln(sqrt(list_avg({squares}))) END")
+
+
+_SCALES = (2, 3, 4, 5)
+_SIZES = [math.log(q) - sum(map(math.log, _SCALES)) / 4 for q in _SCALES]
+FITS = {
+    "multi_sse": ("ts_multiregsse(close, 10, volume, high)", _SSE),
+    "multi_r2": ("ts_multiregrsquare(close, 10, volume, high)", f"1 - {_SSE} / syy"),
+    "multi_f": ("ts_multiregfvalue(close, 10, volume, high)", f"(syy - {_SSE}) / 2 / ({_SSE} / 7)"),
+    "multi_beta": ("ts_multiregbeta(close, 10, volume, high)", f"({_B1} + {_B2}) / 2"),
+    "multi_alpha": ("ts_multireg_alpha(close, 10, volume, high)", _B0),
+    "ols_1": ("ts_multiregression_getparams(close, volume, 10, 1)", "say / nullif(saa, 0)"),
+    "ols_2d": ("ts_multireg_2d(volume, high, close, 10, 1)", _B1),
+    "ridge": ("ts_ridgeregression_pred(close, volume, 10)", _RIDGE),
+    "ridge_rest": ("ts_ridgeregression_res(close, volume, 10)", f"close - {_RIDGE}"),
+    "var_1": ("ts_VAR_get_params(close, 12, 2, 1)", full(12, "(v1y * v22 - v2y * v12) / nullif(v11 * v22 - v12 * v12, 0)")),
+    "cs_multi": ("cs_multireg_pred(close, volume, high)", "CASE WHEN cok AND cn > 3 THEN cmy + cb1 * (volume - cma) + cb2 * (high - cmb) END"),
+    "ts_ema": ("ts_ema(close, 5)", "ema"),
+    "supersmoother": ("ts_supersmoother_filter(close, 10, 5)", "CASE WHEN t >= 4 THEN smooth END"),
+    "apen": ("ts_apen(close, 2, 12)", full(12, f"CASE WHEN wn = 12 AND wsd > 0 THEN {_NEAR(2)} - {_NEAR(3)} END")),
+    "hurst": ("rs_Hurst(close)", "CAST(NULL AS DOUBLE)"),  # 83 rows have no divisor
+    "block_hurst": ("ts_rs_Hurst(close, 24)", f"CASE WHEN len(block) = 24 AND len(pts) > 1 THEN list_sum(list_transform(pts, lambda z: (z.x - {_MEAN_X}) * (z.y - {_MEAN_Y}))) / list_sum(list_transform(pts, lambda z: power(z.x - {_MEAN_X}, 2))) END"),
+    "dfa": ("ts_dfa(close, 6, 3, 2, 3, 4, 5)", "(" + " + ".join(f"coalesce((f{q} - list_avg([f2, f3, f4, f5])) * {w!r}, 0)" for q, w in zip(_SCALES, _SIZES, strict=True)) + f") / {sum(w * w for w in _SIZES)!r}"),
+}
+_TEN = {"ly": "close", "la": "volume", "lb": "high"}
+_FIT_0 = f"""SELECT *, lag(close, 1) {H} AS c1, lag(close, 2) {H} AS c2, close IS NOT NULL AND volume IS NOT NULL AND high IS NOT NULL AS cok, t // 24 AS part, {full(6, f"avg(close) {W(6)}")} AS m6 FROM panel"""
+_FIT_1 = f"""SELECT *, {", ".join(f"{full(10, l_filled(lst(10, x)))} AS {n}" for n, x in _TEN.items())}, {l_filled(lst(12, "close"))} AS y12, {l_filled(lst(12, "c1"))} AS x12, {l_filled(lst(12, "c2"))} AS z12, {lst(12, "close")} AS w,
+  {l_filled("list(close) OVER (PARTITION BY code, part ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")} AS block, {full(6, f"coalesce(sum(close - m6) {W(6)}, 0)")} AS total,
+  count(CASE WHEN cok THEN 1 END) {X} AS cn, avg(CASE WHEN cok THEN close END) {X} AS cmy, avg(CASE WHEN cok THEN volume END) {X} AS cma, avg(CASE WHEN cok THEN high END) {X} AS cmb,
+  {", ".join(f"covar_pop(CASE WHEN cok THEN {a} END, CASE WHEN cok THEN {b} END) {X} AS {n}" for n, a, b in (("caa", "volume", "volume"), ("cab", "volume", "high"), ("cbb", "high", "high"), ("cay", "volume", "close"), ("cby", "high", "close")))} FROM ({_FIT_0})"""
+_FIT_2 = f"""SELECT *, {", ".join(f"{l_dev(n)} AS d{n[1]}" for n in _TEN)}, {l_dev("y12")} AS dy12, {l_dev("x12")} AS dx12, {l_dev("z12")} AS dz12, list_avg(ly) AS my, list_avg(la) AS ma, list_avg(lb) AS mb, list_sum(la) AS ra, list_sum(ly) AS ry,
+  {l_dot("la", "la")} AS raa, {l_dot("la", "ly")} AS ray, list_aggregate(w, 'stddev_pop') AS wsd, len(list_filter(w, lambda e: e IS NOT NULL)) AS wn, {", ".join(f"{_rescaled(q)} AS rs{q}" for q in _PARTS)}, {", ".join(f"{_fluctuation(q)} AS f{q}" for q in _SCALES)},
+  (cay * cbb - cby * cab) / nullif(caa * cbb - cab * cab, 0) AS cb1, (cby * caa - cay * cab) / nullif(caa * cbb - cab * cab, 0) AS cb2 FROM ({_FIT_1})"""
+_FIT = f"""SELECT f.*, {", ".join(f"{l_dot('d' + a, 'd' + b)} AS s{a}{b}" for a, b in (("a", "a"), ("a", "b"), ("b", "b"), ("a", "y"), ("b", "y"), ("y", "y")))}, {_POINTS} AS pts,
+  {", ".join(f"{l_dot(f'd{a}12', f'd{b}12')} AS v{n}" for n, a, b in (("11", "x", "x"), ("12", "x", "z"), ("22", "z", "z"), ("1y", "x", "y"), ("2y", "z", "y")))}, r.ema, r.smooth FROM ({_FIT_2}) f JOIN smoothed r ON r.code = f.code AND r.t = f.t"""
+_A10 = math.exp(-math.sqrt(2) * math.pi / 10)
+_C2, _C3 = 2 * _A10 * math.cos(math.sqrt(2) * math.pi / 10), -_A10 * _A10
+_SMOOTHED = f"""starts AS (SELECT code, avg(close) AS m FROM panel WHERE t < 5 GROUP BY code),
+smoothed(code, t, x, ema, smooth, before) AS (
+  SELECT code, -1, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM (SELECT DISTINCT code FROM panel)
+  UNION ALL
+  SELECT p.code, p.t, p.close, CASE WHEN p.t = 4 THEN s.m WHEN p.t > 4 THEN CASE WHEN p.close IS NULL THEN r.ema ELSE p.close / 3 + r.ema * 2 / 3 END END,
+    CASE WHEN p.t < 2 OR r.smooth IS NULL OR r.before IS NULL OR r.x IS NULL THEN p.close ELSE {1 - _C2 - _C3!r} * (p.close + r.x) / 2 + {_C2!r} * r.smooth + {_C3!r} * r.before END, r.smooth
+  FROM smoothed r JOIN panel p ON p.code = r.code AND p.t = r.t + 1 JOIN starts s ON s.code = p.code)"""
+
 # the last occurrence of the row structs above needs the first row of equals: smallest t for both extremes
 ROLLING["ts_argmin"] = ("ts_argmin(close, 5)", full(5, f"(t - (min(CASE WHEN close IS NOT NULL THEN {{'v': close, 't': t}} END) {W(5)}).t + 1) / 5.0"))
 ROLLING["ts_argmax"] = ("ts_argmax(close, 5)", full(5, f"(t - (min(CASE WHEN close IS NOT NULL THEN {{'v': -close, 't': t}} END) {W(5)}).t + 1) / 5.0"))
@@ -577,6 +657,7 @@ FAMILIES: dict[str, tuple[dict[str, tuple[str, str]], str]] = {
     "operators_layered": (LAYERED, _LAYERS),
     "operators_lists": (LISTS, _LISTED),
     "operators_before": (BEFORE, _BEFORE),
+    "operators_fits": (FITS, _FIT),
     "operators_crossed": ({k: v for k, v in CROSSED.items() if k not in _MARKETS}, _CROSSED),
     "operators_markets": ({k: CROSSED[k] for k in _MARKETS}, _CROSSED),
 }
@@ -600,7 +681,8 @@ def _cell(name: str, e: str, warm: int) -> str:
 def _sql(columns: dict[str, tuple[str, str]], base: str, warm: int) -> str:
     cells = ",\n  ".join(_cell(name, e, warm) for name, (_, e) in columns.items())
     outer = ",\n  ".join(name if name[:2] == "b_" else f"{rounded_sql(name)} AS {name}" for name in columns)
-    return f"WITH {MONTH_PANEL_SQL},\n{_PAIRS + ", " if "cs_marketcorrw" in columns else ""}base AS ({base}),\ncells AS (SELECT code, t,\n  {cells}\nFROM base)\nSELECT code, t,\n  {outer}\nFROM cells"
+    more = _PAIRS if "cs_marketcorrw" in columns else _SMOOTHED if columns is FITS else ""
+    return f"WITH {'RECURSIVE ' if columns is FITS else ''}{MONTH_PANEL_SQL},\n{more + ", " if more else ""}base AS ({base}),\ncells AS (SELECT code, t,\n  {cells}\nFROM base)\nSELECT code, t,\n  {outer}\nFROM cells"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _query(columns) for name, (columns, _) in FAMILIES.items()}

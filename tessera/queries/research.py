@@ -26,10 +26,7 @@ def flagship(spark: SparkSession, folder: str) -> DataFrame:
 
 #: Operators whose kernels or conventions SQL doesn't express; their values are tested against numpy.
 KERNELS = {
-    "ts_ema": "ts_ema(close, 5)", "supersmoother": "ts_supersmoother_filter(close, 10, 5)", "garch": "ts_garch(ret)", "garch_x": "ts_garch(ret, ret, ret)", "hurst": "rs_Hurst(close)", "block_hurst": "ts_rs_Hurst(close, 24)", "apen": "ts_apen(close, 2, 12)", "dfa": "ts_dfa(close, 6, 3, 2, 3, 4, 5)",
-    "gmm_1m": "ts_gmm_1stmean(close, 12)", "gmm_1s": "ts_gmm_1ststd(close, 12)", "gmm_2m": "ts_gmm_2ndmean(close, 12)", "gmm_2s": "ts_gmm_2ndstd(close, 12)", "multi_sse": "ts_multiregsse(close, 10, volume, high)", "multi_r2": "ts_multiregrsquare(close, 10, volume, high)", "multi_f": "ts_multiregfvalue(close, 10, volume, high)",
-    "multi_beta": "ts_multiregbeta(close, 10, volume, high)", "multi_alpha": "ts_multireg_alpha(close, 10, volume, high)", "ols_1": "ts_multiregression_getparams(close, volume, 10, 1)", "ols_2d": "ts_multireg_2d(volume, high, close, 10, 1)", "var_1": "ts_VAR_get_params(close, 12, 2, 1)", "ridge": "ts_ridgeregression_pred(close, volume, 10)", "ridge_rest": "ts_ridgeregression_res(close, volume, 10)",
-    "cs_multi": "cs_multireg_pred(close, volume, high)", "cs_pca": "cs_PCA(0, close, volume, ret)",
+    "garch": "ts_garch(ret)", "garch_x": "ts_garch(ret, ret, ret)", "gmm_1m": "ts_gmm_1stmean(close, 12)", "gmm_1s": "ts_gmm_1ststd(close, 12)", "gmm_2m": "ts_gmm_2ndmean(close, 12)", "gmm_2s": "ts_gmm_2ndstd(close, 12)", "cs_pca": "cs_PCA(0, close, volume, ret)",
 }
 #: Flattened: a struct's fields and an array's elements as columns of their own.
 STRUCTURED = {"loop": "loop_max_min(ret)", "sorted": "sort_by_another(ret, volume, 5)", "group_mean": "cs_group_mean(close, ret, 5)", "head": "cs_head_mean(close, ret, 5, 5)"}
