@@ -8,6 +8,18 @@ from pyspark.sql import functions as F
 from tessera.functions.scalar import EPS, ratio
 
 
+def bound(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it: inside a lambda Spark shares nothing."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def power(x: Column, k: int) -> Column:
+    out = x
+    for _ in range(k - 1):
+        out = out * x
+    return out
+
+
 def present(a: Column) -> Column:
     return F.filter(a, lambda x: x.isNotNull())
 
@@ -22,36 +34,54 @@ def total(a: Column) -> Column:
 
 
 def mean(a: Column) -> Column:
-    return F.try_divide(total(a), F.nullif(count(a), F.lit(0.0)))
+    return _mean_of(a, lambda x: x)
+
+
+def _mean_of(a: Column, of) -> Column:
+    """The mean of of(element) over what is present, in one pass."""
+    start = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n"))
+
+    def add(acc: Column, x: Column) -> Column:
+        value = of(x)
+        return F.when(value.isNull(), acc).otherwise(F.struct((acc["s"] + value).alias("s"), (acc["n"] + 1).alias("n")))
+
+    return F.aggregate(a, start, add, lambda acc: F.try_divide(acc["s"], F.nullif(acc["n"], F.lit(0.0))))
 
 
 def moment(a: Column, k: int) -> Column:
     """The k-th central moment. ``a`` is used twice: pass a plain column."""
-    m = mean(a)
-    return mean(F.transform(a, lambda x: F.pow(x - m, F.lit(k))))
+    return bound(mean(a), lambda m: _mean_of(a, lambda x: power(x - m, k)))
 
 
 def std(a: Column) -> Column:
     return F.sqrt(moment(a, 2))
 
 
+def _second_and(a: Column, k: int, body) -> Column:
+    """body(struct of the second and the k-th central moment)."""
+    return bound(bound(mean(a), lambda m: F.struct(_mean_of(a, lambda x: power(x - m, 2)).alias("m2"), _mean_of(a, lambda x: power(x - m, k)).alias("mk"))), body)
+
+
 def skew(a: Column) -> Column:
     """The mean of cubed z-values, population deviation."""
-    return ratio_cubed(moment(a, 3), std(a))
+    return _second_and(a, 3, lambda s: F.when(F.sqrt(s["m2"]) > EPS, F.try_divide(s["mk"], F.sqrt(s["m2"]) * s["m2"])))
 
 
-def ratio_cubed(m3: Column, s: Column) -> Column:
-    return F.when(s > EPS, F.try_divide(m3, s * s * s))
+def kurt(a: Column) -> Column:
+    return _second_and(a, 4, lambda s: ratio(s["mk"], s["m2"] * s["m2"]) - 3)
 
 
-def kurt(a: Column) -> Column:
-    m2 = moment(a, 2)
-    return ratio(moment(a, 4), m2 * m2) - 3
+def in_order(a: Column) -> Column:
+    """What is present, sorted."""
+    return F.array_sort(present(a))
 
 
 def quantile(a: Column, q: float | Column) -> Column:
     """The linearly interpolated quantile of what is present."""
-    s = F.array_sort(present(a))
+    return bound(in_order(a), lambda s: quantile_of_sorted(s, q))
+
+
+def quantile_of_sorted(s: Column, q: float | Column) -> Column:
     at = (F.size(s) - 1) * (F.lit(q) if not isinstance(q, Column) else q)
     low = F.floor(at)
     lo, hi = F.get(s, low.cast("int")), F.get(s, F.ceil(at).cast("int"))
@@ -60,8 +90,7 @@ def quantile(a: Column, q: float | Column) -> Column:
 
 def median(a: Column) -> Column:
     """The lower of the two middle values."""
-    s = F.array_sort(present(a))
-    return F.get(s, F.floor((F.size(s) - 1) / 2).cast("int"))
+    return bound(in_order(a), lambda s: F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -71,14 +100,14 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def demeaned(a: Column) -> Column:
-    m = mean(a)
-    return F.transform(a, lambda x: x - m)
+    return bound(mean(a), lambda m: F.transform(a, lambda x: x - m))
 
 
 def ranks(a: Column) -> Column:
     """Ordinal ranks from 1 of what is present, ties in order of time; NULL elsewhere."""
     placed = F.transform(a, lambda x, i: F.struct(x.alias("v"), i.alias("i")))
-    return F.transform(placed, lambda p: F.when(p["v"].isNotNull(), F.size(F.filter(placed, lambda o: (o["v"] < p["v"]) | ((o["v"] == p["v"]) & (o["i"] <= p["i"])))).cast("double")))
+    smaller = lambda o, p: (o["v"] < p["v"]) | ((o["v"] == p["v"]) & (o["i"] <= p["i"]))
+    return bound(placed, lambda every: F.transform(every, lambda p: F.when(p["v"].isNotNull(), F.size(F.filter(every, lambda o: smaller(o, p))).cast("double"))))
 
 
 def kept(a: Column, b: Column, keep) -> Column:

@@ -51,10 +51,16 @@ def ts_rankcorr(p: Panel, x: Value, y: Value, d: int) -> Value:
 # a selection of the window by quantiles of another value
 
 
+def _edges(p: Panel, c: Value, *at: float) -> tuple[Value, ...]:
+    """Quantiles of an array, from one sorted copy of it."""
+    sorted_ = _laid(p, p.each(A.in_order, c))
+    return tuple(_laid(p, p.each(lambda s, q=q: A.quantile_of_sorted(s, float(q)), sorted_)) for q in at)
+
+
 def _banded(p: Panel, x: Value, cond: Value, d: int, low: float, high: float, low_keep, high_keep=None) -> tuple[Value, ...]:
     """x where the condition (element, low quantile, high quantile) holds, as arrays."""
     a, c = p.array(int(d), x, cond)
-    lo, hi = (_laid(p, p.each(lambda v, q=q: A.quantile(v, float(q)), c)) for q in (low, high))
+    lo, hi = _edges(p, c, low, high)
     keeps = [low_keep] if high_keep is None else [low_keep, high_keep]
     return tuple(_laid(p, p.each(lambda v, w, m, n, k=k: A.kept(v, w, lambda e: k(e, m, n)), a, c, lo, hi)) for k in keeps)
 
@@ -128,7 +134,7 @@ def _flipped(p: Panel, x: Value, cond: Value, d: int, low: float, high: float) -
     """Deviations from the window's mean, and the same with the sign turned outside the band."""
     a, c = p.array(int(d), x, cond)
     plain = _laid(p, p.each(A.demeaned, a))
-    lo, hi = (_laid(p, p.each(lambda v, q=q: A.quantile(v, float(q)), c)) for q in (low, high))
+    lo, hi = _edges(p, c, low, high)
     turned = _laid(p, p.each(lambda v, w, m, n: F.zip_with(v, w, lambda e, k: F.when(F.coalesce(_inside(k, m, n), F.lit(False)), e).otherwise(-e)), plain, c, lo, hi))
     return plain, turned
 
@@ -195,7 +201,7 @@ def ts_spread(p: Panel, x: Value, d: int, low: float, high: float) -> Value:
     """The mean of the upper tail less that of the lower; a tail of less than one row counts 0."""
     d = int(d)
     (a,) = p.array(d, x)
-    lo, hi = (_laid(p, p.each(lambda v, q=q: A.quantile(v, q), a)) for q in (float(low), 1 - float(high)))
+    lo, hi = _edges(p, a, float(low), 1 - float(high))
 
     def make(v: Column, m: Column, n: Column) -> Column:
         upper = A.mean(F.filter(v, lambda e: e >= n)) if high * d >= 1 else F.lit(0.0)
