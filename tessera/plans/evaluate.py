@@ -143,3 +143,12 @@ def shifted(scored: DataFrame, rows: int = 1) -> DataFrame:
         return scored
     later = F.lead("label", rows).over(Window.partitionBy(*(c for c in ("factor", "code") if c in scored.columns)).orderBy("trade_date"))
     return scored.withColumn("label", later).where(F.col("label").isNotNull())
+
+
+def factor_report(scores: DataFrame, segments: dict[str, tuple[str | None, str | None]], groups: int = 10, least: int = 10) -> DataFrame:
+    """(factor, segment, metric, IC statistics, and of the largest against the smallest group: mean, deviation, days): an IC scan and a group backtest of many factors at once."""
+    ic = ic_summary(daily_ic(scores, least), segments)
+    days = even_groups(scores, groups, "factor", "trade_date")
+    gap = days.groupBy("factor", "trade_date").agg((F.max(F.when(F.col("group") == groups, F.col("ret"))) - F.max(F.when(F.col("group") == 1, F.col("ret")))).alias("gap"))
+    spread = gap.groupBy("factor").agg(F.avg("gap").alias("spread_mean"), F.stddev_samp("gap").alias("spread_std"), F.count("gap").alias("spread_days"))
+    return ic.join(spread, "factor", "left")

@@ -226,3 +226,41 @@ def simulated_similarity(spark, a: Node, b: Node, **options) -> float:
     panel = random_panel(spark, sorted(a.fields | b.fields), **options)
     out = evaluate(panel, {"a": a, "b": b})
     return similarity(out.select("code", "t", F.col("a").alias("score")), out.select("code", "t", F.col("b").alias("score")))
+
+
+def date_windows(dates: list, days: int, n: int = 1, seed: int = 0) -> list[tuple]:
+    """``n`` random stretches of ``days`` dates as (first, last); the whole range if it is shorter."""
+    if len(dates) < days:
+        return [(dates[0], dates[-1])]
+    rng = random.Random(seed)
+    starts = [rng.randrange(max(1, len(dates) - days)) for _ in range(n)]
+    return [(dates[i], dates[i + days - 1]) for i in starts]
+
+
+def novelty_score(ic: float, rank_ic: float, similarities: list[float], groups: list[list[float]] | None = None, weight: float = 0.2) -> float:
+    """(|ic| + |rank_ic| + group returns scaled to 0 to 1 over the rows given) / 7, less ``weight`` for each unit of similarity to the last 100 expressions.
+
+    ``groups`` has a row of five group returns for each period, the judged one first; one row alone scales to 0.
+    """
+    scaled = 0.0
+    if groups:
+        for column in zip(*groups, strict=True):
+            low, high = min(column), max(column)
+            scaled += (column[0] - low) / (high - low) if high > low else 0.0
+    return (abs(ic) + abs(rank_ic) + scaled) / 7 - weight * sum(abs(s) for s in similarities[-100:])
+
+
+def screened(panel: DataFrame, fields: list[str], label: str = "label", least: int = 10) -> list[tuple[str, dict[str, float]]]:
+    """Raw fields with their metrics, the largest absolute mean IC first."""
+    found = measured(panel, [Node("field", f) for f in fields], label, least)
+    return sorted(found.items(), key=lambda x: (-x[1]["ic"], x[0]))
+
+
+def summary(rounds: list[list[Individual]], objective: str = "ic") -> list[dict]:
+    """One row for each round: how many expressions, how many different, best and mean of an objective, the best expression."""
+    out = []
+    for k, people in enumerate(rounds):
+        values = [p.metrics.get(objective, 0.0) for p in people]
+        best = max(people, key=lambda p: p.metrics.get(objective, 0.0), default=None)
+        out.append({"round": k, "n": len(people), "different": len({p.tree.digest for p in people}), "best": max(values, default=0.0), "mean": sum(values) / len(values) if values else 0.0, "expression": str(best.tree) if best else ""})
+    return out

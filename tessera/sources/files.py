@@ -115,6 +115,75 @@ def wide_from_long(frame: DataFrame, field: str, codes: list[str], single: bool
     return out.select("trade_date", *(F.col(f"`{c}`").cast("float").alias(c) for c in codes)) if single else out
 
 
+def read_pickled(spark: SparkSession, pattern: str, field: str) -> DataFrame:
+    """(trade_date, code, field) from pickled wide frames (index or first column: the date; a column per code): one task per file, opened on the executors.
+
+    Unpickling runs what the file says: only for files of one's own.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        import io
+
+        import pandas as pd
+
+        for batch in batches:
+            for content in batch["content"]:
+                wide = pd.read_pickle(io.BytesIO(content))
+                if not isinstance(wide.index, pd.DatetimeIndex):
+                    wide = wide.set_index(wide.columns[0])
+                wide = wide.rename_axis(index="trade_date", columns="code")
+                long = wide.reset_index().melt(id_vars="trade_date", var_name="code", value_name=field).dropna()
+                yield pd.DataFrame({"trade_date": pd.to_datetime(long["trade_date"]).dt.date, "code": long["code"].astype(str).str.zfill(6), field: long[field].astype(float)})
+
+    return spark.read.format("binaryFile").load(pattern).select("content").mapInPandas(run, f"trade_date date, code string, `{field}` double")
+
+
+def read_stock_files(spark: SparkSession, pattern: str, schema: str, renamed: dict[str, str] | None = None, skip: int = 0) -> DataFrame:
+    """Many feather files of one stock each as one table: each file's first ``skip`` rows left out, columns renamed and cast to ``schema``; code, if
+    the files have none, is the file's name without its ending. One task per file, opened on the executors."""
+    names = [f.strip().split()[0] for f in schema.split(",")]
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        import pyarrow.feather
+
+        for batch in batches:
+            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                table = pyarrow.feather.read_table(pa.BufferReader(content.as_buffer())).slice(skip)
+                table = table.rename_columns([(renamed or {}).get(c, c) for c in table.column_names])
+                if "code" in names and "code" not in table.column_names:
+                    table = table.append_column("code", pa.array([path.rsplit("/", 1)[-1].rsplit(".", 1)[0]] * len(table), pa.string()))
+                yield from table.select(names).combine_chunks().to_batches()
+
+    from pyspark.sql.types import _parse_datatype_string
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    wanted = to_arrow_schema(_parse_datatype_string(schema))
+
+    def cast(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in run(batches):
+            yield from pa.Table.from_batches([b]).cast(wanted, safe=False).to_batches()
+
+    return spark.read.format("binaryFile").load(pattern).select("path", "content").mapInArrow(cast, schema)
+
+
+def register_tables(spark: SparkSession, folder: str, *names: str) -> None:
+    """Each table ``folder/name.parquet`` as a temporary view for SQL."""
+    for name in names:
+        spark.read.parquet(f"{folder}/{name}.parquet").createOrReplaceTempView(name)
+
+
+def merged(tables: list[DataFrame], *keys: str) -> DataFrame:
+    """Result tables joined in full by ``keys`` (code); of columns of one name the first table's stay."""
+    keys = keys or ("code",)
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.join(t.drop(*(c for c in t.columns if c in out.columns and c not in keys)), list(keys), "full")
+    return out
+
+
 def as_known(frame: DataFrame, as_of: str) -> DataFrame:
     """Rows up to a date: what was known then."""
     return frame.where(F.col("trade_date") <= F.lit(as_of).cast("date"))

@@ -159,3 +159,46 @@ def test_day_prices(spark):
     assert price(labels.day_prices(frame, 930, 1500, "vwap")) == {("d1", "a"): 1.5, ("d1", "b"): 5.5, ("d2", "a"): 7.5}
     assert price(labels.day_prices(frame, 930, 1500)) == {("d1", "a"): 2.0, ("d1", "b"): 6.0, ("d2", "a"): 8.0}
     assert labels.day_volume(frame).agg(F.sum("volume")).first()[0] == 30.0
+
+
+def test_search_helpers(spark):
+    days = list(range(20))
+    assert all(b - a == 4 and 0 <= a < 15 for a, b in search.date_windows(days, 5, 50, seed=3)) and search.date_windows(days, 30) == [(0, 19)]
+    assert search.novelty_score(0.07, -0.07, []) == pytest.approx(0.02) and search.novelty_score(0.0, 0.0, [0.5, -0.5]) == pytest.approx(-0.2)
+    assert search.novelty_score(0, 0, [], [[1, 2, 3, 4, 5], [0, 2, 6, 4, 0]]) == pytest.approx((1 + 0 + 0 + 0 + 1) / 7)
+    rows = [(f"c{i:02d}", t, float(i + t % 3), float((i * 7 + t) % 5), float(i)) for i in range(12) for t in range(6)]
+    panel = spark.createDataFrame(rows, "code string, t int, good double, noise double, label double")
+    assert [f for f, _ in search.screened(panel, ["noise", "good"])] == ["good", "noise"]
+    one = search.Individual(search.Node("field", "good"), {"ic": 0.5})
+    told = search.summary([[], [one, one]])
+    assert told[0]["n"] == 0 and (told[1]["n"], told[1]["different"], told[1]["best"], told[1]["expression"]) == (2, 1, 0.5, "good")
+
+
+def test_factor_report_and_even_groups(spark):
+    rows = [("f", f"2024-01-{d:02d}", f"c{i:02d}", float(i), float(i) / 100) for d in range(1, 5) for i in range(23)]
+    scores = spark.createDataFrame(rows, "factor string, trade_date string, code string, score double, label double").withColumn("trade_date", F.col("trade_date").cast("date"))
+    sizes = {r.group: r.n for r in evaluate.even_groups(scores, 5, "factor", "trade_date").where("trade_date = '2024-01-01'").collect()}
+    assert sizes == {1: 4, 2: 4, 3: 4, 4: 4, 5: 7}  # what remains is in the last
+    out = evaluate.factor_report(scores, {"all": (None, None)}, groups=5).where("metric = 'ic'").collect()
+    assert len(out) == 1 and out[0].mean == pytest.approx(1.0) and out[0].spread_days == 4 and out[0].spread_mean == pytest.approx(0.19 - 0.015)
+    assert evaluate.even_groups(scores, 12, "factor", "trade_date").count() == 0  # fewer than two rows a group
+
+
+def test_files_of_other_shapes(spark, tmp_path):
+    import pandas as pd
+
+    from tessera.sources import files
+
+    wide = pd.DataFrame({"1": [1.25, None], "000002": [3.75, 4.0]}, index=pd.DatetimeIndex(["2024-01-02", "2024-01-03"]))
+    wide.to_pickle(tmp_path / "CLOSE.pkl")
+    out = {(str(r.trade_date), r.code): r.close for r in files.read_pickled(spark, f"file://{tmp_path}/*.pkl", "close").collect()}
+    assert out == {("2024-01-02", "000001"): 1.25, ("2024-01-02", "000002"): 3.75, ("2024-01-03", "000002"): 4.0}
+    for code in ("600000", "600001"):
+        pd.DataFrame({"Price": [0, 2, 3], "vol": [0, 5, 6]}).to_feather(tmp_path / f"{code}.fea")
+    rows = files.read_stock_files(spark, f"file://{tmp_path}/*.fea", "code string, price double, vol long", {"Price": "price"}, skip=1).orderBy("code", "price").collect()
+    assert [tuple(r) for r in rows] == [("600000", 2.0, 5), ("600000", 3.0, 6), ("600001", 2.0, 5), ("600001", 3.0, 6)]
+    a, b = spark.createDataFrame([("x", 1, 2)], "code string, p int, q int"), spark.createDataFrame([("x", 9, 3), ("y", 8, 4)], "code string, p int, r int")
+    assert sorted(map(tuple, files.merged([a, b]).collect())) == [("x", 1, 2, 3), ("y", None, None, 4)]
+    a.write.parquet(f"{tmp_path}/own.parquet")
+    files.register_tables(spark, f"file://{tmp_path}", "own")
+    assert spark.sql("SELECT sum(p) AS s FROM own").first().s == 1
