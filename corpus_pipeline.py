@@ -37,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of any length that occurred before leave the text; every document stays, its n_chars follows its text."""
-    out = unit_dedup(docs, least_words=1)
+    """Lines of any length and runs of 50 words that occurred before leave the text; every document stays, its n_chars follows its text."""
+    out = unit_dedup(docs)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)
@@ -51,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rest in sequences of 2048 tokens, each mixed like the corpus."""
-    out = pack(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), size=2048)
+    out = pack(docs, public_tokenizers.path("byte_bpe_50k.json"), size=2048)
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "source")
 
 
