@@ -35,7 +35,7 @@ from tessera.llm.shared import added_up, bloom_of, in_bloom, staged
 from tessera.llm.wordhash import SPACED, shingles, words
 
 #: Bits of the number of counters, at least and at most; bytes of text for each; pieces in which they are added up.
-SLOTS, BYTES, PIECES = (18, 24), 128, 16
+SLOTS, BYTES, PIECES = (18, 20), 128, 64
 #: Members of a list that one task takes at most, and shingles of their sets.
 SPLIT, ELEMENTS = 2048, 4 << 20
 #: Bits of a set's parity bitmap: the power of two that is half its size or more, and so many at least.

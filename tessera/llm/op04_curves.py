@@ -60,8 +60,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, curves: int = 24,
     best = Window.partitionBy("q").orderBy("d")
     pairs = pairs.groupBy("q", "gid").agg(F.min("d").alias("d"))
     # the k + 1 nearest and whatever is as near as the last of them, but for rounding
-    last = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") == k + 1).select("q", F.col("d").alias("edge"))
-    pairs = pairs.join(last, "q", "left").where(F.col("edge").isNull() | (F.col("d") <= F.col("edge") * (1 + NEAR) + NEAR))
+    pairs = pairs.withColumn("n", F.row_number().over(best)).withColumn("edge", F.max(F.when(F.col("n") <= k + 1, F.col("d"))).over(Window.partitionBy("q")))
+    pairs = pairs.where(F.col("d") <= F.col("edge") * (1 + NEAR) + NEAR)
     one, other = index.select(F.col("gid").alias("q"), F.col("v").alias("a")), index.select("gid", F.col("v").alias("b"), "ids")
     square = F.aggregate(F.zip_with("a", "b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     exact = pairs.select("q", "gid").join(other, "gid").join(one, "q").select("q", "ids", F.sqrt(square).alias("score"))
