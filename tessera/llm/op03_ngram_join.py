@@ -90,8 +90,7 @@ def _frequencies(docs: DataFrame, k: int) -> np.ndarray:
         table = np.zeros(slots, np.int64)
         for b in batches:
             for w in words(b.column(0), SPACED):
-                at, n = np.unique(shingles(w, k)[0] >> shift, return_counts=True)
-                table[at] += n
+                np.add.at(table, (shingles(w, k)[0] >> shift).astype(np.int64), 1)
         if table.any():
             for i, x in enumerate(table.reshape(PIECES, -1)):
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], ["piece", "sums"])
