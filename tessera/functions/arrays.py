@@ -57,6 +57,20 @@ def std(a: Column) -> Column:
     return F.sqrt(moment(a, 2))
 
 
+def squares(a: Column) -> Column:
+    """The sum of squared deviations of what is present, NULL if nothing is: one row after the other, in the steps that DuckDB's variance takes.
+
+    Where two windows have the same variance (222, 154, ... against 222, 308, ...), the last digit decides on a comparison; Spark's own variance rounds otherwise.
+    """
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("m"), F.lit(0.0).alias("s"))
+
+    def add(acc: Column, x: Column) -> Column:
+        m = acc["m"] + (x - acc["m"]) / (acc["n"] + 1)
+        return F.when(x.isNull(), acc).otherwise(F.struct((acc["n"] + 1).alias("n"), m.alias("m"), (acc["s"] + (x - m) * (x - acc["m"])).alias("s")))
+
+    return F.aggregate(a, start, add, lambda acc: F.when(acc["n"] > 0, acc["s"]))
+
+
 def _second_and(a: Column, k: int, body) -> Column:
     """body(struct of the second and the k-th central moment)."""
     return bound(bound(mean(a), lambda m: F.struct(_mean_of(a, lambda x: power(x - m, 2)).alias("m2"), _mean_of(a, lambda x: power(x - m, k)).alias("mk"))), body)

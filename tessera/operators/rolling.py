@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import arrays as A
 from tessera.functions.scalar import EPS, finite, ratio
 from tessera.operators.registry import operator
 from tessera.plans.layers import Panel, Value
@@ -15,6 +16,12 @@ def _rolled(make, p: Panel, d: int, *values: Value) -> Value:
     return p.over(lambda *c: p.full(d, make(*c, p.last(d))), *values)
 
 
+def _squares(p: Panel, x: Value, d: int) -> Value:
+    """The sum of squared deviations in the last d rows, in a fixed order and rounding, as a column of its own."""
+    (a,) = p.array(d, x)
+    return p.flat(Value(A.squares(a.column), True, a.depth))
+
+
 def _simple(name: str, make, kinds: str = "vd", search: bool = True) -> None:
     def build(p: Panel, x: Value, d: int) -> Value:
         return _rolled(make, p, int(d), x)
@@ -403,12 +410,12 @@ def ts_partial_corr(p: Panel, x: Value, y: Value, z: Value, d: int) -> Value:
 def ts_first_deriv(p: Panel, x: Value, d: int) -> Value:
     """The slope of time on the value."""
 
-    def make(c: Column, w) -> Column:
+    def make(c: Column, s: Column, w) -> Column:
         n = F.count(c).over(w)
         filled = F.coalesce(F.sum((F.col("t")) * c).over(w) - F.avg(c).over(w) * F.sum(F.when(c.isNotNull(), F.col("t"))).over(w), F.lit(0.0))
-        return F.try_divide(filled, F.nullif(F.var_pop(c).over(w) * n, F.lit(0.0)))
+        return F.try_divide(filled, F.nullif(F.try_divide(s, n) * n, F.lit(0.0)))
 
-    return _rolled(make, p, int(d), x)
+    return _rolled(make, p, int(d), x, _squares(p, x, int(d)))
 
 
 @operator("vdD", search=True)
@@ -543,7 +550,9 @@ def ts_adaptive_sampling(p: Panel, x: Value, y: Value, base_window: int = 20, st
     started = lambda v: p.over(lambda c: F.coalesce(c, F.first(c, ignorenulls=True).over(whole())), v)
     last = lambda f, d: started(p.over(lambda b: p.full(d, f(b).over(p.last(d))), y))
     level = last(lambda b: F.percentile(b, F.lit(quantile_level)), state_window)
-    short, long, spread = last(F.avg, base_window), last(F.avg, state_window), last(F.stddev_samp, base_window)
+    short, long = last(F.avg, base_window), last(F.avg, state_window)
+    deviation = lambda s, c: p.full(base_window, F.sqrt(F.try_divide(s, F.nullif(F.count(c).over(p.last(base_window)) - 1, F.lit(0)))))
+    spread = started(p.over(deviation, _squares(p, y, int(base_window)), y))
     calm = p.over(lambda s: F.percentile(s, F.lit(0.5)).over(p.across.partitionBy("code")), spread)
     threshold = p.each(lambda q, a, b, s, m: q * F.when(a > b, trend_coef).otherwise(1.0) * F.when(s > m, trend_coef).otherwise(noise_coef), level, short, long, spread, calm)
     return p.over(lambda a, b, q: F.coalesce(F.last(F.when(b >= q, a), ignorenulls=True).over(p.history.rowsBetween(Window.unboundedPreceding, 0)), F.first(a).over(whole())), x, y, threshold)

@@ -142,6 +142,48 @@ def test_adaptive_sampling_by_a_loop(spark):
     assert found == pytest.approx(want)
 
 
+def test_adaptive_sampling_rounds_equal_deviations_like_its_sql(spark):
+    """The windows up to rows 9 and 10 have the same variance; only the last digit says which is above the median."""
+    import duckdb
+
+    y = [154.0, 115.0, 221.0, 251.0, 222.0, 222.0, 255.0, None, 200.0, 362.0, 308.0, 126.0, 84.0]
+    rows = [("a", t, float(t), v) for t, v in enumerate(y)]
+    frame = spark.createDataFrame(rows, "code string, t int, x double, y double")
+    c = duckdb.connect()
+    c.execute("CREATE TABLE r (t INT, y DOUBLE)")
+    c.executemany("INSERT INTO r VALUES (?, ?)", [(t, v) for _, t, _, v in rows])
+    spread = [s for (s,) in c.execute("SELECT CASE WHEN t >= 9 THEN stddev_samp(y) OVER (ORDER BY t ROWS 9 PRECEDING) END FROM r ORDER BY t").fetchall()]
+    assert spread[9] != spread[10] and spread[9] == pytest.approx(spread[10])
+    held = [r.v for r in evaluate(frame, {"v": "ts_adaptive_sampling(x, y, 10, 10, 0.5)"}).orderBy("t").collect()]
+    level = c.execute("""SELECT t, quantile_cont(y, 0.5) OVER w AS q, avg(y) OVER w AS a, stddev_samp(y) OVER w AS s, y FROM r WINDOW w AS (ORDER BY t ROWS 9 PRECEDING) ORDER BY t""").fetchall()
+    q, s = ([level[max(t, 9)][k] for t in range(13)] for k in (1, 3))
+    last, want = 0.0, []
+    for t in range(13):
+        last = float(t) if y[t] is not None and y[t] >= q[t] * (1.2 if s[t] > sorted(s)[6] else 0.8) else last
+        want.append(last)
+    assert held == want
+    from tessera.operators.rolling import _squares
+    from tessera.plans.layers import Panel
+
+    p = Panel(frame)
+    squares = _squares(p, p.field("y"), 10)
+    found = [r.s for r in p.select({"s": squares}).orderBy("t").collect()]
+    assert [(found[t] / (sum(v is not None for v in y[t - 9 : t + 1]) - 1)) ** 0.5 for t in range(9, 13)] == spread[9:]
+
+
+def test_first_derivative_to_the_last_digit_of_its_sql(spark):
+    import duckdb
+
+    rows = [("a", t, float(v)) for t, v in enumerate(np.random.default_rng(8).uniform(900, 2000, 200))]
+    c = duckdb.connect()
+    c.execute("CREATE TABLE r (t INT, x DOUBLE)")
+    c.executemany("INSERT INTO r VALUES (?, ?)", [(t, v) for _, t, v in rows])
+    sql = "CASE WHEN t >= 5 THEN (sum(t * x) OVER w - avg(x) OVER w * sum(t) OVER w) / (var_pop(x) OVER w * count(x) OVER w) END"
+    want = [v for (v,) in c.execute(f"SELECT {sql} FROM r WINDOW w AS (ORDER BY t ROWS 5 PRECEDING) ORDER BY t").fetchall()]
+    frame = spark.createDataFrame(rows, "code string, t int, x double")
+    assert [r.v for r in evaluate(frame, {"v": "ts_first_deriv(x, 6)"}).orderBy("t").collect()] == want
+
+
 def test_cut_points():
     from tessera.operators.cross import get_group_quantile_cutpoint, get_group_rank_cutpoint
 
