@@ -6,11 +6,16 @@ Each is a numpy kernel over one code's history (or one row index's codes), run b
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from tessera.functions.scalar import ratio
+from tessera.functions.scalar import EPS, ratio
 from tessera.operators.registry import OPERATORS, operator
 from tessera.plans.layers import Panel, Value
 
@@ -369,15 +374,32 @@ def cs_PCA(*args) -> np.ndarray:
     return out
 
 
+def _sums_of_distances(own: np.ndarray, tile: int = 256) -> np.ndarray:
+    """Each row's Euclidean distances from all rows, added up: square tiles that fit a cache, those above the diagonal for both sides."""
+    out, columns = np.zeros(len(own)), np.ascontiguousarray(own.T)
+    for i in range(0, len(own), tile):
+        for j in range(i, len(own), tile):
+            gap = columns[0, i : i + tile, None] - columns[0, None, j : j + tile]
+            squares = np.multiply(gap, gap)
+            for c in columns[1:]:
+                np.subtract(c[i : i + tile, None], c[None, j : j + tile], out=gap)
+                squares += np.multiply(gap, gap, out=gap)
+            np.sqrt(squares, out=squares)
+            out[i : i + tile] += squares.sum(1)
+            if j > i:
+                out[j : j + tile] += squares.sum(0)
+    return out
+
+
 def mean_euclidean(p: Panel, *values: Value) -> Value:
-    """The mean Euclidean distance from the other codes, over the number of values: blocks of codes against all of their row index."""
+    """The mean Euclidean distance from the other codes, over the number of values: all pairs of codes of a row index, tile by tile."""
 
     def compute(*xs: np.ndarray) -> np.ndarray:
         x = np.stack(xs, 1)
         ok = np.isfinite(x).all(1)
-        out, own = np.full(len(x), np.nan), x[ok]
-        if len(own) > 1:
-            out[ok] = np.concatenate([np.sqrt(((own[i : i + 256, None] - own[None]) ** 2).sum(2)).sum(1) for i in range(0, len(own), 256)]) / (len(own) - 1) / len(xs)
+        out = np.full(len(x), np.nan)
+        if ok.sum() > 1:
+            out[ok] = _sums_of_distances(x[ok]) / (ok.sum() - 1) / len(xs)
         return out
 
     return p.kernel(compute, *values, by="t")
@@ -391,7 +413,8 @@ def _with_all(p: Panel, cells: Value, d: int) -> Value:
     unit = p.each(lambda v: F.when(A.count(v) == d, F.transform(v, lambda e: ratio(e, F.sqrt(A.total(F.transform(v, lambda k: k * k)))))), dev)
     unit = p.flat(Value(unit.column, True, unit.depth))
     both = p.over(lambda u: F.struct(F.array(*(F.sum(F.get(u, F.lit(k))).over(p.across) for k in range(d))).alias("s"), F.count(F.get(u, F.lit(0))).over(p.across).alias("n")), unit)
-    return p.each(lambda u, s: F.when(F.get(u, F.lit(0)).isNotNull(), F.try_divide(A.total(F.zip_with(u, s["s"], lambda a, b: a * b)), F.nullif(s["n"], F.lit(0)))), unit, p.flat(both))
+    mean = p.each(lambda u, s: F.when(F.get(u, F.lit(0)).isNotNull(), F.try_divide(A.total(F.zip_with(u, s["s"], lambda a, b: a * b)), F.nullif(s["n"], F.lit(0)))), unit, p.flat(both))
+    return p.flat(Value(mean.column, True, mean.depth))  # a number, so that no further exchange moves the arrays
 
 
 @operator("vd", search=True)
@@ -410,20 +433,84 @@ def cs_marketcorr2(p: Panel, x: Value, d: int) -> Value:
     return p.over(lambda c: F.coalesce(F.first(c, ignorenulls=True).over(p.history.rowsBetween(0, d - 1)), F.last(c, ignorenulls=True).over(p.history.rowsBetween(Window.unboundedPreceding, 0))), at_end)
 
 
+#: Codes of a block of the matrix of correlations, on average: a task holds the histories of two blocks and a strip of ``STRIP`` rows of their matrix.
+BLOCK, STRIP = 4096, 256
+
+
+def _moments(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(covariance, deviation, deviation) of each column pair over the rows that both have, population, by deviations from the pair's own means."""
+    both = np.isfinite(u) & np.isfinite(v)
+    n = both.sum(0)
+    du, dv = (np.where(both, z - np.where(both, z, 0.0).sum(0) / n, 0.0) for z in (u, v))
+    return (du * dv).sum(0) / n, np.sqrt((du * du).sum(0) / n), np.sqrt((dv * dv).sum(0) / n)
+
+
+def pair_correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Correlations of the columns of a with those of b over the rows that both have; 0 where one does not vary.
+
+    Products of matrices give the sums of all pairs; pairs whose deviation is small beside its sums are computed again one by one.
+    """
+    has = [np.isfinite(z).astype(float) for z in (a, b)]
+    y = [np.where(h > 0, z, 0.0) for h, z in zip(has, (a, b), strict=True)]
+    n = has[0].T @ has[1]
+    with np.errstate(all="ignore"):
+        ma, mb = y[0].T @ has[1] / n, has[0].T @ y[1] / n
+        qa, qb = (y[0] * y[0]).T @ has[1] / n, has[0].T @ (y[1] * y[1]) / n
+        va, vb = qa - ma * ma, qb - mb * mb
+        cov = y[0].T @ y[1] / n - ma * mb
+        unsure = (n > 1) & ((va <= 1e-6 * qa) | (vb <= 1e-6 * qb))
+        size = np.sqrt(np.maximum(va, 0)) * np.sqrt(np.maximum(vb, 0))
+        i, j = np.nonzero(unsure)
+        for k in range(0, len(i), 1 << 14):
+            at = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            c, s, r = _moments(a[:, at[0]], b[:, at[1]])
+            cov[at], size[at] = c, s * r
+        return np.where((n > 1) & (size > EPS), cov / size, 0.0)
+
+
+def _products(table: pa.Table) -> pa.Table:
+    """Of a pair of blocks: for each code of one block, by row index, the sum of x times its correlation over the codes of the other."""
+    t = table.column("t").combine_chunks()
+    length = max((int(v) for v in [pa.compute.max(t.flatten()).as_py()] if v is not None), default=-1) + 1
+    owner, at = np.repeat(np.arange(len(t)), t.value_lengths().to_numpy()), t.flatten().to_numpy()
+    x, y = np.full((length, len(t)), np.nan), np.full((length, len(t)), np.nan)
+    for field, cells in (("x", x), ("y", y)):
+        cells[at, owner] = table.column(field).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    y[~np.isfinite(y)] = np.nan
+    x = np.where(np.isfinite(x), x, 0.0)
+    with np.errstate(all="ignore"):
+        y = y - np.where(np.isfinite(y), y, 0.0).sum(0) / np.isfinite(y).sum(0)  # correlations stay, sums keep more digits
+    own, lo, hi = (table.column(c).to_numpy() for c in ("block", "lo", "hi"))
+    first, second = np.nonzero(own == lo[0])[0], np.nonzero(own == hi[0])[0]
+    out = np.zeros_like(x)
+    for k in range(0, len(first), STRIP):
+        strip = first[k : k + STRIP]
+        c = pair_correlations(y[:, strip], y[:, second])
+        out[:, second] += x[:, strip] @ c
+        if lo[0] != hi[0]:
+            out[:, strip] += x[:, second] @ c.T
+    sums = pa.ListArray.from_arrays(pa.array(np.arange(len(t) + 1) * length, pa.int32()), pa.array(out.T.ravel()))
+    return pa.table({"code": table.column("code"), "other": pa.array(np.where(own == lo, hi, lo)), "sums": sums})
+
+
 @operator("vv", causal=False)
 def cs_marketcorrw(p: Panel, x: Value, y: Value) -> Value:
     """Each row of x times the matrix of the codes' correlations of y over the whole history; 0 becomes NULL.
 
-    The matrix has a row for each pair of codes, from a join on the row index; it is as large as the operator's definition makes it.
+    The matrix is never laid down: each pair of blocks of codes is one task, which multiplies strips of it by x as it makes them. Its work grows
+    with the square of the codes, what is moved with codes times blocks.
     """
     x, y = p.flat(x), p.flat(y)
-    frame = p.laid().select("code", "t", x.column.alias("x"), y.column.alias("y"))
-    a, b = frame.select("t", F.col("code").alias("i"), F.col("y").alias("u")), frame.select("t", F.col("code").alias("j"), F.col("y").alias("v"))
-    pair = F.col("u").isNotNull() & F.col("v").isNotNull()
-    u, v = F.when(pair, F.col("u")), F.when(pair, F.col("v"))
-    matrix = a.join(b, "t").groupBy("i", "j").agg(ratio(F.covar_pop(u, v), F.stddev_pop(u) * F.stddev_pop(v)).alias("c"))
+    frame = p.laid().select("code", F.col("t").cast("int").alias("t"), x.column.cast("double").alias("x"), y.column.cast("double").alias("y"))
+    rows = frame.groupBy("code").agg(F.collect_list(F.struct("t", F.coalesce("x", F.lit(math.nan)).alias("x"), F.coalesce("y", F.lit(math.nan)).alias("y"))).alias("r"))
+    count = rows.agg(F.greatest(F.ceil(F.count_if(F.size("r") > 0) / BLOCK), F.lit(1)).cast("int").alias("blocks"))  # of what it counts, so that one exchange serves both
+    rows = rows.crossJoin(F.broadcast(count)).withColumn("block", F.pmod(F.xxhash64("code"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = rows.select("code", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), *(F.col(f"r.{c}").alias(c) for c in "txy"))
+    sums = pairs.groupBy("lo", "hi").applyInArrow(_products, StructType([frame.schema["code"], StructField("other", IntegerType()), StructField("sums", ArrayType(DoubleType()))]))
     name = f"_m{len(p.memo)}"
     p.memo[("matrix", name)] = Value(F.col(name))
-    out = frame.select("t", F.col("code").alias("j"), "x").join(matrix, "j").groupBy("t", F.col("i").alias("code")).agg(F.nullif(F.sum(F.col("x") * F.col("c")), F.lit(0.0)).alias(name))
-    p.settle(p.laid().join(out, ["code", "t"], "left"))
+    add = lambda s, o: F.zip_with(s, o["sums"], lambda u, v: F.coalesce(u, F.lit(0.0)) + F.coalesce(v, F.lit(0.0)))
+    whole = sums.groupBy("code").agg(F.aggregate(F.array_sort(F.collect_list(F.struct("other", "sums"))), F.array().cast("array<double>"), add).alias("sums"))
+    p.frame = p.frame.join(whole, "code", "left").select(*p.frame.columns, F.nullif(F.get("sums", F.col("t").cast("int")), F.lit(0.0)).alias(name))
     return Value(F.col(name))

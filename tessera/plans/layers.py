@@ -103,11 +103,11 @@ class Panel:
         """The frame with all layers so far; the kernels of one depth and grouping run in one pass."""
         frame = self.frame
         for depth in sorted({*self.layers, *self.kernels}):
-            if depth in self.layers:
-                frame = frame.select("*", *self.layers[depth])
-            for by in ("code", "t"):
+            for by in ("code", "t"):  # first: all columns go through Python, and the arrays of the layer need not
                 if own := [k for k in self.kernels.get(depth, []) if k[3] == by]:
                     frame = _computed(frame, own, by)
+            if depth in self.layers:
+                frame = frame.select("*", *self.layers[depth])
         return frame
 
     def settle(self, frame: DataFrame) -> None:

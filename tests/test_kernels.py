@@ -184,6 +184,50 @@ def test_first_derivative_to_the_last_digit_of_its_sql(spark):
     assert [r.v for r in evaluate(frame, {"v": "ts_first_deriv(x, 6)"}).orderBy("t").collect()] == want
 
 
+def _gappy(codes: int, rows: int) -> np.ndarray:
+    y = np.random.default_rng(9).uniform(900, 2000, (rows, codes))
+    y[np.random.default_rng(10).random(y.shape) < 0.6] = np.nan
+    y[:, 3] = np.where(np.isnan(y[:, 3]), np.nan, 1234.5)  # does not vary
+    y[: rows // 2, 4], y[rows // 2 :, 5] = np.nan, np.nan  # no row in common
+    y[:, 6], y[2, 6] = np.nan, 1000.1  # one row
+    y[:, 7], y[2:4, 7] = np.nan, (1e6, 1e6 + 1e-3)  # varies little beside its size
+    return y
+
+
+def test_correlations_of_all_pairs_by_products_of_matrices():
+    y = _gappy(30, 20)
+    got = grouped.pair_correlations(y[:, :11], y)
+    for i in range(11):
+        for j in range(30):
+            both = np.isfinite(y[:, i]) & np.isfinite(y[:, j])
+            u, v = y[both, i], y[both, j]
+            size = u.std() * v.std() if both.sum() > 1 else 0
+            want = ((u - u.mean()) * (v - v.mean())).mean() / size if size > 1e-9 else 0
+            assert got[i, j] == pytest.approx(want, abs=1e-6 if 7 in (i, j) else 1e-11), (i, j)
+
+
+def test_market_correlation_by_blocks(spark, monkeypatch):
+    """No row for each pair of codes anywhere, and the same sums from several blocks as from the whole matrix."""
+    monkeypatch.setattr(grouped, "BLOCK", 8)
+    monkeypatch.setattr(grouped, "STRIP", 3)
+    x, y = np.random.default_rng(11).normal(size=(20, 30)), _gappy(30, 20)
+    y[:, 7] = np.nan
+    rows = [(f"c{j:02d}", t, float(x[t, j]) if t else None, None if np.isnan(y[t, j]) else float(y[t, j])) for j in range(30) for t in range(20)]
+    frame = evaluate(spark.createDataFrame(rows, "code string, t int, x double, y double"), {"v": "cs_marketcorrw(x, y)"})
+    want = np.where(np.arange(20)[:, None] > 0, x, 0) @ grouped.pair_correlations(y, y)
+    for r in frame.collect():
+        found = want[r.t, int(r.code[1:])]
+        assert r.v == (None if found == 0 else pytest.approx(found, abs=1e-9))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "corr" not in plan and "covar" not in plan
+
+
+def test_euclidean_distances_by_tiles():
+    own = np.random.default_rng(12).normal(size=(23, 3))
+    want = np.sqrt(((own[:, None] - own[None]) ** 2).sum(2)).sum(1)
+    assert grouped._sums_of_distances(own, tile=5) == pytest.approx(want) and grouped._sums_of_distances(own) == pytest.approx(want)
+
+
 def test_cut_points():
     from tessera.operators.cross import get_group_quantile_cutpoint, get_group_rank_cutpoint
 
