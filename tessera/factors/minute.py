@@ -282,55 +282,71 @@ def snapshot(frame: DataFrame, *keys: str, suffix: str = "_min") -> DataFrame:
 def components(x: np.ndarray, n: int = 2, clip: float = 1e6) -> np.ndarray:
     """Scores on the first n axes of columns scaled by their deviation, not centred; each axis's largest loading is positive.
 
-    Cells beyond ``clip`` count as it, missing ones as 0; a column that doesn't vary counts as 0.
+    Cells beyond ``clip`` count as it, missing ones as 0; a column that doesn't vary counts as 0. ``x``: rows by columns, or a stack of such tables.
     """
+    if x.ndim == 2:
+        return components(x[None], n, clip)[0]
     x = np.clip(np.where(np.isfinite(x), x, 0.0), -clip, clip)
-    out = np.zeros((len(x), n))
-    std = x.std(0) if len(x) else np.zeros(x.shape[1])
-    if (std < 1e-12).all():
+    out = np.zeros((*x.shape[:2], n))
+    std = x.std(1) if x.shape[1] else np.zeros(x.shape[::2])
+    own = ~(std < 1e-12).all(1)
+    if not own.any():
         return out
+    x, std = x[own], std[own][:, None]
     scaled = np.where(std > 1e-12, x / np.where(std > 1e-12, std, 1), 0.0)
     _, _, axes = np.linalg.svd(scaled, full_matrices=False)
-    axes = axes[:n] * np.sign(np.take_along_axis(axes[:n], np.abs(axes[:n]).argmax(1)[:, None], 1))
-    out[:, : len(axes)] = scaled @ axes.T
+    axes = axes[:, :n] * np.sign(np.take_along_axis(axes[:, :n], np.abs(axes[:, :n]).argmax(2)[:, :, None], 2))
+    out[own, :, : axes.shape[1]] = scaled @ axes.transpose(0, 2, 1)
     return out
 
 
 def partial_least_squares(x: np.ndarray, y: np.ndarray, n: int = 2) -> np.ndarray:
     """x-scores of n steps of partial least squares of y on x, columns centred and scaled (sample deviation); each weight vector's largest entry is positive.
 
-    Missing cells count as 0; fewer than three rows give 0.
+    Missing cells count as 0; fewer than three rows give 0. ``x``: rows by columns and ``y`` rows, or stacks of such.
     """
-    out = np.zeros((len(x), n))
-    if len(x) < 3:
+    if x.ndim == 2:
+        return partial_least_squares(x[None], y[None], n)[0]
+    out = np.zeros((*x.shape[:2], n))
+    if x.shape[1] < 3:
         return out
     x, y = np.nan_to_num(x), np.nan_to_num(y)
-    x, y = x - x.mean(0), y - y.mean()
-    x, y = x / np.where(x.std(0, ddof=1) > 0, x.std(0, ddof=1), 1), y / (y.std(ddof=1) or 1)
+    x, y = x - x.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+    sx, sy = x.std(1, ddof=1, keepdims=True), y.std(1, ddof=1, keepdims=True)
+    x, y = x / np.where(sx > 0, sx, 1), (y / np.where(sy == 0, 1, sy))[:, :, None]
+    going = np.ones(len(x), bool)
     for k in range(n):
-        w = x.T @ y
-        size = np.linalg.norm(w)
-        if size < 1e-12:
+        w = x.transpose(0, 2, 1) @ y
+        size = np.linalg.norm(w, axis=1, keepdims=True)
+        going &= size[:, 0, 0] >= 1e-12
+        if not going.any():
             break
-        w = w / size * (np.sign(w[np.abs(w).argmax()]))
+        w = w / np.where(size > 0, size, 1) * np.sign(np.take_along_axis(w, np.abs(w).argmax(1)[:, None], 1))
         t = x @ w
-        out[:, k] = t
-        inner = t @ t or 1.0
-        x = x - np.outer(t, x.T @ t / inner)
-        y = y - t * (t @ y) / inner
+        out[going, :, k] = t[going, :, 0]
+        inner = t.transpose(0, 2, 1) @ t
+        inner = np.where(inner == 0, 1.0, inner)
+        x = x - t @ ((x.transpose(0, 2, 1) @ t) / inner).transpose(0, 2, 1)
+        y = y - t * (t.transpose(0, 2, 1) @ y) / inner
     return out
 
 
-def strongest_frequencies(x: np.ndarray, window: int = 25, keep: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(mean, last) of each window (shorter ones at the start) rebuilt from the ``keep`` strongest terms of its Fourier transform; of equals the later ones."""
+def strongest_frequencies(x: np.ndarray, window: int = 25, keep: int = 5, place: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(mean, last) of each window (shorter ones at the start) rebuilt from the ``keep`` strongest terms of its Fourier transform; of equals the later ones.
+
+    ``place``: of several histories one after the other, each row's place in its own.
+    """
     mean, last = np.full(len(x), np.nan), np.full(len(x), np.nan)
-    for i in range(len(x)):
-        f = np.fft.fft(x[max(0, i - window + 1) : i + 1])
-        if np.isnan(f).any():
-            continue
-        f[np.argsort(np.abs(f) ** 2, kind="stable")[: max(0, len(f) - keep)]] = 0
-        y = np.fft.ifft(f).real
-        mean[i], last[i] = y.mean(), y[-1]
+    place = np.arange(len(x)) if place is None else place
+    size = np.minimum(place + 1, window)
+    for m in np.unique(size):  # all windows of a length together
+        ends = np.nonzero(size == m)[0]
+        f = np.fft.fft(x[ends[:, None] + np.arange(1 - m, 1)], axis=1)
+        sound = ~np.isnan(f).any(1)
+        ends, f = ends[sound], f[sound]
+        np.put_along_axis(f, np.argsort(np.abs(f) ** 2, axis=1, kind="stable")[:, : max(0, m - keep)], 0, axis=1)
+        y = np.fft.ifft(f, axis=1).real
+        mean[ends], last[ends] = y.mean(1), y[:, -1]
     return mean, last
 
 
@@ -354,27 +370,61 @@ def domains(level: Callable[[str], np.ndarray]) -> dict[str, np.ndarray]:
 DOMAINS = ("order_bv", "order_sv", "imb", "bid_slope", "ask_slope", "bid_diff", "ask_diff")
 
 
+#: Rows of whole groups that are computed together.
+TOGETHER = 1 << 15
+
+
+def _components_of(columns: dict[str, np.ndarray], ends: np.ndarray) -> np.ndarray:
+    """The outputs of ``book_components`` for groups one after the other, of which ``ends`` marks the last rows; groups of one length are one stack."""
+    last = np.nonzero(ends)[0]
+    first = np.concatenate(([0], last[:-1] + 1))
+    lengths = last - first + 1
+    mid = (columns["bp1"] + columns["sp1"]) / 2
+    ahead = np.append(np.diff(mid), np.nan)
+    ahead[last] = np.nan
+    by_domain = domains(columns.__getitem__)
+    values = np.empty((len(mid), 4 * len(DOMAINS) + 2))
+    for n in np.unique(lengths):
+        rows = first[lengths == n][:, None] + np.arange(n)
+        for i, d in enumerate(DOMAINS):
+            x = by_domain[d][rows]
+            values[rows, 2 * i : 2 * i + 2] = components(x)
+            values[rows, 2 * (len(DOMAINS) + i) : 2 * (len(DOMAINS) + i) + 2] = partial_least_squares(x, ahead[rows])
+    values[:, -2], values[:, -1] = strongest_frequencies(sum(columns[f"{s}v{i}"] for s in "bs" for i in range(1, 6)), place=np.arange(len(mid)) - np.repeat(first, lengths))
+    return values
+
+
 def book_components(book: DataFrame, *keys: str) -> DataFrame:
     """(keys, t, pca_domain_k, pls_domain_k, fft_mean, fft_last) of a day's five-level book: two components of each of ``DOMAINS`` over the day, and two against the
-    next change of the mid (which looks ahead); the total size rebuilt from its strongest frequencies. One task per group of ``keys`` (code, trade_date)."""
+    next change of the mid (which looks ahead); the total size rebuilt from its strongest frequencies. Groups of ``keys`` (code, trade_date) come sorted, many to a
+    call of numpy; a task holds ``TOGETHER`` rows, or its largest group."""
     keys = keys or ("code", "trade_date")
     names = [f"{s}{k}{i}" for s in "bs" for k in "pv" for i in range(1, 6)]
     out = [f"{kind}_{d}_{k}" for kind in ("pca", "pls") for d in DOMAINS for k in (1, 2)] + ["fft_mean", "fft_last"]
-    narrow = book.select(*keys, "t", *names)
+    narrow = book.select(*keys, "t", *(F.col(n).cast("double").alias(n) for n in names))
     schema = StructType([*narrow.select(*keys, "t").schema.fields, *(StructField(n, DoubleType()) for n in out)])
+    own = Window.partitionBy(*keys).orderBy("t")  # also what brings groups together and sorts them
+    marked = narrow.withColumn("_end", F.row_number().over(own) == F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("t")
-        columns = {c: table.column(c).cast(pa.float64()).to_numpy().astype(float) for c in names}
-        mid = (columns["bp1"] + columns["sp1"]) / 2
-        ahead = np.append(np.diff(mid), np.nan)
-        by_domain = domains(columns.__getitem__)
-        found = [components(by_domain[d]) for d in DOMAINS] + [partial_least_squares(by_domain[d], ahead) for d in DOMAINS]
-        mean, last = strongest_frequencies(sum(columns[f"{s}v{i}"] for s in "bs" for i in range(1, 6)))
-        values = np.concatenate([*found, mean[:, None], last[:, None]], 1)
+    def computed(table: pa.Table) -> list[pa.RecordBatch]:
+        columns = {c: table.column(c).to_numpy().astype(float) for c in names}
+        values = _components_of(columns, table.column("_end").to_numpy().astype(bool))
         base = table.select([*keys, "t"])
         for i, n in enumerate(out):
             base = base.append_column(n, pa.array(values[:, i], pa.float64(), mask=~np.isfinite(values[:, i])))
-        return base
-
-    return narrow.groupBy(*keys).applyInArrow(run, schema)
+        return base.combine_chunks().to_batches()
+
+    def run(batches):
+        held, n, whole = [], 0, 0
+        for batch in batches:
+            ends = np.nonzero(batch.column("_end").to_numpy(zero_copy_only=False))[0]
+            whole = n + int(ends[-1]) + 1 if len(ends) else whole
+            held, n = [*held, batch], n + batch.num_rows
+            if whole >= TOGETHER:
+                table = pa.Table.from_batches(held)
+                yield from computed(table.slice(0, whole))
+                held, n, whole = table.slice(whole).combine_chunks().to_batches(), n - whole, 0
+        if n:
+            yield from computed(pa.Table.from_batches(held))
+
+    return marked.mapInArrow(run, schema)

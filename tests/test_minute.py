@@ -97,3 +97,48 @@ def test_components_and_least_squares():
     assert abs(np.corrcoef(t[:, 0], y)[0, 1]) > 0.8 and abs(t[:, 0] @ t[:, 1]) < 1e-8 and (minute.partial_least_squares(x[:2], y[:2]) == 0).all()
     fit = np.linalg.lstsq(np.c_[np.ones(50), t], y, rcond=None)[0]
     assert ((np.c_[np.ones(50), t] @ fit - y) ** 2).sum() < 0.1 * ((y - y.mean()) ** 2).sum()
+
+
+def test_components_of_many_groups_in_one_call():
+    """Stacks of groups give what each group alone gives, whatever the lengths; a year's months of a code are not a call each."""
+    rng = np.random.default_rng(2)
+    lengths = [1, 2, 3, 30, 3, 7, 1, 30, 2]
+    n = sum(lengths)
+    columns = {f"{s}{k}{i}": rng.uniform(1, 9, n).round(2) for s in "bs" for k in "pv" for i in range(1, 6)}
+    columns["bv2"][5] = np.nan
+    ends = np.zeros(n, bool)
+    ends[np.cumsum(lengths) - 1] = True
+    together, at = minute._components_of(columns, ends), 0
+    for size in lengths:
+        own = {k: v[at : at + size] for k, v in columns.items()}
+        by_domain = minute.domains(own.__getitem__)
+        mid = (own["bp1"] + own["sp1"]) / 2
+        ahead = np.append(np.diff(mid), np.nan)
+        alone = [minute.components(by_domain[d]) for d in minute.DOMAINS] + [minute.partial_least_squares(by_domain[d], ahead) for d in minute.DOMAINS]
+        mean, last = minute.strongest_frequencies(sum(own[f"{s}v{i}"] for s in "bs" for i in range(1, 6)))
+        assert np.allclose(together[at : at + size], np.concatenate([*alone, mean[:, None], last[:, None]], 1), atol=1e-9, equal_nan=True)
+        for i in range(size):  # the transform, window by window
+            x = sum(own[f"{s}v{k}"] for s in "bs" for k in range(1, 6))[max(0, i - 24) : i + 1]
+            f = np.fft.fft(x)
+            f[np.argsort(np.abs(f) ** 2, kind="stable")[: max(0, len(f) - 5)]] = 0
+            assert np.isnan(x).any() and np.isnan(mean[i]) or last[i] == pytest.approx(np.fft.ifft(f).real[-1])
+        at += size
+
+
+def test_book_components_keep_groups_whole(spark, monkeypatch):
+    """Groups that lie across Arrow batches and calls."""
+    from tessera.queries.research import book_components
+
+    one = {(r.code, r.trade_date, r.t): r for r in book_components(spark, "/root/testdata/sf0.001").collect()}
+    monkeypatch.setattr(minute, "TOGETHER", 50)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        frame = book_components(spark, "/root/testdata/sf0.001")
+        found = frame.collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == len(one) == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    for r in found:
+        assert tuple(r)[3:] == pytest.approx(tuple(one[r.code, r.trade_date, r.t])[3:], abs=1e-9, nan_ok=True)
+    assert "FlatMapGroups" not in frame._jdf.queryExecution().optimizedPlan().toString()  # not a call for each group
