@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tessera.factors.recursion import _rolling, _shift, ewm, span
+from tessera.plans.layers import ends, whole_groups
 
 EPS, SMALL = 1e-9, 1e-5
 
@@ -403,8 +404,7 @@ def book_components(book: DataFrame, *keys: str) -> DataFrame:
     out = [f"{kind}_{d}_{k}" for kind in ("pca", "pls") for d in DOMAINS for k in (1, 2)] + ["fft_mean", "fft_last"]
     narrow = book.select(*keys, "t", *(F.col(n).cast("double").alias(n) for n in names))
     schema = StructType([*narrow.select(*keys, "t").schema.fields, *(StructField(n, DoubleType()) for n in out)])
-    own = Window.partitionBy(*keys).orderBy("t")  # also what brings groups together and sorts them
-    marked = narrow.withColumn("_end", F.row_number().over(own) == F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    marked = narrow.withColumn("_end", ends(*keys))
 
     def computed(table: pa.Table) -> list[pa.RecordBatch]:
         columns = {c: table.column(c).to_numpy().astype(float) for c in names}
@@ -415,16 +415,7 @@ def book_components(book: DataFrame, *keys: str) -> DataFrame:
         return base.combine_chunks().to_batches()
 
     def run(batches):
-        held, n, whole = [], 0, 0
-        for batch in batches:
-            ends = np.nonzero(batch.column("_end").to_numpy(zero_copy_only=False))[0]
-            whole = n + int(ends[-1]) + 1 if len(ends) else whole
-            held, n = [*held, batch], n + batch.num_rows
-            if whole >= TOGETHER:
-                table = pa.Table.from_batches(held)
-                yield from computed(table.slice(0, whole))
-                held, n, whole = table.slice(whole).combine_chunks().to_batches(), n - whole, 0
-        if n:
-            yield from computed(pa.Table.from_batches(held))
+        for table in whole_groups(batches, "_end", TOGETHER):
+            yield from computed(table)
 
     return marked.mapInArrow(run, schema)

@@ -1,4 +1,4 @@
-"""Operators that need the window's values in order: arrays of the last d rows and higher-order functions on them."""
+"""Operators that need the window's values in order: arrays of the last d rows and a few higher-order functions on them (``listed`` has those of many passes)."""
 
 from __future__ import annotations
 
@@ -40,14 +40,6 @@ def ts_rank(p: Panel, x: Value, d: int) -> Value:
     return _window(p, d, lambda a: F.try_divide(F.size(F.filter(a, lambda v: v <= A.last(a))).cast("double"), F.nullif(A.count(a), F.lit(0.0))) + 0 * A.last(a), p.each(finite, x))
 
 
-@operator("vvd", search=True)
-def ts_rankcorr(p: Panel, x: Value, y: Value, d: int) -> Value:
-    """Pearson correlation of the ranks in the window."""
-    a, b = p.array(int(d), p.each(finite, x), p.each(finite, y))
-    ra, rb = (_laid(p, p.each(lambda c: A.demeaned(A.ranks(c)), v)) for v in (a, b))
-    return p.each(lambda m, n: p.full(int(d), A.cosine(m, n)), ra, rb)
-
-
 # a selection of the window by quantiles of another value
 
 
@@ -69,7 +61,7 @@ def _inside(e: Column, lo: Column, hi: Column) -> Column:
     return (e >= lo) & (e <= hi)
 
 
-_STATS = {"mean": A.mean, "stddev": A.std, "skew": A.skew, "kurt": A.kurt, "sum": A.total, "median": A.median}
+_STATS = {"mean": A.mean, "stddev": A.std, "skew": A.skew, "sum": A.total, "median": A.median}
 
 
 def _select(name: str, stat, search: bool) -> None:
@@ -82,7 +74,7 @@ def _select(name: str, stat, search: bool) -> None:
     operator("vvdqq", f"ts_{name}_selq", search=search)(inside)
 
 
-for _name, _search in (("mean", True), ("stddev", True), ("skew", True), ("kurt", True), ("sum", False), ("median", True)):
+for _name, _search in (("mean", True), ("stddev", True), ("skew", True), ("sum", False), ("median", True)):
     _select(_name, _STATS[_name], _search)
 
 
@@ -97,8 +89,6 @@ def _tails(name: str, stat, combine) -> None:
 
 _tails("mean", A.mean, lambda a, b: a - b)
 _tails("stddev", A.std, ratio)  # a ratio, whatever the name says
-_tails("skew", A.skew, lambda a, b: a - b)
-_tails("kurt", A.kurt, lambda a, b: a - b)
 
 
 @operator("vvdqqq", search=True)
@@ -114,22 +104,6 @@ def ts_prodsum_selq(p: Panel, x: Value, cond: Value, d: int, low: float, high: f
     return p.each(lambda k: p.full(int(d), A.total(k)), kept)
 
 
-@operator("vvvdqq", search=True)
-def ts_sumprod_selq(p: Panel, x: Value, y: Value, cond: Value, d: int, low: float, high: float) -> Value:
-    """The sum of x times y's share of its sum over the selection; NULL with a missing cell."""
-    (kept,) = _banded(p, p.each(lambda a, b: a * b, x, y), cond, d, low, high, _inside)
-    cells = p.array(int(d), x, y, cond)
-    return p.each(lambda k, a, b, c: p.full(int(d), F.when(A.count(a) + A.count(b) + A.count(c) == 3 * int(d), F.try_divide(A.total(k), F.nullif(A.total(b), F.lit(0.0))))), kept, *cells)
-
-
-@operator("vvdqq")
-def ts_corr_selq(p: Panel, x: Value, cond: Value, d: int, low: float, high: float) -> Value:
-    (kept,) = _banded(p, x, cond, d, low, high, _inside)
-    (other,) = _banded(p, cond, cond, d, low, high, _inside)
-    a, b = (_laid(p, p.each(A.demeaned, v)) for v in (kept, other))
-    return p.each(lambda m, n: p.full(int(d), A.cosine(m, n)), a, b)
-
-
 def _flipped(p: Panel, x: Value, cond: Value, d: int, low: float, high: float) -> tuple[Value, Value]:
     """Deviations from the window's mean, and the same with the sign turned outside the band."""
     a, c = p.array(int(d), x, cond)
@@ -151,46 +125,7 @@ def _flip(name: str, stat) -> None:
     operator("vvdqq", f"ts_{name}_flip")(flip)
 
 
-for _name in ("stddev", "skew", "kurt"):
-    _flip(_name, _STATS[_name])
-
-
-@operator("vvdqqq")
-def ts_qua_flip(p: Panel, x: Value, cond: Value, d: int, q: float, low: float, high: float) -> Value:
-    of = lambda c: ratio(A.quantile(c, float(q)), A.mean(c))
-    return p.each(lambda a, b: p.full(int(d), of(a) - of(b)), *_flipped(p, x, cond, d, low, high))
-
-
-@operator("vvdqq")
-def ts_corr_flip(p: Panel, x: Value, cond: Value, d: int, low: float, high: float) -> Value:
-    other = _laid(p, p.each(A.demeaned, p.array(int(d), x, cond)[1]))
-    return p.each(lambda a, b: p.full(int(d), A.cosine(a, b)), _flipped(p, x, cond, d, low, high)[1], other)
-
-
-# a selection by the ranks of x within the window
-
-
-def _ranked(name: str, stat, search: bool = True) -> None:
-    def build(p: Panel, x: Value, y: Value, d: int, low: float, high: float) -> Value:
-        a, b = p.array(int(d), p.each(finite, x), y)
-        share = _laid(p, p.each(lambda v: F.transform(A.ranks(v), lambda r: r / F.greatest(A.count(v), F.lit(1.0))), a))
-        kept = _laid(p, p.each(lambda v, s: A.kept(v, s, lambda r: (r >= low) & (r <= high)), b, share))
-        return p.each(lambda k: p.full(int(d), stat(k)), kept)
-
-    build.__doc__ = f"{name} of y where x's share of ranks in the window is between low and high."
-    operator("vvdqq", f"ts_cond_quantile_{name}", search=search)(build)
-
-
-for _name, _search in (("mean", True), ("stddev", True), ("skew", True), ("kurt", True), ("sum", False)):
-    _ranked(_name, _STATS[_name], _search)
-
-
-@operator("vvdqq")
-def ts_cond_quantile_corr(p: Panel, x: Value, y: Value, d: int, low: float, high: float) -> Value:
-    a, b = p.array(int(d), p.each(finite, x), y)
-    share = _laid(p, p.each(lambda v: F.transform(A.ranks(v), lambda r: r / F.greatest(A.count(v), F.lit(1.0))), a))
-    sides = [_laid(p, p.each(lambda v, s: A.demeaned(A.kept(v, s, lambda r: (r >= low) & (r <= high))), v, share)) for v in (a, b)]
-    return p.each(lambda m, n: p.full(int(d), A.cosine(m, n)), *sides)
+_flip("stddev", A.std)
 
 
 # spreads between the tails
@@ -218,46 +153,6 @@ def ts_spread_std(p: Panel, x: Value, d: int, low: float, high: float) -> Value:
     return p.each(lambda a, b: p.full(int(d), A.std(a) - A.std(b)), below, above)
 
 
-def _cut_by(p: Panel, x: Value, cond: Value, d: int, low: float, high: float) -> tuple[Value, Value, Value, Value]:
-    """(x, condition, cut of the lower tail, cut of the upper tail): x at the condition's order statistics."""
-    a, c = p.array(d, x, cond)
-    order = _laid(p, p.each(lambda v, w: F.array_sort(F.transform(F.filter(F.transform(w, lambda e, i: F.struct(e.alias("c"), i.alias("i"))), lambda s: s["c"].isNotNull()), lambda s: F.struct(s["c"].alias("c"), s["i"].alias("i"), F.get(v, s["i"]).alias("x")))), a, c))
-    place = lambda q: round(q * d) - 1 if q * d >= 0.5 else 0
-    lo = _laid(p, p.each(lambda o: F.get(o, F.lit(place(low)))["x"], order))
-    hi = _laid(p, p.each(lambda o: F.get(o, F.size(o) - 1 - place(high))["x"], order))
-    return a, c, lo, hi
-
-
-@operator("vvdqq", search=True)
-def ts_spread_selq(p: Panel, x: Value, cond: Value, d: int, low: float, high: float) -> Value:
-    """ts_spread with tails cut at the x that stands at the other value's order statistics."""
-    d = int(d)
-
-    def make(v: Column, _: Column, m: Column, n: Column) -> Column:
-        upper = A.mean(F.filter(v, lambda e: e >= n)) if high * d >= 1 else F.lit(0.0)
-        lower = A.mean(F.filter(v, lambda e: e <= m)) if low * d >= 1 else F.lit(0.0)
-        return p.full(d, upper - lower)
-
-    return p.each(make, *_cut_by(p, x, cond, d, float(low), float(high)))
-
-
-@operator("vvdqq", search=True)
-def ts_spreadw_selq(p: Panel, x: Value, cond: Value, d: int, low: float, high: float) -> Value:
-    """The same with each x weighted by its share of the other value's size in the tail."""
-    d = int(d)
-
-    def tail(v: Column, c: Column, keep) -> Column:
-        weight = F.zip_with(v, c, lambda e, k: F.when(keep(e), F.abs(k)))
-        return A.mean(F.zip_with(v, weight, lambda e, k: F.try_divide(e * k, F.nullif(A.total(weight), F.lit(0.0)))))
-
-    def make(v: Column, c: Column, m: Column, n: Column) -> Column:
-        upper = tail(v, c, lambda e: e >= n) if high * d >= 1 else F.lit(0.0)
-        lower = tail(v, c, lambda e: e <= m) if low * d >= 1 else F.lit(0.0)
-        return p.full(d, upper - lower)
-
-    return p.each(make, *_cut_by(p, x, cond, d, float(low), float(high)))
-
-
 # what exceeds another value's quantile; NULL with a missing cell
 
 
@@ -275,71 +170,6 @@ for _name in ("mean", "stddev", "sum"):
     _above(_name, _STATS[_name])
 
 
-# histograms
-
-
-def _histogram(a: Column, buckets: int) -> Column:
-    """Shares of equal buckets from the least to the largest value; the largest itself is in none."""
-    s = A.present(a)
-    lo, hi = F.array_min(s), F.array_max(s)
-    edge = lambda i: lo + (hi - lo) * (i / buckets)
-    n = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(s, lambda v: (v >= edge(i)) & (v < edge(i + 1)) & (v < hi))).cast("double"))
-    return F.transform(n, lambda v: F.try_divide(v, F.nullif(A.total(n), F.lit(0.0))))
-
-
-@operator("vdN", search=True)
-def ts_entropy(p: Panel, x: Value, d: int, buckets: int = 10) -> Value:
-    """The histogram's entropy in bits over the number of buckets, plus log2 of it."""
-    (a,) = p.array(int(d), x)
-    h = _laid(p, p.each(lambda v: _histogram(v, int(buckets)), a))
-    return p.each(lambda v: p.full(int(d), F.when(F.get(v, F.lit(0)).isNotNull(), -A.total(F.transform(v, lambda q: q * F.log2(q + 1e-9))) / buckets + F.log2(F.lit(float(buckets))))), h)
-
-
-@operator("vvdN", search=True)
-def ts_cross_entropy(p: Panel, x: Value, y: Value, d: int, buckets: int = 10) -> Value:
-    """The cross-entropy of x's histogram against y's, over the number of buckets, plus log2 of it."""
-    h, g = (_laid(p, p.each(lambda v: _histogram(v, int(buckets)), a)) for a in p.array(int(d), x, y))
-    return p.each(lambda v, w: p.full(int(d), -A.total(F.zip_with(v, w, lambda q, r: q * F.log2(r + 1e-9))) / buckets + F.log2(F.lit(float(buckets)))), h, g)
-
-
-@operator("vvdN", search=True)
-def ts_kl_diverg(p: Panel, x: Value, y: Value, d: int, buckets: int = 10) -> Value:
-    """The divergence of x's histogram from y's in bits, over the number of buckets."""
-    h, g = (_laid(p, p.each(lambda v: _histogram(v, int(buckets)), a)) for a in p.array(int(d), x, y))
-    return p.each(lambda v, w: p.full(int(d), A.total(F.zip_with(v, w, lambda q, r: q * (F.log2(q + 1e-8) - F.log2(r + 1e-8)))) / buckets), h, g)
-
-
-# moments with weights, three values
-
-
-@operator("vvvd", search=True)
-def ts_triple_corr(p: Panel, x: Value, y: Value, z: Value, d: int) -> Value:
-    """The sum of threefold products of deviations over the three root sums of squares."""
-    a, b, c = (_laid(p, p.each(A.demeaned, v)) for v in p.array(int(d), x, y, z))
-    size = lambda v: F.sqrt(A.total(F.transform(v, lambda e: e * e)))
-    triple = lambda u, v, w: A.total(F.zip_with(F.zip_with(u, v, lambda m, n: m * n), w, lambda m, n: m * n))
-    return p.each(lambda u, v, w: p.full(int(d), F.when((size(u) >= EPS) & (size(v) >= EPS), F.try_divide(triple(u, v, w), F.nullif(size(u) * size(v) * size(w), F.lit(0.0))))), a, b, c)
-
-
-@operator("vvd", search=True)
-def ts_weighted_skew(p: Panel, x: Value, weights: Value, d: int) -> Value:
-    """The mean of weight share times cubed deviation over the cubed deviation of the pairs present."""
-    both = p.each(lambda a, b: F.when(b.isNotNull(), a), p.each(finite, x), p.each(finite, weights))
-    other = p.each(lambda a, b: F.when(a.isNotNull(), b), p.each(finite, x), p.each(finite, weights))
-    a, w = p.array(int(d), both, other)
-    dev = _laid(p, p.each(A.demeaned, a))
-    return p.each(lambda v, k: p.full(int(d), A.mean(F.zip_with(v, k, lambda e, s: F.try_divide(s, F.nullif(A.total(k), F.lit(0.0))) * e * e * e)) / F.nullif(F.pow(A.std(v), F.lit(3)), F.lit(0.0))), dev, w)
-
-
-@operator("vvd")
-def ts_weighted_kurt(p: Panel, x: Value, weights: Value, d: int) -> Value:
-    """Weighted fourth moment over the squared weighted second, about the unweighted mean, less 3."""
-    a, w = p.array(int(d), x, weights)
-    dev = _laid(p, p.each(A.demeaned, a))
-    power = lambda v, k, n: ratio(A.total(F.zip_with(v, k, lambda e, s: F.pow(e, F.lit(n)) * s)), A.total(k))
-    return p.each(lambda v, k: p.full(int(d), ratio(power(v, k, 4), power(v, k, 2) * power(v, k, 2)) - 3), dev, w)
-
-
 @operator("vdE", search=True)
 def ts_ewmv(p: Panel, x: Value, d: int, alpha: float | None = None) -> Value:
     """The weighted variance about ts_ewma, with its weights."""
@@ -373,25 +203,6 @@ def sort_by_another(p: Panel, x: Value, by: Value, d: int, descending: bool = Fa
     return p.each(lambda v: p.full(int(d), v), _sorted_by(p, x, by, int(d))[int(descending)])
 
 
-def _running_gap(p: Panel, x: Value, by: Value, d: int) -> Value:
-    up, down = (_laid(p, p.each(A.running, v)) for v in _sorted_by(p, x, by, d))
-    return _laid(p, p.each(lambda u, v: F.zip_with(u, v, lambda a, b: a - b), up, down))
-
-
-@operator("vvd", search=True)
-def ts_sort_diffcumsum(p: Panel, x: Value, by: Value, d: int) -> Value:
-    """The sum of the gaps between the running sums in ascending and in descending order."""
-    return p.each(lambda g: p.full(int(d), A.total(g)), _running_gap(p, x, by, int(d)))
-
-
-@operator("vvd", search=True)
-def ts_sort_diff_tailsubhead(p: Panel, x: Value, by: Value, d: int) -> Value:
-    """The mean gap of the first half less that of the rest."""
-    d = int(d)
-    half = max(1, d // 2)
-    return p.each(lambda g: p.full(d, A.mean(F.slice(g, 1, half)) - A.mean(F.slice(g, half + 1, max(1, d - half)))), _running_gap(p, x, by, d))
-
-
 @operator("vd", search=True)
 def ts_max_drawdown(p: Panel, x: Value, d: int) -> Value:
     """The largest fall from a maximum in the window, relative to it; NULL with a missing cell."""
@@ -400,18 +211,6 @@ def ts_max_drawdown(p: Panel, x: Value, d: int) -> Value:
     return _window(p, d, lambda a: F.when(A.count(a) == int(d), F.aggregate(a, start, step)["fall"]), x)
 
 
-@operator("vd")
-def ts_hurst(p: Panel, x: Value, d: int) -> Value:
-    """Rescaled range of the window: ln(range of running deviations / sample deviation) over ln d."""
-    import math
-
-    (a,) = p.array(int(d), x)
-    dev = _laid(p, p.each(A.demeaned, a))
-    path = _laid(p, p.each(lambda v: F.zip_with(A.running(v), v, lambda s, e: F.when(e.isNotNull(), s)), dev))
-    spread = lambda v: F.sqrt(A.total(F.transform(v, lambda e: e * e)) / (int(d) - 1))
-    return p.each(lambda v, s: p.full(int(d), F.when(spread(v) >= EPS, F.try_divide(F.log(F.nullif(F.array_max(s) - F.array_min(s), F.lit(0.0)) / spread(v)), F.lit(math.log(int(d)))))), dev, path)
-
-
 @operator("v")
 def loop_max_min(p: Panel, y: Value) -> Value:
     """A struct (zmax, zmin): the largest and smallest sum of the last 1 to 240 rows."""

@@ -9,7 +9,7 @@ one value (``Panel.memo``).
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -103,6 +103,8 @@ class Panel:
         """The frame with all layers so far; the kernels of one depth and grouping run in one pass."""
         frame = self.frame
         for depth in sorted({*self.layers, *self.kernels}):
+            if own := [k for k in self.kernels.get(depth, []) if k[3] == "window"]:
+                frame = _slid(frame, own)
             for by in ("code", "t"):  # first: all columns go through Python, and the arrays of the layer need not
                 if own := [k for k in self.kernels.get(depth, []) if k[3] == by]:
                     frame = _computed(frame, own, by)
@@ -140,6 +142,16 @@ class Panel:
         self.kernels.setdefault(depth, []).append((name, compute, [v.column for v in plain], by))
         return Value(F.col(name), False, depth + 1)
 
+    def slide(self, compute: Callable, d: int, *values: Value) -> Value:
+        """A value that a Python kernel computes from the last d rows, for many codes at once; missing in the first d - 1 rows of a code.
+
+        ``compute`` gets arrays of doubles with d rows (NaN: missing) and a column for each window, and returns a number for each.
+        """
+        found = self.kernel(compute, *values)
+        name, _, columns, _ = self.kernels[found.depth - 1].pop()
+        self.kernels[found.depth - 1].append((name, (compute, d), columns, "window"))
+        return found
+
     def select(self, values: dict[str, Value], *more: str) -> DataFrame:
         """The keys, further columns by name, and the values."""
         return self.laid().select(*self.keys, *more, *(v.column.alias(name) for name, v in values.items()))
@@ -163,3 +175,63 @@ def _computed(frame: DataFrame, kernels: list[tuple[str, Callable, list[Column],
         return out
 
     return wide.groupBy(by).applyInArrow(run, schema)
+
+
+#: Rows of whole groups that are computed together, at least.
+TOGETHER = 1 << 13
+
+
+def ends(*keys: str, by: str = "t") -> Column:
+    """Whether a row is the last of its group; the window also brings groups together and sorts them."""
+    own = Window.partitionBy(*keys).orderBy(by)
+    return F.row_number().over(own) == F.count(F.lit(1)).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], end: str, together: int) -> Iterator[pa.Table]:
+    """Tables of whole groups, of about ``together`` rows or one larger group; the column ``end`` marks last rows."""
+    held, n, whole = [], 0, 0
+    for batch in batches:
+        last = np.nonzero(batch.column(end).to_numpy(zero_copy_only=False))[0]
+        whole = n + int(last[-1]) + 1 if len(last) else whole
+        held, n = [*held, batch], n + batch.num_rows
+        if whole >= together:
+            table = pa.Table.from_batches(held)
+            yield table.slice(0, whole).combine_chunks()
+            held, n, whole = table.slice(whole).combine_chunks().to_batches(), n - whole, 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _slid(frame: DataFrame, kernels: list[tuple[str, tuple, list[Column], str]]) -> DataFrame:
+    """``frame`` with a column for each kernel over windows: sorted codes, many to a call."""
+    n = len(frame.columns)
+    inputs = {str(c): c for _, _, columns, _ in kernels for c in columns}
+    place = {k: n + i for i, k in enumerate(inputs)}
+    wide = frame.select("*", *(c.cast("double").alias(f"_k{i}") for i, c in enumerate(inputs.values())), ends("code").alias("_end"))
+    wanted = [(name, compute, d, [place[str(c)] for c in columns]) for name, (compute, d), columns, _ in kernels]
+    schema = StructType([*frame.schema.fields, *(StructField(name, DoubleType()) for name, _, _, _ in wanted)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "_end", TOGETHER):
+            rows, made = table.num_rows, {}
+            last = np.nonzero(table.column("_end").to_numpy())[0]
+            first = np.concatenate(([0], last[:-1] + 1))
+            at = np.arange(rows) - np.repeat(first, last - first + 1)  # in its code
+
+            def window(i: int, d: int) -> np.ndarray:
+                if (i, d) not in made:
+                    x = table.column(i).to_numpy().astype(float)
+                    x = np.where(np.isfinite(x), x, np.nan)
+                    made[i, d] = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x, d).T)
+                return made[i, d]
+
+            out = table.select(list(range(n)))
+            for name, compute, d, columns in wanted:
+                found = np.full(rows, np.nan)
+                if rows >= d:
+                    with np.errstate(all="ignore"):
+                        found[d - 1 :] = compute(*(window(i, d) for i in columns))
+                out = out.append_column(name, pa.array(found, pa.float64(), mask=~np.isfinite(found) | (at < d - 1)))
+            yield from out.combine_chunks().to_batches()
+
+    return wide.mapInArrow(run, schema)

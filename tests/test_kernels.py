@@ -228,6 +228,34 @@ def test_euclidean_distances_by_tiles():
     assert grouped._sums_of_distances(own, tile=5) == pytest.approx(want) and grouped._sums_of_distances(own) == pytest.approx(want)
 
 
+def test_windows_of_many_codes_in_one_call(spark, monkeypatch):
+    """A code's windows are the same beside others as alone, whatever batches and calls they lie in; no higher-order function is left in the plan."""
+    from tessera.plans import layers
+    from tessera.queries.operators import LISTS
+
+    monkeypatch.setattr(layers, "TOGETHER", 40)
+    rng = np.random.default_rng(13)
+    cells = lambda: [None if v < 0.15 else float(round(v, 1)) for v in rng.random(30)]  # noqa: E731  gaps and ties
+    lengths = {"a": 1, "b": 5, "c": 30, "d": 8, "e": 7, "f": 12, "g": 9}
+    rows = [(c, t, x, y, z) for c, n in lengths.items() for t, x, y, z in zip(range(n), cells(), cells(), cells(), strict=False)]
+    frame = spark.createDataFrame(rows, "code string, t int, ret double, volume double, close double")
+    wanted = {n: e for n, (e, _) in LISTS.items() if n not in ("ts_partial_corr", "ts_ewmstd")}  # from windows
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        together = evaluate(frame, wanted)
+        plan = together._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" not in plan and "collect_list" not in plan and "FlatMapGroups" not in plan
+        found = {(r.code, r.t): tuple(r)[2:] for r in together.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert len(found) == len(rows)
+    assert all(v is None for (_, t), r in found.items() if t < 7 for v in r) and any(v is not None for r in found.values() for v in r)
+    for code in "cdf":
+        for r in evaluate(frame.where(f"code = '{code}'"), wanted).collect():
+            assert found[code, r.t] == tuple(r)[2:]
+
+
 def test_cut_points():
     from tessera.operators.cross import get_group_quantile_cutpoint, get_group_rank_cutpoint
 
